@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP6_SQL, op6_decontamination
 from .packing import op9_packing
 from .sharding import op7_sharding
 
 
 def queries() -> dict:
     return {
+        "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": OP6_SQL}
