@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontamination
 from .packing import op9_packing
+from .quality_rules import op10_quality_rules
 from .sharding import op7_sharding
 
 
@@ -12,6 +13,7 @@ def queries() -> dict:
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op9_packing": op9_packing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
