@@ -6,16 +6,18 @@ from .decontaminate import OP6_SQL, op6_decontamination
 from .packing import op9_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op7_sharding
+from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict:
     return {
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
+        "op8_warc": op8_warc,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL}
+    return {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
