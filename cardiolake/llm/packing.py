@@ -21,10 +21,12 @@ gives an empty result; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
+from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 
 #: Texts of these characters alone are tokenized chunk by chunk between spaces
 #: with a cache; others (and texts that may hold a special token) go whole.
-_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xc0-\\u024f]|<\\|")
+_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xc0-\\u012f\\u0131-\\u024f]|<\\|")
 #: The tokenizer's own word split, for lower-case text of those characters.
 _SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+|[0-9]|[^\\sa-z0-9\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+")
 
@@ -45,13 +47,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: Letters and then symbols, as the split makes of most chunks: two words at most.
+_CORE = re.compile("([a-z\\xe0-\\xf6\\xf8-\\xff]+)([^\\sa-z0-9'\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]*)")
+
+
 class Tokens:
-    """uint32 ids of texts; equal to the tokenizer's own on whole texts."""
+    """uint32 ids of texts; equal to the tokenizer's own on whole texts.
+
+    ``chunks`` caches what stands between spaces, ``words`` its lower-case parts;
+    each is emptied when it passes ``limit`` entries.
+    """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
-        self.encoder, self.cache, self.limit = Tokenizer.from_file(path), {}, limit
+        self.encoder, self.chunks, self.words, self.limit = Tokenizer.from_file(path), {}, {"": b""}, limit
         vocabulary = self.encoder.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -61,31 +71,51 @@ class Tokens:
             return b""
         if _UNUSUAL.search(text):
             return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks, cache = text.split(), self.cache
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if new:
-            if len(cache) > self.limit:
-                cache.clear()
-                new = list(dict.fromkeys(chunks))
-            ids = np.asarray(self.encoder.encode(" ".join(new), add_special_tokens=False).ids, dtype="<u4")
-            words = np.cumsum([1 if c.isalpha() else len(_SPLIT.findall(c.lower())) for c in new])
-            ends = (np.flatnonzero(self.closes[ids]) + 1)[words - 1] * 4
+        chunks, known = text.split(), self.chunks
+        found = list(map(known.get, chunks))
+        if None in found:
+            if len(known) > self.limit:
+                known.clear()
+            if len(self.words) > self.limit:
+                self.words.clear()
+                self.words[""] = b""
+            self._learn([c for c, f in zip(chunks, found) if f is None])
+            found = [known.get(c) if f is None else f for c, f in zip(chunks, found)]
+        return b"".join(found)
+
+    def _learn(self, new: list[str]) -> None:
+        words, parts = self.words, []
+        for c in new:
+            m = _CORE.fullmatch(c.lower())
+            parts.append(m.groups() if m else (c,))
+        need = list(dict.fromkeys(p for ps in parts for p in ps if p not in words))
+        if need:
+            ids = np.asarray(self.encoder.encode(" ".join(need), add_special_tokens=False).ids, dtype="<u4")
+            count = np.cumsum([1 if p.isalpha() else len(_SPLIT.findall(p.lower())) for p in need])
+            ends = (np.flatnonzero(self.closes[ids]) + 1)[count - 1] * 4
             raw, at = ids.tobytes(), 0
-            for c, e in zip(new, ends.tolist()):
-                cache[c], at = raw[at:e], e
-        return b"".join([cache[c] for c in chunks])
+            for p, e in zip(need, ends.tolist()):
+                words[p], at = raw[at:e], e
+        for c, ps in zip(new, parts):
+            self.chunks[c] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]
+
+
+@functools.lru_cache(maxsize=2)
+def _tokens(path: str) -> Tokens:
+    """One per Python worker, so that its cache serves all of the worker's tasks."""
+    return Tokens(path)
 
 
-def closest_fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
+def closest_fill(offered: Iterable[tuple[int, int]], capacity: int) -> dict[int, int]:
     """Counts per length whose sum is the largest not above ``capacity``.
 
-    Lengths are offered in falling order; bounded counts are split into powers
-    of two.  ``reach`` has bit s set when sum s can be made.  The programme
-    stops as soon as the capacity itself is reachable.
+    ``offered``: (length, count) in falling order of length.  Counts are split
+    into powers of two.  ``reach`` has bit s set when sum s can be made.  The
+    programme stops as soon as the capacity itself is reachable.
     """
     mask, reach, steps = (1 << (capacity + 1)) - 1, 1, []
-    for length in sorted((x for x in counts if x <= capacity), reverse=True):
-        left, part = min(counts[length], capacity // length), 1
+    for length, count in offered:
+        left, part = min(count, capacity // length), 1
         while left and not reach >> capacity & 1:
             part = min(part, left)
             grown = (reach | reach << part * length) & mask
@@ -109,7 +139,8 @@ class Packer:
 
     def __init__(self, window: int, max_slack: int):
         self.window, self.max_slack = window, max_slack
-        self.left: dict[int, list[tuple[int, int]]] = defaultdict(list)  # length -> [(document, start)]
+        self.left: dict[int, list[tuple[int, int]]] = {}  # length -> [(document, start)]
+        self.lengths: list[int] = []  # its keys, rising
         self.held = 0
 
     def add(self, doc: int, n: int) -> Iterator[list[tuple[int, int, int]]]:
@@ -120,26 +151,29 @@ class Packer:
             self._put(doc, whole, n - whole)
 
     def _put(self, doc: int, start: int, n: int) -> None:
+        if n not in self.left:
+            self.left[n] = []
+            insort(self.lengths, n)
         self.left[n].append((doc, start))
         self.held += n
 
     def _take(self, n: int) -> tuple[int, int, int]:
         doc, start = self.left[n].pop()
         if not self.left[n]:
-            del self.left[n]
+            del self.left[n], self.lengths[bisect_left(self.lengths, n)]
         self.held -= n
         return doc, start, n
 
     def _cut(self, n: int) -> tuple[int, int, int]:
         """A piece of exactly ``n`` tokens from the longest remainder."""
-        doc, start, have = self._take(max(self.left))
+        doc, start, have = self._take(self.lengths[-1])
         if have > n:
             self._put(doc, start + n, have - n)
         return doc, start, min(n, have)
 
     def fill(self, down_to: int) -> Iterator[list[tuple[int, int, int]]]:
         while self.held >= max(self.window, down_to):
-            chosen = closest_fill({k: len(v) for k, v in self.left.items()}, self.window)
+            chosen = closest_fill(((n, len(self.left[n])) for n in reversed(self.lengths)), self.window)
             pieces = [self._take(n) for n, k in chosen.items() for _ in range(k)]
             slack = self.window - sum(p[2] for p in pieces)
             if slack > self.max_slack:
@@ -170,7 +204,7 @@ def pack_documents(
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
-        tokens, packer, ids, doc_ids, out, made = Tokens(path), Packer(window, max_slack), {}, {}, [], 0
+        tokens, packer, ids, doc_ids, out, made = _tokens(path), Packer(window, max_slack), {}, {}, [], 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         open_tokens: dict[int, int] = {}  # tokens of a document not yet placed
 
