@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontamination
+from .near_dedup import op3_near_dedup
 from .packing import op9_packing
 from .quality_rules import op10_quality_rules
 from .sharding import op7_sharding
@@ -11,6 +12,7 @@ from .warc import OP8_SQL, op8_warc
 
 def queries() -> dict:
     return {
+        "op3_near_dedup": op3_near_dedup,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
         "op8_warc": op8_warc,
