@@ -3,22 +3,21 @@
 A window is ``n`` consecutive words of a benchmark item (the whole item if it
 is shorter).  Any run of k words in a document covers a whole block of
 b = (k + 1) // 2 words that starts at a multiple of b, so documents are scanned
-block by block: the hash of each aligned block is looked up in the broadcast
-hash set of all b-grams of the benchmark.  Only documents with a hit are read
-again; there every window start that the hit allows is compared, word by word,
-with the windows of the benchmark.  The result is exact.
-
-Scale: the scan makes one row per b words and joins it with the gram table,
-broadcast only if its counted rows are at most ``BROADCAST_ROWS``, otherwise
-hash-partitioned.  A benchmark of long items alone has b = 5; shorter items
-lower b.  Hits are combined per document, so no group exceeds one document.
-
-Rows are keyed by (doc_id, 64-bit hash of the text), compared null-safe:
-repeated rows each get the same result, a null or empty text has no words, a
-null doc_id is allowed, an empty benchmark or table gives no hits or no rows,
-columns of any other name are ignored (``decontaminate`` passes them through).
-Benchmark rows without words are ignored; a null item_id marks words as hit but
-is not listed.
+block by block: the hash of each aligned block is looked up in the hash set of
+all b-grams of the benchmark, which travels with the scan.  Documents with a hit
+keep their words; every window start that a hit block allows is compared, word
+by word, with the windows of the benchmark.  The result is exact.
+
+Scale: one scan, no shuffle of texts.  The gram set is sent with the tasks only
+if it was counted to be at most ``SET_ROWS``; a larger one is hash-partitioned
+and joined with the blocks.  Windows are broadcast only up to ``SET_ROWS`` rows,
+otherwise joined by shuffle.  Hits are combined per document.
+
+Defined results: rows are told apart by a row number, so repeated rows each get
+the same result and a null doc_id is allowed; a null or empty text has no words;
+an empty benchmark or table gives no hits or no rows; columns of any other name
+are ignored (``decontaminate`` passes them through).  Benchmark rows without
+words are ignored; a null item_id marks words as hit but is not listed.
 """
 
 from __future__ import annotations
@@ -31,97 +30,76 @@ from .common import Scratch
 #: Fixed pattern: what a word is, once A-Z are lower-case.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The same word and what follows it, in a text of either case.
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
+#: A word and what follows it, in a text of either case.
 PIECES = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-BROADCAST_ROWS = 2_000_000
+SET_ROWS = 200_000
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORDS), F.lit(0))
+    """The words; A-Z to lower case and separators to spaces in one pass, then split."""
+    return F.array_remove(F.split(F.translate(text, UPPER + SEPARATORS, LOWER + " " * len(SEPARATORS)), " "), "")
 
 
-def _folded_words(text: Column) -> Column:
-    """Words of the fully lower-cased text: as many as ``_words``, and equal
-    wherever those are equal, but cheaper to make.  Used for the first scan."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+def _counted(df: DataFrame) -> int:
+    return df.limit(SET_ROWS + 1).count()
 
 
-def _starts(count: Column, k: Column | int) -> Column:
-    """0 .. count - k, or nothing."""
-    return F.when(count >= k, F.sequence(F.lit(0), (count - k).cast("int"))).otherwise(F.array().cast("array<int>"))
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast a table of at most ``BROADCAST_ROWS`` rows; leave larger ones to a shuffled join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """(doc_id, text_hash, hit positions, item ids) of documents with a hit."""
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows, hits): rows has row, doc_id, text_hash, n_words for every row of
+    ``docs``; hits has row, positions (hit words) and items of those with a hit."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     items = (
-        benchmark.select("item_id", _words(F.col("text")).alias("words"), _folded_words(F.col("text")).alias("folded"))
+        benchmark.select("item_id", _words(F.col("text")).alias("words"))
         .where(F.size("words") > 0)
         .withColumn("k", F.least(F.size("words"), F.lit(n)))
-        .withColumn("at", F.explode(_starts(F.size("words"), F.col("k"))))
-        .select("item_id", "k", F.expr("slice(words, at + 1, k)").alias("window"), F.expr("slice(folded, at + 1, k)").alias("folded"))
+        .select("item_id", "k", F.explode(F.expr("transform(sequence(0, size(words) - k), at -> slice(words, at + 1, k))")).alias("window"))
     )
     windows = scratch.save(items.distinct(), "windows")
-    shortest = windows.agg(F.min("k")).first()[0]
-    if shortest is None:
-        return spark.createDataFrame([], "doc_id long, text_hash long, positions array<int>, items array<long>")
-    b = (shortest + 1) // 2
-    grams = scratch.save(
-        windows.withColumn("offset", F.explode(F.expr(f"sequence(0, k - {b})")))
-        .select(F.expr(f"xxhash64(slice(folded, offset + 1, {b}))").alias("gram"), "k", "offset")
-        .distinct(),
-        "grams",
+    lengths = sorted(r["k"] for r in windows.select("k").distinct().collect())  # at most n
+    b = (lengths[0] + 1) // 2 if lengths else 1
+    grams = scratch.save(windows.select(F.explode(F.expr(f"transform(sequence(0, k - {b}), o -> xxhash64(slice(window, o + 1, {b})))")).alias("gram")).distinct(), "grams")
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(_words(F.col("text")), F.array().cast("array<string>")).alias("words")).select(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "words"
     )
-    source = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    blocks = (
-        source.select("doc_id", F.xxhash64("text").alias("text_hash"), _folded_words(F.col("text")).alias("words"))
-        .where(F.size("words") >= shortest)
-        .select(
-            "doc_id",
-            "text_hash",
-            F.posexplode(F.expr(f"transform(sequence(0, size(words) div {b} - 1), i -> xxhash64(slice(words, int(i * {b} + 1), {b})))")).alias("block", "gram"),
-        )
+    hashes = F.expr(f"CASE WHEN size(words) >= {b} THEN transform(sequence(0, size(words) div {b} - 1), i -> xxhash64(slice(words, int(i * {b} + 1), {b}))) ELSE array() END")
+    if _counted(grams) <= SET_ROWS:
+        known = [r["gram"] for r in grams.collect()]
+        blocks = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
+        marked = base.select("row", "doc_id", "text_hash", "n_words", blocks.alias("blocks"), "words").withColumn("words", F.when(F.size("blocks") > 0, F.col("words")))
+        marked = scratch.save(marked, "marked")
+        found = marked.where("size(blocks) > 0")
+    else:
+        marked = scratch.save(base, "marked")
+        hit = marked.select("row", F.posexplode(hashes).alias("block", "gram")).join(grams, "gram", "left_semi")
+        found = marked.join(hit.groupBy("row").agg(F.collect_set("block").alias("blocks")), "row")
+    sizes = "array(" + ",".join(map(str, lengths)) + ")" if lengths else "cast(array() AS array<int>)"
+    starts = f"array_distinct(flatten(flatten(transform({sizes}, k -> transform(blocks, p -> transform(sequence(p * {b} - k + {b}, p * {b}), s -> struct(s AS s, k AS k)))))))"
+    again = found.select("row", "words", F.expr(f"filter({starts}, c -> c.s >= 0 AND c.s + c.k <= size(words))").alias("c")).select(
+        "row", F.explode(F.expr("transform(c, c -> struct(c.s AS s, c.k AS k, slice(words, c.s + 1, c.k) AS window))")).alias("c")
     )
-    candidates = scratch.save(
-        blocks.join(_sized(grams), "gram")
-        .select("doc_id", "text_hash", F.struct((F.col("block") * b - F.col("offset")).cast("int").alias("s"), "k").alias("c"))
-        .where("c.s >= 0")
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_set("c").alias("found")),
-        "candidates",
-    )
-    # Second look, at candidate documents alone: every allowed start, compared on the words.
-    hashed = source.withColumn("text_hash", F.xxhash64("text"))
-    again = (
-        hashed.alias("d")
-        .join(candidates.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("d.text_hash") == F.col("c.text_hash")))
-        .select("d.doc_id", "d.text_hash", _words(F.col("d.text")).alias("words"), "c.found")
-        .select("doc_id", "text_hash", F.explode(F.expr("transform(filter(found, c -> c.s + c.k <= size(words)), c -> struct(c.s AS s, c.k AS k, slice(words, c.s + 1, c.k) AS window))")).alias("c"))
-        .select("doc_id", "text_hash", "c.s", "c.k", F.col("c.window").alias("window"))
-    )
-    known = windows.select("window", "item_id").groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    return scratch.save(
-        again.join(_sized(known), "window")
-        .groupBy("doc_id", "text_hash")
+    known_windows = windows.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+    if _counted(known_windows) <= SET_ROWS:
+        known_windows = F.broadcast(known_windows)
+    hits = scratch.save(
+        again.select("row", "c.*")
+        .join(known_windows, "window")
+        .groupBy("row")
         .agg(
             F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(s, s + k - 1)")))).alias("positions"),
             F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"),
         ),
         "hits",
     )
+    return marked.select("row", "doc_id", "text_hash", "n_words"), hits
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    hits = find_hits(docs, benchmark, n).select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("positions").alias("__positions"), F.col("items").alias("__items")
-    )
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"]) == hits["__hash"]), "left")
+    rows, hits = find_hits(docs, benchmark, n)
+    found = rows.join(hits, "row").groupBy("doc_id", "text_hash").agg(F.first("positions").alias("__positions"))  # equal texts have equal hits
+    found = found.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (F.xxhash64(docs["text"]) == found["__hash"]), "left")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "documents") -> DataFrame:
@@ -140,11 +118,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """Contract query: hits of 10-word benchmark windows in every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    light = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count(F.lower("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("n_words"))
-    hits = find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "h")
+    rows, hits = find_hits(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     ids = F.coalesce(F.col("items"), F.array().cast("array<long>"))
-    return light.join(hits, light["doc_id"].eqNullSafe(hits["id"]) & (light["text_hash"] == hits["h"]), "left").select(
+    return rows.join(hits, "row", "left").select(
         "doc_id",
         "n_words",
         F.when(F.col("positions").isNull(), F.lit(0)).otherwise(F.size("positions")).cast("long").alias("n_hit"),
