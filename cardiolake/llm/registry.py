@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP6_SQL, op6_decontamination
 from .near_dedup import op3_near_dedup
 from .packing import op9_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op7_sharding
@@ -13,6 +14,7 @@ from .warc import OP8_SQL, op8_warc
 
 def queries() -> dict:
     return {
+        "op2_quality_classifier": op2_quality_classifier,
         "op3_near_dedup": op3_near_dedup,
         "op5_secret_scan": op5_secret_scan,
         "op6_decontamination": op6_decontamination,
