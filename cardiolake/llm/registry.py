@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import OP6_SQL, op6_decontamination
 from .near_dedup import op3_near_dedup
 from .packing import op9_packing
@@ -12,8 +14,13 @@ from .sharding import op7_sharding
 from .warc import OP8_SQL, op8_warc
 
 
+def _pipeline(spark, sf_dir: str):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
+        "pipeline": _pipeline,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_near_dedup": op3_near_dedup,
         "op5_secret_scan": op5_secret_scan,
@@ -26,4 +33,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
+    sql = {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
