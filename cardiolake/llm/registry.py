@@ -11,6 +11,7 @@ from .quality_classifier import op2_quality_classifier
 from .quality_rules import op10_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op7_sharding
+from .suffix_dedup import op1_suffix_dedup
 from .warc import OP8_SQL, op8_warc
 
 
@@ -21,6 +22,7 @@ def _pipeline(spark, sf_dir: str):
 def queries() -> dict:
     return {
         "pipeline": _pipeline,
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_near_dedup": op3_near_dedup,
         "op5_secret_scan": op5_secret_scan,
