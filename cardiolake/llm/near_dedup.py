@@ -12,10 +12,18 @@
 3. Skip rule: in a list of at most ``SMALL`` classes all are compared; in a longer
    one all are compared with its smallest member.  Agreeing coordinates are
    counted on the two signatures, pairs with m or more are confirmed on the full
-   shingle sets, and components of the confirmed links are formed.  A second
-   round compares what is left: in each long list, members outside its largest
-   component with members of other components.  Pairs inside one component need
-   no comparison, so a large group of near copies costs one comparison each.
+   shingle sets, and components of the confirmed links are formed.  Pairs inside
+   one component need no comparison.
+4. Long lists with one pivot form a *family*.  Where a family is in several
+   components, every member becomes its difference from the family's consensus
+   c (shingles of more than half its members): L lost, A added.  A pair has
+   |x & y| = |c| - |Lx + Ly| + |Ax & Ay|, so it links exactly if the differences
+   share T = (1-t)(|Lx|+|Ly|) + t(|Ax|+|Ay|) - (1-2t)|c| shingles, t = p/(100+p).
+   All are compared with the member of least difference; pairs with T <= 0 are
+   then in its component, and any other link must share a difference: an added
+   shingle, or a lost one where T is at most min(|Lx|,|Ly|).  Differences of near
+   copies are few and rarely shared, so a family costs rows in proportion to its
+   members, and no link is lost.
 
 Scale: digests, element counts and pivots are partial aggregations; hot lists are
 joined on their element with tables AQE can split; the driver sees counts only.
@@ -100,7 +108,7 @@ def _signed(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _elements(classes: DataFrame) -> DataFrame:
-    """(cid, e): one row per coordinate-value pair of each class."""
+    """(cid, es): the coordinate-value pairs of each class as numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = (np.arange(K, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
@@ -110,9 +118,10 @@ def _elements(classes: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     e = ((sigs ^ salt) * np.uint64(0xD6E8FEB86659FD93)).ravel()
                 e ^= e >> np.uint64(32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), K)), pa.array(e.view(np.int64))], names=["cid", "e"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(e) + 1, K, dtype=np.int32)), pa.array(e.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["cid", "es"])
 
-    return classes.select("cid", "sig").mapInArrow(run, "cid long, e long")
+    return classes.select("cid", "sig").mapInArrow(run, "cid long, es array<long>")
 
 
 def _agreeing(pairs: DataFrame, m: int) -> DataFrame:
@@ -172,13 +181,77 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, m: i
     return links
 
 
+def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(g, cid, lost, added, nl, na, w, kappa) of every member against its family's consensus.
+
+    Members are first compared with the pivot; what more than half of them lack
+    or add corrects the pivot's set to the consensus.  w and kappa are the terms
+    of (100 + percent) T = w_x + w_y - kappa.
+    """
+    nodes = families.select("cid").union(families.select("g")).distinct()
+    sets = scratch.save(_sets(docs, classes.select("cid", "first_id").join(nodes, "cid", "left_semi"), n), "family-sets")
+
+    def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lost, added, size = [], [], []
+            for x, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, p = np.frombuffer(x, dtype="<u8"), np.frombuffer(p, dtype="<u8")
+                lost.append(np.setdiff1d(p, x, assume_unique=True).view(np.int64))
+                added.append(np.setdiff1d(x, p, assume_unique=True).view(np.int64))
+                size.append(len(p))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, longs), pa.array(added, longs), pa.array(size, pa.int64())], names=["g", "cid", "lost", "added", "np"])
+
+    paired = families.join(sets, "cid").join(sets.select(F.col("cid").alias("g"), F.col("set").alias("pivot_set")), "g").select("g", "cid", "set", "pivot_set")
+    raw = scratch.save(paired.mapInArrow(against_pivot, "g long, cid long, lost array<long>, added array<long>, np long"), "raw-diffs")
+    scratch.drop(sets)
+    sizes = raw.groupBy("g").agg(F.count("*").alias("k"))
+    common = {}
+    for kind in ("lost", "added"):
+        counted = raw.select("g", F.explode(kind).alias("i")).groupBy("g", "i").count().join(sizes, "g").where("2 * count > k")
+        common[kind] = counted.groupBy("g").agg(F.collect_list("i").alias(f"all_{kind}"))
+    none = F.array().cast("array<long>")
+    both = raw.join(common["lost"], "g", "left").join(common["added"], "g", "left")
+    lost, added, all_lost, all_added = F.col("lost"), F.col("added"), F.coalesce("all_lost", none), F.coalesce("all_added", none)
+    # Against the consensus: what the majority lacks is no loss, what the majority adds and x lacks is one.
+    new_lost = F.concat(F.array_except(lost, all_lost), F.array_except(all_added, added))
+    new_added = F.concat(F.array_except(added, all_added), F.array_except(all_lost, lost))
+    out = both.select("g", "cid", F.sort_array(new_lost).alias("lost"), F.sort_array(new_added).alias("added"), (F.col("np") - F.size(all_lost) + F.size(all_added)).alias("nc"))
+    out = out.withColumns({"nl": F.size("lost").cast("long"), "na": F.size("added").cast("long")})
+    return out.withColumns({"w": 100 * F.col("nl") + percent * F.col("na"), "kappa": (100 - percent) * F.col("nc")}).drop("nc")
+
+
+def _to_middle(named: DataFrame, percent: int) -> DataFrame:
+    """Strays with the member of least difference of their family."""
+    return named.where("stray").select(F.col("cid").alias("a"), F.col("mid").alias("b"))
+
+
+def _sharing(named: DataFrame, percent: int) -> DataFrame:
+    """Strays with members of other components that share a difference a link needs."""
+    scale = 100 + percent
+    least = named.where("stray").groupBy("g").agg(F.min("w").alias("least_w"))
+    base = named.join(least, "g")
+    cols = ["g", "cid", "label", "nl", "na", "w", "kappa"]
+
+    def items(df: DataFrame, added, lost) -> DataFrame:
+        both = F.concat(F.transform(added, lambda i: F.struct(i.alias("i"), F.lit(True).alias("plus"))), F.transform(lost, lambda i: F.struct(i.alias("i"), F.lit(False).alias("plus"))))
+        return df.select(*cols, F.explode(both).alias("x")).select(*cols, "x.i", "x.plus")
+
+    x = items(base.where("stray"), F.col("added"), F.col("lost")).alias("x")
+    need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w") - F.col("kappa")) / scale))  # shared differences of any link with a stray
+    prefix = F.greatest(F.lit(0), F.col("nl") + F.col("na") - need + 1).cast("int")
+    y = items(base.withColumn("prefix", prefix), F.expr("slice(added, 1, prefix)"), F.expr("slice(lost, 1, greatest(0, prefix - int(na)))")).alias("y")
+    rule = f"x.g = y.g AND x.i = y.i AND x.plus = y.plus AND x.label <> y.label AND (x.plus OR x.w + y.w - x.kappa <= {scale} * least(x.nl, y.nl))"
+    return x.join(y, F.expr(rule)).select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b"))
+
+
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "near-dedup")
     m = match_threshold(percent / 100)
     rows = scratch.save(_signed(docs, n), "signed")
     classes = scratch.save(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "classes")
-    elements = scratch.save(_elements(classes), "elements")
+    elements = scratch.save(_elements(classes).select("cid", F.explode("es").alias("e")), "elements")
     shared = elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
     posted = (
         elements.join(shared, "e")
@@ -198,24 +271,27 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = scratch.save(stars.union(small).distinct(), "pairs")
     links = _confirm(pairs, classes, docs, n, m, percent, scratch)
     labels = connected_components(links, scratch)
-    # Round 2: in long lists, what is outside the largest component against all of other components.
-    named = posted.join(lists.where(F.col("n") > SMALL).select("e"), "e").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("e", "cid", F.coalesce("label", "cid").alias("label"))
-    named = scratch.save(named, "named")
-    largest = named.groupBy("e", "label").agg(F.count("*").alias("n")).groupBy("e").agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("k")).where("k > 1")
-    told = scratch.save(named.join(largest, "e").select("e", "cid", "label", (F.col("label") != F.col("top")).alias("stray")), "told")
-    x, y = told.where("stray").alias("x"), told.alias("y")
-    rest = (
-        x.join(y, F.expr("x.e = y.e AND x.label <> y.label AND (NOT y.stray OR x.cid > y.cid)"))
-        .select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b"))
-        .distinct()
-        .join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    rest = scratch.save(rest, "rest")
-    if rest.limit(1).count():
-        more = _confirm(rest, classes, docs, n, m, percent, scratch)
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = connected_components(links, scratch)
+    # Families: long lists of one pivot.
+    families = scratch.save(posted.join(lists.where(F.col("n") > SMALL).select("e", F.col("pivot").alias("g")), "e").select("g", "cid").distinct(), "families")
+    tested = pairs
+    split = families.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy("g").agg(F.countDistinct(F.coalesce("label", "cid")).alias("k")).where("k > 1")
+    families = scratch.save(families.join(split.select("g"), "g"), "split-families")
+    if families.limit(1).count():
+        diffs = scratch.save(_differences(families, classes, docs, n, percent, scratch), "diffs")
+        middle = diffs.groupBy("g").agg(F.min_by("cid", F.struct("w", "cid")).alias("mid"))
+        for candidates in (_to_middle, _sharing):
+            named = diffs.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+            at_mid = middle.join(labels.withColumnRenamed("node", "mid"), "mid", "left").select("g", "mid", F.coalesce("label", "mid").alias("mid_label"))
+            named = scratch.save(named.join(at_mid, "g").withColumn("stray", F.col("label") != F.col("mid_label")), "named")
+            known = tested.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+            rest = candidates(named, percent).distinct().join(known, (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
+            rest = scratch.save(rest, "rest")
+            if rest.limit(1).count():
+                tested = tested.union(rest)
+                more = _confirm(rest, classes, docs, n, m, percent, scratch)
+                if more.limit(1).count():
+                    links = links.union(more)
+                    labels = connected_components(links, scratch)
     labelled = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     grouped = labelled.join(smallest, "label").select("cid", "component_id")
