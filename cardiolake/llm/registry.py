@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .decontaminate import OP6_SQL, op6_decontamination
+from .html_extract import op4_html_extraction
 from .near_dedup import op3_near_dedup
 from .packing import op9_packing
 from .quality_classifier import op2_quality_classifier
@@ -25,6 +26,7 @@ def queries() -> dict:
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_near_dedup": op3_near_dedup,
+        "op4_html_extraction": op4_html_extraction,
         "op5_secret_scan": op5_secret_scan,
         "op6_decontamination": op6_decontamination,
         "op7_sharding": op7_sharding,
