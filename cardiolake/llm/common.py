@@ -78,7 +78,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(words: list[str], cache: dict[str, int], limit: int = 400_000) -> np.ndarray:
+def word_hashes(words: list[str], cache: dict[str, int], limit: int = 150_000) -> np.ndarray:
     """uint64 hash of every word; ``cache`` is emptied when it grows past ``limit``."""
     import xxhash
 

@@ -101,9 +101,9 @@ class Tokens:
 
 
 @functools.lru_cache(maxsize=2)
-def _tokens(path: str) -> Tokens:
+def _tokens(path: str, limit: int) -> Tokens:
     """One per Python worker, so that its cache serves all of the worker's tasks."""
-    return Tokens(path)
+    return Tokens(path, limit)
 
 
 def closest_fill(offered: Iterable[tuple[int, int]], capacity: int) -> dict[int, int]:
@@ -194,9 +194,12 @@ class Packer:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str | None = None, window: int = 4096, end_id: int = 2, max_slack: int = 8, buffer_tokens: int = 4_000_000
+    docs: DataFrame, tokenizer: str | None = None, window: int = 4096, end_id: int = 2, max_slack: int = 8, buffer_tokens: int = 4_000_000, cache_words: int = 800_000
 ) -> DataFrame:
-    """One row per piece; see ``SCHEMA``.  ``tokenizer`` is a path on every executor."""
+    """One row per piece; see ``SCHEMA``.  ``tokenizer`` is a path on every executor.
+
+    ``cache_words`` bounds the two word caches a Python worker keeps (0.3 kB an entry).
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +207,7 @@ def pack_documents(
 
         context = TaskContext.get()
         base = (context.partitionId() if context else 0) << 32
-        tokens, packer, ids, doc_ids, out, made = _tokens(path), Packer(window, max_slack), {}, {}, [], 0
+        tokens, packer, ids, doc_ids, out, made = _tokens(path, cache_words), Packer(window, max_slack), {}, {}, [], 0
         end = np.asarray([end_id], dtype="<u4").tobytes()
         open_tokens: dict[int, int] = {}  # tokens of a document not yet placed
 
