@@ -14,16 +14,17 @@
    counted on the two signatures, pairs with m or more are confirmed on the full
    shingle sets, and components of the confirmed links are formed.  Pairs inside
    one component need no comparison.
-4. Long lists with one pivot form a *family*.  Where a family is in several
+4. Long lists with pivots of one component form a *family*.  Where a family is in several
    components, every member becomes its difference from the family's consensus
    c (shingles of more than half its members): L lost, A added.  A pair has
    |x & y| = |c| - |Lx + Ly| + |Ax & Ay|, so it links exactly if the differences
    share T = (1-t)(|Lx|+|Ly|) + t(|Ax|+|Ay|) - (1-2t)|c| shingles, t = p/(100+p).
    All are compared with the member of least difference; pairs with T <= 0 are
-   then in its component, and any other link must share a difference: an added
-   shingle, or a lost one where T is at most min(|Lx|,|Ly|).  Differences of near
-   copies are few and rarely shared, so a family costs rows in proportion to its
-   members, and no link is lost.
+   then in its component.  Any other link must share a = T - min(|Lx|,|Ly|) added
+   shingles, so one of any |Ax| - a + 1 of them; the rarest of the family are
+   posted.  Only where a <= 0 lost shingles are posted too.  Added shingles of
+   near copies are few and rarely shared, so a family costs rows in proportion to
+   its members, and no link is lost.
 
 Scale: digests, element counts and pivots are partial aggregations; hot lists are
 joined on their element with tables AQE can split; the driver sees counts only.
@@ -227,20 +228,36 @@ def _to_middle(named: DataFrame, percent: int) -> DataFrame:
 
 
 def _sharing(named: DataFrame, percent: int) -> DataFrame:
-    """Strays with members of other components that share a difference a link needs."""
-    scale = 100 + percent
-    least = named.where("stray").groupBy("g").agg(F.min("w").alias("least_w"))
-    base = named.join(least, "g")
-    cols = ["g", "cid", "label", "nl", "na", "w", "kappa"]
-
-    def items(df: DataFrame, added, lost) -> DataFrame:
-        both = F.concat(F.transform(added, lambda i: F.struct(i.alias("i"), F.lit(True).alias("plus"))), F.transform(lost, lambda i: F.struct(i.alias("i"), F.lit(False).alias("plus"))))
-        return df.select(*cols, F.explode(both).alias("x")).select(*cols, "x.i", "x.plus")
+    """Strays with members of other components that share differences a link needs.
 
-    x = items(base.where("stray"), F.col("added"), F.col("lost")).alias("x")
+    With S = 100 + percent a link needs S * a >= w_x + w_y - kappa - S * min(nl)
+    shared added shingles, which is at least w_x - kappa + percent * d for the
+    least d = na - nl of the family.  Strays for which that is not positive
+    (``slight``) post all their differences, lost ones included.
+    """
+    scale = 100 + percent
+    family = named.groupBy("g").agg(F.min(F.when(F.col("stray"), F.col("w"))).alias("least_w"), F.min(F.col("na") - F.col("nl")).alias("d"))
+    base = named.join(family, "g").where("least_w IS NOT NULL")
+    cols = ["g", "cid", "label", "nl", "w", "kappa"]
+    flat = lambda df, kind, plus: df.select(*cols, F.explode(kind).alias("i"), F.lit(plus).alias("plus"))
+    added = flat(base, "added", True)
+    often = added.groupBy("g", "i").agg(F.count("*").alias("n"))
+    strays = base.where("stray").withColumn("a", F.ceil((F.col("w") - F.col("kappa") + percent * F.col("d")) / scale))
+    rare = (
+        strays.where("a > 0 AND a <= na")
+        .select(*cols, "na", "a", F.explode("added").alias("i"))
+        .join(often, ["g", "i"])
+        .groupBy(*cols, "na", "a")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x"))
+        .select(*cols, F.explode(F.expr("slice(x, 1, int(na - a + 1))")).alias("x"))
+        .where("x.n > 1")
+        .select(*cols, F.col("x.i").alias("i"), F.lit(True).alias("plus"))
+    )
+    slight = strays.where("a <= 0")
+    x = rare.unionByName(flat(slight, "added", True)).unionByName(flat(slight, "lost", False)).alias("x")
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w") - F.col("kappa")) / scale))  # shared differences of any link with a stray
-    prefix = F.greatest(F.lit(0), F.col("nl") + F.col("na") - need + 1).cast("int")
-    y = items(base.withColumn("prefix", prefix), F.expr("slice(added, 1, prefix)"), F.expr("slice(lost, 1, greatest(0, prefix - int(na)))")).alias("y")
+    prefix = F.greatest(F.lit(0), F.col("nl") - need + 1).cast("int")
+    y = added.unionByName(flat(base.withColumn("lost", F.slice("lost", F.lit(1), prefix)), "lost", False)).alias("y")
     rule = f"x.g = y.g AND x.i = y.i AND x.plus = y.plus AND x.label <> y.label AND (x.plus OR x.w + y.w - x.kappa <= {scale} * least(x.nl, y.nl))"
     return x.join(y, F.expr(rule)).select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b"))
 
@@ -271,8 +288,9 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = scratch.save(stars.union(small).distinct(), "pairs")
     links = _confirm(pairs, classes, docs, n, m, percent, scratch)
     labels = connected_components(links, scratch)
-    # Families: long lists of one pivot.
-    families = scratch.save(posted.join(lists.where(F.col("n") > SMALL).select("e", F.col("pivot").alias("g")), "e").select("g", "cid").distinct(), "families")
+    # Families: long lists whose pivots are in one component, named by its smallest class.
+    named_lists = lists.where(F.col("n") > SMALL).join(labels.withColumnRenamed("node", "pivot"), "pivot", "left").select("e", F.coalesce("label", "pivot").alias("g"))
+    families = scratch.save(posted.join(named_lists, "e").select("g", "cid").distinct(), "families")
     tested = pairs
     split = families.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy("g").agg(F.countDistinct(F.coalesce("label", "cid")).alias("k")).where("k > 1")
     families = scratch.save(families.join(split.select("g"), "g"), "split-families")
