@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, Scratch, window_hashes, word_hashes
+from .common import ASCII_LOWER, WORD, Scratch, arrow_batches, window_hashes, word_hashes
 from .components import connected_components
 
 K, MISS, SMALL = 48, 1e-6, 8
@@ -264,6 +264,11 @@ def _sharing(named: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    with arrow_batches(docs.sparkSession, 500):
+        return _near_components(docs, n, percent)
+
+
+def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     m = match_threshold(percent / 100)
     rows = scratch.save(_signed(docs, n), "signed")
