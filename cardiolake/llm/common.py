@@ -43,8 +43,12 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+        """Write and reread.  Tables derived from the input (not ``wide``) come in at
+        most four files a core, however many partitions their last shuffle had."""
         self._n += 1
+        if not wide:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -104,14 +108,33 @@ def word_hashes(words: list[str], cache: dict[str, int], limit: int = 150_000) -
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order-sensitive hash of two neighbouring runs from their hashes."""
+    with np.errstate(over="ignore"):
+        c = a * np.uint64(0x9E3779B97F4A7C15)
+        c += b
+        c ^= c >> np.uint64(29)
+        c *= np.uint64(0xBF58476D1CE4E5B9)
+        c ^= c >> np.uint64(32)
+    return c
+
+
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """Order-sensitive 64-bit hash of every run of ``n`` consecutive hashes."""
+    """Order-sensitive 64-bit hash of every run of ``n`` consecutive hashes.
+
+    Runs of 1, 2, 4, ... are joined as the binary digits of ``n`` ask for.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, dtype=np.uint64)
-    acc = np.full(m, 0x9E3779B97F4A7C15, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            acc = (acc * np.uint64(0x100000001B3)) ^ h[j : j + m]
-            acc = acc ^ (acc >> np.uint64(29))
-    return mix64(acc)
+    power, size, out, done = h, 1, None, 0
+    while True:
+        if n & size:
+            part = power[done : done + m]
+            out = part if out is None else _joined(out, part)
+            done += size
+        if size * 2 > n:
+            break
+        power = _joined(power[:-size], power[size:])
+        size *= 2
+    return mix64(out)

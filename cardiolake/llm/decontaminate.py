@@ -68,10 +68,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataF
         known = [r["gram"] for r in grams.collect()]
         blocks = F.filter(F.transform(hashes, lambda h, i: F.when(h.isin(known), i)), lambda i: i.isNotNull())
         marked = base.select("row", "doc_id", "text_hash", "n_words", blocks.alias("blocks"), "words").withColumn("words", F.when(F.size("blocks") > 0, F.col("words")))
-        marked = scratch.save(marked, "marked")
+        marked = scratch.save(marked, "marked", wide=True)
         found = marked.where("size(blocks) > 0")
     else:
-        marked = scratch.save(base, "marked")
+        marked = scratch.save(base, "marked", wide=True)
         hit = marked.select("row", F.posexplode(hashes).alias("block", "gram")).join(grams, "gram", "left_semi")
         found = marked.join(hit.groupBy("row").agg(F.collect_set("block").alias("blocks")), "row")
     sizes = "array(" + ",".join(map(str, lengths)) + ")" if lengths else "cast(array() AS array<int>)"

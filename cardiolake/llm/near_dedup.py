@@ -271,7 +271,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near-dedup")
     m = match_threshold(percent / 100)
-    rows = scratch.save(_signed(docs, n), "signed")
+    rows = scratch.save(_signed(docs, n), "signed", wide=True)
     classes = scratch.save(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "classes")
     elements = scratch.save(_elements(classes).select("cid", F.explode("es").alias("e")), "elements")
     shared = elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")

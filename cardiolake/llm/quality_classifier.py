@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, false_reje
     target = {r["doc_id"] for r in sample if r["good"] and r["h"] % 4}
     held = {r["doc_id"]: r["good"] for r in sample if r["doc_id"] not in target}
     ratio = log_ratio(*count_ngrams(docs, target))
-    scored = Scratch(docs.sparkSession, "quality").save(score_documents(docs, ratio, seed, noise), "scored")
+    scored = Scratch(docs.sparkSession, "quality").save(score_documents(docs, ratio, seed, noise), "scored", wide=True)
     seen = scored.where(F.col("n_ngrams") > 0).select("doc_id", (F.col("log_weight") / (F.col("n_ngrams") + SHRINK)).alias("w"))
     spark = docs.sparkSession
     held_rows = spark.createDataFrame(list(held.items()), "doc_id long, good boolean")  # at most fit_rows

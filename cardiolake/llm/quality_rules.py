@@ -206,7 +206,7 @@ def judge_documents(
     docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, cost: float = 5.0, least: int = 500
 ) -> DataFrame:
     """doc_id, the stratum, all measures, base_failed and kept, for every row."""
-    measured = Scratch(docs.sparkSession, "quality-rules").save(measure_documents(docs, stratum), "measures")
+    measured = Scratch(docs.sparkSession, "quality-rules").save(measure_documents(docs, stratum), "measures", wide=True)
     cutoffs = fit_cutoffs(measured, labels, stratum, risk, delta, cost, least)
     return measured.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(cutoffs, stratum)})
 

@@ -93,6 +93,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bucket_groups: int = 20_
             F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         ),
         "rows",
+        wide=True,
     )
     groups = scratch.save(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
     n_buckets = max(1, -(-groups.count() // bucket_groups))

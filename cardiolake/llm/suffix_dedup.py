@@ -5,9 +5,10 @@ lower-cased) that occurs in another document too.  Of all suffixes only those at
 minimisers are retained: positions whose ``GRAM``-word hash is the least among
 ``LEAST - GRAM + 1`` neighbours, so every passage holds at least one, chosen by
 its own content.  Retained suffixes carry ``REACH`` word codes to either side.
-They are sorted by their words to the right, then to the left; each is compared
-with the nearest suffix of another document before and after it, and the match
-is extended word by word to both sides.  Matches of ``LEAST`` words or more are
+They are sorted by their words to the right, then to the left, and once more
+with the sides changed; each is compared with the nearest suffix of another
+document before and after it, and the match is extended word by word to both
+sides.  Matches of ``LEAST`` words or more are
 spans; spans of one document that overlap are joined, so passages of any length
 come out whole.
 
@@ -16,9 +17,8 @@ suffixes whose hash may occur twice are made: the test is a bit table of at most
 ``TABLE_BITS`` bits (a false yes costs a row, never a result).  Suffixes are
 range-partitioned by the sort key with the document as the last column, so a
 passage in a third of all documents spreads over many tasks, and are streamed
-in order; the runs at partition edges - one suffix a side as a rule - are
-compared on the driver.  Repeated 16-bit codes make one word in 65,536 look
-equal at a span's edge.
+in order; the runs at partition edges (those of one document, as a rule one
+suffix) are compared on the driver.  Word codes have 32 bits.
 
 Defined results: null, empty and shorter texts have no spans; rows with one
 doc_id are one document and do not repeat each other; rows without doc_id are
@@ -28,6 +28,7 @@ ignored; empty tables give empty results; other columns are ignored
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -50,15 +51,22 @@ def _hashes(text: str | None, cache: dict) -> np.ndarray:
     return word_hashes(words, cache) if len(words) >= LEAST else np.empty(0, dtype=np.uint64)
 
 
+def _sliding(x: np.ndarray, w: int, pick: np.ufunc, fill: int) -> np.ndarray:
+    """Least (or largest) of every ``w`` neighbours, from running values inside blocks of ``w``."""
+    blocks = np.append(x, np.full(-len(x) % w, fill, dtype=x.dtype)).reshape(-1, w)
+    ahead = pick.accumulate(blocks, axis=1).ravel()
+    behind = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    m = len(x) - w + 1
+    return pick(behind[:m], ahead[w - 1 : w - 1 + m])
+
+
 def minimisers(grams: np.ndarray) -> np.ndarray:
-    """Positions of the (leftmost) least hash of every ``SPAN`` neighbours."""
+    """Positions whose hash is the least of some ``SPAN`` neighbours (all of equal ones)."""
     if len(grams) < SPAN:
         return np.empty(0, dtype=np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(grams, SPAN)
-    out = [np.empty(0, dtype=np.int64)]
-    for at in range(0, len(windows), 4096):  # bounded memory for very long texts
-        out.append(np.unique(windows[at : at + 4096].argmin(axis=1) + np.arange(at, min(at + 4096, len(windows)))))
-    return np.unique(np.concatenate(out))
+    least = _sliding(grams, SPAN, np.minimum, 2**64 - 1)
+    edge = np.zeros(SPAN - 1, dtype=np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum, 0) == grams)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -113,8 +121,9 @@ def _suffixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 at, key = at[keep], key[keep]
                 if not len(at):
                     continue
-                # Codes 1..65535 (0 is "no word"), big-endian so that bytes sort like codes.
-                code = np.concatenate([np.zeros(REACH, np.uint16), (h >> np.uint64(24)).astype(np.uint16) | np.uint16(1), np.zeros(REACH, np.uint16)]).astype(">u2")
+                # 32-bit codes (0 is "no word"), big-endian so that bytes sort like codes.
+                none = np.zeros(REACH, np.uint32)
+                code = np.concatenate([none, np.maximum((h >> np.uint64(24)).astype(np.uint32), np.uint32(1)), none]).astype(">u4")
                 r = np.lib.stride_tricks.sliding_window_view(code, REACH)
                 keys.append(key.view(np.int64))
                 right += [x.tobytes() for x in r[at + REACH + GRAM]]
@@ -138,7 +147,7 @@ class _Block:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> _Block:
-        codes = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=">u2").reshape(-1, REACH)
+        codes = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=">u4").reshape(-1, REACH)
         plain = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
         return cls(plain(0), codes(1), codes(2), plain(3), plain(4))
 
@@ -214,7 +223,11 @@ def _as_edges(block: _Block, part: int, edge: int) -> pa.RecordBatch:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream sorted suffixes: matches inside the partition, and its edge runs."""
+    """Stream sorted suffixes: matches inside the partition, and its edges.
+
+    Edge 0 is the first run and the row after it, edge 1 the row before the last
+    run and that run (missing if the partition is a single run).
+    """
     from pyspark import TaskContext
 
     context = TaskContext.get()
@@ -230,30 +243,49 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = block
             continue
         if not told:
-            yield _as_edges(block.pick(slice(0, starts[1])), part, 0)
+            yield _as_edges(block.pick(slice(0, int(starts[1]) + 1)), part, 0)
         yield _as_matches(_neighbours(block, 1 if told else 0, len(starts) - 1))
         told = True
         held = block.pick(slice(int(starts[-2]), None))
     if held is not None:
         starts = held.runs()
         if not told:
-            yield _as_edges(held.pick(slice(0, starts[1] if len(starts) > 1 else None)), part, 0)
+            yield _as_edges(held.pick(slice(0, int(starts[1]) + 1 if len(starts) > 1 else None)), part, 0)
         yield _as_matches(_neighbours(held, 1 if told else 0, len(starts)))
-        yield _as_edges(held.pick(slice(int(starts[-1]), None)), part, 1)
+        if len(starts) > 1:
+            yield _as_edges(held.pick(slice(int(starts[-1]) - 1, None)), part, 1)
 
 
 def _across(edges) -> list[tuple[int, int, int]]:
-    """Matches between the last run of a partition and the first of the next."""
-    out, before = [], None
-    for _, rows in edges.sort_values(["part", "edge"], kind="stable").groupby(["part", "edge"], sort=True):
-        codes = lambda c: np.frombuffer(b"".join(map(bytes, rows[c])), dtype=">u2").reshape(-1, REACH)
+    """Matches of the runs at partition edges; a run may go on over several partitions."""
+    out: list[tuple[int, int, int]] = []
+    run, before = None, None  # the open run and the row before it
+
+    def close(after):
+        """The open run is whole: compare it with the rows beside it."""
+        for beside in (before, after):
+            if run is not None and beside is not None:
+                both = run.then(beside)
+                out.extend(tuple(map(int, t)) for t in zip(*_matched(both, np.arange(len(run)), np.full(len(run), len(run)))))
+                out.extend(tuple(map(int, t)) for t in zip(*_matched(both, np.full(len(run), len(run)), np.arange(len(run)))))
+
+    for (_, edge), rows in edges.sort_values(["part", "edge"], kind="stable").groupby(["part", "edge"], sort=True):
+        codes = lambda c: np.frombuffer(b"".join(map(bytes, rows[c])), dtype=">u4").reshape(-1, REACH)  # noqa: E731, B023
         block = _Block(rows["key"].to_numpy(np.int64), codes("right"), codes("left"), rows["doc_id"].to_numpy(np.int64), rows["at"].to_numpy(np.int64))
-        if before is not None and rows["edge"].iloc[0] == 0 and before.doc[-1] != block.doc[0]:
-            both = before.then(block)
-            n, m = len(before), len(both)
-            for x, y in ((np.arange(n), np.full(n, n)), (np.arange(n, m), np.full(m - n, n - 1))):
-                out += [tuple(map(int, t)) for t in zip(*_matched(both, x, y))]
-        before = block if rows["edge"].iloc[0] == 1 else None
+        if edge == 1:
+            before, run = block.pick(slice(0, 1)), block.pick(slice(1, None))
+            continue
+        starts = block.runs()
+        first = block.pick(slice(0, int(starts[1]) if len(starts) > 1 else None))
+        if run is not None and run.key[0] == first.key[0] and run.doc[0] == first.doc[0]:
+            run = run.then(first)
+        else:
+            close(first.pick(slice(0, 1)))
+            before, run = (None if run is None else run.pick(slice(len(run) - 1, None))), first
+        if len(starts) > 1:
+            close(block.pick(slice(int(starts[1]), None)))
+            run = before = None
+    close(None)
     return out
 
 
@@ -262,13 +294,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
     table = _bit_table(_keys(docs))
-    suffixes = scratch.save(_suffixes(docs, table), "suffixes")
-    order = ["key", "right", "left", "doc_id", "at"]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches")
-    across = _across(matches.where("part IS NOT NULL").toPandas())
-    inside = matches.where("part IS NULL").select("doc_id", "start", "end")
-    every = inside.unionByName(spark.createDataFrame(across, "doc_id long, start long, end long"))
+    suffixes = scratch.save(_suffixes(docs, table), "suffixes", wide=True)
+    parts, every = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), []
+    for sides in (["right", "left"], ["left", "right"]):
+        order = ["key", *sides, "doc_id", "at"]
+        matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches")
+        every.append(matches.where("part IS NULL").select("doc_id", "start", "end"))
+        every.append(spark.createDataFrame(_across(matches.where("part IS NOT NULL").toPandas()), "doc_id long, start long, end long"))
+    every = functools.reduce(DataFrame.unionByName, every)
     # Overlapping matches of a document become one span.
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -199,6 +199,7 @@ def write_bundles(pages: DataFrame, least_bytes: int = 100, frame_bytes: int = 1
             _bundles(frame_bytes, bundle_bytes, level), BUNDLE_SCHEMA
         ),
         "bundles",
+        wide=True,
     )
 
 
