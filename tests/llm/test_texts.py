@@ -1,0 +1,237 @@
+import hashlib
+import html
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cardiolake.llm import decontaminate as dc
+from cardiolake.llm import html_extract as he
+from cardiolake.llm import quality_classifier as qc
+from cardiolake.llm import quality_rules as qr
+from cardiolake.llm import secrets as se
+
+from .helpers import LOWER, docs
+
+# --- decontamination
+
+
+def hits(text, items, n=10):
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    w = re.findall(pattern, (text or "").translate(LOWER))
+    found, ids = set(), set()
+    for i, t in items:
+        b = re.findall(pattern, (t or "").translate(LOWER))
+        k = min(n, len(b))
+        for s in range(len(b) - k + 1) if b else ():
+            for p in range(len(w) - k + 1):
+                if w[p : p + k] == b[s : s + k]:
+                    found.update(range(p, p + k))
+                    ids.add(i)
+    return len(w), found, {i for i in ids if i is not None}
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_hits_equal_brute_force(spark, limit, monkeypatch):
+    """Both ways: the set sent along, and (limit 0) the shuffled join."""
+    monkeypatch.setattr(dc, "SET_ROWS", limit)
+    rng = np.random.default_rng(0)
+    vocab = ["alpha", "Beta", "GAMMA", "délta", "É", "x1", "42", "ß"]
+    items = [(i, " ".join(rng.choice(vocab, size=n))) for i, n in enumerate((1, 2, 3, 6, 9, 10, 11, 25))] + [(None, "null id here"), (50, None), (51, "... !!"), (3, "again three words")]
+    texts = [" ".join(rng.choice(vocab, size=n)) for n in (0, 1, 5, 12, 40, 80)] + [items[7][1].upper() + ", tail", "x," + items[6][1].replace(" ", "--"), None, "", "null-id?here", "again three\x00words"]
+    bench = spark.createDataFrame(items[4:], "item_id long, text string")
+    rows, found = dc.find_hits(docs(spark, texts), bench)
+    got = {r["doc_id"]: r for r in rows.join(found, "row", "left").collect()}
+    for i, t in enumerate(texts):
+        n, pos, ids = hits(t, items[4:])
+        assert got[i]["n_words"] == n and set(got[i]["positions"] or []) == pos and set(got[i]["items"] or []) == ids
+    short = spark.createDataFrame(items[:3], "item_id long, text string")
+    rows, found = dc.find_hits(docs(spark, texts), short)
+    got = {r["doc_id"]: r for r in rows.join(found, "row", "left").collect()}
+    assert all(set(got[i]["positions"] or []) == hits(t, items[:3])[1] for i, t in enumerate(texts))
+
+
+def test_modes_and_edges(spark):
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "item_id long, text string")
+    d = docs(spark, ["clean words only", "x. One two three, four five six seven eight nine TEN - y", None, (None, "one two three four five six seven eight nine ten")], positions=F.lit(1), row=F.lit("r"))
+    kept = dc.decontaminate(d, bench)
+    assert kept.columns == d.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, "clean words only"), (2, None)]
+    cut = {r["doc_id"]: r["text"] for r in dc.decontaminate(d, bench, mode="spans").collect()}
+    assert cut[1] == "x. y" and cut[0] == "clean words only" and cut[None] == ""
+    with pytest.raises(ValueError):
+        dc.decontaminate(d, bench, mode="other")
+    assert dc.decontaminate(d, bench.limit(0)).count() == 4 and dc.decontaminate(d.limit(0), bench).count() == 0
+
+
+def test_plan_runs_no_python(spark, sf_dir):
+    plan = dc.op6_decontamination(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- secrets
+
+
+def test_base_spans_follow_the_patterns():
+    text = 'a password: "hunter2secret" Token=abc AKIA' + "A1" * 8 + " " + "0a" * 12 + " api-key=x APIKEY='Zz9/+=._-'"
+    got = se.base_spans(text)
+    assert [(text[a:b], k) for a, b, k in got] == [('password: "hunter2secret', "assign"), ("APIKEY='Zz9/+=._-", "assign"), ("AKIA" + "A1" * 8, "access"), ("0a" * 12, "hex")]
+    assert se.base_spans("toKen=abcdef ſecret=abcdef") == [(0, 12, "assign")]
+
+
+def test_scan_rows_and_digest(spark):
+    text = "deadbeefdeadbeefdeadbeefdead secret = abcdef123"
+    rows = {r["doc_id"]: r for r in se.find_secrets(docs(spark, [text, text, None, "", "plain words"])).collect()}
+    assert rows[0]["base_sha256"] == hashlib.sha256(b"hex:0:28,assign:29:47").hexdigest() and rows[0]["spans"].startswith("hex:0:28,assign:29:47")
+    assert (rows[0]["n_assign"], rows[0]["n_access"], rows[0]["n_hex"]) == (1, 0, 1) and rows[1]["spans"] == rows[0]["spans"]
+    assert rows[2]["base_sha256"] == rows[4]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[4]["spans"] == ""
+    assert se.find_secrets(docs(spark, [])).count() == 0
+
+
+def test_field_finds_held_out_secrets():
+    w, t = se.model()
+    tp = fp = fn = 0
+    for text, gold in se.training_texts(300, seed=99):
+        said = set(se.crf_spans(text, w, t))
+        tp, fp, fn = tp + len(said & set(gold)), fp + len(said - set(gold)), fn + len(set(gold) - said)
+    assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.9
+
+
+def test_viterbi_equals_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5):
+        e, t = rng.normal(size=(n, 3)), rng.normal(size=(3, 3))
+        score = lambda y: t[se.O, y[0]] + sum(e[i, c] for i, c in enumerate(y)) + sum(t[a, b] for a, b in zip(y, y[1:])) + t[y[-1], se.O]
+        assert tuple(se.viterbi(e, t)) == max(product(range(3), repeat=n), key=score)
+
+
+def test_redaction(spark):
+    d = docs(spark, ["x secret = abcdef123 y", None, "plain"], doc=F.lit(1))
+    out = {r["doc_id"]: r for r in se.redact(d).collect()}
+    assert out[0]["text"] == "x [SECRET] y" and out[0]["n_chars"] == len(out[0]["text"]) and out[1]["text"] is None and out[2]["n_chars"] == 5
+
+
+# --- quality
+
+
+def junk_and_clean(n=400):
+    rng = np.random.default_rng(3)
+    vocab = ["the", "of", "and", "to", "river", "stone", "light", "house", "green", "walk", "evening", "paper"]
+    clean = [" ".join(rng.choice(vocab, size=60)).capitalize() + "." for _ in range(n)]
+    bad = [" ".join(w + "###" for w in rng.choice(vocab, size=60)) for _ in range(n // 4)]
+    return clean + bad, [1] * n + [0] * (n // 4)
+
+
+def test_classifier_keeps_clean_and_rejects_junk(spark):
+    texts, quality = junk_and_clean()
+    d = docs(spark, [*texts, None, ""], key=F.lit("mine"), kept=F.lit(0))
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality) if i % 2 == 0], "doc_id long, quality int, toxic int")
+    kept = qc.keep_quality(d, labels)
+    ids = {r["doc_id"] for r in kept.collect()}
+    clean, bad = [{i for i, q in enumerate(quality) if q == v} for v in (1, 0)]
+    assert kept.columns == d.columns and len(clean - ids) <= 2 and not bad & ids and len(texts) not in ids
+    assert qc.keep_quality(d, labels.limit(0)).count() == len(texts)
+    assert qc.keep_quality(d.limit(0), labels).count() == 0
+
+
+def test_counts_and_gumbel(spark):
+    texts = ["a b a", "b", None]
+    raw, target = qc.count_ngrams(docs(spark, texts), {1})
+    want = sum(np.bincount(qc.ngram_buckets(t, {}), minlength=qc.BUCKETS) for t in texts)
+    assert (raw == want).all() and target.sum() == 1
+    g = [qc.gumbel(i, "t", 1) for i in range(4000)]
+    assert abs(np.mean(g) - 0.5772) < 0.06 and qc.gumbel(1, "t", 1) == qc.gumbel(1, "t", 1)
+
+
+def test_kth_largest(spark):
+    keys = np.random.default_rng(1).normal(size=3000)
+    t = qc.kth_largest(spark.createDataFrame([(float(k),) for k in keys], "key double"), 700)
+    assert (keys >= t).sum() == 700
+
+
+def brute_measures(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    rep = {p for i, x in enumerate(wins) if wins.count(x) > 1 for p in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(rep)
+
+
+def test_measures_equal_brute_force(spark):
+    texts = ["", None, "a b c d e f g h i a b c d e f g h", "x\nx\n \ny\nx", "é# $ " * 30, "  z", "one"]
+    rows = {r["doc_id"]: r for r in qr.measure_documents(docs(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert tuple(rows[i][c] for c in qr.MEASURES[:5]) == brute_measures(t)
+
+
+def test_binomial_bound_is_exact():
+    from math import comb
+
+    for k, n, level in ((0, 50, 0.05), (3, 40, 0.01), (7, 9, 0.2)):
+        p = qr.upper_bound(k, n, level)
+        assert abs(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) - level) < 1e-9
+
+
+def test_rules_hold_the_risk(spark):
+    texts, quality = junk_and_clean(1600)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality)], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in qr.judge_documents(docs(spark, texts), labels, risk=0.05).collect()}
+    good = [i for i, q in enumerate(quality) if q]
+    assert sum(not rows[i]["kept"] for i in good) <= 0.05 * len(good) and not any(rows[i]["kept"] for i, q in enumerate(quality) if not q)
+    few = qr.judge_documents(docs(spark, texts[-5:]), labels.limit(0)).collect()
+    assert all(r["kept"] for r in few)  # nothing certified, nothing rejected
+    assert qr.judge_documents(docs(spark, []), labels).count() == 0
+
+
+# --- pages
+
+
+def test_driver_pages_give_the_article(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").join(he.op4_html_extraction(spark, sf_dir).select("page_id", "text", "n_chars"), "page_id").collect()
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?b>", "", inner))).split())
+        assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_boilerplate_of_other_layouts_goes():
+    page = """<html><body><header><a href=/>Site</a></header><nav><ul><li><a href=/a>A</a></ul></nav><div class="cookie-notice"><p>We use cookies.</p><button>OK</button></div>
+    <main><article><h1>A title &amp; more</h1><p>First paragraph, with <b>bold<br>and</b> a line.<p>Second&nbsp;one   here. <script>var x = "<p>no</p>";</script></article></main>
+    <aside class="sidebar"><h3>Related</h3><ul><li><a href=/x>x</a><li><a href=/y>y</a></ul></aside><section id="comments"><h3>Comments</h3><div class="comment"><p>Nice one!</p></div></section>
+    <form class="newsletter"><p>Sign up now.</p><input name=e></form><footer>&copy; 2020 Site</footer></body></html>"""
+    assert he.main_texts([page], he.model()) == ["A title & more First paragraph, with bold and a line. Second one here."]
+
+
+def test_odd_pages():
+    m = he.model()
+    got = he.main_texts([None, "", "<", "<p", "<html><head><title>t</title></head></html>", "<!-- never closed", "<p class='x>y</p>", "<div>" * 3000 + "deep"], m)
+    assert got[:2] == ["", ""] and all(isinstance(t, str) for t in got)
+
+
+def test_held_out_layouts():
+    rng, ok, total = np.random.default_rng(123), 0, 0
+    for _ in range(150):
+        marked = he.training_page(rng)
+        page = he.Page(marked)
+        want = set("".join(p for _, p, _ in page.pieces if he._SENTINEL in p).replace(he._SENTINEL, " ").split())
+        got = set(he.main_texts([marked.replace(he._SENTINEL, "")], he.model())[0].split())
+        ok, total = ok + len(want & got), total + len(want | got)
+    assert ok / total > 0.97
+
+
+def test_decoding_is_hierarchical():
+    page = he.Page("<html><body><div><p>a</p><p>b</p></div><nav><p>c</p></nav></body></html>")
+    odds = np.array([1.0 if t in ("html", "body", "p") else -9.0 for t in page.tag])
+    kept = page.decode(odds)
+    assert all(kept[page.parent[i]] for i in range(1, len(kept)) if kept[i])
+
+
+def test_page_rows(spark):
+    d = spark.createDataFrame([(1, None, "<p>x</p>"), (1, "u", None), (None, "u", "<article><p>Some text here, and more of it.</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
+    assert he.extract_main_text(d).count() == 3 and he.extract_main_text(d.limit(0)).count() == 0
