@@ -20,21 +20,26 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def deduplicated(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+def _marked(events: DataFrame, delay: str | None) -> DataFrame:
+    """With a watermark, unless the stream already has one (``delay`` None)."""
+    return events.withWatermark("ts", delay) if delay else events
 
 
-def window_rates(events: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str = "1 hour") -> DataFrame:
+def deduplicated(events: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+    return _marked(events, delay).dropDuplicatesWithinWatermark(["event_id"])
+
+
+def window_rates(events: DataFrame, length: str = "1 hour", slide: str | None = None, delay: str | None = "1 hour") -> DataFrame:
     """Events, mean and range of values per series and (sliding) window."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    return events.withWatermark("ts", delay).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "low", "high")
+    return _marked(events, delay).groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "mean", "low", "high")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
+    return _marked(events, delay).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def running_intervals(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
+def running_intervals(events: DataFrame, timeout_ms: int = 3_600_000) -> DataFrame:
     """Interval to the previous event of the series; the state is one timestamp a series."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -48,6 +53,6 @@ def running_intervals(events: DataFrame, timeout: str = "1 hour") -> DataFrame:
             last = float(t[-1])
             yield pd.DataFrame({"user_id": key[0], "time_s": t, "rr_s": [None if b is None else float(a - b) for a, b in zip(t, before)]})
         state.update((last,))
-        state.setTimeoutDuration(timeout)
+        state.setTimeoutDuration(timeout_ms)
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, time_s double, rr_s double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
