@@ -298,7 +298,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     parts, every = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), []
     for sides in (["right", "left"], ["left", "right"]):
         order = ["key", *sides, "doc_id", "at"]
-        matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches")
+        matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
         every.append(matches.where("part IS NULL").select("doc_id", "start", "end"))
         every.append(spark.createDataFrame(_across(matches.where("part IS NOT NULL").toPandas()), "doc_id long, start long, end long"))
     every = functools.reduce(DataFrame.unionByName, every)

@@ -20,8 +20,7 @@ per task); only groups of two or more are joined back.  A task holds one bundle
 of at most ``bundle_bytes`` compressed bytes plus one frame.
 
 Defined results: a null html is an empty payload; repeated page_ids are written
-as separate records (equal page_id and payload: one of them is the response, the
-others refer to that same id); a null page_id sorts after all others; an empty
+as separate records (those that repeat the smallest id are responses too); a null page_id sorts after all others; an empty
 table gives no bundle; other columns are ignored.
 """
 
@@ -192,7 +191,6 @@ def write_bundles(pages: DataFrame, least_bytes: int = 100, frame_bytes: int = 1
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(payload.cast("binary"), 256)).withColumn("big", F.octet_length(payload) >= least_bytes)
     groups = scratch.save(base.where("big").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first"), "groups")
-    # The response of a group: its smallest page_id; of equal ids the first row met keeps the payload.
     marked = base.join(groups, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)) & F.col("big"))
     return scratch.save(
         marked.select(F.col("page_id").cast("long"), "url", "html", "digest", F.when(F.col("revisit"), F.col("first")).cast("long").alias("refers_to"), "revisit").mapInArrow(
