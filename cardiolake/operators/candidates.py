@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.prefix import running
 from .detection import checked, per_signal
 from .matching import nearest_labels
 
@@ -94,7 +95,10 @@ def threshold_for_recall(scored: DataFrame, target: float = 0.995, keys: Sequenc
     if not 0 < target <= 1:
         raise ValueError("target recall must be in (0, 1]")
     levels = scored.groupBy(*keys, probability).agg(F.sum(label).alias("__n"))
-    w = Window.partitionBy(*keys).orderBy(F.desc(probability)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("__n").over(Window.partitionBy(*keys))
-    reached = levels.withColumn("recall", F.try_divide(F.sum("__n").over(w).cast("double"), total))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(F.desc(probability)).rowsBetween(Window.unboundedPreceding, 0)
+        upto, total = levels.withColumn("__u", F.sum("__n").over(w)), F.sum("__n").over(Window.partitionBy(*keys))
+    else:
+        upto, total = running(levels, probability, "__n", "__u", descending=True), F.lit(levels.agg(F.sum("__n")).first()[0]).cast("long")
+    reached = upto.withColumn("recall", F.try_divide(F.col("__u").cast("double"), total))
     return reached.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("recall") >= target, F.col(probability))), F.lit(0.0)).alias("threshold"))

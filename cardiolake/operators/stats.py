@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import average_rank, finite_or_null, is_finite
 from ..functions.distributions import mann_whitney_p, t_quantile, t_two_sided
+from ..functions.prefix import running
 
 
 def unit_means(values: DataFrame, group: str = "grp", unit: str | None = "unit_id", value: str = "value") -> DataFrame:
@@ -27,11 +28,10 @@ def group_moments(reduced: DataFrame, group: str = "grp") -> DataFrame:
 def rank_sums(reduced: DataFrame, a, b, group: str = "grp") -> DataFrame:
     """U of group ``a`` against ``b`` with the tie term, from one count per distinct value.
 
-    Ranks come from counts of distinct values, not from a sort of all rows.
+    Ranks come from running counts of distinct values, range by range.
     """
     counts = reduced.where(F.col(group).isin(a, b)).groupBy("value").agg(F.count_if(F.col(group) == a).alias("na"), F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("rank", below + (F.col("t") + 1) / 2.0)
+    ranked = running(counts, "value", "t", "upto").withColumn("rank", F.col("upto") - (F.col("t") - 1) / 2.0)
     sums = ranked.agg(F.sum(F.col("na") * F.col("rank")).alias("ra"), F.sum("na").alias("n_a"), (F.sum("t") - F.sum("na")).alias("n_b"), F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("tie_term"))
     return sums.select((F.col("ra") - F.col("n_a") * (F.col("n_a") + 1) / 2.0).alias("mann_whitney_u"), "n_a", "n_b", "tie_term")
 
@@ -70,11 +70,17 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: str = "test_
     bad = tests.where(~is_finite(p) | (F.col(p) < 0) | (F.col(p) > 1)).limit(1).count()
     if bad:
         raise ValueError("p-values must be finite numbers between 0 and 1")
-    up = Window.partitionBy(*keys).orderBy(p, order)
-    n = F.count("*").over(Window.partitionBy(*keys))
-    ranked = tests.withColumn("__r", F.row_number().over(up)).withColumn("__q", F.col(p) * n / F.col("__r"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("p_adjusted", F.least(F.min("__q").over(down), F.lit(1.0))).drop("__r", "__q")
+    if keys:
+        up = Window.partitionBy(*keys).orderBy(p, order)
+        n = F.count("*").over(Window.partitionBy(*keys))
+        ranked = tests.withColumn("__r", F.row_number().over(up)).withColumn("__q", F.col(p) * n / F.col("__r"))
+        down = Window.partitionBy(*keys).orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, 0)
+        return ranked.withColumn("p_adjusted", F.least(F.min("__q").over(down), F.lit(1.0))).drop("__r", "__q")
+    # One family of tests: equal p-values share the rank of their last, so distinct values suffice.
+    levels = running(tests.groupBy(p).agg(F.count("*").alias("__c")), p, "__c", "__r")
+    n = tests.count()
+    adjusted = running(levels.withColumn("__q", F.col(p) * n / F.col("__r")), p, "__q", "__m", "min", descending=True)
+    return tests.join(adjusted.select(F.col(p).alias("__p"), F.least("__m", F.lit(1.0)).alias("p_adjusted")), F.col(p) == F.col("__p")).drop("__p")
 
 
 def mean_interval(values: DataFrame, value: str = "value", keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
@@ -165,8 +171,7 @@ def classification_scores(predictions: DataFrame, truth: str = "label", predicte
 def roc_auc(scored: DataFrame, truth: str = "label", score: str = "score") -> DataFrame:
     """Area under the ROC curve by average ranks; null if a class is missing."""
     counts = scored.groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("pos"), F.count("*").alias("t"))
-    below = F.coalesce(F.sum("t").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("r", below + (F.col("t") + 1) / 2.0)
+    ranked = running(counts, score, "t", "upto").withColumn("r", F.col("upto") - (F.col("t") - 1) / 2.0)
     s = ranked.agg(F.sum(F.col("pos") * F.col("r")).alias("rs"), F.sum("pos").alias("p"), (F.sum("t") - F.sum("pos")).alias("q"))
     return s.select(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * F.col("q")).cast("double")).alias("roc_auc"))
 

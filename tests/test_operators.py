@@ -180,7 +180,7 @@ def test_point_agreement_random_against_loop(spark):
 
 
 def test_exclusion_and_iou(spark):
-    rows = df(spark, [("r", 0.0), ("r", 1.0), ("r", 1.09), ("r", -1.0)], "recording_id string, time_s double")
+    rows = df(spark, [("r", 0.0), ("r", 1.0), ("r", 1.085), ("r", -1.0)], "recording_id string, time_s double")
     kept = matching.exclude_near(rows, df(spark, [("r", 1.01)], "recording_id string, time_s double"), 0.08)
     assert sorted(r["time_s"] for r in kept.collect()) == [-1.0, 0.0]
     spans = lambda rs: df(spark, [("r", i, float(a), float(b)) for i, (a, b) in enumerate(rs)], "recording_id string, id int, start double, end double")
