@@ -282,3 +282,12 @@ def local_maxima_rows(samples: DataFrame, keys: Sequence[str] = ("recording_id",
     w = Window.partitionBy(*keys).orderBy(*order)
     v: Column = F.col(value)
     return samples.withColumn("__up", (v > F.lag(v).over(w)) & (v > F.lead(v).over(w))).where("__up").drop("__up")
+
+
+def polarity_audit(signals: DataFrame, ambiguity: float = AMBIGUOUS, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
+    """Per signal: the count-based and the voted polarity, whether they agree, and the guarded choice."""
+    counted = select_polarity(signals, keys).select(*keys, F.col("polarity").alias("counted"), F.col("confidence").alias("counted_confidence"), "positive_candidates", "negative_candidates", "error")
+    voted = vote_polarity(signals, keys).select(*keys, F.col("polarity").alias("voted"), F.col("confidence").alias("voted_confidence"), "qrs_events")
+    both = counted.join(voted, list(keys), "left")
+    chosen = F.when(F.col("counted_confidence") >= ambiguity, F.col("counted")).otherwise(F.col("voted"))
+    return both.withColumn("agree", F.col("counted") == F.col("voted")).withColumn("chosen", chosen)

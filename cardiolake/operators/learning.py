@@ -16,8 +16,8 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import kernels as K
 from ..functions.columns import argmax, entropy
-from .candidates import threshold_for_recall
-from .detection import checked, per_signal
+from .candidates import candidate_features, label_candidates, threshold_for_recall
+from .detection import checked, detect_peaks, per_signal
 from .matching import exclude_near, nearest_labels
 from .stats import classification_scores, mean_interval, roc_auc
 
@@ -272,3 +272,26 @@ def filter_candidates(model: PipelineModel, rows: DataFrame, threshold: float) -
     return predict(model, rows).withColumn("probability", F.get("probabilities", F.lit(1))).withColumn("retained", F.col("probability") >= threshold).drop("probabilities", "predicted_label")
 
 
+
+
+def detect_two_stage(signals: DataFrame, model: PipelineModel, threshold: float, polarity: str = "positive", recovery: bool = False, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
+    """Every stage-1 candidate with its probability and whether the second stage retains it."""
+    stage1 = detect_peaks(signals, polarity, recovery, keys=keys).where("r_index IS NOT NULL")
+    features = candidate_features(signals, stage1, keys)
+    return filter_candidates(model, features.where("error IS NULL").drop("error"), threshold).drop("features")
+
+
+def candidate_training_rows(signals: DataFrame, references: DataFrame, fs_hz: float, tolerance_s: float = 0.075, polarity: str = "positive", keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
+    """Features and 0/1 labels of stage-1 candidates against reference peaks (keys, r_index)."""
+    stage1 = detect_peaks(signals, polarity, keys=keys).where("r_index IS NOT NULL")
+    labels = label_candidates(stage1, references, fs_hz, tolerance_s, keys)
+    return candidate_features(signals, stage1, keys).where("error IS NULL").drop("error").join(labels, [*keys, "r_index"])
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    """Written by Spark ML (no pickles)."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

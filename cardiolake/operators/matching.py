@@ -161,3 +161,9 @@ def overlapping(left: DataFrame, right: DataFrame, width: float, keys: Sequence[
 def split_leakage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that occur on both sides of a split (must be empty)."""
     return a.select(key).distinct().join(b.select(key), key, "left_semi")
+
+
+def match_boundaries(found: DataFrame, reference: DataFrame, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
+    """Found and reference onset and offset of each centre (one reference a centre)."""
+    ref = reference.select(*keys, "center", F.col("onset").alias("reference_onset"), F.col("offset").alias("reference_offset"))
+    return found.join(ref, [*keys, "center"])

@@ -456,6 +456,21 @@ def candidate_features(spark, sf_dir):
     return candidates.candidate_features(s, detection.detect_peaks(s))
 
 
+@query()
+def polarity_audit(spark, sf_dir):
+    return detection.polarity_audit(signals(spark, sf_dir))
+
+
+@query()
+def two_stage_detection(spark, sf_dir):
+    """Second stage trained against stricter peaks of the same signals, then applied to all."""
+    s = signals(spark, sf_dir)
+    strict = detection.detect_peaks(s, prominence_factor=2.0).where("r_index IS NOT NULL")
+    rows = learning.candidate_training_rows(s, strict, 64.0, 0.02)
+    model, meta = learning.fit_suppressor(rows, 0.95, trees=5)
+    return learning.detect_two_stage(s, model, meta["threshold"], recovery=True)
+
+
 @query()
 def group_benchmark(spark, sf_dir):
     """Group-safe cross-validation of document features by source (small forest)."""
