@@ -32,7 +32,7 @@ def _sections(z: np.ndarray, p: np.ndarray, gain: float) -> np.ndarray:
         pairs.append(np.array([1.0, -real_p.pop(), 0.0]))
     zeros = sorted((x.real for x in z))  # Butterworth zeros are real: -1 and/or +1
     rows = []
-    for i, a in enumerate(pairs):
+    for a in pairs:
         if a[2] == 0.0:  # a first-order section takes one zero
             own = [zeros.pop(0)] if zeros else []
         else:

@@ -63,7 +63,6 @@ def validate_series(df: DataFrame, time_col: str | None = None, keys: Sequence[s
             F.array().cast("array<string>").alias("signal_cols"), F.lit(None).cast("double").alias("fs_hz"), F.lit(None).cast("double").alias("duration_s"), "n_samples", F.lit(False).alias("valid"),
         )
     channels = [c for c in df.columns if c not in keys and c not in (order, time_col)]
-    w = Window.partitionBy(*keys).orderBy(order)
     number = lambda c: F.expr(f"try_cast(`{c}` AS double)")
     base = df.select(*keys, F.col(order).alias("__o"), number(time_col).alias("__t"), *[number(c).alias(f"__c{i}") for i, c in enumerate(channels)])
     base = base.withColumn("__dt", F.col("__t") - F.lag("__t").over(Window.partitionBy(*keys).orderBy("__o")))

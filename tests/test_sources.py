@@ -64,7 +64,7 @@ def packed(members):
 
 
 def test_archives(spark, tmp_path):
-    d, head, data = record()
+    _, head, data = record()
     (tmp_path / "ok.zip").write_bytes(packed({"a/100.hea": head, "a/100.dat": data}))
     assert readers.read_signals(spark, str(tmp_path)).where("error IS NULL").count() == 2
     for members in ({"../../escape.txt": b"x"}, {"a.hea": head, "b.hea": head}, {"x.txt": b""}):
