@@ -147,7 +147,7 @@ class Page:
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
-        text, link, points, words, digits, marks = (np.zeros(n) for _ in range(6))
+        text, link, points, words, marks = (np.zeros(n) for _ in range(5))
         for node, piece, linked in self.pieces:
             if piece == " ":
                 continue
