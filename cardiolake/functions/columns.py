@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -48,11 +50,33 @@ def argmax(values: Column | str) -> Column:
     return (F.array_position(col(values), F.array_max(col(values))) - 1).cast("int")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once a row.
+
+    Projections are collapsed by the optimizer, so a column used inside a lambda
+    would be computed again for every element; a lambda variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(values: Column | str) -> Column:
     v = F.transform(col(values), lambda x: x.cast("double"))
-    shifted = F.transform(v, lambda x: F.exp(x - F.array_max(v)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    powers = let(v, lambda a: let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m))))
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
+
+
+def median_of(values: Column) -> Column:
+    """Median of an array of numbers."""
+
+    def middle(a: Column) -> Column:
+        half = F.floor(F.size(a) / 2).cast("int")
+        return F.when(F.size(a) % 2 == 1, F.get(a, half)).otherwise((F.get(a, half - 1) + F.get(a, half)) / 2)
+
+    return let(F.array_sort(values), middle)
 
 
 def nonblank(c: Column | str) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite_or_null, heart_rate
+from ..functions.columns import finite_or_null, heart_rate, let, median_of, total
 
 VALUE_FIELDS = ("heart_rate_bpm", "rr_prev_s", "r_amplitude", "qrs_width_proxy_s")
 
@@ -57,15 +57,20 @@ def beat_phenotypes(signals: DataFrame, peaks: DataFrame, keys: Sequence[str] =
     here = here.withColumn("__lo", F.greatest(F.lit(0), F.col("r_index") - F.col("__r"))).withColumn("__hi", F.least(F.size("values"), F.col("r_index") + F.col("__r")))
     window = F.expr("slice(values, __lo + 1, __hi - __lo)")
     near = F.expr("slice(values, greatest(0, r_index - 2) + 1, least(size(values), r_index + 3) - greatest(0, r_index - 2))")
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y) / F.size(a)
-    here = here.select(*keys, "fs_hz", "r_index", "r_time_s", mean(near).alias("r_amplitude"), window.alias("__w"))
-    ordered = F.array_sort("__w")
-    middle = F.floor(F.size("__w") / 2).cast("int")
-    median = F.when(F.size("__w") % 2 == 1, F.get(ordered, middle)).otherwise((F.get(ordered, middle - 1) + F.get(ordered, middle)) / 2)
-    here = here.withColumn("__b", median).withColumn("__d", F.transform("__w", lambda v: F.abs(v - F.col("__b"))))
-    limit = 0.5 * F.array_max("__d")
-    above = F.filter(F.transform("__d", lambda v, i: F.when(v >= limit, i)), lambda i: i.isNotNull())
-    wide = F.when((F.size("__w") > 5) & (limit > 0) & (F.size(above) >= 2), (F.array_max(above) - F.array_min(above)) / F.col("fs_hz"))
+    here = here.select(*keys, "fs_hz", "r_index", "r_time_s", near.alias("__n"), window.alias("__w"))
+    here = here.withColumn("r_amplitude", total(F.col("__n")) / F.size("__n"))
+    away = let(median_of(F.col("__w")), lambda m: F.transform("__w", lambda v: F.abs(v - m)))
+
+    def width(d: Column) -> Column:
+        """Places of the first and last value of at least half the largest."""
+
+        def span(limit: Column) -> Column:
+            above = F.filter(F.transform(d, lambda v, i: F.when(v >= limit, i)), lambda i: i.isNotNull())
+            return let(above, lambda a: F.when((F.size(d) > 5) & (limit > 0) & (F.size(a) >= 2), F.array_max(a) - F.array_min(a)))
+
+        return let(0.5 * F.array_max(d), span)
+
+    wide = let(away, width) / F.col("fs_hz")
     out = rr_intervals(here.withColumn("qrs_width_proxy_s", wide), keys)
     return out.select(*keys, F.col("r_index").cast("long").alias("r_index"), "r_time_s", "rr_prev_s", "rr_next_s", "heart_rate_bpm", "r_amplitude", "qrs_width_proxy_s")
 

@@ -9,8 +9,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructType
+
+_PAIRS = ArrayType(StructType().add("d", LongType()).add("r", LongType()))
 
 
 def _positive(value: float, name: str) -> float:
@@ -19,29 +23,29 @@ def _positive(value: float, name: str) -> float:
     return value
 
 
+@F.pandas_udf(_PAIRS)
+def _paired(detected: pd.Series, reference: pd.Series, tolerance: pd.Series) -> pd.Series:
+    out = []
+    for d, r, tol in zip(detected, reference, tolerance):
+        d, r = list(map(int, d)), list(map(int, r))
+        i, j, pairs = 0, 0, []
+        while i < len(d) and j < len(r):
+            gap = d[i] - r[j]
+            if abs(gap) <= tol:
+                pairs.append({"d": d[i], "r": r[j]})
+            i, j = i + (abs(gap) <= tol or gap < 0), j + (abs(gap) <= tol or gap >= 0)
+        out.append(pairs)
+    return pd.Series(out)
+
+
 def paired(detected: Column, reference: Column, tolerance: Column) -> Column:
     """Array of (detected, reference) pairs of two sorted arrays.
 
     The earlier of the two heads is dropped unless both are within the
-    tolerance, then both are paired - a fold over the merged lengths.
+    tolerance, then both are paired: linear in the lists of a recording (a fold
+    in SQL would copy the pairs at every step).
     """
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.array().cast("array<struct<d:bigint,r:bigint>>").alias("out"))
-
-    def step(s, _):
-        d, r = F.get(detected, s["i"]), F.get(reference, s["j"])
-        over = d.isNull() | r.isNull()
-        hit = F.abs(d - r) <= tolerance
-        return F.when(over, s).otherwise(
-            F.struct(
-                (s["i"] + (hit | (d < r)).cast("int")).alias("i"),
-                (s["j"] + (hit | (d >= r)).cast("int")).alias("j"),
-                F.when(hit, F.concat(s["out"], F.array(F.struct(d.cast("bigint").alias("d"), r.cast("bigint").alias("r"))))).otherwise(s["out"]).alias("out"),
-            )
-        )
-
-    n = F.size(detected) + F.size(reference)
-    steps = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda s: s["out"])
+    return _paired(detected, reference, tolerance.cast("double"))
 
 
 def pair_matches(detected: DataFrame, reference: DataFrame, fs_hz: Column | float, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
