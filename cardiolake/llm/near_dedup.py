@@ -274,7 +274,7 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     rows = scratch.save(_signed(docs, n), "signed", wide=True)
     classes = scratch.save(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "classes")
     elements = scratch.save(_elements(classes).select("cid", F.explode("es").alias("e")), "elements")
-    shared = elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     posted = (
         elements.join(shared, "e")
         .groupBy("cid")
@@ -285,17 +285,20 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     )
     posted = scratch.save(posted, "posted")
     scratch.drop(elements)
-    lists = scratch.save(posted.groupBy("e").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1"), "lists")
+    lists = posted.groupBy("e").agg(F.count("*").alias("n"), F.min("cid").alias("pivot")).where("n > 1")
+    listed = scratch.save(posted.join(scratch.save(lists, "lists"), "e"), "listed")  # no more than a join, so a hot element can be split
+    scratch.drop(posted)
     # Round 1: short lists in full (at most SMALL members), long ones against their smallest member.
-    stars = posted.join(lists.where(F.col("n") > SMALL), "e").where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
-    short = posted.join(lists.where(F.col("n") <= SMALL).select("e"), "e").groupBy("e").agg(F.sort_array(F.collect_list("cid")).alias("c"))
+    long = listed.where(F.col("n") > SMALL)
+    stars = long.where("cid <> pivot").select(F.col("cid").alias("a"), F.col("pivot").alias("b"))
+    short = listed.where(F.col("n") <= SMALL).groupBy("e").agg(F.sort_array(F.collect_list("cid")).alias("c"))
     small = short.select(F.explode(F.expr("flatten(transform(c, (x, i) -> transform(slice(c, 1, i), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
     pairs = scratch.save(stars.union(small).distinct(), "pairs")
     links = _confirm(pairs, classes, docs, n, m, percent, scratch)
     labels = connected_components(links, scratch)
     # Families: long lists whose pivots are in one component, named by its smallest class.
-    named_lists = lists.where(F.col("n") > SMALL).join(labels.withColumnRenamed("node", "pivot"), "pivot", "left").select("e", F.coalesce("label", "pivot").alias("g"))
-    families = scratch.save(posted.join(named_lists, "e").select("g", "cid").distinct(), "families")
+    pivots = labels.withColumnRenamed("node", "pivot")
+    families = scratch.save(long.select("pivot", "cid").distinct().join(pivots, "pivot", "left").select(F.coalesce("label", "pivot").alias("g"), "cid").distinct(), "families")
     tested = pairs
     split = families.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy("g").agg(F.countDistinct(F.coalesce("label", "cid")).alias("k")).where("k > 1")
     families = scratch.save(families.join(split.select("g"), "g"), "split-families")
