@@ -59,9 +59,12 @@ class Tokens:
     """
 
     def __init__(self, path: str, limit: int = 800_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder, self.chunks, self.words, self.limit = Tokenizer.from_file(path), {}, {"": b""}, limit
+        self.plain = Tokenizer.from_file(path)  # for words already split and in lower case
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.encoder.get_vocab(with_added_tokens=True)
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -88,14 +91,16 @@ class Tokens:
         for c in new:
             m = _CORE.fullmatch(c.lower())
             parts.append(m.groups() if m else (c,))
-        need = list(dict.fromkeys(p for ps in parts for p in ps if p not in words))
-        if need:
-            ids = np.asarray(self.encoder.encode(" ".join(need), add_special_tokens=False).ids, dtype="<u4")
-            count = np.cumsum([1 if p.isalpha() else len(_SPLIT.findall(p.lower())) for p in need])
-            ends = (np.flatnonzero(self.closes[ids]) + 1)[count - 1] * 4
-            raw, at = ids.tobytes(), 0
-            for p, e in zip(need, ends.tolist()):
-                words[p], at = raw[at:e], e
+        need = dict.fromkeys(p for ps in parts if len(ps) == 2 for p in ps if p not in words)
+        odd = dict.fromkeys(ps[0] for ps in parts if len(ps) == 1 and ps[0] not in words)
+        for encoder, several in ((self.plain, list(need)), (self.encoder, list(odd))):
+            if several:
+                ids = np.asarray(encoder.encode(" ".join(several), add_special_tokens=False).ids, dtype="<u4")
+                count = np.arange(1, len(several) + 1) if encoder is self.plain else np.cumsum([len(_SPLIT.findall(p.lower())) for p in several])
+                ends = (np.flatnonzero(self.closes[ids]) + 1)[count - 1] * 4
+                raw, at = ids.tobytes(), 0
+                for p, e in zip(several, ends.tolist()):
+                    words[p], at = raw[at:e], e
         for c, ps in zip(new, parts):
             self.chunks[c] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]
 
