@@ -7,13 +7,17 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word pattern of the shingle operators: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: str.translate table that lower-cases A-Z only.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z to lower case, nothing else (what ``lower`` does on bytes)."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,19 +97,11 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(words: list[str], cache: dict[str, int], limit: int = 150_000) -> np.ndarray:
     """uint64 hash of every word; ``cache`` is emptied when it grows past ``limit``."""
-    import xxhash
-
     if len(cache) > limit:
         cache.clear()
-    digest = xxhash.xxh3_64_intdigest
-    out = np.empty(len(words), dtype=np.uint64)
-    got = [cache.get(w) for w in words]
-    for i, h in enumerate(got):
-        if h is None:
-            w = words[i]
-            got[i] = cache.setdefault(w, digest(w.encode("utf-8", "surrogatepass")))
-    out[:] = got
-    return out
+    for w in set(words).difference(cache):
+        cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+    return np.fromiter(map(cache.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, Scratch, arrow_batches, window_hashes, word_hashes
+from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, word_hashes
 from .components import connected_components
 
 K, MISS, SMALL = 48, 1e-6, 8
@@ -71,7 +71,7 @@ def match_threshold(similarity: float, k: int = K, miss: float = MISS) -> int:
 
 def shingle_set(text: str | None, n: int, cache: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the ``n``-word shingles of a whole text."""
-    words = _WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+    words = _WORDS.findall(ascii_lower(text)) if text else []
     if not words:
         return np.empty(0, dtype=np.uint64)
     h = word_hashes(words, cache)

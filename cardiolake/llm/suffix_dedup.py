@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, Scratch, window_hashes, word_hashes
+from .common import WORD, Scratch, ascii_lower, window_hashes, word_hashes
 
 LEAST, GRAM = 50, 20
 SPAN = LEAST - GRAM + 1  # grams per minimiser window
@@ -47,7 +47,7 @@ _WORDS = re.compile(WORD)
 
 
 def _hashes(text: str | None, cache: dict) -> np.ndarray:
-    words = _WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+    words = _WORDS.findall(ascii_lower(text)) if text else []
     return word_hashes(words, cache) if len(words) >= LEAST else np.empty(0, dtype=np.uint64)
 
 
