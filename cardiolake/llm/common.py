@@ -48,13 +48,14 @@ class Scratch:
         self._n = 0
 
     def save(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
-        """Write and reread.  Tables derived from the input (not ``wide``) come in at
-        most four files a core, however many partitions their last shuffle had."""
+        """Write and reread.  Tables derived from the input (not ``wide``) come in one
+        file a core, however many partitions their last shuffle had; row groups are
+        small, so that a writer buffers little."""
         self._n += 1
         if not wide:
-            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
+            df = df.coalesce(self.spark.sparkContext.defaultParallelism)
         path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -16,6 +16,11 @@ from cardiolake.llm.quality_classifier import keep_quality
 from cardiolake.llm.secrets import redact
 
 
+def _few_files(docs: DataFrame) -> DataFrame:
+    """At most four partitions a core after a join, however many the shuffle had."""
+    return docs.coalesce(4 * docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -23,12 +28,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays (five words, similarity 0.8)."""
-    return near_dedup(docs)
+    return _few_files(near_dedup(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _few_files(decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
