@@ -5,20 +5,20 @@ lower-cased) that occurs in another document too.  Of all suffixes only those at
 minimisers are retained: positions whose ``GRAM``-word hash is the least among
 ``LEAST - GRAM + 1`` neighbours, so every passage holds at least one, chosen by
 its own content.  Retained suffixes carry ``REACH`` word codes to either side.
-They are sorted by their words to the right, then to the left, and once more
-with the sides changed; each is compared with the nearest suffix of another
-document before and after it, and the match is extended word by word to both
-sides.  Matches of ``LEAST`` words or more are
-spans; spans of one document that overlap are joined, so passages of any length
-come out whole.
+They are sorted, and around each the ``REACH + 1`` runs of ``LEAST`` words that hold
+its gram are hashed: a run is repeated if the same run stands around a suffix of
+another document.  The repeated runs of a suffix make one span; spans of one
+document that overlap are joined, so passages of any length come out whole.
 
 Scale: one hash per minimiser is counted first (partial aggregation), and only
 suffixes whose hash may occur twice are made: the test is a bit table of at most
 ``TABLE_BITS`` bits (a false yes costs a row, never a result).  Suffixes are
 range-partitioned by the sort key with the document as the last column, so a
 passage in a third of all documents spreads over many tasks, and are streamed
-in order; the runs at partition edges (those of one document, as a rule one
-suffix) are compared on the driver.  Word codes have 32 bits.
+in order.  All suffixes of one hash are compared at once in memory; those of a
+hash that goes over a partition's edge or fills more than ``CHUNK`` rows are
+compared in pieces, and the different runs of the pieces are counted by a second
+aggregation.  Word codes have 32 bits, hashes of runs 64 beside those of the gram.
 
 Defined results: null, empty and shorter texts have no spans; rows with one
 doc_id are one document and do not repeat each other; rows without doc_id are
@@ -28,7 +28,6 @@ ignored; empty tables give empty results; other columns are ignored
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -43,6 +42,7 @@ LEAST, GRAM = 50, 20
 SPAN = LEAST - GRAM + 1  # grams per minimiser window
 REACH = LEAST - GRAM
 TABLE_BITS = 1 << 27
+CHUNK = 10_000  # suffixes of one hash that are compared at once
 _WORDS = re.compile(WORD)
 
 
@@ -160,133 +160,95 @@ class _Block:
     def then(self, other: _Block) -> _Block:
         return _Block(*(np.concatenate([a, b]) for a, b in zip(vars(self).values(), vars(other).values())))
 
-    def runs(self) -> np.ndarray:
-        """Start of every run of equal document and key."""
-        new = (self.key[1:] != self.key[:-1]) | (self.doc[1:] != self.doc[:-1])
-        return np.concatenate([[0], np.flatnonzero(new) + 1])
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of every pair of rows (0 codes never match)."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
+def _prefixes(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0..``REACH`` codes of every row, one row a length."""
+    out = np.zeros((REACH + 1, len(codes)), dtype=np.uint64)
+    for i in range(REACH):
+        out[i + 1] = out[i] * np.uint64(0xD1342543DE82EF93) + codes[:, i]
+    return out
 
-def _matched(block: _Block, x: np.ndarray, y: np.ndarray):
-    """(document, start, end) of suffixes ``x`` whose match with ``y`` is long enough."""
-    same = block.key[x] == block.key[y]
-    x, y = x[same], y[same]
-    back, on = _common(block.left[x], block.left[y]), _common(block.right[x], block.right[y])
-    enough = back + GRAM + on >= LEAST
-    x, back, on = x[enough], back[enough], on[enough]
-    return block.doc[x], block.at[x] - back, block.at[x] + GRAM + on
 
+def _runs_around(block: _Block):
+    """(row, words before the gram, hash) of every run of ``LEAST`` words around a suffix inside its text."""
+    with np.errstate(over="ignore"):
+        h = _prefixes(block.left) * np.uint64(0x9E3779B97F4A7C15) + _prefixes(block.right)[::-1] * np.uint64(0xBF58476D1CE4E5B9)
+        h += block.key.view(np.uint64)
+    back = np.arange(REACH + 1)[:, None]
+    fits = (back <= (block.left != 0).sum(axis=1)) & (REACH - back <= (block.right != 0).sum(axis=1))
+    back, row = np.nonzero(fits)
+    return row, back, h[back, row]
 
-def _neighbours(block: _Block, first: int, last: int):
-    """Matches of the runs first..last-1 of ``block`` with the runs beside them."""
-    starts = np.append(block.runs(), len(block))
-    out = []
-    for step in (-1, 1):
-        low, high = max(first, 1) if step < 0 else first, last if step < 0 else min(last, len(starts) - 2)
-        if high <= low:
-            continue
-        numbers = np.arange(low, high)
-        sizes = starts[numbers + 1] - starts[numbers]
-        x = np.arange(starts[low], starts[high])
-        beside = starts[numbers] - 1 if step < 0 else starts[numbers + 1]
-        out.append(_matched(block, x, np.repeat(beside, sizes)))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
+MATCH_SCHEMA = "doc_id long, start long, end long, key long, run long, low long, high long"
 
-MATCH_SCHEMA = "doc_id long, start long, end long, part int, edge int, key long, right binary, left binary, at int"
 
+def _as_rows(*columns) -> pa.RecordBatch:
+    """``MATCH_SCHEMA`` from its columns, None for nulls."""
+    n = next(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns], names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
 
-def _as_matches(found) -> pa.RecordBatch:
-    doc, start, end = (np.asarray(c, dtype=np.int64) for c in found)
-    n = len(doc)
-    empty = lambda t: pa.nulls(n, t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc), pa.array(start), pa.array(end), empty(pa.int32()), empty(pa.int32()), empty(pa.int64()), empty(pa.binary()), empty(pa.binary()), empty(pa.int32())],
-        names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")],
-    )
 
+def _compared(block: _Block, split: bool) -> Iterator[pa.RecordBatch]:
+    """Spans of the runs in two documents or more of ``block``.
 
-def _as_edges(block: _Block, part: int, edge: int) -> pa.RecordBatch:
-    n = len(block)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(block.doc.astype(np.int64)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, edge, np.int32)), pa.array(block.key.astype(np.int64)),
-            pa.array([x.tobytes() for x in block.right], pa.binary()), pa.array([x.tobytes() for x in block.left], pa.binary()), pa.array(block.at.astype(np.int32)),
-        ],
-        names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")],
-    )
+    ``split``: the first key has suffixes elsewhere too, so its different runs come
+    with their least and largest document, and with their place if that is one document.
+    """
+    if not len(block):
+        return
+    starts = np.concatenate([[0], np.flatnonzero(block.key[1:] != block.key[:-1]) + 1])
+    several = np.minimum.reduceat(block.doc, starts) < np.maximum.reduceat(block.doc, starts)
+    several[0] |= split
+    sizes = np.diff(np.append(starts, len(block)))
+    n_split = int(sizes[0]) if split else 0
+    block = block.pick(np.repeat(several, sizes))
+    row, back, h = _runs_around(block)
+    if not len(h):
+        return
+    order = np.argsort(h)
+    row, back, h = row[order], back[order], h[order]
+    starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
+    doc = block.doc[row]
+    low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+    hit = np.repeat(low < high, np.diff(np.append(starts, len(h))))
+    found = np.zeros((REACH + 1, len(block)), dtype=bool)
+    found[back[hit], row[hit]] = True
+    x = np.flatnonzero(found.any(axis=0))
+    if len(x):
+        least, most = found[:, x].argmax(axis=0), REACH - found[::-1, x].argmax(axis=0)
+        yield _as_rows(block.doc[x], block.at[x] - most, block.at[x] - least + LEAST, None, None, None, None)
+    if not n_split:
+        return
+    once = starts[(low < high) & (row[starts] < n_split)]
+    if len(once):
+        k = np.searchsorted(starts, once)
+        yield _as_rows(None, None, None, block.key[row[once]], h[once].view(np.int64), low[k], high[k])
+    alone = np.flatnonzero(~hit & (row < n_split))
+    if len(alone):
+        start = block.at[row[alone]] - back[alone]
+        yield _as_rows(doc[alone], start, start + LEAST, block.key[row[alone]], h[alone].view(np.int64), doc[alone], doc[alone])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream sorted suffixes: matches inside the partition, and its edges.
-
-    Edge 0 is the first run and the row after it, edge 1 the row before the last
-    run and that run (missing if the partition is a single run).
-    """
-    from pyspark import TaskContext
-
-    context = TaskContext.get()
-    part, held, told = (context.partitionId() if context else 0), None, False
+    """Stream sorted suffixes: spans, and the runs of keys that are not seen whole."""
+    held, split = None, True  # the partition's first and last key may go on in its neighbours
     for batch in batches:
         if not batch.num_rows:
             continue
         block = _Block.of(batch)
         if held is not None:
             block = held.then(block)
-        starts = block.runs()
-        if len(starts) < 3:  # at most one whole run so far
-            held = block
-            continue
-        if not told:
-            yield _as_edges(block.pick(slice(0, int(starts[1]) + 1)), part, 0)
-        yield _as_matches(_neighbours(block, 1 if told else 0, len(starts) - 1))
-        told = True
-        held = block.pick(slice(int(starts[-2]), None))
+        new = np.flatnonzero(block.key[1:] != block.key[:-1]) + 1
+        if len(new):
+            yield from _compared(block.pick(slice(0, int(new[-1]))), split)
+            split = False
+        held = block.pick(slice(int(new[-1]) if len(new) else 0, None))
+        if len(held) >= CHUNK:
+            yield from _compared(held, True)
+            held, split = None, True
     if held is not None:
-        starts = held.runs()
-        if not told:
-            yield _as_edges(held.pick(slice(0, int(starts[1]) + 1 if len(starts) > 1 else None)), part, 0)
-        yield _as_matches(_neighbours(held, 1 if told else 0, len(starts)))
-        if len(starts) > 1:
-            yield _as_edges(held.pick(slice(int(starts[-1]) - 1, None)), part, 1)
-
-
-def _across(edges) -> list[tuple[int, int, int]]:
-    """Matches of the runs at partition edges; a run may go on over several partitions."""
-    out: list[tuple[int, int, int]] = []
-    run, before = None, None  # the open run and the row before it
-
-    def close(after):
-        """The open run is whole: compare it with the rows beside it."""
-        for beside in (before, after):
-            if run is not None and beside is not None:
-                both = run.then(beside)
-                out.extend(tuple(map(int, t)) for t in zip(*_matched(both, np.arange(len(run)), np.full(len(run), len(run)))))
-                out.extend(tuple(map(int, t)) for t in zip(*_matched(both, np.full(len(run), len(run)), np.arange(len(run)))))
-
-    for (_, edge), rows in edges.sort_values(["part", "edge"], kind="stable").groupby(["part", "edge"], sort=True):
-        codes = lambda c: np.frombuffer(b"".join(map(bytes, rows[c])), dtype=">u4").reshape(-1, REACH)  # noqa: E731, B023
-        block = _Block(rows["key"].to_numpy(np.int64), codes("right"), codes("left"), rows["doc_id"].to_numpy(np.int64), rows["at"].to_numpy(np.int64))
-        if edge == 1:
-            before, run = block.pick(slice(0, 1)), block.pick(slice(1, None))
-            continue
-        starts = block.runs()
-        first = block.pick(slice(0, int(starts[1]) if len(starts) > 1 else None))
-        if run is not None and run.key[0] == first.key[0] and run.doc[0] == first.doc[0]:
-            run = run.then(first)
-        else:
-            close(first.pick(slice(0, 1)))
-            before, run = (None if run is None else run.pick(slice(len(run) - 1, None))), first
-        if len(starts) > 1:
-            close(block.pick(slice(int(starts[1]), None)))
-            run = before = None
-    close(None)
-    return out
+        yield from _compared(held, True)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -295,13 +257,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "suffix")
     table = _bit_table(_keys(docs))
     suffixes = scratch.save(_suffixes(docs, table), "suffixes", wide=True)
-    parts, every = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), []
-    for sides in (["right", "left"], ["left", "right"]):
-        order = ["key", *sides, "doc_id", "at"]
-        matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
-        every.append(matches.where("part IS NULL").select("doc_id", "start", "end"))
-        every.append(spark.createDataFrame(_across(matches.where("part IS NOT NULL").toPandas()), "doc_id long, start long, end long"))
-    every = functools.reduce(DataFrame.unionByName, every)
+    parts, order = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), ["key", "right", "left", "doc_id", "at"]
+    matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
+    runs = matches.where("run IS NOT NULL")
+    again = runs.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "run")
+    apart = runs.where("doc_id IS NOT NULL").join(again, ["key", "run"]).select("doc_id", "start", "end")
+    every = matches.where("run IS NULL").select("doc_id", "start", "end").unionByName(apart)
     # Overlapping matches of a document become one span.
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,44 @@ def test_one_passage_everywhere(spark):
     assert covered(sd.repeated_spans(docs(spark, texts).repartition(7)).collect()) == repeated(texts)
 
 
+def edited_family(n, size=400, every=45):
+    """Copies of one text with a word changed every ``every`` words or so."""
+    rng = np.random.default_rng(11)
+    base = rng.choice(VOCAB, size=size)
+    texts = []
+    for k in range(n):
+        w = list(base)
+        for at in np.flatnonzero(rng.random(size) < 1 / every):
+            w[at] = f"x{rng.integers(60)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_large_family_of_edited_copies(spark):
+    """The best partner to the left and to the right are different documents for most suffixes."""
+    texts = edited_family(3000)
+    assert covered(sd.repeated_spans(docs(spark, texts)).collect()) == repeated(texts)
+
+
+def test_keys_compared_in_pieces(spark, monkeypatch):
+    """One key over many partitions and chunks: the pieces are counted together."""
+    texts = edited_family(300, size=120)
+    d = docs(spark, texts)
+    table = sd._bit_table(sd._keys(d))
+    rows = sd._suffixes(d, table).toPandas().sort_values(["key", "right", "left", "doc_id", "at"])
+    monkeypatch.setattr(sd, "CHUNK", 7)
+    batches = [pa.RecordBatch.from_pandas(rows.iloc[i : i + 5], preserve_index=False) for i in range(0, len(rows), 5)]
+    got = pa.Table.from_batches(list(sd._scan(iter(batches)))).to_pandas()
+    runs = got[got["run"].notna()]
+    span = runs.groupby(["key", "run"]).agg(low=("low", "min"), high=("high", "max"))
+    both = runs[runs["doc_id"].notna()].merge(span[span["low"] < span["high"]].reset_index()[["key", "run"]], on=["key", "run"])
+    found = {}
+    for part in (got[got["run"].isna()], both):
+        for i, a, b in zip(part["doc_id"].astype(int), part["start"].astype(int), part["end"].astype(int)):
+            found.setdefault(i, set()).update(range(a, b))
+    assert found == repeated(texts) and len(both)
+
+
 def test_cut_repeats(spark):
     rng = np.random.default_rng(8)
     p = " ".join(rng.choice(VOCAB, size=60))
