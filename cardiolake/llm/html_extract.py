@@ -1,7 +1,11 @@
 """Operator 4 - main text of web pages by boosted trees over DOM nodes.
 
 A tolerant parser makes a tree of block elements from the whole page; inline
-elements belong to their block.  Every block node has features: tag, depth,
+elements belong to their block.  As in the HTML standard, what may not stand in a
+head ends it and opens the body, which ends with the page; script, style, title,
+textarea and iframe without an end tag go on to the end of the page.  Elements of
+``_DROP`` (controls, media, templates) go with their content if they have an end
+tag; without one only the tag itself goes.  Every block node has features: tag, depth,
 subtree text, link and tag density, tokens of its class, id and role and of those
 above it, counts and statistics of its siblings.  Gradient-boosted trees give
 the odds that the node's subtree holds main text.  They are trained here, on
@@ -37,7 +41,11 @@ from .gbt import BoostedTrees
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _TOKEN = re.compile(r"[a-z]+")
-_RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "select", "textarea", "button", "title", "object", "canvas", "audio", "video"}
+_RAW = {"script", "style", "title", "textarea", "iframe"}  # their content is text up to the end tag
+_DROP = {"noscript", "template", "svg", "math", "select", "button", "object", "canvas", "audio", "video"}
+_FLAT = {"select", "button"}  # a second start tag ends the first
+_DROP_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<({"|".join(sorted(_RAW))})(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)({"|".join(sorted(_DROP))})(?=[\s/>])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S | re.I)
+_IN_HEAD = {"html", "head", "body", "base", "link", "meta", "noscript", "template", *_RAW} - {"textarea", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "html", "body", "main", "article", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th",
@@ -56,6 +64,25 @@ _GROUP = {t: i for i, g in enumerate(_TAG_GROUPS) for t in g}
 N_FEATURES = 27 + len(_TAG_GROUPS)
 
 
+def _drop_ends(s: str) -> dict[int, int]:
+    """Start of every element of ``_DROP`` that has an end tag -> end of that tag."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in _DROP}
+    for m in _DROP_TAG.finditer(s):
+        if not m[3]:
+            continue
+        name = m[3].lower()
+        starts = opened[name]
+        if m[2]:
+            if starts:
+                ends[starts.pop()] = m.end()
+        elif name not in ("svg", "math") or s[m.end() - 2] != "/":
+            if name in _FLAT:
+                starts.clear()
+            starts.append(m.start())
+    return ends
+
+
 class Page:
     """Block nodes in page order (parents first) and text pieces."""
 
@@ -67,11 +94,19 @@ class Page:
 
     def _parse(self, s: str) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block node they belong to
-        links, at, n = 0, 0, len(s)
+        links, at, n, in_body, ends = 0, 0, len(s), False, None
         pieces, unescape = self.pieces, html_lib.unescape
+
+        def open_body() -> None:
+            del stack[1:]
+            stack.append(("body", self._node("body", 0)))
+
         for m in iter(lambda: _TAG.search(s, at), None):
             if m.start() > at:
                 raw = s[at : m.start()]
+                if not in_body and not raw.isspace():
+                    open_body()
+                    in_body, links = True, 0
                 pieces.append((stack[-1][1], unescape(raw) if "&" in raw else raw, links > 0))
             at = m.end()
             name = m[2] or m[5]
@@ -82,6 +117,8 @@ class Page:
             if closing:
                 if name == "br":
                     pieces.append((stack[-1][1], " ", False))
+                if name in ("body", "html"):  # what follows still belongs to the body
+                    continue
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
                         if name in _BLOCK:
@@ -93,13 +130,21 @@ class Page:
                         break
                 continue
             attrs = m[3] if m[2] else m[6]
+            if not in_body and name not in _IN_HEAD:
+                open_body()
+                in_body, links = True, 0
+            if name in ("select", "textarea", "button"):
+                self.inputs[stack[-1][1]] += 1
             if name in _RAW:
-                if not (attrs or "").rstrip().endswith("/") or name not in ("svg", "math"):
-                    end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(s, at)
-                    stop = s.find(">", end.start()) if end else -1
-                    at = n if not end or stop < 0 else stop + 1
-                if name in ("select", "textarea", "button"):
-                    self.inputs[stack[-1][1]] += 1
+                end = re.compile(rf"</{name}(?=[\s/>])", re.I).search(s, at)
+                stop = s.find(">", end.start()) if end else -1
+                at = n if stop < 0 else stop + 1
+                continue
+            if name in _DROP:
+                ends = _drop_ends(s) if ends is None else ends
+                at = ends.get(m.start(), at)
+                if at == m.end() and not (name in ("svg", "math") and (attrs or "").rstrip().endswith("/")):
+                    stack.append((name, stack[-1][1]))
                 continue
             if name in _VOID:
                 if name == "br" or name == "hr":
@@ -107,6 +152,9 @@ class Page:
                 elif name == "input":
                     self.inputs[stack[-1][1]] += 1
                 continue
+            if name == "html" or (name in ("head", "body") and in_body):
+                continue
+            in_body = in_body or name == "body"
             if name in _BLOCK:
                 for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
                     if stack[i][0] == "p":
@@ -121,21 +169,7 @@ class Page:
                         break
                     if stack[i][0] in _STOPS.get(name, ()):
                         break
-                if name == "html" or (name == "body" and any(e[0] == "body" for e in stack)):
-                    continue
-                node = len(self.tag)
-                self.tag.append(name)
-                self.parent.append(stack[-1][1])
-                self.depth.append(self.depth[stack[-1][1]] + 1)
-                tokens, hidden = "", False
-                if attrs:
-                    low = attrs.lower()
-                    tokens = " ".join(v1 or v2 or v3 for k, v1, v2, v3 in _ATTRIBUTE.findall(low) if k in ("class", "id", "role", "aria-label", "itemprop"))
-                    hidden = "display:none" in low.replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low))
-                self.attrs.append(tokens)
-                self.hidden.append(hidden)
-                self.inputs.append(0)
-                pieces.append((node, " ", False))
+                node = self._node(name, stack[-1][1], attrs)
                 stack.append((name, node))
             else:
                 stack.append((name, stack[-1][1]))
@@ -143,8 +177,27 @@ class Page:
         if at < n:
             raw = s[at:]
             if not re.match(r"</?[a-zA-Z]", raw):
+                if not in_body and not raw.isspace():
+                    open_body()
                 pieces.append((stack[-1][1], unescape(raw), links > 0))
 
+    def _node(self, name: str, parent: int, attrs: str | None = None) -> int:
+        """A new block node, after a break."""
+        node = len(self.tag)
+        self.tag.append(name)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        tokens, hidden = "", False
+        if attrs:
+            low = attrs.lower()
+            tokens = " ".join(v1 or v2 or v3 for k, v1, v2, v3 in _ATTRIBUTE.findall(low) if k in ("class", "id", "role", "aria-label", "itemprop"))
+            hidden = "display:none" in low.replace(" ", "") or bool(re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low))
+        self.attrs.append(tokens)
+        self.hidden.append(hidden)
+        self.inputs.append(0)
+        self.pieces.append((node, " ", False))
+        return node
+
     def features(self) -> np.ndarray:
         n = len(self.tag)
         text, link, points, words, marks = (np.zeros(n) for _ in range(5))

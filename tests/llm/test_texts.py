@@ -208,6 +208,28 @@ def test_boilerplate_of_other_layouts_goes():
     assert he.main_texts([page], he.model()) == ["A title & more First paragraph, with bold and a line. Second one here."]
 
 
+def test_no_text_is_cut_from_valid_pages():
+    """Unclosed controls and media, omitted head and body tags, bare text, text after the body."""
+    lines = ["The river was calm that evening, and nobody spoke for a while.", "Later, the lamps were lit along the quay, one after another.", "By morning the boats had gone, and with them the whole of the story."]
+    ps, text = "".join(f"<p>{t}</p>" for t in lines), " ".join(lines)
+    nav, foot = '<nav><a href="/">Home</a> <a href="/b">About</a></nav>', "<footer><p>&copy; 2020 Site. All rights.</p></footer>"
+    body = f"<article>{ps}</article>{foot}"
+    pages = [
+        f"<html><body>{nav}<button>{body}</body></html>",
+        f"<html><body>{nav}<div><button></div>{body}<button>Go</button></body></html>",
+        f"<html><body>{nav}<object data=x />{body}<object><p>none</p></object></body></html>",
+        f"<html><body>{nav}<!-- <video> --><video><p>none</p></video><svg/>{body}</body></html>",
+        f"<head><title>T</title>{ps}",
+        f"<!doctype html><title>T</title><meta charset=utf-8>{nav}{body}",
+        f"<html><head><title>T</title></head>{ps}</html>",
+        text,
+        f"<html><head><title>T</title></head>{lines[0]}<p>{lines[1]}</p>{lines[2]}",
+        f"<html><body>{nav}</body></html>{body}",
+    ]
+    assert he.main_texts(pages, he.model()) == [text] * len(pages)
+    assert he.main_texts([f"<html><body>{nav}{body}<script>{ps}"], he.model()) == [text]
+
+
 def test_odd_pages():
     m = he.model()
     got = he.main_texts([None, "", "<", "<p", "<html><head><title>t</title></head></html>", "<!-- never closed", "<p class='x>y</p>", "<div>" * 3000 + "deep"], m)
