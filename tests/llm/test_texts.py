@@ -97,6 +97,23 @@ def test_field_finds_held_out_secrets():
     assert tp / (tp + fp) > 0.9 and tp / (tp + fn) > 0.9
 
 
+def test_field_finds_secrets_without_digits():
+    """Letters only, short ones and pass phrases after a key word; plain words stay outside."""
+    w, t = se.model()
+    key = "abcdEFGHijklMNOPqrstUVWXyzABcdefGHijkLMnopQRstuVWxyZabCDefghIJkl"
+    for before, secret, after in (
+        ("log in with pwd: ", "CorrectHorseBattery", " today"),
+        ("Authorization: Bearer ", "qWErtyUiOpAsDfGhJkLzXcVb", "\nHost: example"),
+        ("-----BEGIN PRIVATE KEY-----\n", key + "\n" + key[::-1], "\n-----END PRIVATE KEY-----"),
+        ('the pwd = "', "tr4x", '" is new'),
+        ('credential = "', "correct horse battery staple", '" and so on'),
+        ("push with ", "ghp_" + key[:36], " now"),
+    ):
+        assert se.crf_spans(before + secret + after, w, t) == [(len(before), len(before + secret))], secret
+    for plain in ("The key to the house is under the mat. Access to the private garden is free.", "Note: this is plain. See https://www.example.com/path/to/page for the rest", "the administration of JavaScript and internationalization at 12:30"):
+        assert se.crf_spans(plain, w, t) == []
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
