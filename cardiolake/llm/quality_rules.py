@@ -7,7 +7,9 @@ each by the exact binomial (Clopper-Pearson) upper bound of the share of good
 documents it would reject; testing stops at the first that fails (fixed
 sequence, so the cutoffs of one rule need no further correction), and the level
 is divided by the number of stratum-rule pairs (Bonferroni).  The risk is
-divided by the number of rules.  So with probability 1 - ``delta`` no stratum
+divided by the number of rules.  Every stratum has its own bound; one with too few
+good labels to certify any cutoff (``testable``; this looks at their number alone)
+has no rules and does not count as a test.  So with probability 1 - ``delta`` no stratum
 loses more than ``risk`` of its good documents to the rules.  Among the
 certified cutoffs the one that rejects most bad documents, less ``cost`` times
 the good ones, is taken; on ties the most lenient, and none if the gain is below
@@ -18,8 +20,7 @@ most strata x rules x (GRID + 1) x 2 counts.  All labelled rows count.
 
 Defined results: null and empty texts have measures 0 and fail the base rule;
 repeated rows are judged alike; a document labelled both good and bad is not
-used; a null stratum is its own; strata with fewer than ``least`` good labels
-share one pool; empty tables give empty results; columns of other names are
+used; a null stratum is its own; empty tables give empty results; columns of other names are
 passed through (``filter_documents``) or ignored.
 """
 
@@ -172,21 +173,28 @@ def choose_cutoffs(histogram: dict, n_tests: int, risk: float, delta: float, cos
     return out
 
 
-def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float, cost: float, least: int) -> dict:
-    """Cutoffs from the labelled rows that pass the base rule."""
+def labels_needed(n_strata: int, risk: float = 0.02, delta: float = 0.05) -> int:
+    """Good labels with which a cutoff that rejects none of them is certified."""
+    return math.ceil(math.log(delta / (n_strata * len(RULES))) / math.log1p(-risk / len(RULES)))
+
+
+def testable(good: dict, risk: float, delta: float) -> set:
+    """The most strata (those with most good labels) whose cutoffs can be certified together."""
+    by_size = sorted(good, key=good.get, reverse=True)
+    return set(by_size[: max((m for m, s in enumerate(by_size, 1) if good[s] >= labels_needed(m, risk, delta)), default=0)])
+
+
+def fit_cutoffs(measured: DataFrame, labels: DataFrame, stratum: str, risk: float, delta: float, cost: float) -> dict:
+    """{(stratum, rule): cutoff} from the labelled rows that pass the base rule."""
     truth = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__q"), F.max("quality").alias("__q2")).where("__q = __q2")
     judged = measured.where(~base_failed()).select("doc_id", F.col(stratum).alias("__s"), *[c.alias(f"__{k}") for k, c in scores().items()]).join(truth.select("doc_id", "__q"), "doc_id")
     melted = judged.select("__s", F.col("__q").cast("int").alias("q"), F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), F.col(f"__{k}").alias("v")) for k in RULES])).alias("r"))
     histogram: dict = {}
     for r in melted.groupBy("__s", "r.rule", "r.v", "q").count().toLocalIterator():
         histogram.setdefault((r["__s"], r["rule"]), np.zeros((GRID + 1, 2), dtype=np.int64))[r["v"], int(r["q"] > 0)] += r["count"]
-    small = {s for s, rule in histogram if histogram[s, rule][:, 1].sum() < least}
-    pooled: dict = {}
-    for (s, rule), h in histogram.items():
-        key = ("pool" if s in small else "own", None if s in small else s, rule)
-        pooled[key] = pooled.get(key, 0) + h
-    chosen = choose_cutoffs({k: h for k, h in pooled.items()}, max(1, len(pooled)), risk, delta, cost)
-    return {"own": {(s, rule): c for (kind, s, rule), c in chosen.items() if kind == "own"}, "pool": {rule: c for (kind, _, rule), c in chosen.items() if kind == "pool"}}
+    able = testable({s: int(h[:, 1].sum()) for (s, _), h in histogram.items()}, risk, delta)
+    tested = {key: h for key, h in histogram.items() if key[0] in able}
+    return choose_cutoffs(tested, max(1, len(tested)), risk, delta, cost)
 
 
 def verdict(cutoffs: dict, stratum: str) -> Column:
@@ -194,20 +202,20 @@ def verdict(cutoffs: dict, stratum: str) -> Column:
     ok = F.lit(True)
     score = scores()
     for rule in RULES:
-        cut = F.lit(cutoffs["pool"].get(rule, GRID))
-        for (s, r), c in cutoffs["own"].items():
-            if r == rule:
+        cut = F.lit(GRID)
+        for (s, r), c in cutoffs.items():
+            if r == rule and c < GRID:
                 cut = F.when(F.col(stratum).eqNullSafe(F.lit(s)), F.lit(c)).otherwise(cut)
         ok = ok & (score[rule] <= cut)
     return ok
 
 
 def judge_documents(
-    docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, cost: float = 5.0, least: int = 500
+    docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.02, delta: float = 0.05, cost: float = 5.0
 ) -> DataFrame:
     """doc_id, the stratum, all measures, base_failed and kept, for every row."""
     measured = Scratch(docs.sparkSession, "quality-rules").save(measure_documents(docs, stratum), "measures", wide=True)
-    cutoffs = fit_cutoffs(measured, labels, stratum, risk, delta, cost, least)
+    cutoffs = fit_cutoffs(measured, labels, stratum, risk, delta, cost)
     return measured.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & verdict(cutoffs, stratum)})
 
 

@@ -206,6 +206,24 @@ def test_rules_hold_the_risk(spark):
     assert qr.judge_documents(docs(spark, []), labels).count() == 0
 
 
+def test_rules_hold_the_risk_of_rare_strata(spark):
+    """Good documents of a rare language that look like junk elsewhere stay."""
+    texts, quality = junk_and_clean(4800)
+    n, odd = len(texts), texts[-8:]
+    d = docs(spark, [*texts, *odd]).withColumn("lang", F.when(F.col("doc_id") >= n, "xx").otherwise(F.concat(F.lit("l"), F.col("doc_id") % 12)))
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality + [1] * len(odd))], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["kept"] for r in qr.judge_documents(d, labels, risk=0.05).collect()}
+    assert all(rows[i] for i in range(n, n + len(odd)))
+
+
+def test_labels_needed():
+    for m in (1, 4, 5):
+        k, level = qr.labels_needed(m), 0.05 / (5 * m)
+        assert qr.upper_bound(0, k, level) <= 0.004 + 1e-9 < qr.upper_bound(0, k - 1, level)
+    assert qr.testable({"a": 1500, "b": 1300, None: 20}, 0.02, 0.05) == {"a"}
+    assert qr.testable({"a": 10}, 0.02, 0.05) == set()
+
+
 # --- pages
 
 
