@@ -13,7 +13,7 @@ from cardiolake.llm import registry
 from .helpers import components
 from .test_dedup import covered, repeated
 from .test_storage import check_pieces
-from .test_texts import brute_measures
+from .test_texts import brute_measures, brute_verdict
 
 
 @pytest.fixture(scope="module")
@@ -88,3 +88,17 @@ def test_op10(spark, sf_dir, documents):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         failed = want[0] < 20 or 100 * want[4] > 30 * want[0]
         assert r["base_failed"] == failed and not (failed and r["kept"])
+
+
+def test_op10_verdict():
+    """At a size at which rules are certified the verdict comes through them, as plain enumeration has it."""
+    from pyspark.sql import SparkSession
+
+    spark, sf = SparkSession.getActiveSession(), "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    docs = [(r["doc_id"], r["lang"], r["text"], labels.get(r["doc_id"])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").where("pmod(xxhash64(cast(doc_id as long)), 4) = 0").select("doc_id").collect()}
+    want, final = brute_verdict(docs, ids)
+    rows = run(spark, sf, 10)
+    assert {r["doc_id"]: (r["kept"], r["n_holdout"]) for r in rows} == want
+    assert final and any(r["kept"] == r["base_failed"] for r in rows)

@@ -218,12 +218,79 @@ def test_rules_hold_the_risk_of_rare_strata(spark):
 
 def test_labels_needed():
     for m in (1, 4, 5):
-        k, level = qr.labels_needed(m), 0.05 / (5 * m)
-        assert qr.upper_bound(0, k, level) <= 0.004 + 1e-9 < qr.upper_bound(0, k - 1, level)
-    assert qr.testable({"a": 1500, "b": 1300, None: 20}, 0.02, 0.05) == {"a"}
+        k, level = qr.labels_needed(m), 0.05 / m
+        assert qr.upper_bound(0, k, level) <= 0.02 + 1e-9 < qr.upper_bound(0, k - 1, level)
+    assert qr.testable({"a": 180, "b": 150, None: 20}, 0.02, 0.05) == {"a"} and qr.testable({"a": 190, "b": 190}, 0.02, 0.05) == {"a", "b"}
     assert qr.testable({"a": 10}, 0.02, 0.05) == set()
 
 
+def brute_verdict(rows, ids_that_propose, risk=0.02, delta=0.05, cost=5.0):
+    """{id: (kept, holdout rows of its stratum)} by plain enumeration; rows: (id, stratum, text, quality or None)."""
+    from math import comb
+
+    def points(t):
+        n, chars, symbols, dup, repeat = brute_measures(t)
+        lines = sum(1 for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        pairs = ((symbols, chars), (repeat, n), (dup, lines), (len(re.findall("[A-Z]", t or "")), chars), (len(re.findall("[!?]", t or "")), chars))
+        return n < 20 or 100 * repeat > 30 * n, [min(200, 200 * x // y) if y else 0 for x, y in pairs]
+
+    known = [(i, s, q, *points(t)) for i, s, t, q in rows]
+    good = {s: [p for i, x, q, bad, p in known if x == s and q == 1 and not bad and i not in ids_that_propose] for s in {s for _, s, _, _ in rows}}
+    need = lambda m: next(n for n in range(1, 10**6) if (1 - risk) ** n <= delta / m)
+    order = sorted(good, key=lambda s: len(good[s]), reverse=True)
+    m = max([k for k in range(1, len(order) + 1) if len(good[order[k - 1]]) >= need(k)], default=0)
+    final = {}
+    for s in order[:m]:
+        bad = [p for i, x, q, failed, p in known if x == s and q == 0 and not failed]
+        few = [p for i, x, q, failed, p in known if x == s and q == 1 and not failed and i in ids_that_propose]
+        gains = []
+        for r in range(5):
+            best = max(((sum(p[r] > c for p in bad) - cost * 4 * sum(p[r] > c for p in few), c) for c in range(200)), default=(0, 200))
+            if best[0] > max(2, 0.01 * len(bad)):
+                gains.append((-best[0], r, best[1]))
+        cuts, passed = [200] * 5, [200] * 5
+        for _, r, c in sorted(gains):
+            for i in (1, 2, 3, 4):
+                cuts = [*cuts[:r], 200 - (200 - c) * i // 4, *cuts[r + 1 :]]
+                lost, n = sum(any(x > y for x, y in zip(p, cuts)) for p in good[s]), len(good[s])
+                if passed is not None and sum(comb(n, k) * risk**k * (1 - risk) ** (n - k) for k in range(lost + 1)) <= delta / m:
+                    final[s] = cuts
+                else:
+                    passed = None
+    return {i: (not failed and all(x <= y for x, y in zip(p, final.get(s, [200] * 5))), len(good[s])) for i, s, q, failed, p in known}, final
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_verdict_equals_enumeration(spark, seed):
+    rng = np.random.default_rng(seed)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(2200):
+        s = ["en", "de", None, "rare"][int(rng.choice(4, p=[0.5, 0.3, 0.15, 0.05]))]
+        bad = rng.random() < 0.2
+        w = [w + ("#" if rng.random() < (0.6 if bad else 0.002) else "") + ("!" if rng.random() < (0.3 if bad and s == "de" else 0.01) else "") for w in rng.choice(vocab, size=int(rng.integers(15, 60)))]
+        rows.append((i, s, " ".join(w), [None, int(not bad)][int(rng.random() < 0.9)]))
+    d = spark.createDataFrame([(i, t, s) for i, s, t, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, _, q in rows if q is not None], "doc_id long, quality int, toxic int")
+    ids = {r["id"] for r in spark.range(len(rows)).where("pmod(xxhash64(id), 4) = 0").collect()}
+    want, final = brute_verdict(rows, ids)
+    got = {r["doc_id"]: r for r in qr.judge_documents(d, labels).collect()}
+    assert {i: (r["kept"], r["n_holdout"]) for i, r in got.items()} == want
+    assert "en" in final and any(r["kept"] != (not r["base_failed"]) for r in got.values())
+    for r in got.values():
+        assert (r["risk_bound"] is not None) == (r["lang"] in final) and (r["risk_bound"] or 0) <= 0.02
+
+
+def test_rule_edges(spark):
+    """Null ids, strata and texts, repeated rows, contradicting labels, a very long text, clashing columns."""
+    long = "word and other text " * 60_000
+    d = docs(spark, [(None, "a " * 30), (1, None), (1, "x y " * 20), (1, "x y " * 20), (2, ""), (3, long)], kept=F.lit("mine"), n_words=F.lit("n"), base_failed=F.lit(1), __q=F.lit(2)).withColumn("lang", F.when(F.col("doc_id") == 3, F.lit("en")))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (3, None, 0)], "doc_id long, quality int, toxic int").withColumn("lang", F.lit("zz"))
+    rows = qr.judge_documents(d, labels).collect()
+    assert len(rows) == 6 and [r["n_words"] for r in rows if r["doc_id"] == 3] == [240_000]
+    assert all(r["kept"] == (not r["base_failed"]) and r["n_holdout"] == 0 and r["risk_bound"] is None and r["rules_active"] == 0 for r in rows)
+
+
 # --- pages
 
 
