@@ -2,31 +2,35 @@
 
 Two hashed n-gram models (words and word pairs into ``BUCKETS`` buckets) are
 counted: one of the raw corpus, over every document, and one of the target,
-over labelled good documents.  A document's log importance weight is the sum
-over its n-grams of log p_target - log p_raw, and documents are drawn without
-replacement in proportion to their weights by Gumbel top-k: the k documents of
-the largest weight plus Gumbel noise are kept, the others rejected.
-
-k is the number of documents whose weight per n-gram reaches a cutoff.  The
-cutoff is set on labelled documents that the target model has not seen: the
-highest one at which at most ``false_reject`` of the good ones stay below, no
-higher than where good and bad are best told apart.  The noise is added on the
-scale of the weights per n-gram (``noise`` times a Gumbel variate), so that a
-long text's weight does not drown a short one's.
+over labelled good documents.  A document's log importance ratio is the sum
+over its n-grams of log p_target - log p_raw.  Documents are drawn without
+replacement by Gumbel top-k: the key of a document is its logit plus a standard
+Gumbel variate, and the k documents of the largest keys are kept, the others
+rejected; that is the same as drawing k documents one after another, each with
+probability in proportion to exp(logit) among those left.
+
+The logit is the tempered log ratio, ``sharpness`` times the log ratio per n-gram
+(``SHRINK`` n-grams of ratio 0 added): the plain sum grows with the length, and a
+long text's sum would drown a short one's.  With the default of 100 the draw
+decides near the cutoff, where about one document in a hundred lies; the smaller
+the sharpness, the more the draw decides.  k is the number of documents whose ratio
+per n-gram reaches a cutoff, set on labelled documents that the target model
+has not seen: the highest one at which at most ``false_reject`` of the good ones
+stay below, no higher than where good and bad are best told apart.
 
 Scale: two scans.  The first makes one partial count vector a task, summed by
 bucket in Spark; the models are ``BUCKETS`` numbers each on the driver, however
 large the corpus.  Labelled rows for the target and the cutoff are a sample,
 the ``fit_rows`` (20,000) smallest by hash of their id; all else covers all
 documents.  The k-th key is found by refining a histogram of keys, so no key is
-sorted or collected.  The noise is a hash of id, text and seed: retried tasks
+sorted or collected.  The variate is a hash of id, text and seed: retried tasks
 draw the same.
 
 Defined results: null and empty texts have no n-grams, weight 0 and are
-rejected; repeated rows get the same key and fall or stay together (k may be
-exceeded by such ties only); null ids are allowed; without usable labels nothing
-but empty texts is rejected; empty tables give empty results; columns of other
-names are ignored (``keep_quality`` passes them through).
+rejected; very long texts count whole; repeated rows get the same key and fall or
+stay together (k may be exceeded by such ties only); null ids are allowed; without
+usable labels nothing but empty texts is rejected; empty tables give empty results;
+columns of other names are ignored (``keep_quality`` passes them through).
 """
 
 from __future__ import annotations
@@ -44,6 +48,7 @@ from .common import WORD, Scratch, mix64, word_hashes
 
 BUCKETS = 1 << 15
 FIT_ROWS = 20_000
+SHARPNESS = 100.0
 #: n-grams of weight 0 added to every document, so that very short texts are not judged by a word or two.
 SHRINK = 20
 _WORDS = re.compile(WORD)
@@ -97,24 +102,24 @@ def log_ratio(raw: np.ndarray, target: np.ndarray, pseudo: float = 1.0) -> np.nd
     return np.log(p_target) - np.log(p_raw)
 
 
-def _scored(batch_ids, batch_texts, ratio: np.ndarray, seed: int, noise: float, cache: dict):
+def _scored(batch_ids, batch_texts, ratio: np.ndarray, seed: int, sharpness: float, cache: dict):
     """Rows of (n-grams, log weight, key); the key is null without n-grams."""
     out = []
     for doc_id, text in zip(batch_ids, batch_texts):
         b = ngram_buckets(text, cache)
         w = float(ratio[b].sum()) if len(b) else 0.0
-        out.append((len(b), w, w / (len(b) + SHRINK) + noise * gumbel(doc_id, text, seed) if len(b) else None))
+        out.append((len(b), w, sharpness * w / (len(b) + SHRINK) + gumbel(doc_id, text, seed) if len(b) else None))
     return out
 
 
-def score_documents(docs: DataFrame, ratio: np.ndarray, seed: int, noise: float) -> DataFrame:
+def score_documents(docs: DataFrame, ratio: np.ndarray, seed: int, sharpness: float) -> DataFrame:
     """(doc_id, n_ngrams, log_weight, key) of every row."""
     schema = "doc_id long, n_ngrams long, log_weight double, key double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            rows = _scored(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ratio, seed, noise, cache)
+            rows = _scored(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ratio, seed, sharpness, cache)
             n, w, k = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w, pa.float64()), pa.array(k, pa.float64())], names=["doc_id", "n_ngrams", "log_weight", "key"])
 
@@ -161,27 +166,27 @@ def kth_largest(scored: DataFrame, k: int) -> float:
 class Selection:
     """What the fit leaves: the ratio per bucket and the smallest kept key."""
 
-    def __init__(self, ratio: np.ndarray, least: float | None, seed: int, noise: float):
-        self.ratio, self.least, self.seed, self.noise = ratio, least, seed, noise
+    def __init__(self, ratio: np.ndarray, least: float | None, seed: int, sharpness: float):
+        self.ratio, self.least, self.seed, self.sharpness = ratio, least, seed, sharpness
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, false_reject: float = 0.003, noise: float = 0.002, seed: int = 1) -> tuple[Selection, DataFrame]:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, false_reject: float = 0.003, sharpness: float = SHARPNESS, seed: int = 1) -> tuple[Selection, DataFrame]:
     """(selection, scores of all rows)."""
     usable = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
     sample = usable.select("doc_id", (F.col("q") > 0).alias("good"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(fit_rows).collect()
     target = {r["doc_id"] for r in sample if r["good"] and r["h"] % 4}
     held = {r["doc_id"]: r["good"] for r in sample if r["doc_id"] not in target}
     ratio = log_ratio(*count_ngrams(docs, target))
-    scored = Scratch(docs.sparkSession, "quality").save(score_documents(docs, ratio, seed, noise), "scored", wide=True)
+    scored = Scratch(docs.sparkSession, "quality").save(score_documents(docs, ratio, seed, sharpness), "scored", wide=True)
     seen = scored.where(F.col("n_ngrams") > 0).select("doc_id", (F.col("log_weight") / (F.col("n_ngrams") + SHRINK)).alias("w"))
     spark = docs.sparkSession
     held_rows = spark.createDataFrame(list(held.items()), "doc_id long, good boolean")  # at most fit_rows
     known = seen.join(F.broadcast(held_rows), "doc_id").dropDuplicates(["doc_id"]).toPandas()
     cutoff = choose_cutoff(known.loc[known["good"].astype(bool), "w"].to_numpy(float), known.loc[~known["good"].astype(bool), "w"].to_numpy(float), false_reject)
     if cutoff is None:
-        return Selection(ratio, None, seed, noise), scored
+        return Selection(ratio, None, seed, sharpness), scored
     k = seen.where(F.col("w") >= cutoff).count()
-    return Selection(ratio, kth_largest(scored.where(F.col("key").isNotNull()), k) if k else float("inf"), seed, noise), scored
+    return Selection(ratio, kth_largest(scored.where(F.col("key").isNotNull()), k) if k else float("inf"), seed, sharpness), scored
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -192,7 +197,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            rows = _scored(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), chosen.ratio, chosen.seed, chosen.noise, cache)
+            rows = _scored(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), chosen.ratio, chosen.seed, chosen.sharpness, cache)
             yield batch.filter(pa.array([k is not None and (chosen.least is None or k >= chosen.least) for _, _, k in rows], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -13,7 +13,7 @@ from cardiolake.llm import registry
 from .helpers import components
 from .test_dedup import covered, repeated
 from .test_storage import check_pieces
-from .test_texts import brute_measures, brute_verdict
+from .test_texts import brute_measures, brute_selection, brute_verdict
 
 
 @pytest.fixture(scope="module")
@@ -45,8 +45,13 @@ def test_op1(spark, sf_dir, documents):
 
 
 def test_op2(spark, sf_dir, documents):
-    rows = run(spark, sf_dir, 2)
-    assert sorted(r["doc_id"] for r in rows) == [i for i, _ in documents] and sum(r["kept"] for r in rows) > len(rows) / 2
+    rows = {r["doc_id"]: r for r in run(spark, sf_dir, 2)}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    want, kept = brute_selection(documents, labels)
+    assert sorted(rows) == [i for i, _ in documents] and {i for i, r in rows.items() if r["key"] is not None} == set(want)
+    for i, (n, weight, key) in want.items():
+        assert rows[i]["n_ngrams"] == n and abs(rows[i]["log_weight"] - weight) < 1e-6 * max(1, n) and abs(rows[i]["key"] - key) < 1e-6
+    assert {i for i, r in rows.items() if r["kept"]} == kept
 
 
 def test_op3(spark, sf_dir, documents):

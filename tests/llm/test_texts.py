@@ -168,6 +168,74 @@ def test_kth_largest(spark):
     assert (keys >= t).sum() == 700
 
 
+def brute_selection(rows, labels, fit_rows=20_000):
+    """{id: (n-grams, log ratio, logit)} and the ids kept, by plain counting; rows: (id, text), labels: {id: quality}."""
+    from math import exp, log
+
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    hashes = {r["id"]: r["h"] for r in spark.createDataFrame([(i,) for i in labels], "id long").selectExpr("id", "xxhash64(id) AS h").collect()}
+    sample = sorted(labels, key=lambda i: (hashes[i], i))[:fit_rows]
+    target = {i for i in sample if labels[i] and hashes[i] % 4}
+    raw, good, cache = [0] * qc.BUCKETS, [0] * qc.BUCKETS, {}
+    grams = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = [int(x) for x in qc.word_hashes(w, cache)]
+        pairs = [int(qc.mix64(np.array([(a * 0x9E3779B97F4A7C15 % 2**64) ^ b], dtype=np.uint64))[0]) for a, b in zip(h, h[1:])]
+        grams[i] = [x % qc.BUCKETS for x in h + pairs]
+        for b in grams[i]:
+            raw[b] += 1
+            good[b] += i in target
+    p = [(n + 1) / (sum(raw) + qc.BUCKETS) for n in raw]
+    ratio = [log((g + qc.BUCKETS * x) / (sum(good) + qc.BUCKETS)) - log(x) for g, x in zip(good, p)]
+    weight = {i: sum(ratio[b] for b in g) for i, g in grams.items() if g}
+    per = {i: w / (len(grams[i]) + 20) for i, w in weight.items()}
+    held = [i for i in sample if i not in target and i in per]
+    yes, no = sorted(per[i] for i in held if labels[i]), sorted(per[i] for i in held if not labels[i])
+    safe = yes[int(0.003 * len(yes))]
+    grid = sorted({*yes, *no})
+    best = max(grid, key=lambda c: (round(sum(x < c for x in no) / len(no) - sum(x < c for x in yes) / len(yes), 12), -c))
+    below = max((x for x in no if x < best), default=best)
+    k = sum(x >= min(safe, (best + below) / 2) for x in per.values())
+    texts = dict(rows)
+    keys = {i: 100 * x + qc.gumbel(i, texts[i], 1) for i, x in per.items()}
+    least = sorted(keys.values(), reverse=True)[k - 1]
+    return {i: (len(grams[i]), weight[i], keys[i]) for i in keys}, {i for i, x in keys.items() if x >= least}
+
+
+def test_draw_is_gumbel_top_k(spark):
+    """Sets drawn under many seeds come as often as drawing one after another without replacement gives them."""
+    from itertools import combinations, permutations
+    from math import exp
+
+    logits, n = [0.0, 0.7, -0.5, 1.2, 0.3], 6000
+    odds = [exp(x) for x in logits]
+    want = dict.fromkeys(combinations(range(5), 2), 0.0)
+    for a, b in permutations(range(5), 2):
+        want[tuple(sorted((a, b)))] += odds[a] / sum(odds) * odds[b] / (sum(odds) - odds[a])
+    got = dict.fromkeys(want, 0)
+    for seed in range(n):
+        keys = [x + qc.gumbel(i, "t", seed) for i, x in enumerate(logits)]
+        got[tuple(sorted(sorted(range(5), key=keys.__getitem__)[-2:]))] += 1
+    assert all(abs(got[s] / n - p) < 4 * (p * (1 - p) / n) ** 0.5 for s, p in want.items())
+
+
+def test_classifier_edges(spark):
+    """Repeated rows, null ids, clashing columns, a very long text, contradicting labels."""
+    texts, quality = junk_and_clean(120)
+    long = "river stone light house " * 50_000
+    d = docs(spark, [*texts, (0, texts[0]), (None, texts[1]), (None, None), (7000, long)], n_ngrams=F.lit("mine"), key=F.lit(1), log_weight=F.lit("x"), q=F.lit(0))
+    labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality)] + [(3, 0, 0), (None, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int").withColumn("text", F.lit("z"))
+    kept = qc.keep_quality(d, labels)
+    rows = kept.collect()
+    assert kept.columns == d.columns and sum(r["doc_id"] == 0 for r in rows) == 2
+    assert all(r["n_ngrams"] == "mine" and r["text"] for r in rows)
+    _, scored = qc.fit(d, labels)
+    assert scored.count() == len(texts) + 4 and {r["n_ngrams"] for r in scored.where("doc_id = 7000").collect()} == {399_999}
+
+
 def brute_measures(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     wins = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
