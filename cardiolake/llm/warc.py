@@ -51,11 +51,15 @@ def record_id(page_id: int | None, url: str | None, digest: str, kind: str) -> s
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}|{digest}|{kind}')}>"
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool) -> tuple[str, bytes]:
-    """(record id, one WARC record)."""
+def target_uri(url: str | None) -> str:
+    return "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
+
+
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, first_url: str | None, is_revisit: bool) -> tuple[str, bytes]:
+    """(record id, one WARC record); a revisit names the response ``refers_to`` of address ``first_url``."""
     kind = "revisit" if is_revisit else "response"
     rid = record_id(page_id, url, digest, kind)
-    uri = "".join(c if 32 < ord(c) < 127 else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in url or "")
+    uri = target_uri(url)
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if is_revisit else http + payload
     head = [
@@ -70,7 +74,13 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
         f"X-Page-Url: {'null' if url is None else json.dumps(url)}",
     ]
     if is_revisit:
-        head += [f"WARC-Profile: {IDENTICAL}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
+        head += [
+            f"WARC-Profile: {IDENTICAL}",
+            f"WARC-Refers-To: {record_id(refers_to, first_url, digest, 'response')}",
+            f"WARC-Refers-To-Target-URI: {target_uri(first_url)}",
+            f"WARC-Refers-To-Date: {DATE}",
+            f"X-Refers-To-Page: {'' if refers_to is None else refers_to}",
+        ]
     head.append(f"Content-Length: {len(block)}")
     return rid, "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -173,8 +183,8 @@ def _bundles(frame_bytes: int, bundle_bytes: int, level: int):
             )
 
         for batch in batches:
-            for page_id, url, html, digest, refers_to, is_revisit in zip(*(c.to_pylist() for c in batch.columns)):
-                writer.add(*record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers_to, is_revisit))
+            for page_id, url, html, digest, refers_to, first_url, is_revisit in zip(*(c.to_pylist() for c in batch.columns)):
+                writer.add(*record_bytes(page_id, url, (html or "").encode("utf-8", "surrogatepass"), digest, refers_to, first_url, is_revisit))
                 count += 1
                 if writer.size >= bundle_bytes:
                     yield close()
@@ -187,13 +197,13 @@ def _bundles(frame_bytes: int, bundle_bytes: int, level: int):
 
 def write_bundles(pages: DataFrame, least_bytes: int = 100, frame_bytes: int = 1 << 18, bundle_bytes: int = 4 << 20, level: int = 6) -> DataFrame:
     """(name, records, content): the archives of ``pages``, written once."""
-    scratch = Scratch(pages.sparkSession, "warc")
+    scratch = Scratch(pages.sparkSession, "warc", pages)
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", "html").withColumn("digest", F.sha2(payload.cast("binary"), 256)).withColumn("big", F.octet_length(payload) >= least_bytes)
-    groups = scratch.save(base.where("big").groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first"), "groups")
+    groups = scratch.save(base.where("big").groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")).alias("r")).where("n > 1").select("digest", F.col("r.page_id").alias("first"), F.col("r.url").alias("first_url")), "groups")
     marked = base.join(groups, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & F.coalesce(F.col("page_id") != F.col("first"), F.lit(True)) & F.col("big"))
     return scratch.save(
-        marked.select(F.col("page_id").cast("long"), "url", "html", "digest", F.when(F.col("revisit"), F.col("first")).cast("long").alias("refers_to"), "revisit").mapInArrow(
+        marked.select(F.col("page_id").cast("long"), "url", "html", "digest", F.when(F.col("revisit"), F.col("first")).cast("long").alias("refers_to"), F.col("first_url").cast("string").alias("first_url"), "revisit").mapInArrow(
             _bundles(frame_bytes, bundle_bytes, level), BUNDLE_SCHEMA
         ),
         "bundles",

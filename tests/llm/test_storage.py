@@ -73,6 +73,18 @@ def test_archives_round_trip(spark):
     assert sorted(((str(r["page_id"]), r["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_revisits_name_their_response(spark):
+    big = "<p>" + "x" * 200 + "</p>"
+    bundles = wa.write_bundles(pages(spark, [(4, "http://a/4", big), (2, "http://a/2 b", big), (9, None, big)]))
+    records = {}
+    for row in bundles.collect():
+        for _, _, head, _, _ in wa.BundleReader(row["content"]).records():
+            records[head["X-Page-Id"]] = head
+    assert records["2"]["WARC-Type"] == "response"
+    for i in ("4", "9"):
+        assert records[i]["WARC-Refers-To"] == records["2"]["WARC-Record-ID"] and records[i]["WARC-Refers-To-Target-URI"] == "http://a/2%20b" == records["2"]["WARC-Target-URI"]
+
+
 def test_random_access_and_plain_tools(spark, tmp_path):
     import zstandard
 
