@@ -59,6 +59,8 @@ _AGAINST = frozenset(
     "comment comments reply replies respond discussion disqus share sharing social follow related recommended more trending popular widget subscribe subscription newsletter signup login search form pagination pager tags meta toolbar tool skip copyright legal contentinfo complementary hidden".split()
 )
 _FOR = frozenset("article content main post entry story body text blog page prose single detail".split())
+#: Words that make a name speak of the page's state (``has-sidebar``, ``comments-open``), not of the element.
+_STATE = frozenset("with has no not without free open closed off accepted enabled disabled".split())
 _TAG_GROUPS = (("nav", "menu"), ("header", "hgroup"), ("footer",), ("aside",), ("form", "fieldset", "dialog", "search"), ("article",), ("main",), ("section",), ("div", "center"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tr"), ("td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("body", "html"), ("address", "details", "summary"))
 _GROUP = {t: i for i, g in enumerate(_TAG_GROUPS) for t in g}
 N_FEATURES = 27 + len(_TAG_GROUPS)
@@ -234,9 +236,11 @@ class Page:
         good, bad = np.zeros(n), np.zeros(n)
         above_good, above_bad, group, above = np.zeros(n), np.zeros(n), np.full(n, -1), np.zeros((n, 2))
         for i in range(n):
-            if self.attrs[i]:
-                tokens = _TOKEN.findall(self.attrs[i])
-                good[i], bad[i] = sum(t in _FOR for t in tokens), sum(t in _AGAINST for t in tokens)
+            for name in self.attrs[i].split() if self.tag[i] not in ("html", "body") else ():
+                tokens = _TOKEN.findall(name)
+                good[i] += sum(t in _FOR for t in tokens)
+                if not _STATE.intersection(tokens):
+                    bad[i] += sum(t in _AGAINST for t in tokens)
             bad[i] += self.hidden[i]
             group[i] = _GROUP.get(self.tag[i], -1)
             if i:
@@ -346,24 +350,28 @@ def training_page(rng: np.random.Generator) -> str:
             out += boiler()
         return out
 
-    head = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body>"
-    top = pick("", f"<header{attr('header', 'masthead', '')}><h1>{word()}</h1>{links(4)}</header>", f'<div class="{pick("header", "top", "masthead")}"><a href="/">{word()}</a></div>')
+    head = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body{pick('', '', ' class="home sidebar-right"', f' class="{word()} no-menu header-fixed comments-closed"')}>"
+    top = pick("", f"<header{attr('header', 'masthead', '')}><h1>{word()}</h1>{links(4)}</header>", f'<div class="{pick("header", "top", "masthead")}"><a href="/">{word()}</a></div>', f"<header>{word()}</header>", f"<header{attr('header', '')}><p>{pick(word(), sentence(2, 8))}</p></header>")
     foot = pick(f"<footer{attr('footer', '')}>&copy; {word()} &middot; {sentence()} {pick('', sentence())}</footer>", f'<div class="{pick("footer", "copyright", "legal")}">Copyright {word()}. {sentence()}</div>', f"<footer><p>{sentence()}</p>{links(5)}</footer>", "")
     title = f"<h{pick(1, 1, 2)}>{_SENTINEL}{sentence(2, 12)}</h1>" if chance(0.85) else ""
+    own_header = bool(title) and chance(0.15)
     size = int(rng.choice([0, 1, 1, 2, 3, 5, 8, 14, 25])) if chance(0.97) else 60
     half = int(rng.integers(size + 1))
     body = title + prose(half, True) + (boiler() if chance(0.15) else "") + prose(size - half, True)
+    if own_header:
+        body = f"<header>{title}</header>" + body[len(title) :]
     if not title and not size:
         body = f"<p>{_SENTINEL}{sentence(1, 5)}</p>"
-    wrap = int(rng.integers(7))
+    wrap = int(rng.integers(4 if own_header else 7))
+    state = f' class="{pick("content", "article", "post", word())}{pick(" ", "-")}{pick("has-sidebar", "with-sidebar", "no-comments", "ad-free", "with-menu", "comments-open")}"'
     inner = (
         lambda: f"<article>{body}</article>",
-        lambda: f"<article{attr('post', 'entry', 'story', '')}>{body}</article>",
-        lambda: f"<main>{body}</main>",
+        lambda: f"<article{pick(attr('post', 'entry', 'story', ''), state)}>{body}</article>",
+        lambda: f"<main{pick('', state)}>{body}</main>",
         lambda: f"<main><article>{body}</article></main>",
         lambda: f'<div class="{pick("content", "main", "post", "article", "entry", "story-body")}">{body}</div>',
         lambda: f'<div id="{pick("content", "main")}"><div class="{pick("post", "text", "entry")}">{body}</div>{some(0.2)}</div>',
-        lambda: f"<div><section>{body}</section></div>",
+        lambda: f"<div><section{pick('', state)}>{body}</section></div>",
     )[wrap]()
     page = top + some(0.6) + inner + some(0.45) + foot
     if chance(0.25):

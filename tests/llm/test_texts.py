@@ -464,6 +464,31 @@ def test_no_text_is_cut_from_valid_pages():
     assert he.main_texts([f"<html><body>{nav}{body}<script>{ps}"], he.model()) == [text]
 
 
+def test_hand_written_layouts():
+    """Pages that no generator made, with class names that speak of the page and not of the element."""
+    lines = ["The river was calm that evening, and nobody spoke for a while.", "Later, the lamps were lit along the quay, one after another.", "By morning the boats had gone, and with them the whole of the story."]
+    ps, text = "".join(f"<p>{t}</p>" for t in lines), " ".join(lines)
+    nav, foot = '<nav><a href="/">Home</a> <a href="/b">About</a></nav>', "<footer><p>&copy; 2020 Site. All rights.</p></footer>"
+    pages = [
+        f'<html><body>{nav}<article class="article-with-sidebar">{ps}</article>{foot}</body></html>',
+        f'<html><body>{nav}<div class="content has-sidebar">{ps}</div><div class="sidebar"><p>Try our newsletter today.</p></div>{foot}</body></html>',
+        f"<html><body><span>{lines[0]}</span> <span>{lines[1]}</span> <span>{lines[2]}</span></body></html>",
+        f"<span>{text}</span>",
+        f'<html><body>{nav}<div class="post comments-open">{ps}</div><div class="comment-list"><p>First! Great read.</p><p>Thanks for that.</p></div>{foot}</body></html>',
+        f'<html><body>{nav}<main class="ad-free">{ps}</main>{foot}</body></html>',
+        f'<body class="no-menu header-fixed cookie-accepted">{nav}<article>{ps}</article>{foot}</body>',
+        f"<html><body><table><tr><td class=menu><a href=/a>A</a><br><a href=/b>B</a></td><td>{ps}</td></tr></table></body></html>",
+        f"<html><body><center><font>{lines[0]}<br><br>{lines[1]}<br><br>{lines[2]}</font></center></body></html>",
+        f'<html><body><header>Site</header><section class="post">{ps}</section><section class="related"><h3>Related</h3><a href=/x>One more</a></section></body></html>',
+        "<html><body><div id=wrap><div id=top><a href=/>x</a></div><div id=page>" + "".join(f"<p>{t}" for t in lines) + "</div></div>",
+        f'<html><body><article>{ps}<div class="share-buttons"><a href=f>Share</a><a href=t>Tweet</a></div></article></body></html>',
+        f'<html><body class="home page-template sidebar-right"><div class="site"><div class="entry-content">{ps}</div></div></body></html>',
+        f"<html><body><main><p>{lines[0]}</p><blockquote>{lines[1]}</blockquote><ul><li>{lines[2]}</li></ul></main></body></html>",
+    ]
+    assert he.main_texts(pages, he.model()) == [text] * len(pages)
+    assert he.main_texts([f"<html><body>{nav}<article><header><h1>The calm river</h1></header>{ps}</article>{foot}</body></html>"], he.model()) == ["The calm river " + text]
+
+
 def test_odd_pages():
     m = he.model()
     got = he.main_texts([None, "", "<", "<p", "<html><head><title>t</title></head></html>", "<!-- never closed", "<p class='x>y</p>", "<div>" * 3000 + "deep"], m)
@@ -491,3 +516,6 @@ def test_decoding_is_hierarchical():
 def test_page_rows(spark):
     d = spark.createDataFrame([(1, None, "<p>x</p>"), (1, "u", None), (None, "u", "<article><p>Some text here, and more of it.</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit("mine"))
     assert he.extract_main_text(d).count() == 3 and he.extract_main_text(d.limit(0)).count() == 0
+    long = "<article><p>" + "A long line, with words. " * 40_000 + "</p></article>"
+    twice = he.extract_main_text(spark.createDataFrame([(1, "u", long), (1, "u", long)], "page_id long, url string, html string").withColumn("n_chars", F.lit("mine"))).collect()
+    assert [r["n_chars"] for r in twice] == [25 * 40_000 - 1] * 2
