@@ -14,6 +14,7 @@ from ..functions.prefix import running
 from .detection import checked, per_signal
 from .matching import nearest_labels
 
+#: Window lengths, bands and the names of the features, which are the output's contract.
 N_SHAPE, WINDOW_S, QRS_S = 64, 0.25, 0.08
 BANDS = ((0.5, 5.0), (5.0, 15.0), (15.0, 40.0), (40.0, 100.0))
 FEATURE_NAMES = (
@@ -31,11 +32,11 @@ def features_of(x: np.ndarray, fs: float, at: Sequence[int], prominence: Sequenc
     at = np.asarray(at, dtype=np.int64)
     prominence = np.zeros(len(at)) if prominence is None else np.asarray(prominence, dtype=float)
     if (at < 0).any() or (at >= len(x)).any():
-        raise ValueError("candidate indices out of range")
+        raise ValueError("a candidate lies outside the signal")
     if len(prominence) != len(at) or not np.isfinite(prominence).all():
-        raise ValueError("prominences must be finite and match the candidates")
+        raise ValueError("one finite prominence a candidate is needed")
     if not (math.isfinite(window_s) and window_s > 0):
-        raise ValueError("window must be positive")
+        raise ValueError(f"feature window {window_s} s is not usable")
     if not len(at):
         return np.empty((0, len(FEATURE_NAMES)), dtype=np.float32)
     base = x - np.median(x)
@@ -65,7 +66,7 @@ def features_of(x: np.ndarray, fs: float, at: Sequence[int], prominence: Sequenc
         prev, nxt, prev / max(typical, 1e-6), nxt / max(typical, 1e-6), wide[:, below] * (1 - share) + wide[:, above] * share,
     ]).astype(np.float32)
     if not np.isfinite(out).all():
-        raise ValueError("candidate features are not finite")
+        raise ValueError("a feature overflowed")
     return out
 
 
@@ -83,7 +84,7 @@ def candidate_features(signals: DataFrame, peaks: DataFrame, keys: Sequence[str]
 
 def label_candidates(peaks: DataFrame, references: DataFrame, fs_hz: float, tolerance_s: float = 0.075, keys: Sequence[str] = ("recording_id",), at: str = "r_index") -> DataFrame:
     if not (math.isfinite(tolerance_s) and tolerance_s > 0 and math.isfinite(fs_hz) and fs_hz > 0):
-        raise ValueError("rate and tolerance must be positive and finite")
+        raise ValueError(f"rate {fs_hz} or tolerance {tolerance_s} is not usable")
     return nearest_labels(peaks, references, tolerance_s * fs_hz, keys, at, at).select(*keys, F.col("at").cast("long").alias(at), "label")
 
 
@@ -93,7 +94,7 @@ def threshold_for_recall(scored: DataFrame, target: float = 0.995, keys: Sequenc
     Rows of one probability are counted together, so ties do not matter.
     """
     if not 0 < target <= 1:
-        raise ValueError("target recall must be in (0, 1]")
+        raise ValueError(f"recall {target} is outside (0, 1]")
     levels = scored.groupBy(*keys, probability).agg(F.sum(label).alias("__n"))
     if keys:
         w = Window.partitionBy(*keys).orderBy(F.desc(probability)).rowsBetween(Window.unboundedPreceding, 0)

@@ -29,11 +29,11 @@ EDGE_BAND, EDGE_SMOOTH_S, EDGE_SEARCH_S, EDGE_ENERGY, EDGE_AMPLITUDE, EDGE_RUN =
 def checked(values: Sequence[float], fs: float, least: int) -> np.ndarray:
     x = np.asarray(values, dtype=float)
     if x.ndim != 1 or len(x) < least:
-        raise ValueError(f"signal must be one-dimensional with at least {least} samples")
+        raise ValueError(f"signal of {x.size} samples in {x.ndim} dimensions; {least} or more in one are needed")
     if not np.isfinite(x).all():
-        raise ValueError("signal must contain only finite values")
+        raise ValueError("signal has values that are not finite")
     if not (math.isfinite(fs) and fs > 0):
-        raise ValueError("sampling rate must be positive and finite")
+        raise ValueError(f"sampling rate {fs} is not usable")
     return x
 
 
@@ -89,7 +89,7 @@ def polarity_of(x: np.ndarray, fs: float) -> dict:
 def peaks_of(x: np.ndarray, fs: float, polarity: str = "positive", fraction: float = STRICT, distance_s: float = REFRACTORY_S, empty_scale: float = 0.0) -> tuple[np.ndarray, np.ndarray, str]:
     """(peaks, prominences, polarity used)."""
     if polarity not in ("positive", "negative", "adaptive"):
-        raise ValueError("polarity must be positive, negative, or adaptive")
+        raise ValueError(f"unknown polarity {polarity!r}")
     z = x - np.median(x)
     scale = float(np.std(z)) or empty_scale
     if not (math.isfinite(scale) and scale > 0):
@@ -106,11 +106,11 @@ def recovered_of(x: np.ndarray, fs: float, peaks: np.ndarray, polarity: str = "p
     if len(peaks) < 2:
         return none
     if (np.diff(peaks) <= 0).any() or peaks[0] < 0 or peaks[-1] >= len(x):
-        raise ValueError("peaks must be sorted and in range")
+        raise ValueError("peaks do not rise inside the signal")
     if not (math.isfinite(gap_ratio) and gap_ratio > 1):
-        raise ValueError("gap_ratio must be greater than one")
+        raise ValueError(f"gap ratio {gap_ratio} is not above 1")
     if not (math.isfinite(fraction) and fraction > 0):
-        raise ValueError("prominence fraction must be positive")
+        raise ValueError(f"prominence share {fraction} is not positive")
     relaxed, prom, _ = peaks_of(x, fs, polarity, fraction)
     gaps = np.diff(peaks)
     found = []
@@ -166,7 +166,7 @@ def vote_of(x: np.ndarray, fs: float) -> dict:
 def boundaries_of(x: np.ndarray, fs: float, centres: Sequence[int], search_s: float = EDGE_SEARCH_S, energy: float = EDGE_ENERGY, amplitude: float = EDGE_AMPLITUDE, run: int = EDGE_RUN) -> list[dict]:
     """Onset and offset around every centre; the signal is filtered once."""
     if not (math.isfinite(search_s) and search_s > 0) or not 0 < energy < 1 or not 0 < amplitude < 1 or run < 1:
-        raise ValueError("search window, thresholds and run must be in range")
+        raise ValueError("delineation: search time, shares or run length out of range")
     nyquist = fs / 2
     low, high = min(EDGE_BAND[0], 0.4 * nyquist), min(EDGE_BAND[1], 0.9 * nyquist)
     centred = x - np.median(x)
@@ -175,7 +175,7 @@ def boundaries_of(x: np.ndarray, fs: float, centres: Sequence[int], search_s: fl
     tiny, out = np.finfo(float).eps, []
     for c in map(int, centres):
         if not 0 <= c < len(x):
-            raise ValueError("center must be a valid sample index")
+            raise ValueError(f"centre {c} lies outside the signal")
         a, b = max(0, c - half), min(len(x), c + half + 1)
         quiet = (env[a:b] < energy * max(env[a:b].max(), tiny)) | (size[a:b] < amplitude * max(size[a:b].max(), tiny))
         calm = np.convolve(quiet, np.ones(run), mode="valid") == run  # calm[i]: quiet from i to i + run - 1
@@ -205,7 +205,7 @@ def vote_polarity(signals: DataFrame, keys: Sequence[str] = ("recording_id", "ch
 def hybrid_polarity(signals: DataFrame, ambiguity: float = AMBIGUOUS, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
     """The count-based polarity where it is confident, the QRS vote where it is not."""
     if not (math.isfinite(ambiguity) and 0 <= ambiguity <= 1):
-        raise ValueError("ambiguity must be in [0, 1]")
+        raise ValueError(f"ambiguity {ambiguity} is outside [0, 1]")
     counted = select_polarity(signals, keys)
     unsure = counted.where(F.col("error").isNull() & (F.col("confidence") < ambiguity)).select(*keys)
     voted = vote_polarity(signals.join(unsure, list(keys), "left_semi"), keys).select(*keys, F.struct("polarity", "confidence").alias("__v"))
@@ -239,7 +239,7 @@ def delineate(signals: DataFrame, centres: DataFrame, keys: Sequence[str] = ("re
 def filter_signals(signals: DataFrame, baseline: bool = False, highpass_hz: float | None = None, lowpass_hz: float | None = None, notch_hz: float | None = None, notch_q: float = 30.0, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
     """keys and ``filtered``: baseline, high-pass, low-pass and notch in this order, zero phase; ``values`` stay as they are."""
     if highpass_hz is not None and lowpass_hz is not None and highpass_hz >= lowpass_hz:
-        raise ValueError("high-pass cutoff must be lower than low-pass cutoff")
+        raise ValueError(f"high-pass at {highpass_hz} Hz leaves nothing below the low-pass at {lowpass_hz} Hz")
 
     def run(v, fs, _):
         x = checked(v, fs, 16)
@@ -247,7 +247,7 @@ def filter_signals(signals: DataFrame, baseline: bool = False, highpass_hz: floa
             if cutoff is None:
                 continue
             if not (math.isfinite(cutoff) and 0 < cutoff < fs / 2):
-                raise ValueError(f"{kind} frequency must lie between 0 and the Nyquist frequency")
+                raise ValueError(f"{kind} at {cutoff} Hz is outside (0, {fs / 2})")
             sections = K.notch(cutoff, notch_q, fs) if kind == "notch" else K.butterworth(4, kind, fs, cutoff)
             x = K.zero_phase(sections, x, 9 if kind == "notch" else 15)
         return [{"filtered": x.tolist()}]
@@ -271,7 +271,7 @@ def run_detector(signals: DataFrame, name: str, keys: Sequence[str] = ("recordin
         x = checked(v, fs, 8)
         got = np.asarray(fn(x, fs), dtype=float)
         if got.ndim != 1 or not np.isfinite(got).all() or (got != np.floor(got)).any() or (got < 0).any() or (np.diff(got) <= 0).any():
-            raise ValueError("detector must return whole, non-negative, strictly increasing indices")
+            raise ValueError(f"detector {name} gave indices that are not whole, non-negative and rising")
         return [{"r_index": int(i)} for i in got]
 
     return per_signal(signals, run, "r_index long", keys)

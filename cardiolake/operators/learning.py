@@ -28,7 +28,7 @@ BEAT_FEATURES = ("mean", "std", "max", "min", "max_abs", "mean_abs_slope", "powe
 
 def beat_features_of(x: np.ndarray, fs: float, centre: int, window_s: float = 0.8) -> np.ndarray:
     if not 0 <= centre < len(x):
-        raise ValueError("beat index is outside the signal")
+        raise ValueError(f"beat at {centre} lies outside the signal")
     reach = max(8, round(fs * window_s / 2))
     part = x[max(0, centre - reach) : centre + reach + 1]
     if len(part) < 8:
@@ -57,14 +57,14 @@ def training_set(features: DataFrame, beats: DataFrame, annotations: DataFrame,
     """
     points = annotations.where("type = 'point' AND status = 'accepted' AND time IS NOT NULL AND length(label) > 0")
     if not points.limit(1).count():
-        raise ValueError("need accepted point annotations before training")
+        raise ValueError("training set: no accepted point annotation carries a label")
     won = nearest_labels(beats, points, tolerance_s, keys, "time_s", "time", "label").where("label = 1").select(*keys, F.col("at").alias("time_s"), F.col("reference_label").alias("label"))
     out = won.join(beats.select(*keys, "r_index", "time_s"), [*keys, "time_s"]).join(features.where("error IS NULL").select(*keys, "r_index", "features"), [*keys, "r_index"])
     n, k = out.agg(F.count("*"), F.count_distinct("label")).first()
     if k < MIN_CLASSES:
-        raise ValueError("need accepted annotations from at least two labels for supervised training")
+        raise ValueError(f"training set: {k} label(s) among the matched beats, {MIN_CLASSES} wanted")
     if n < MIN_EXAMPLES:
-        raise ValueError(f"need at least {MIN_EXAMPLES} matched accepted annotations for supervised training")
+        raise ValueError(f"training set: {n} matched beats, {MIN_EXAMPLES} wanted")
     return out
 
 
@@ -135,7 +135,7 @@ def spaced(rows: DataFrame, spacing: float, limit: int, keys: Sequence[str] = ()
 def rank_uncertain(predicted: DataFrame, top_n: int = 25, annotations: DataFrame | None = None, trained: DataFrame | None = None, exclude_s: float = 0.08, spacing_s: float = 0.25, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Most uncertain beats per recording, away from annotated and trained ones and from each other."""
     if not (math.isfinite(spacing_s) and spacing_s >= 0):
-        raise ValueError("spacing must be finite and non-negative")
+        raise ValueError(f"spacing {spacing_s} is no length of time")
     rows = predicted.withColumn("uncertainty", entropy("probabilities")).withColumn("confidence", F.array_max("probabilities"))
     if annotations is not None:
         rows = exclude_near(rows, annotations.where("type = 'point' AND time IS NOT NULL"), exclude_s, keys, "time_s", "time")
@@ -160,7 +160,7 @@ def group_folds(rows: DataFrame, n_folds: int, group: str = "group_id", label: s
     per_class = {c: len({r[group] for r in counts if r[label] == c}) for c in labels}
     n_folds = min(n_folds, len(groups), *per_class.values()) if labels else 0
     if n_folds < 2:
-        raise ValueError("at least two groups per class are needed")
+        raise ValueError("folds: every class must occur in two groups or more")
     table = np.zeros((len(groups), len(labels)))
     for r in counts:
         table[groups.index(r[group]), labels.index(r[label])] = r["count"]
@@ -213,7 +213,7 @@ def calibration_split(rows: DataFrame, fraction: float = 0.2, record: str = "rec
     """(record, part): whole records, about ``fraction`` of each stratum for calibration."""
     strata = record_strata(rows, record)
     if strata.limit(3).count() < 3:
-        raise ValueError("at least three records are needed")
+        raise ValueError("calibration split: fewer than three records")
     w = Window.partitionBy("stratum")
     place = F.row_number().over(w.orderBy(F.xxhash64(record, F.lit(seed)), record))
     take = F.greatest(F.lit(1), F.bround(F.count("*").over(w) * F.lit(fraction)).cast("int"))
@@ -238,12 +238,12 @@ def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: floa
     records are never fitted on.
     """
     if not (math.isfinite(fraction) and 0 <= fraction < 0.5):
-        raise ValueError("calibration fraction must be in [0, 0.5)")
+        raise ValueError(f"suppressor: share {fraction} to calibrate on is outside [0, 0.5)")
     counts = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
-        raise ValueError("labels must contain both negative and positive candidates")
+        raise ValueError("suppressor: candidates of both classes 0 and 1 are needed")
     if split is None and fraction > 0 and (sum(counts.values()) < 10 or min(counts.values()) < 2):
-        raise ValueError("calibration needs ten candidates and two of each class; a fraction of 0 turns it off")
+        raise ValueError("suppressor: too few candidates to set some aside (ten, and two a class); use a share of 0")
     pipeline = forest(trees, 14, seed, 2, scale=False)
     if split is not None:
         marked = rows.join(F.broadcast(split), record)
@@ -268,7 +268,7 @@ def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: floa
 def filter_candidates(model: PipelineModel, rows: DataFrame, threshold: float) -> DataFrame:
     """Every candidate with its probability and whether it is retained."""
     if not 0 <= threshold <= 1:
-        raise ValueError("threshold must be in [0, 1]")
+        raise ValueError(f"threshold {threshold} is no probability")
     return predict(model, rows).withColumn("probability", F.get("probabilities", F.lit(1))).withColumn("retained", F.col("probability") >= threshold).drop("probabilities", "predicted_label")
 
 

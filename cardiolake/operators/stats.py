@@ -45,7 +45,7 @@ def compare_groups(values: DataFrame, a, b, group: str = "grp", unit: str | None
     reduced = unit_means(seen, group, unit, value)
     m = {r[group]: r for r in group_moments(reduced, group).where(F.col(group).isin(a, b)).collect()}
     if any(g not in m or m[g]["n"] < 2 for g in (a, b)):
-        raise ValueError("each group needs at least two finite experimental units/observations")
+        raise ValueError(f"groups {a!r} and {b!r}: two units with finite values are needed on either side")
     counted = {r[group]: r["c"] for r in seen.groupBy(group).agg(F.count("*").alias("c")).collect()}
     u = rank_sums(reduced, a, b, group).first()
     x, y = m[a], m[b]
@@ -69,7 +69,7 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: str = "test_
     """Adjusted p-values: p n / rank, running minimum from the largest p, at most 1."""
     bad = tests.where(~is_finite(p) | (F.col(p) < 0) | (F.col(p) > 1)).limit(1).count()
     if bad:
-        raise ValueError("p-values must be finite numbers between 0 and 1")
+        raise ValueError("a p-value is missing or lies outside [0, 1]")
     if keys:
         up = Window.partitionBy(*keys).orderBy(p, order)
         n = F.count("*").over(Window.partitionBy(*keys))
@@ -103,13 +103,13 @@ def record_bootstrap(records: DataFrame, value: str, order: str = "recording_id"
     replicates, each skipping what the blocks before it drew.
     """
     if n_bootstrap < 100:
-        raise ValueError("n_bootstrap must be at least 100")
+        raise ValueError(f"{n_bootstrap} replicates are too few (100)")
     rows = records.select(order, F.col(value).cast("double").alias("v")).orderBy(order).collect()  # one number a record
     v = np.array([np.nan if r["v"] is None else r["v"] for r in rows], dtype=float)
     if not len(v):
-        raise ValueError("at least one record is required")
+        raise ValueError("no record to resample")
     if not np.isfinite(v).all():
-        raise ValueError(f"metric {value!r} is unavailable for at least one record")
+        raise ValueError(f"a record has no finite {value}")
     rng, means = np.random.default_rng(seed), []
     left = n_bootstrap
     while left:

@@ -112,36 +112,42 @@ def require_valid(report: DataFrame) -> None:
 
 
 def annotation_errors(start_bound: Column | float | None = None, end_bound: Column | float | None = None) -> Column:
-    """Array of error strings of an annotation row (empty: valid)."""
+    """Array of the faults of an annotation row (empty: valid).
+
+    The rules are a table of (fault, who it concerns, what must hold); a rule that
+    cannot be decided because a value is null counts as broken.
+    """
     as_col = lambda v: v if isinstance(v, Column) else F.lit(v).cast("double")
     low, high = as_col(0.0 if start_bound is None else start_bound), as_col(end_bound)
     start, end, time = F.col("start"), F.col("end"), F.col("time")
-    interval, point = F.col("type") == "interval", F.col("type") == "point"
-    both = start.isNotNull() & end.isNotNull()
-    rules = [
-        F.when(~nonblank("label"), "label must not be empty"),
-        F.when(~nonblank("channel"), "channel must not be empty"),
-        F.when(~(is_finite("confidence") & F.coalesce(F.col("confidence").between(0, 1), F.lit(False))), "confidence must be between 0 and 1"),
-        F.when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "invalid review status"),
-        F.when(~is_finite(low) | (high.isNotNull() & (~is_finite(high) | (high < low))), "invalid recording time bounds"),
-        F.when(~F.coalesce(interval | point, F.lit(False)), "unknown annotation type"),
-        F.when(interval & ~both, "interval annotations require start and end"),
-        F.when(interval & both & ~(is_finite(start) & is_finite(end)), "interval coordinates must be finite"),
-        F.when(interval & both & (end <= start), "end must be greater than start"),
-        F.when(interval & time.isNotNull(), "interval annotations must not define time"),
-        F.when(interval & both & high.isNotNull() & ((start < low) | (end > high)), "interval is outside the recording bounds"),
-        F.when(point & time.isNull(), "point annotations require time"),
-        F.when(point & time.isNotNull() & ~is_finite(time), "point time must be finite"),
-        F.when(point & (start.isNotNull() | end.isNotNull()), "point annotations must not define start/end"),
-        F.when(point & high.isNotNull() & ~time.between(low, high), "point is outside the recording bounds"),
-    ]
-    return F.filter(F.array(*rules), lambda x: x.isNotNull())
+    kind = F.coalesce(F.col("type"), F.lit(""))
+    every, interval, point = F.lit(True), kind == "interval", kind == "point"
+    spans, timed = interval & start.isNotNull() & end.isNotNull(), point & time.isNotNull()
+    rules = (
+        ("type is neither interval nor point", every, kind.isin("interval", "point")),
+        ("bounds are no finite range", every, is_finite(low) & (high.isNull() | (is_finite(high) & (high >= low)))),
+        ("confidence lies outside [0, 1]", every, is_finite("confidence") & F.col("confidence").between(0, 1)),
+        ("status is not one of " + ", ".join(STATUSES), every, F.col("status").isin(*STATUSES)),
+        ("label is blank", every, nonblank("label")),
+        ("channel is blank", every, nonblank("channel")),
+        ("interval has an open side", interval, spans),
+        ("interval carries the time of a point", interval, time.isNull()),
+        ("interval has a side that is not finite", spans, is_finite(start) & is_finite(end)),
+        ("interval does not last", spans, start < end),
+        ("interval leaves the recording", spans & high.isNotNull(), (low <= start) & (end <= high)),
+        ("point has no time", point, timed),
+        ("point carries sides of an interval", point, start.isNull() & end.isNull()),
+        ("point has a time that is not finite", timed, is_finite(time)),
+        ("point leaves the recording", timed & high.isNotNull(), time.between(low, high)),
+    )
+    found = [F.when(concerned & ~F.coalesce(holds, F.lit(False)), F.lit(fault)) for fault, concerned, holds in rules]
+    return F.array_compact(F.array(*found))
 
 
 def quality_report(phenotypes: DataFrame, keys: Sequence[str] = ("recording_id",), order: str = "row", required: Sequence[str] = ("r_index", "r_time_s", "heart_rate_bpm", "r_amplitude"), tolerance: float = 1e-6) -> DataFrame:
     """Counts of structural faults of beat phenotypes per recording; ``valid`` if there is none."""
     if not (tolerance >= 0 and math.isfinite(tolerance)):
-        raise ValueError("tolerance must be finite and non-negative")
+        raise ValueError(f"tolerance {tolerance} is not usable")
     w = Window.partitionBy(*keys).orderBy(order)
     rr, hr, index = F.col("rr_prev_s"), F.col("heart_rate_bpm"), F.col("r_index").cast("double")
     good_index = is_finite(index) & (index >= 0) & (index == F.floor(index))
@@ -173,9 +179,9 @@ def strict_indices(values: DataFrame, column: str, keys: Sequence[str] = ("recor
 
 def check_window(start: int, stop: int) -> None:
     if not 0 <= start < stop:
-        raise ValueError("window must satisfy 0 <= start < stop")
+        raise ValueError(f"window [{start}, {stop}) is empty or starts before 0")
     if stop - start > MAX_WINDOW:
-        raise ValueError(f"window must not be wider than {MAX_WINDOW} samples")
+        raise ValueError(f"window of {stop - start} samples is wider than {MAX_WINDOW}")
 
 
 _PROJECT, _RECORDING = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}"), re.compile(r"[0-9a-f]{32}")
@@ -183,11 +189,11 @@ _PROJECT, _RECORDING = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{0,63}"), re.compil
 
 def check_project_name(name: str) -> str:
     if not _PROJECT.fullmatch(name):
-        raise ValueError("invalid project name")
+        raise ValueError(f"{name!r} is no project name")
     return name
 
 
 def check_recording_token(token: str) -> str:
     if not _RECORDING.fullmatch(token):
-        raise ValueError("invalid recording id")
+        raise ValueError(f"{token!r} is no recording token")
     return token
