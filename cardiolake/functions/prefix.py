@@ -10,13 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+#: Keys of one range, and the most ranges (each row compares its key with their bounds).
+RANGE_ROWS, MAX_RANGES = 100_000, 1024
 
 
-def running(levels: DataFrame, key: str, value: str, out: str, fn: str = "sum", descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """``levels`` (one row a key) with ``out``: sum or min of ``value`` over all keys up to the row's."""
+def running(levels: DataFrame, key: str, value: str, out: str, fn: str = "sum", descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """``levels`` (one row a key) with ``out``: sum or min of ``value`` over all keys up to the row's.
+
+    The number of ranges follows the number of keys.
+    """
     agg = {"sum": F.sum, "min": F.min}[fn]
-    cuts = sorted(set(levels.where(F.col(key).isNotNull()).approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.002)))
+    if ranges is None:
+        ranges = min(MAX_RANGES, max(2, -(-levels.count() // RANGE_ROWS)))
+    cuts = sorted(set(levels.where(F.col(key).isNotNull()).approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     bounds = F.lit(cuts) if cuts else F.array().cast("array<double>")
     cut = levels.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(key))))
     order = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))

@@ -51,10 +51,14 @@ def per_signal(signals: DataFrame, fn: Callable[[np.ndarray, float, dict], list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row in batch.to_pylist():
+            lists = batch.column(batch.schema.get_field_index("values"))
+            edges = lists.offsets.to_numpy()
+            flat = lists.values.slice(edges[0], edges[-1] - edges[0]).to_numpy(zero_copy_only=False)  # missing values become NaN
+            samples = [flat[a:b] if there else None for a, b, there in zip(edges[:-1] - edges[0], edges[1:] - edges[0], lists.is_valid().to_pylist())]
+            for x, row in zip(samples, batch.drop_columns(["values"]).to_pylist()):
                 key = {k: row[k] for k in keys}
                 try:
-                    rows += [{**key, **r} for r in fn(row["values"], row["fs_hz"], row)]
+                    rows += [{**key, **r} for r in fn(x, row["fs_hz"], row)]
                 except (ValueError, TypeError) as e:
                     rows.append({**key, "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema=target)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -16,10 +17,11 @@ from pyspark.sql.types import IntegerType
 
 from ..functions import kernels as K
 from ..functions.columns import argmax, entropy
+from ..functions.prefix import running
 from .candidates import candidate_features, label_candidates, threshold_for_recall
 from .detection import checked, detect_peaks, per_signal
 from .matching import exclude_near, nearest_labels
-from .stats import classification_scores, mean_interval, roc_auc
+from .stats import classification_scores, mean_interval, one_vs_rest_auc, roc_auc
 
 MIN_EXAMPLES, MIN_CLASSES = 4, 2
 BEAT_BANDS = ((0.5, 5.0), (5.0, 15.0), (15.0, 40.0), (40.0, 100.0))
@@ -193,7 +195,10 @@ def benchmark(rows: DataFrame, n_folds: int = 5, group: str = "group_id", seed:
             model = train(fit.select("features", "label"), pipeline)
             said = predict(model, test.withColumn("truth", F.col("label").cast("string"))).cache()
             s = classification_scores(said, "truth", "predicted_label").first()
-            auc = roc_auc(said.withColumn("y", (F.col("truth") == classes(model)[-1]).cast("int")).withColumn("score", F.get("probabilities", F.lit(1))), "y").first()[0] if binary else None
+            if binary:
+                auc = roc_auc(said.select((F.col("truth") == classes(model)[-1]).cast("int").alias("label"), F.get("probabilities", F.lit(1)).alias("score"))).first()[0]
+            else:
+                auc = one_vs_rest_auc(said, classes(model), "truth").first()[0]
             out.append((name, f, n_fit, n_test, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["weighted_f1"], auc))
             said.unpersist()
     folded.unpersist()
@@ -203,10 +208,17 @@ def benchmark(rows: DataFrame, n_folds: int = 5, group: str = "group_id", seed:
 
 
 def record_strata(rows: DataFrame, record: str = "recording_id", label: str = "label", n: int = 3) -> DataFrame:
-    """Records in ``n`` strata of rising label rate."""
+    """Records in ``n`` strata of rising label rate (ties by record).
+
+    Ranks are running counts of the distinct rates, and a row number among records of one rate.
+    """
     rates = rows.groupBy(record).agg(F.avg(label).alias("rate"))
-    rank = F.row_number().over(Window.orderBy("rate", record)) - 1
-    return rates.withColumn("stratum", F.least(F.lit(n - 1), F.floor(rank * n / F.count("*").over(Window.partitionBy()))).cast("int"))
+    levels = running(rates.groupBy(F.col("rate").alias("__rate")).agg(F.count("*").alias("__c")), "__rate", "__c", "__upto")
+    total = rates.count()
+    among = F.row_number().over(Window.partitionBy("rate").orderBy(record))
+    ranked = rates.withColumn("__among", among).join(levels, F.col("rate") == F.col("__rate"))
+    rank = F.col("__upto") - F.col("__c") + F.col("__among") - 1
+    return ranked.select(record, "rate", F.least(F.lit(n - 1), F.floor(rank * n / F.lit(max(1, total)))).cast("int").alias("stratum"))
 
 
 def calibration_split(rows: DataFrame, fraction: float = 0.2, record: str = "recording_id", seed: int = 42) -> DataFrame:
@@ -214,20 +226,26 @@ def calibration_split(rows: DataFrame, fraction: float = 0.2, record: str = "rec
     strata = record_strata(rows, record)
     if strata.limit(3).count() < 3:
         raise ValueError("calibration split: fewer than three records")
-    w = Window.partitionBy("stratum")
-    place = F.row_number().over(w.orderBy(F.xxhash64(record, F.lit(seed)), record))
-    take = F.greatest(F.lit(1), F.bround(F.count("*").over(w) * F.lit(fraction)).cast("int"))
-    alone = F.count("*").over(w) == 1
-    part = F.when((place <= take) & ~(alone & (F.col("stratum") > 0)), "calibration").otherwise("fit")
-    return strata.select(record, "stratum", part.alias("part"))
+    strata = strata.select(record, "stratum").withColumn("__h", F.xxhash64(record, F.lit(seed)))
+    parts = []
+    for r in strata.groupBy("stratum").count().collect():  # one row a stratum
+        own, n = strata.where(F.col("stratum") == r["stratum"]), r["count"]
+        take = 0 if n == 1 and r["stratum"] > 0 else max(1, round(n * fraction))
+        parts.append(own.join(_first_by_hash(own, take), "__h", "left").select(record, "stratum", F.when(F.col("__in"), "calibration").otherwise("fit").alias("part")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _first_by_hash(rows: DataFrame, take: int, h: str = "__h") -> DataFrame:
+    """(hash, true) of the ``take`` smallest hashes, by running counts."""
+    levels = running(rows.groupBy(h).agg(F.count("*").alias("__c")), h, "__c", "__upto")
+    return levels.where(F.col("__upto") - F.col("__c") < take).select(h, F.lit(True).alias("__in"))
 
 
 def record_split(records: DataFrame, record: str = "recording_id", test: float = 0.25, seed: int = 42) -> DataFrame:
     """(record, part) by a seeded hash order; ``test`` of the records, one at least."""
-    distinct = records.select(record).distinct()
-    place = F.row_number().over(Window.orderBy(F.xxhash64(record, F.lit(seed)), record))
-    n = F.count("*").over(Window.partitionBy())
-    return distinct.withColumn("part", F.when(place <= F.greatest(F.lit(1), F.bround(n * F.lit(test))), "test").otherwise("train"))
+    distinct = records.select(record).distinct().withColumn("__h", F.xxhash64(record, F.lit(seed)))
+    chosen = _first_by_hash(distinct, max(1, round(distinct.count() * test)))
+    return distinct.join(chosen, "__h", "left").select(record, F.when(F.col("__in"), "test").otherwise("train").alias("part"))
 
 
 def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: float = 0.2, trees: int = 150, seed: int = 42, split: DataFrame | None = None, record: str = "recording_id") -> tuple[PipelineModel, dict]:

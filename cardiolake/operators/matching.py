@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
 _PAIRS = ArrayType(StructType().add("d", LongType()).add("r", LongType()))
 
@@ -109,6 +110,44 @@ def nearest_labels(candidates: DataFrame, references: DataFrame, tolerance: floa
     return near.select(*keys, F.col("__at").alias("at"), won.cast("int").alias("label"), F.when(won, F.col("__r.__at")).alias("reference_at"), F.when(won, F.col("__r.__l")).alias("reference_label"))
 
 
+@F.pandas_udf(ArrayType(DoubleType()))
+def _agreeing(left: pd.Series, right: pd.Series, tolerance: pd.Series) -> pd.Series:
+    """Distances of the pairs: each left time, in its order, takes the nearest right time not
+    yet used (of equals the earlier in its list).  Used times are skipped by links, so a
+    step costs next to nothing however many are used."""
+    out = []
+    for a, b, tol in zip(left, right, tolerance):
+        order = np.argsort(np.asarray(b, dtype=float), kind="stable")
+        at = np.asarray(b, dtype=float)[order]
+        levels, starts = np.unique(at, return_index=True)  # equal times are one level, taken in their order
+        free = np.diff(np.append(starts, len(at)))
+        up, down = list(range(len(levels) + 1)), list(range(len(levels) + 1))  # next level with a free time; down is shifted by one
+        taken = np.zeros(len(levels), dtype=np.int64)
+
+        def find(link: list[int], i: int) -> int:
+            while link[i] != i:
+                link[i] = link[link[i]]
+                i = link[i]
+            return i
+
+        errors = []
+        for t in map(float, a):
+            k = int(np.searchsorted(levels, t))
+            above, below = find(up, k), find(down, k) - 1
+            choice = []
+            for i in {above, below}:
+                if 0 <= i < len(levels) and abs(levels[i] - t) <= tol:
+                    choice.append((abs(levels[i] - t), int(order[starts[i] + taken[i]]), i))
+            if choice:
+                gap, _, i = min(choice)
+                errors.append(float(gap))
+                taken[i] += 1
+                if taken[i] == free[i]:
+                    up[i], down[i + 1] = i + 1, i
+        out.append(errors)
+    return pd.Series(out)
+
+
 def point_agreement(left: DataFrame, right: DataFrame, tolerance_s: float = 0.04, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Greedy agreement of point annotations of equal label and channel, in the order of ``seq``.
 
@@ -121,14 +160,8 @@ def point_agreement(left: DataFrame, right: DataFrame, tolerance_s: float = 0.04
     both = side(left, "l").join(side(right, "r"), group, "full")
     none = F.array().cast("array<struct<seq:bigint,time:double>>")
     both = both.withColumns({c: F.coalesce(F.col(c).cast("array<struct<seq:bigint,time:double>>"), none) for c in ("l", "r")})
-    start = F.struct(F.col("r").alias("free"), F.array().cast("array<double>").alias("errors"))
-
-    def step(s, x):
-        near = F.filter(s["free"], lambda y: F.abs(y["time"] - x["time"]) <= tolerance_s)
-        best = F.array_min(F.transform(near, lambda y: F.struct(F.abs(y["time"] - x["time"]).alias("d"), y["seq"].alias("seq"))))
-        return F.when(best.isNull(), s).otherwise(F.struct(F.filter(s["free"], lambda y: y["seq"] != best["seq"]).alias("free"), F.concat(s["errors"], F.array(best["d"])).alias("errors")))
-
-    folded = both.select(*keys, F.size("l").alias("nl"), F.size("r").alias("nr"), F.aggregate("l", start, step, lambda s: s["errors"]).alias("e"))
+    times = lambda side: F.transform(side, lambda x: x["time"])
+    folded = both.select(*keys, F.size("l").alias("nl"), F.size("r").alias("nr"), _agreeing(times("l"), times("r"), F.lit(float(tolerance_s))).alias("e"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
     agg = folded.groupBy(*keys).agg(F.sum(F.size("e")).alias("matches"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), F.sum(total(F.col("e"))).alias("s"))
     return agg.select(*keys, "matches", (F.col("matches") / F.greatest("nl", "nr", F.lit(1))).alias("agreement_rate"), F.try_divide(F.col("s"), F.col("matches")).alias("mean_absolute_error_s"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,37 +90,64 @@ def mean_interval(values: DataFrame, value: str = "value", keys: Sequence[str] =
     """n, mean, sd and the t interval of the mean; sd and interval are null for n = 1."""
     v = finite_or_null(value)
     agg = values.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"))
-    sizes = [r["n"] for r in agg.select("n").distinct().where("n > 1").collect()]
-    spark = values.sparkSession
-    critical = spark.createDataFrame([(n, t_quantile(0.5 + level / 2, n - 1)) for n in sizes], "n long, critical double")
-    out = agg.join(F.broadcast(critical), "n", "left")
-    margin = F.col("critical") * F.col("sd") / F.sqrt("n")
-    return out.select(*keys, "n", "mean", "sd", (F.col("mean") - margin).alias("ci_low"), (F.col("mean") + margin).alias("ci_high"))
 
+    @F.pandas_udf("double")
+    def critical(n: pd.Series) -> pd.Series:
+        return n.map({k: t_quantile(0.5 + level / 2, int(k) - 1) if k > 1 else None for k in n.unique()}).astype(float)
 
-def record_bootstrap(records: DataFrame, value: str, order: str = "recording_id", n_bootstrap: int = 2000, seed: int = 42, block: int = 256) -> DataFrame:
+    margin = critical("n") * F.col("sd") / F.sqrt("n")
+    return agg.select(*keys, "n", "mean", "sd", (F.col("mean") - margin).alias("ci_low"), (F.col("mean") + margin).alias("ci_high"))
+
+
+#: Records up to which the bootstrap draws its index matrix with one generator.
+EXACT_RECORDS = 20_000
+
+
+def _replicate_means(rows: DataFrame, n_bootstrap: int, seed: int) -> np.ndarray:
+    """Means of replicates in which every record counts Poisson(1) times, drawn from a
+    generator seeded by the record itself: one partial sum a task and replicate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, n_bootstrap))
+        for batch in batches:
+            for h, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                times = np.random.default_rng([seed, h & (2**64 - 1)]).poisson(1.0, n_bootstrap)
+                sums += times * np.array([[1.0], [v]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bootstrap)), pa.array(sums[0]), pa.array(sums[1])], names=["rep", "n", "s"])
+
+    total = rows.select("h", "v").mapInArrow(run, "rep long, n double, s double").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    return np.array([r["s"] / r["n"] for r in total.where("n > 0").collect()])  # one row a replicate
+
+
+def record_bootstrap(records: DataFrame, value: str, order: str = "recording_id", n_bootstrap: int = 2000, seed: int = 42, block: int = 256, exact: int = EXACT_RECORDS) -> DataFrame:
     """Percentile interval of the mean over records, resampled with replacement.
 
-    Draws come from NumPy's default generator in the order of ``order``, so a
-    seed gives the same interval in any plan; they are drawn in blocks of
-    replicates, each skipping what the blocks before it drew.
+    Up to ``exact`` records draws come from NumPy's default generator in the order of
+    ``order``, so a seed gives the same interval in any plan; they are drawn in blocks
+    of replicates, each skipping what the blocks before it drew.  Beyond that the
+    replicates are Poisson bootstraps summed in Spark (the limit of the same
+    resampling for many records), so no record reaches the driver.
     """
     if n_bootstrap < 100:
         raise ValueError(f"{n_bootstrap} replicates are too few (100)")
-    rows = records.select(order, F.col(value).cast("double").alias("v")).orderBy(order).collect()  # one number a record
-    v = np.array([np.nan if r["v"] is None else r["v"] for r in rows], dtype=float)
-    if not len(v):
+    rows = records.select(order, F.col(value).cast("double").alias("v"), F.xxhash64(order).alias("h"))
+    facts = rows.agg(F.count("*").alias("n"), F.count_if(~is_finite("v")).alias("bad"), F.avg("v").alias("mean")).first()
+    if not facts["n"]:
         raise ValueError("no record to resample")
-    if not np.isfinite(v).all():
+    if facts["bad"]:
         raise ValueError(f"a record has no finite {value}")
-    rng, means = np.random.default_rng(seed), []
-    left = n_bootstrap
-    while left:
-        k = min(block, left)
-        means.append(v[rng.integers(0, len(v), size=(k, len(v)))].mean(axis=1))
-        left -= k
-    low, high = np.percentile(np.concatenate(means), [2.5, 97.5])
-    row = (value, "macro_record_mean", "record", len(v), n_bootstrap, seed, float(v.mean()), float(low), float(high))
+    if facts["n"] <= exact:
+        v = np.array([r["v"] for r in rows.orderBy(order).collect()], dtype=float)  # at most ``exact`` numbers
+        rng, means, left = np.random.default_rng(seed), [], n_bootstrap
+        while left:
+            k = min(block, left)
+            means.append(v[rng.integers(0, len(v), size=(k, len(v)))].mean(axis=1))
+            left -= k
+        means = np.concatenate(means)
+    else:
+        means = _replicate_means(rows, n_bootstrap, seed)
+    low, high = np.percentile(means, [2.5, 97.5])
+    row = (value, "macro_record_mean", "record", facts["n"], n_bootstrap, seed, float(facts["mean"]), float(low), float(high))
     return records.sparkSession.createDataFrame([row], "metric string, estimand string, unit string, n_records long, n_bootstrap long, seed long, mean double, ci95_low double, ci95_high double")
 
 
@@ -176,5 +206,15 @@ def roc_auc(scored: DataFrame, truth: str = "label", score: str = "score") -> Da
     return s.select(F.try_divide(F.col("rs") - F.col("p") * (F.col("p") + 1) / 2.0, (F.col("p") * F.col("q")).cast("double")).alias("roc_auc"))
 
 
+def one_vs_rest_auc(scored: DataFrame, labels: Sequence[str], truth: str = "label", probabilities: str = "probabilities") -> DataFrame:
+    """Mean over the classes of the area of each against the others; null if a class is missing.
+
+    ``probabilities``: array in the order of ``labels``.
+    """
+    parts = [roc_auc(scored.select((F.col(truth) == c).cast("int").alias("label"), F.get(probabilities, F.lit(i)).alias("score"))) for i, c in enumerate(labels)]
+    every = functools.reduce(DataFrame.unionByName, parts)
+    return every.select(F.col("roc_auc")).agg(F.when(F.count("roc_auc") == len(labels), F.avg("roc_auc")).alias("roc_auc"))
+
+
 def ranks(values: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     return values.withColumn("rank", average_rank(value, *keys))

@@ -75,14 +75,17 @@ def samples(data: bytes, start: int = 0, stop: int | None = None) -> tuple[EdfHe
     return h, out
 
 
-def write(labels: list[str], values: list[np.ndarray], fs_hz: int, unit: str = "mV") -> bytes:
-    """A one-second-record EDF file (for tests and export)."""
+def write(labels: list[str], values: list[np.ndarray], fs_hz: int, unit: str = "mV", limits: tuple[float, float] | None = None) -> bytes:
+    """A one-second-record EDF file (for tests and export); ``limits`` are the physical
+    values of the least and largest digital one, by default those of each signal."""
     n, records = len(labels), -(-len(values[0]) // fs_hz)
     low = [float(min(v.min(), -1e-3)) for v in values]
     high = [float(max(v.max(), 1e-3)) for v in values]
     pad = lambda v, k: f"{v}"[:k].ljust(k).encode("latin-1")
     low, high = [float(f"{v:.5g}"[:8]) - 1e-2 for v in low], [float(f"{v:.5g}"[:8]) + 1e-2 for v in high]
     low, high = [float(f"{v:.4f}"[:8]) for v in low], [float(f"{v:.4f}"[:8]) for v in high]
+    if limits is not None:
+        low, high = [float(limits[0])] * n, [float(limits[1])] * n
     head = pad(0, 8) + pad("X", 80) + pad("X", 80) + pad("01.01.00", 8) + pad("00.00.00", 8) + pad(256 * (n + 1), 8) + pad("", 44) + pad(records, 8) + pad(1, 8) + pad(n, 4)
     for items, k in ((labels, 16), ([""] * n, 80), ([unit] * n, 8), (low, 8), (high, 8), ([-32768] * n, 8), ([32767] * n, 8), ([""] * n, 80), ([fs_hz] * n, 8), ([""] * n, 32)):
         head += b"".join(pad(v, k) for v in items)

@@ -8,6 +8,7 @@ batches; a file never leaves its executor.  ``signals`` is the packed layout
 
 from __future__ import annotations
 
+import csv
 import io
 import os
 import stat
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..operators.validation import check_window, guess_time_column, require_valid, unique_labels, validate_series
 from . import edf, wfdb
@@ -25,28 +28,61 @@ from . import edf, wfdb
 SIGNALS = "recording_id string, channel string, channel_index int, fs_hz double, t0_s double, units string, source_format string, values array<double>, error string"
 META = "recording_id string, source_format string, fs_hz double, n_samples long, duration_s double, channels array<string>, error string"
 #: Fixed limits.
-MAX_MEMBERS, MAX_BYTES = 256, 512 * 1024 * 1024
+MAX_MEMBERS, MAX_BYTES, MAX_HEADERS = 256, 512 * 1024 * 1024, 1000
 
 
 # --- CSV --------------------------------------------------------------------------------------
 
 
-def read_csv(spark: SparkSession, path: str, recording: str | None = None) -> DataFrame:
-    """recording_id, sample_index (physical order), and the columns as strings.
+def _csv_table(data: bytes) -> tuple[list[str], list[list[str]]]:
+    """(column names, rows of cells) of one file: quoted cells may hold commas, quotes and line ends."""
+    rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline=""), skipinitialspace=True) if any(c.strip() for c in r)]
+    return (unique_labels(rows[0]), rows[1:]) if rows else ([], [])
+
+
+def _file_stem(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
+def csv_rows(files: DataFrame, recording: str | None = None) -> DataFrame:
+    """recording_id, sample_index (physical order), and the columns as strings, of CSV files
+    (path, content).
 
-    A file is one record of ``binaryFile``-independent text lines: it is read
-    whole by one task (``wholetext``), so the physical order is known and
-    disorder in time stays visible to the validation.
+    Every file is parsed with its own header, so the order of its columns may differ; a
+    column that a file lacks is null there.  A first pass reads the headers alone and
+    gives the union of the names, in the order in which sorted headers bring them.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.coalesce(F.lit(recording), F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1)).alias("recording_id"), "value")
-    lines = whole.select("recording_id", F.filter(F.split("value", r"\r?\n"), lambda x: F.length(F.trim(x)) > 0).alias("l")).withColumn("head", F.get("l", F.lit(0)))
-    first = lines.select("head").first()
-    if first is None or first[0] is None:
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {tuple(_csv_table(d.as_py())[0]) for d in batch.column(0)}
+            yield pa.RecordBatch.from_arrays([pa.array([list(h) for h in found], pa.list_(pa.string()))], names=["names"])
+
+    headers = [r["names"] for r in files.select("content").mapInArrow(heads, "names array<string>").distinct().limit(MAX_HEADERS + 1).collect()]
+    if len(headers) > MAX_HEADERS:
+        raise ValueError(f"more than {MAX_HEADERS} different headers")
+    names = list(dict.fromkeys(c for h in sorted(headers) for c in h))
+    if not names:
         raise ValueError("CSV is empty")
-    names = unique_labels([c.strip().strip('"') for c in first[0].split(",")])
-    rows = lines.select("recording_id", F.posexplode(F.slice("l", 2, F.greatest(F.lit(0), F.size("l") - 1))).alias("sample_index", "line"))
-    cells = F.split("line", ",")
-    return rows.select("recording_id", F.col("sample_index").cast("long"), *[F.trim(F.get(cells, F.lit(i)), F.lit('"')).alias(n) for i, n in enumerate(names)])
+    schema = pa.schema([("recording_id", pa.string()), ("sample_index", pa.int64()), *((c, pa.string()) for c in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own, rows = _csv_table(content.as_py())
+                for start in range(0, len(rows), 50_000):
+                    part = rows[start : start + 50_000]
+                    cells = {c: [r[i].strip() if i < len(r) else None for r in part] for i, c in enumerate(own)}
+                    columns = [[recording or _file_stem(path)] * len(part), list(range(start, start + len(part)))] + [cells.get(c, [None] * len(part)) for c in names]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema)], schema=schema)
+
+    return files.select("path", "content").mapInArrow(run, "recording_id string, sample_index long, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in names))
+
+
+def read_csv(spark: SparkSession, path: str, recording: str | None = None) -> DataFrame:
+    """``csv_rows`` of a file, a folder or a pattern; a file is read by one task, so its
+    physical order is known and disorder in time stays visible to the validation."""
+    return csv_rows(spark.read.format("binaryFile").load(path), recording)
 
 
 def load_and_validate(spark: SparkSession, path: str, time_col: str | None = None, recording: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -165,11 +201,12 @@ def decode(name: str, data: bytes, start: int = 0, stop: int | None = None) -> l
     raise ValueError(f"unsupported format {suffix!r}")
 
 
-def _decoded(files: DataFrame, fn, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+def _arrow_schema(ddl: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(ddl))
 
-    target = to_arrow_schema(StructType.fromDDL(schema))
+
+def _decoded(files: DataFrame, fn, schema: str) -> DataFrame:
+    target = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,31 +225,53 @@ def read_signals(spark: SparkSession, path: str, start: int = 0, stop: int | Non
 
     A file that cannot be read gives one row with ``error``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(edf|zip|wfdb|npy|npz)$"))
-    return _decoded(files, lambda p, d: decode(p, d, start, stop), SIGNALS)
+    return decoded_signals(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path), start, stop)
 
 
-def read_wfdb(spark: SparkSession, folder: str, physical: bool = True) -> DataFrame:
-    """Packed signals of loose WFDB records (.hea with its files, one group a record)."""
-    files = spark.read.format("binaryFile").load(folder).where(F.lower("path").rlike(r"\.(hea|dat)$"))
-    stem = F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1)
-    groups = files.groupBy(stem.alias("path")).agg(F.to_json(F.collect_list(F.struct(F.regexp_extract("path", r"([^/]+)$", 1).alias("n"), F.base64("content").alias("c")))).cast("binary").alias("content"))
+def decoded_signals(files: DataFrame, start: int = 0, stop: int | None = None) -> DataFrame:
+    """``read_signals`` of files given as rows (path, content); others are passed over."""
+    own = files.where(F.lower("path").rlike(r"\.(edf|zip|wfdb|npy|npz)$"))
+    return _decoded(own, lambda p, d: decode(p, d, start, stop), SIGNALS)
+
+
+def wfdb_records(files: DataFrame, physical: bool = True) -> DataFrame:
+    """Packed signals of WFDB records given as files (path, content): a header and the
+    signal files of the same folder and stem are one group."""
+    stem = F.regexp_extract("path", r"^(.*?)\.[^./]+$", 1)
+    name = F.regexp_extract("path", r"([^/]+)$", 1)
+    groups = files.where(F.lower("path").rlike(r"\.(hea|dat)$")).groupBy(stem.alias("path")).agg(F.collect_list(F.struct(name.alias("n"), F.col("content").alias("c"))).alias("members"))
+    target = _arrow_schema(SIGNALS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+                stem = os.path.basename(path)
+                try:
+                    own = {m["n"]: m["c"] for m in members.as_py()}
+                    head = next((n for n in own if n.lower().endswith(".hea")), None)
+                    if head is None:
+                        raise ValueError("record has no header")
+                    rows = _wfdb_rows(stem, own, head, physical=physical)
+                except (ValueError, KeyError, IndexError) as e:
+                    rows = [{"recording_id": stem, "error": str(e)}]
+                yield pa.RecordBatch.from_pylist(rows, schema=target)
 
-    def one(name: str, packed: bytes) -> list[dict]:
-        import base64
-        import json
+    return groups.mapInArrow(run, SIGNALS)
 
-        members = {m["n"]: base64.b64decode(m["c"]) for m in json.loads(packed)}
-        head = next(n for n in members if n.lower().endswith(".hea"))
-        return _wfdb_rows(name, members, head, physical=physical)
 
-    return _decoded(groups, one, SIGNALS)
+def read_wfdb(spark: SparkSession, folder: str, physical: bool = True) -> DataFrame:
+    """Packed signals of loose WFDB records (.hea with its files, one group a record)."""
+    return wfdb_records(spark.read.format("binaryFile").load(folder), physical)
 
 
 def read_annotations(spark: SparkSession, path: str, symbols: Sequence[str] | None = wfdb.BEAT_SYMBOLS) -> DataFrame:
     """(recording_id, sample_index, symbol, num, error) of annotation files, beat symbols only by default."""
-    files = spark.read.format("binaryFile").load(path)
-    rows = _decoded(files, lambda p, d: [{"recording_id": os.path.splitext(os.path.basename(p))[0], "sample_index": s, "symbol": y, "num": n} for s, y, n in wfdb.annotations(d)], "recording_id string, sample_index long, symbol string, num int, error string")
+    return decoded_annotations(spark.read.format("binaryFile").load(path), symbols)
+
+
+def decoded_annotations(files: DataFrame, symbols: Sequence[str] | None = wfdb.BEAT_SYMBOLS) -> DataFrame:
+    """``read_annotations`` of files given as rows (path, content)."""
+    rows = _decoded(files, lambda p, d: [{"recording_id": _file_stem(p), "sample_index": s, "symbol": y, "num": n} for s, y, n in wfdb.annotations(d)], "recording_id string, sample_index long, symbol string, num int, error string")
     return rows if symbols is None else rows.where(F.col("symbol").isin(*symbols) | F.col("error").isNotNull())
 
 
@@ -227,7 +286,12 @@ def qrs_boundaries(annotations: DataFrame) -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Header-level facts of .edf and .zip/.wfdb files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.lower("path").rlike(r"\.(edf|zip|wfdb)$"))
+    return decoded_metadata(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path))
+
+
+def decoded_metadata(files: DataFrame) -> DataFrame:
+    """``read_metadata`` of files given as rows (path, content)."""
+    files = files.where(F.lower("path").rlike(r"\.(edf|zip|wfdb)$"))
 
     def one(p: str, d: bytes) -> list[dict]:
         stem, suffix = os.path.splitext(os.path.basename(p))

@@ -1,9 +1,10 @@
-"""WFDB records: headers, formats 16, 80 and 212, and annotation files, by the public format description."""
+"""WFDB records: headers, signal formats 8, 16, 24, 32, 61, 80, 160, 212, 310 and 311, and annotation files, by the public format description."""
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 
@@ -25,6 +26,7 @@ class WfdbHeader:
     gains: list[float]
     baselines: list[int]
     labels: list[str]
+    initial: list[int] = field(default_factory=list)
 
 
 def header(text: str) -> WfdbHeader:
@@ -37,7 +39,7 @@ def header(text: str) -> WfdbHeader:
     if not fs > 0:
         raise ValueError("WFDB record contains an invalid sampling rate")
     size = int(first[3]) if len(first) > 3 else 0
-    files, formats, gains, baselines, labels = [], [], [], [], []
+    files, formats, gains, baselines, labels, initial = [], [], [], [], [], []
     for line in lines[1 : n + 1]:
         f = line.split(maxsplit=8)
         files.append(f[0])
@@ -46,16 +48,42 @@ def header(text: str) -> WfdbHeader:
         gains.append(float(gain[1]) or 200.0 if gain else 200.0)
         zero = int(f[4]) if len(f) > 4 else 0
         baselines.append(int(gain[2]) if gain and gain[2] else zero)
+        initial.append(int(f[5]) if len(f) > 5 else zero)
         labels.append(f[8].strip() if len(f) > 8 else "")
     if len(files) != n:
         raise ValueError("WFDB channel metadata does not match the header")
-    return WfdbHeader(first[0].split("/")[0], fs, size, files, formats, gains, baselines, labels)
-
-
-def digital(data: bytes, fmt: int, n_channels: int) -> np.ndarray:
-    """Digital samples [n, channels] of one signal file."""
-    if fmt == 16:
-        flat = np.frombuffer(data, dtype="<i2", count=len(data) // 2)
+    return WfdbHeader(first[0].split("/")[0], fs, size, files, formats, gains, baselines, labels, initial)
+
+
+def _signed(x: np.ndarray, bits: int) -> np.ndarray:
+    """Two's complement of the low ``bits``."""
+    x = x & ((1 << bits) - 1)
+    return x - ((x >> (bits - 1)) << bits)
+
+
+def _triples(words: np.ndarray) -> np.ndarray:
+    return words[: len(words) // 2 * 2].reshape(-1, 2).astype(np.int64)
+
+
+def digital(data: bytes, fmt: int, n_channels: int, initial: Sequence[int] = ()) -> np.ndarray:
+    """Digital samples [n, channels] of one signal file; ``initial``: first values for format 8."""
+    plain = {16: "<i2", 61: ">i2", 32: "<i4", 160: "<u2"}
+    if fmt in plain:
+        wide = np.dtype(plain[fmt]).itemsize
+        flat = np.frombuffer(data, dtype=plain[fmt], count=len(data) // wide).astype(np.int64) - (32768 if fmt == 160 else 0)
+    elif fmt == 8:  # differences between neighbours of a channel
+        steps = np.frombuffer(data, dtype=np.int8).astype(np.int64)
+        steps = steps[: len(steps) // n_channels * n_channels].reshape(-1, n_channels)
+        return steps.cumsum(axis=0) + np.array(list(initial) or [0] * n_channels)
+    elif fmt == 24:
+        b = np.frombuffer(data, dtype=np.uint8, count=len(data) // 3 * 3).astype(np.int64).reshape(-1, 3)
+        flat = _signed(b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16, 24)
+    elif fmt == 310:  # three 10-bit numbers in two little-endian words, the third in their top bits
+        w = _triples(np.frombuffer(data, dtype="<u2", count=len(data) // 2))
+        flat = _signed(np.stack([w[:, 0] >> 1, w[:, 1] >> 1, w[:, 0] >> 11 | (w[:, 1] >> 11) << 5], axis=1).ravel(), 10)
+    elif fmt == 311:  # three 10-bit numbers in the low 30 bits of a little-endian word
+        w = np.frombuffer(data, dtype="<u4", count=len(data) // 4).astype(np.int64)
+        flat = _signed(np.stack([w, w >> 10, w >> 20], axis=1).ravel(), 10)
     elif fmt == 80:
         flat = np.frombuffer(data, dtype=np.uint8).astype(np.int32) - 128
     elif fmt == 212:  # two 12-bit numbers in three bytes
@@ -76,7 +104,7 @@ def samples(h: WfdbHeader, files: dict[str, bytes], physical: bool = True) -> np
             raise ValueError("signals of one file must share a format")
         if name not in files:
             raise ValueError(f"signal file {name} is missing")
-        d = digital(files[name], h.formats[own[0]], len(own))
+        d = digital(files[name], h.formats[own[0]], len(own), [h.initial[i] for i in own] if h.initial else ())
         columns += [d[:, k] for k in range(len(own))]
     n = min(map(len, columns))
     n = min(n, h.n_samples) if h.n_samples else n
@@ -112,6 +140,21 @@ def annotations(data: bytes) -> list[tuple[int, str, int]]:
     return out
 
 
+def pack(d: np.ndarray, fmt: int) -> bytes:
+    """The inverse of the plain formats 16, 24, 32, 61, 160, 310 and 311 (for tests and export)."""
+    flat = d.astype(np.int64).ravel()
+    if fmt == 160:
+        flat = flat + 32768
+    if fmt == 24:
+        return np.stack([flat & 255, flat >> 8 & 255, flat >> 16 & 255], axis=1).astype(np.uint8).tobytes()
+    if fmt in (310, 311):
+        t = np.append(flat, np.zeros(-len(flat) % 3, np.int64)).reshape(-1, 3) & 1023
+        if fmt == 311:
+            return (t[:, 0] | t[:, 1] << 10 | t[:, 2] << 20).astype("<u4").tobytes()
+        return np.stack([t[:, 0] << 1 | (t[:, 2] & 31) << 11, t[:, 1] << 1 | t[:, 2] >> 5 << 11], axis=1).astype("<u2").tobytes()
+    return flat.astype({16: "<i2", 61: ">i2", 32: "<i4", 160: "<u2"}[fmt]).tobytes()
+
+
 def pack_212(d: np.ndarray) -> bytes:
     """The inverse of format 212 (for tests and export)."""
     flat = d.astype(np.int32).ravel() & 4095

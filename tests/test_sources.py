@@ -22,6 +22,36 @@ def test_csv_reader_keeps_physical_order(spark, tmp_path):
     assert meta["n_samples"] == 3 and meta["channels"] == ["Lead_II"] and meta["error"] is None
 
 
+def test_csv_files_keep_their_own_headers(spark, tmp_path):
+    """Other column order, quoted commas, quotes and line ends, blank and missing cells."""
+    (tmp_path / "a.csv").write_text('time,I,II\n0,1,10\n1,2,20\n')
+    (tmp_path / "b.csv").write_text('time,II,I,"note, long"\n\n0,30,3,"x, ""y""\nz"\n1,40,4\n')
+    rows = readers.read_csv(spark, str(tmp_path / "*.csv")).orderBy("recording_id", "sample_index").collect()
+    assert [(r["recording_id"], r["I"], r["II"]) for r in rows] == [("a", "1", "10"), ("a", "2", "20"), ("b", "3", "30"), ("b", "4", "40")]
+    assert [r["note, long"] for r in rows] == [None, None, 'x, "y"\nz', None]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "e.csv").write_text("\n")
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(tmp_path / "empty"))
+
+
+@pytest.mark.parametrize("fmt,bits", [(16, 16), (24, 24), (32, 31), (61, 16), (160, 16), (310, 10), (311, 10)])
+def test_wfdb_formats(fmt, bits):
+    d = np.random.default_rng(fmt).integers(-(1 << bits - 1), 1 << bits - 1, size=(300, 3))
+    assert (wfdb.digital(wfdb.pack(d, fmt), fmt, 3) == d).all()
+
+
+def test_wfdb_differences_and_equal_stems(spark, tmp_path):
+    d = np.cumsum(np.random.default_rng(1).integers(-100, 100, size=(200, 2)), axis=0) + [5, -7]
+    steps = np.diff(np.vstack([[5, -7], d]), axis=0).astype(np.int8).tobytes()
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "r.hea").write_text("r 2 100 200\nr.dat 8 1 8 0 5 0 0 A\nr.dat 8 1 8 0 -7 0 0 B\n")
+        (tmp_path / folder / "r.dat").write_bytes(steps)
+    rows = readers.read_wfdb(spark, str(tmp_path / "*")).collect()
+    assert len(rows) == 4 and all((np.array(r["values"]) == d[:, r["channel_index"]]).all() for r in rows)
+
+
 def test_edf_round_trip_and_window(spark, tmp_path):
     x = np.sin(np.arange(1000) / 20)
     (tmp_path / "r.edf").write_bytes(edf.write(["I", "I"], [x, 2 * x], 100))
