@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -23,18 +24,34 @@ def ascii_lower(text: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and set as the checkpoint folder.
+    Where the session names none, a temporary folder is made and set as the
+    checkpoint folder on one machine (tests); on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: Bytes of the input for each partition of a table derived from it.
+PART_BYTES = 64 << 20
+
+
+def width(spark: SparkSession, source: DataFrame | None, cores: int = 1) -> int:
+    """Partitions for tables derived from ``source``: one for each ``PART_BYTES`` of its
+    files, and ``cores`` a core at least, however many cores there are just now."""
+    least = cores * spark.sparkContext.defaultParallelism
+    if source is None:
+        return least
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, -(-size // PART_BYTES)) if size < 1 << 58 else least  # Spark's mark for "not known" is above
+
+
 class Scratch:
     """Written tables under one fresh sub-folder of the shared folder.
 
@@ -42,18 +59,19 @@ class Scratch:
     lost executor costs at most the tasks of the step that is running.
     """
 
-    def __init__(self, spark: SparkSession, label: str):
+    def __init__(self, spark: SparkSession, label: str, source: DataFrame | None = None):
         self.spark = spark
+        self.width = width(spark, source)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
 
     def save(self, df: DataFrame, name: str, wide: bool = False) -> DataFrame:
-        """Write and reread.  Tables derived from the input (not ``wide``) come in one
-        file a core, however many partitions their last shuffle had; row groups are
-        small, so that a writer buffers little."""
+        """Write and reread.  Tables derived from the source (not ``wide``) come in at most
+        ``width`` files, sized by the bytes of the source, however many partitions their
+        last shuffle had; row groups are small, so that a writer buffers little."""
         self._n += 1
         if not wide:
-            df = df.coalesce(self.spark.sparkContext.defaultParallelism)
+            df = df.coalesce(self.width)
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -1,7 +1,8 @@
 """Operator 3 - MinHash near-dedup by a signature-coordinate inverted join.
 
 1. Every document's set of word shingles becomes a 128-bit digest and a
-   signature of ``K`` minima.  Documents of equal sets are one *class* at once.
+   signature of ``K`` minima.  Documents of equal digest and size are one *class* at
+   once, numbered by its first row.
 2. Every (coordinate, value) pair is an *element*; classes are posted under
    their elements.  Two classes link only if they agree in at least ``m``
    coordinates, m being the largest count that a pair at the wanted similarity
@@ -27,11 +28,14 @@
    its members, and no link is lost.
 
 Scale: digests, element counts and pivots are partial aggregations; hot lists are
-joined on their element with tables AQE can split; the driver sees counts only.
-A text is read a second time only if its class has a candidate partner.
+joined on their element with tables AQE can split; families of more than ``BLOCK``
+members are dealt over blocks wherever members meet their family's row; the driver
+sees counts only.  A text is read a second time only if its class has a candidate
+partner.
 
 Defined results: null, empty and blank texts have no shingles, are linked with
-nothing and are their own component; texts shorter than a shingle have one; a
+nothing and are their own component; texts shorter than a shingle have one; very
+long texts count whole (one set is held in memory); a
 repeated row joins its own class; a row without doc_id gets the component of its
 class, but is never the smallest; empty tables give empty results; other columns
 are ignored (``near_dedup`` passes them through).
@@ -53,6 +57,7 @@ from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, wo
 from .components import connected_components
 
 K, MISS, SMALL = 48, 1e-6, 8
+BLOCK, HOT_ROWS = 500, 200_000
 _WORDS = re.compile(WORD)
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, size=(K, 1), dtype=np.uint64)
@@ -87,25 +92,28 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def class_id(s: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed numbers."""
+    both = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
+    return int(both[0]), int(both[1])
 
 
 def _signed(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cid, sig); cid and sig are null for empty sets."""
+    """(doc_id, n_shingles, h1, h2, sig); digest and signature are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
         for batch in batches:
-            ids, sizes, cids, sigs = batch.column(0), [], [], []
+            ids, sizes, digests, sigs = batch.column(0), [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, n, cache)
                 sizes.append(len(s))
-                cids.append(class_id(s) if len(s) else None)
+                digests.append(digest(s) if len(s) else (None, None))
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), pa.array(cids, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "cid", "sig"])
+            h1, h2 = (pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), h1, h2, pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "h1", "h2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, cid long, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, sig binary")
 
 
 def _elements(classes: DataFrame) -> DataFrame:
@@ -159,10 +167,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         cache: dict[str, int] = {}
         for batch in batches:
             got = [shingle_set(t, n, cache) for t in batch.column(1).to_pylist()]
-            same = [len(s) > 0 and class_id(s) == c for s, c in zip(got, batch.column(0).to_pylist())]
+            same = [len(s) > 0 and digest(s) == h for s, h in zip(got, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in got], pa.binary())], names=["cid", "set"]).filter(pa.array(same, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(wanted, "first_id").select("cid", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), "text").join(wanted, "first_id").select("cid", "text", "h1", "h2")
     return texts.mapInArrow(run, "cid long, set binary").dropDuplicates(["cid"])
 
 
@@ -176,13 +184,30 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, m: int, percent: int, scratch: Scratch) -> DataFrame:
     close = scratch.save(_agreeing(_with(pairs, classes, "sig"), m), "close")
     nodes = close.select(F.col("a").alias("cid")).union(close.select(F.col("b"))).distinct()
-    sets = scratch.save(_sets(docs, classes.select("cid", "first_id").join(nodes, "cid", "left_semi"), n), "sets")
+    sets = scratch.save(_sets(docs, classes.select("cid", "first_id", "h1", "h2").join(nodes, "cid", "left_semi"), n), "sets")
     links = scratch.save(_confirmed(_with(close, sets, "set"), percent), "links")
     scratch.drop(sets)
     return links
 
 
-def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
+def _hot_families(families: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, blocks) of families with more than ``BLOCK`` members: how many blocks they are
+    dealt in.  The larger the table, the larger a block, so at most ``HOT_ROWS`` rows."""
+    sizes = scratch.save(families.groupBy("g").agg(F.count("*").alias("k")), "family-sizes")
+    block = max(BLOCK, -(-(sizes.agg(F.sum("k")).first()[0] or 0) // HOT_ROWS))
+    return scratch.save(sizes.where(F.col("k") > block).select("g", F.ceil(F.col("k") / block).cast("int").alias("blocks")), "hot-families")
+
+
+def _beside(members: DataFrame, family: DataFrame, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """Members with the one row of their family.  A hot family's row stands in each of its
+    blocks and its members are dealt over them by their number, so no task has them all."""
+    hot = F.broadcast(hot)
+    dealt = members.join(hot, "g", "left").withColumn("block", F.pmod(F.xxhash64("cid"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    spread = family.join(hot, "g", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    return dealt.join(spread, ["g", "block"], how).drop("block")
+
+
+def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, hot: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
     """(g, cid, lost, added, nl, na, w, kappa) of every member against its family's consensus.
 
     Members are first compared with the pivot; what more than half of them lack
@@ -190,7 +215,7 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: in
     of (100 + percent) T = w_x + w_y - kappa.
     """
     nodes = families.select("cid").union(families.select("g")).distinct()
-    sets = scratch.save(_sets(docs, classes.select("cid", "first_id").join(nodes, "cid", "left_semi"), n), "family-sets")
+    sets = scratch.save(_sets(docs, classes.select("cid", "first_id", "h1", "h2").join(nodes, "cid", "left_semi"), n), "family-sets")
 
     def against_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +228,8 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: in
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, longs), pa.array(added, longs), pa.array(size, pa.int64())], names=["g", "cid", "lost", "added", "np"])
 
-    paired = families.join(sets, "cid").join(sets.select(F.col("cid").alias("g"), F.col("set").alias("pivot_set")), "g").select("g", "cid", "set", "pivot_set")
+    pivots = sets.join(families.select(F.col("g").alias("cid")).distinct(), "cid").select(F.col("cid").alias("g"), F.col("set").alias("pivot_set"))
+    paired = _beside(families.join(sets, "cid"), pivots, hot).select("g", "cid", "set", "pivot_set")
     raw = scratch.save(paired.mapInArrow(against_pivot, "g long, cid long, lost array<long>, added array<long>, np long"), "raw-diffs")
     scratch.drop(sets)
     sizes = raw.groupBy("g").agg(F.count("*").alias("k"))
@@ -212,7 +238,7 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: in
         counted = raw.select("g", F.explode(kind).alias("i")).groupBy("g", "i").count().join(sizes, "g").where("2 * count > k")
         common[kind] = counted.groupBy("g").agg(F.collect_list("i").alias(f"all_{kind}"))
     none = F.array().cast("array<long>")
-    both = raw.join(common["lost"], "g", "left").join(common["added"], "g", "left")
+    both = _beside(raw, sizes.join(common["lost"], "g", "left").join(common["added"], "g", "left"), hot)
     lost, added, all_lost, all_added = F.col("lost"), F.col("added"), F.coalesce("all_lost", none), F.coalesce("all_added", none)
     # Against the consensus: what the majority lacks is no loss, what the majority adds and x lacks is one.
     new_lost = F.concat(F.array_except(lost, all_lost), F.array_except(all_added, added))
@@ -222,12 +248,12 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, n: in
     return out.withColumns({"w": 100 * F.col("nl") + percent * F.col("na"), "kappa": (100 - percent) * F.col("nc")}).drop("nc")
 
 
-def _to_middle(named: DataFrame, percent: int) -> DataFrame:
+def _to_middle(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """Strays with the member of least difference of their family."""
     return named.where("stray").select(F.col("cid").alias("a"), F.col("mid").alias("b"))
 
 
-def _sharing(named: DataFrame, percent: int) -> DataFrame:
+def _sharing(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """Strays with members of other components that share differences a link needs.
 
     With S = 100 + percent a link needs S * a >= w_x + w_y - kappa - S * min(nl)
@@ -237,7 +263,7 @@ def _sharing(named: DataFrame, percent: int) -> DataFrame:
     """
     scale = 100 + percent
     family = named.groupBy("g").agg(F.min(F.when(F.col("stray"), F.col("w"))).alias("least_w"), F.min(F.col("na") - F.col("nl")).alias("d"))
-    base = named.join(family, "g").where("least_w IS NOT NULL")
+    base = _beside(named, family.where("least_w IS NOT NULL"), hot)
     cols = ["g", "cid", "label", "nl", "w", "kappa"]
     flat = lambda df, kind, plus: df.select(*cols, F.explode(kind).alias("i"), F.lit(plus).alias("plus"))
     added = flat(base, "added", True)
@@ -269,10 +295,12 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    scratch = Scratch(docs.sparkSession, "near-dedup")
+    scratch = Scratch(docs.sparkSession, "near-dedup", docs)
     m = match_threshold(percent / 100)
-    rows = scratch.save(_signed(docs, n), "signed", wide=True)
-    classes = scratch.save(rows.where("cid IS NOT NULL AND doc_id IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")), "classes")
+    rows = scratch.save(_signed(docs, n).withColumn("row", F.monotonically_increasing_id()), "signed", wide=True)
+    same_set = ["h1", "h2", "n_shingles"]
+    classes = rows.where("h1 IS NOT NULL AND doc_id IS NOT NULL").groupBy(*same_set).agg(F.min("row").alias("cid"), F.min("doc_id").alias("first_id"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes, "classes")
     elements = scratch.save(_elements(classes).select("cid", F.explode("es").alias("e")), "elements")
     shared = scratch.save(elements.groupBy("e").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     posted = (
@@ -303,14 +331,15 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     split = families.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy("g").agg(F.countDistinct(F.coalesce("label", "cid")).alias("k")).where("k > 1")
     families = scratch.save(families.join(split.select("g"), "g"), "split-families")
     if families.limit(1).count():
-        diffs = scratch.save(_differences(families, classes, docs, n, percent, scratch), "diffs")
+        hot = _hot_families(families, scratch)
+        diffs = scratch.save(_differences(families, classes, docs, hot, n, percent, scratch), "diffs")
         middle = diffs.groupBy("g").agg(F.min_by("cid", F.struct("w", "cid")).alias("mid"))
         for candidates in (_to_middle, _sharing):
             named = diffs.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
             at_mid = middle.join(labels.withColumnRenamed("node", "mid"), "mid", "left").select("g", "mid", F.coalesce("label", "mid").alias("mid_label"))
-            named = scratch.save(named.join(at_mid, "g").withColumn("stray", F.col("label") != F.col("mid_label")), "named")
+            named = scratch.save(_beside(named, at_mid, hot).withColumn("stray", F.col("label") != F.col("mid_label")), "named")
             known = tested.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-            rest = candidates(named, percent).distinct().join(known, (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
+            rest = candidates(named, hot, percent).distinct().join(known, (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
             rest = scratch.save(rest, "rest")
             if rest.limit(1).count():
                 tested = tested.union(rest)
@@ -318,10 +347,10 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if more.limit(1).count():
                     links = links.union(more)
                     labels = connected_components(links, scratch)
-    labelled = classes.select("cid", "first_id").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "first_id", F.coalesce("label", "cid").alias("label"))
+    labelled = classes.select("cid", "first_id", *same_set).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("first_id", *same_set, F.coalesce("label", "cid").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    grouped = labelled.join(smallest, "label").select("cid", "component_id")
-    out = rows.select("doc_id", "n_shingles", "cid").join(grouped, "cid", "left")
+    grouped = labelled.join(smallest, "label").select(*same_set, "component_id")
+    out = rows.select("doc_id", *same_set).join(grouped, same_set, "left")
     component = F.coalesce(F.col("component_id"), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
