@@ -1,9 +1,7 @@
-"""Queries of this sub-package: one ``opN_<name>`` per operator, and ``pipeline``."""
+"""Queries of this sub-package: one ``opN_<name>`` per operator."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontaminate import OP6_SQL, op6_decontamination
 from .html_extract import op4_html_extraction
 from .near_dedup import op3_near_dedup
@@ -16,13 +14,8 @@ from .suffix_dedup import op1_suffix_dedup
 from .warc import OP8_SQL, op8_warc
 
 
-def _pipeline(spark, sf_dir: str):
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict:
     return {
-        "pipeline": _pipeline,
         "op1_suffix_dedup": op1_suffix_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_near_dedup": op3_near_dedup,
@@ -37,7 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
-    if corpus_pipeline.ORACLE_SQL:
-        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
-    return sql
+    return {"op6_decontamination": OP6_SQL, "op8_warc": OP8_SQL}
