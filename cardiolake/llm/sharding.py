@@ -6,11 +6,13 @@ needs at most ``n_shards`` shards is found by binary search, and the groups are
 cut there, so the largest shard is as small as any contiguous cut allows.
 
 Scale: groups are pre-aggregated (partial sums, so a hot text costs one row per
-task).  The driver holds one sum per *bucket* of about ``bucket_groups`` groups;
-the sizes inside a bucket are fetched only when a cut falls into it, so driver
-memory is ``n_groups / bucket_groups`` numbers plus a few buckets.
+task) and written in the order of their keys.  The driver holds one sum per *bucket*
+of about ``bucket_groups`` groups; the sizes inside a bucket are fetched only when a
+cut falls into it, by a filter on the key's range that Parquet's statistics answer
+from the few row groups that have it.  So driver memory is ``n_groups /
+bucket_groups`` numbers plus a few buckets, and the search reads a few buckets.
 
-Defined results: a null text has size 1, crc 0 and forms one group with the
+Defined results: very long texts count by their whole length; a null text has size 1, crc 0 and forms one group with the
 other null texts; empty text likewise has size 1 but its own group; repeated
 rows each get their own slot; null doc_id is allowed; an empty table gives an
 empty result; columns other than doc_id and text are ignored.
@@ -83,7 +85,7 @@ def minimax_cuts(prefix: _Prefix, n_shards: int) -> tuple[int, list[str]]:
 def shard_documents(docs: DataFrame, n_shards: int = 8, bucket_groups: int = 20_000) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for every row of ``docs``."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "sharding")
+    scratch = Scratch(spark, "sharding", docs)
     text = F.col("text")
     rows = scratch.save(
         docs.select(
@@ -95,8 +97,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bucket_groups: int = 20_
         "rows",
         wide=True,
     )
-    groups = scratch.save(rows.groupBy("key").agg(F.sum("size").alias("bytes")), "groups")
+    summed = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    groups = scratch.save(summed.repartitionByRange(parts, "key").sortWithinPartitions("key"), "groups", wide=True)
     n_buckets = max(1, -(-groups.count() // bucket_groups))
+    # A bucket is a range of the key's first 28 bits; the key of null texts stands after all others.
     bucket = F.when(F.col("key") == "null", F.lit(n_buckets - 1)).otherwise(
         F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * n_buckets / F.lit(1 << 28))
     )
@@ -106,7 +111,11 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, bucket_groups: int = 20_
         sums[r["bucket"]], largest[r["bucket"]] = r["s"], r["m"]
 
     def fetch(b: int):
-        got = grouped.where(F.col("bucket") == b).select("key", "bytes").toPandas().sort_values("key")
+        first = lambda b: f"{-(-(b << 28) // n_buckets):07x}"  # noqa: E731  smallest prefix in bucket b
+        inside = F.col("key") >= first(b)
+        if b + 1 < n_buckets:
+            inside = inside & (F.col("key") < first(b + 1))
+        got = groups.where(inside).toPandas().sort_values("key")
         return got["key"].tolist(), got["bytes"].tolist()
 
     _, cuts = minimax_cuts(_Prefix(sums, largest, fetch), n_shards)
