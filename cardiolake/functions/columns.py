@@ -79,6 +79,24 @@ def median_of(values: Column) -> Column:
     return let(F.array_sort(values), middle)
 
 
+def deviation_of(values: Column) -> Column:
+    """Population standard deviation of an array of numbers."""
+    mean = lambda a: total(a) / F.size(a)
+    return let(values, lambda a: let(mean(a), lambda m: F.sqrt(mean(F.transform(a, lambda x: (x - m) * (x - m))))))
+
+
+def z_scores(values: Column | str) -> Column:
+    """Array less its median, over its standard deviation (1 where that is nil)."""
+    return let(col(values), lambda a: let(median_of(a), lambda m: let(deviation_of(a), lambda s: F.transform(a, lambda x: (x - m) / F.when(s == 0, F.lit(1.0)).otherwise(s)))))
+
+
+def robust_scale_of(values: Column | str) -> Column:
+    """1.4826 times the median deviation from the median of an array, its standard deviation
+    where that is nil, at least 1e-8."""
+    mad = lambda a: let(median_of(a), lambda m: 1.4826 * median_of(F.transform(a, lambda x: F.abs(x - m))))
+    return let(col(values), lambda a: let(mad(a), lambda d: F.greatest(F.when(d > 1e-8, d).otherwise(deviation_of(a)), F.lit(1e-8))))
+
+
 def nonblank(c: Column | str) -> Column:
     return F.coalesce(F.length(F.trim(col(c))) > 0, F.lit(False))
 

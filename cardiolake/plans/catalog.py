@@ -8,36 +8,13 @@ tables.  Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax, entropy, file_id, is_finite, softmax
 from ..operators import annotations, beats, candidates, detection, learning, matching, provenance, stats, validation
 from ..sources import readers
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-#: Common table expressions of the SQL forms: event series with time in seconds, and beats with their intervals.
-SERIES_SQL = "series AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"
-BEATS_SQL = SERIES_SQL + """, rr AS (SELECT *, t - lag(t) OVER w AS rr_prev, lead(t) OVER w - t AS rr_next FROM series WINDOW w AS (PARTITION BY user_id ORDER BY i)),
-beats AS (SELECT *, 60.0 / CASE WHEN rr_prev > 0 THEN rr_prev WHEN rr_next > 0 THEN rr_next END AS hr FROM rr)"""
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with its SQL form."""
-
-    def add(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
-        if sql:
-            _SQL[fn.__name__] = sql.replace("{SERIES}", SERIES_SQL).replace("{BEATS}", BEATS_SQL)
-        return fn
-
-    return add
-
+from .base import _QUERIES, _SQL, Query, phenotypes, query, r6, series, signals, table
 
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
@@ -47,33 +24,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as the long layout: user_id, sample_index, time_s, value, event_type, event_id."""
-    e = table(spark, sf_dir, "events")
-    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
-    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return e.select("user_id", i.cast("long").alias("sample_index"), t.alias("time_s"), "value", "event_type", "event_id")
-
-
-def phenotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = series(spark, sf_dir).withColumnRenamed("sample_index", "r_index").withColumnRenamed("time_s", "r_time_s")
-    return beats.rr_intervals(rows, ["user_id"]).withColumn("r_amplitude", F.col("value"))
-
-
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as packed signals of 64 Hz."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("recording_id"), F.col("label").cast("string").alias("channel"), F.lit(64.0).alias("fs_hz"), F.lit(0.0).alias("t0_s"), F.col("embedding").cast("array<double>").alias("values"))
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 # --- windows over beats --------------------------------------------------------------------------
 
 
@@ -83,15 +33,6 @@ def rr_intervals(spark, sf_dir):
     return p.select("user_id", "r_index", r6("rr_prev_s").alias("rr_prev_s"), r6("rr_next_s").alias("rr_next_s"), r6("heart_rate_bpm").alias("heart_rate_bpm"))
 
 
-@query("""WITH {SERIES}, b AS (SELECT *, min(t) OVER (PARTITION BY user_id) AS lo, max(t) OVER (PARTITION BY user_id) AS hi FROM series)
-SELECT user_id, i AS r_index, round(greatest(lo, t - 3600), 6) AS start, round(least(hi, t + 5400), 6) AS "end" FROM b""")
-def beat_windows(spark, sf_dir):
-    s = series(spark, sf_dir)
-    w = Window.partitionBy("user_id")
-    clipped = s.withColumn("lo", F.min("time_s").over(w)).withColumn("hi", F.max("time_s").over(w))
-    return clipped.select("user_id", F.col("sample_index").alias("r_index"), r6(F.greatest("lo", F.col("time_s") - 3600)).alias("start"), r6(F.least("hi", F.col("time_s") + 5400)).alias("end"))
-
-
 @query("""WITH {BEATS} SELECT event_type, count(*) AS n_beats, round(avg(hr), 6) AS heart_rate_bpm_mean, round(stddev_samp(hr), 6) AS heart_rate_bpm_sd, round(quantile_cont(hr, 0.25), 6) AS heart_rate_bpm_p25,
 round(quantile_cont(hr, 0.5), 6) AS heart_rate_bpm_median, round(quantile_cont(hr, 0.75), 6) AS heart_rate_bpm_p75, round(avg(value), 6) AS r_amplitude_mean, round(stddev_samp(value), 6) AS r_amplitude_sd,
 round(quantile_cont(value, 0.25), 6) AS r_amplitude_p25, round(quantile_cont(value, 0.5), 6) AS r_amplitude_median, round(quantile_cont(value, 0.75), 6) AS r_amplitude_p75,
@@ -156,15 +97,6 @@ def rr_regularity(spark, sf_dir):
     return beats.rr_regularity(s, ["user_id"], "time_s", "sample_index").select("user_id", r6("rr_regularity").alias("rr_regularity"))
 
 
-@query("""WITH m AS (SELECT user_id, median(value) AS c, stddev_pop(value) AS s FROM events GROUP BY user_id), d AS (SELECT user_id, 1.4826 * median(abs(value - c)) AS mad, any_value(s) AS s FROM events JOIN m USING (user_id) GROUP BY user_id)
-SELECT user_id, round(greatest(CASE WHEN mad > 1e-8 THEN mad ELSE s END, 1e-8), 6) AS scale FROM d""")
-def robust_scale(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "value")
-    centre = e.groupBy("user_id").agg(F.percentile("value", F.lit(0.5)).alias("c"), F.stddev_pop("value").alias("s"))
-    mad = e.join(centre, "user_id").groupBy("user_id").agg((1.4826 * F.percentile(F.abs(F.col("value") - F.col("c")), F.lit(0.5))).alias("mad"), F.first("s").alias("s"))
-    return mad.select("user_id", r6(F.greatest(F.when(F.col("mad") > 1e-8, F.col("mad")).otherwise(F.col("s")), F.lit(1e-8))).alias("scale"))
-
-
 # --- matching ---------------------------------------------------------------------------------------
 
 _SIDES = "left_side AS (SELECT user_id, t AS tm FROM series WHERE event_type = 'click'), right_side AS (SELECT user_id, t AS tm FROM series WHERE event_type = 'view')"
@@ -402,65 +334,6 @@ def entropy_rank(spark, sf_dir):
     return e.select("vec_id", r6(entropy("p")).alias("uncertainty"), argmax("p").alias("predicted"), r6(F.array_max("p")).alias("confidence"))
 
 
-@query("""WITH e AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT vec_id, median(x) AS c, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS s FROM e GROUP BY vec_id)
-SELECT vec_id, round(avg((x - c) / s), 6) AS mean_z, round(max((x - c) / s), 6) AS max_z, round(min((x - c) / s), 6) AS min_z, round(max(abs((x - c) / s)), 6) AS max_abs_z FROM e JOIN m USING (vec_id) GROUP BY vec_id""")
-def zscore_features(spark, sf_dir):
-    x = table(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("x")).withColumn("x", F.col("x").cast("double"))
-    sd = F.stddev_pop("x")
-    m = x.groupBy("vec_id").agg(F.percentile("x", F.lit(0.5)).alias("c"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias("s"))
-    z = x.join(m, "vec_id").select("vec_id", ((F.col("x") - F.col("c")) / F.col("s")).alias("z"))
-    return z.groupBy("vec_id").agg(r6(F.avg("z")).alias("mean_z"), r6(F.max("z")).alias("max_z"), r6(F.min("z")).alias("min_z"), r6(F.max(F.abs("z"))).alias("max_abs_z"))
-
-
-@query()
-def detect_peaks(spark, sf_dir):
-    return detection.detect_peaks(signals(spark, sf_dir), "adaptive", recovery=True)
-
-
-@query()
-def signal_polarity(spark, sf_dir):
-    return detection.hybrid_polarity(signals(spark, sf_dir))
-
-
-@query()
-def qrs_vote(spark, sf_dir):
-    return detection.vote_polarity(signals(spark, sf_dir))
-
-
-@query()
-def qrs_delineation(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    return detection.delineate(s, detection.detect_peaks(s).where("r_index IS NOT NULL"))
-
-
-@query()
-def filtered_signals(spark, sf_dir):
-    return detection.filter_signals(signals(spark, sf_dir), baseline=True, highpass_hz=0.7, lowpass_hz=25.0, notch_hz=20.0)
-
-
-@query()
-def beat_phenotypes(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    return beats.beat_phenotypes(s, detection.detect_peaks(s).where("r_index IS NOT NULL"))
-
-
-@query()
-def beat_features(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    return learning.beat_features(s, detection.detect_peaks(s).where("r_index IS NOT NULL"))
-
-
-@query()
-def candidate_features(spark, sf_dir):
-    s = signals(spark, sf_dir)
-    return candidates.candidate_features(s, detection.detect_peaks(s))
-
-
-@query()
-def polarity_audit(spark, sf_dir):
-    return detection.polarity_audit(signals(spark, sf_dir))
-
-
 @query()
 def two_stage_detection(spark, sf_dir):
     """Second stage trained against stricter peaks of the same signals, then applied to all."""
@@ -539,3 +412,6 @@ def group_split(spark, sf_dir):
     """Whole groups (nations) to train or test by a hash of the group."""
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", F.when(F.substring(F.md5(F.col("c_nationkey").cast("string").cast("binary")), 1, 1) < "4", "test").otherwise("train").alias("part"))
+
+
+from . import kernel_queries  # noqa: E402, F401  (register their queries)
