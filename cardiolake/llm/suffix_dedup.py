@@ -11,8 +11,10 @@ another document.  The repeated runs of a suffix make one span; spans of one
 document that overlap are joined, so passages of any length come out whole.
 
 Scale: one hash per minimiser is counted first (partial aggregation), and only
-suffixes whose hash may occur twice are made: the test is a bit table of at most
-``TABLE_BITS`` bits (a false yes costs a row, never a result).  Suffixes are
+suffixes whose hash occurs twice are made.  While the repeated hashes fit a bit table
+of ``TABLE_BITS`` bits at eight bits each, the table goes with the scan (a false yes
+costs a row, never a result); more of them are joined with the hashes of all
+minimisers, and the places found with the texts.  Suffixes are
 range-partitioned by the sort key with the document as the last column, so a
 passage in a third of all documents spreads over many tasks, and are streamed
 in order.  All suffixes of one hash are compared at once in memory; those of a
@@ -20,7 +22,8 @@ hash that goes over a partition's edge or fills more than ``CHUNK`` rows are
 compared in pieces, and the different runs of the pieces are counted by a second
 aggregation.  Word codes have 32 bits, hashes of runs 64 beside those of the gram.
 
-Defined results: null, empty and shorter texts have no spans; rows with one
+Defined results: null, empty and shorter texts have no spans; very long texts count
+whole; rows with one
 doc_id are one document and do not repeat each other; rows without doc_id are
 ignored; empty tables give empty results; other columns are ignored
 (``cut_repeats`` passes them through).
@@ -36,12 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ascii_lower, window_hashes, word_hashes
+from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, word_hashes
 
 LEAST, GRAM = 50, 20
 SPAN = LEAST - GRAM + 1  # grams per minimiser window
 REACH = LEAST - GRAM
-TABLE_BITS = 1 << 27
+TABLE_BITS = 1 << 26
+TEXTS = 500  # texts of an Arrow batch
 CHUNK = 10_000  # suffixes of one hash that are compared at once
 _WORDS = re.compile(WORD)
 
@@ -83,26 +87,48 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long")
 
 
-def _bit_table(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys that occur twice or more; size by their number, bounded."""
-    twice = keys.groupBy("key").count().where("count > 1").select("key")
-    twice = Scratch(keys.sparkSession, "suffix-keys").save(twice, "twice")
+def _bit_table(twice: DataFrame, n: int) -> np.ndarray:
+    """Bits of the ``n`` keys of ``twice``, at most ``TABLE_BITS``."""
     bits = 1 << 16
-    wanted = 8 * twice.count()
-    while bits < min(wanted, TABLE_BITS):
+    while bits < 8 * n:
         bits *= 2
     bit = F.shiftrightunsigned("key", 20).bitwiseAND(bits - 1)
-    words = twice.select(F.shiftright(bit, 6).alias("w"), F.expr(f"shiftleft(1L, int(shiftrightunsigned(key, 20) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    words = twice.select(F.shiftright(bit, 6).alias("w"), F.expr("shiftleft(1L, int(shiftrightunsigned(key, 20) & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
     table = np.zeros(bits // 64, dtype=np.int64)
-    got = words.toPandas()  # at most TABLE_BITS / 64 rows
-    table[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    got = words.toArrow()  # at most TABLE_BITS / 64 rows
+    table[got["w"].to_numpy()] = got["b"].to_numpy()
     return table.view(np.uint64)
 
 
 SUFFIX_SCHEMA = "key long, right binary, left binary, doc_id long, at int"
 
 
+class _SuffixRows:
+    """Collects the suffixes of documents into one Arrow batch."""
+
+    def __init__(self):
+        self.keys, self.right, self.left, self.ids, self.ats = [], [], [], [], []
+
+    def add(self, doc_id: int, h: np.ndarray, at: np.ndarray, key: np.ndarray) -> None:
+        # 32-bit codes (0 is "no word"), big-endian so that bytes sort like codes.
+        none = np.zeros(REACH, np.uint32)
+        code = np.concatenate([none, np.maximum((h >> np.uint64(24)).astype(np.uint32), np.uint32(1)), none]).astype(">u4")
+        r = np.lib.stride_tricks.sliding_window_view(code, REACH)
+        self.keys.append(key.view(np.int64))
+        self.right += [x.tobytes() for x in r[at + REACH + GRAM]]
+        self.left += [x[::-1].tobytes() for x in r[at]]
+        self.ids += [doc_id] * len(at)
+        self.ats.append(at)
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(self.keys)), pa.array(self.right, pa.binary()), pa.array(self.left, pa.binary()), pa.array(self.ids, pa.int64()), pa.array(np.concatenate(self.ats).astype(np.int32))],
+            names=[c.split()[0] for c in SUFFIX_SCHEMA.split(", ")],
+        )
+
+
 def _suffixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """Suffixes at the minimisers whose hash the bit table has."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +136,7 @@ def _suffixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         bits = shared.value
         mask = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            keys, right, left, ids, ats = [], [], [], [], []
+            rows = _SuffixRows()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = _hashes(text, cache)
                 grams = window_hashes(h, GRAM)
@@ -118,25 +144,50 @@ def _suffixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 key = grams[at]
                 slot = (key >> np.uint64(20)) & mask
                 keep = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                at, key = at[keep], key[keep]
-                if not len(at):
-                    continue
-                # 32-bit codes (0 is "no word"), big-endian so that bytes sort like codes.
-                none = np.zeros(REACH, np.uint32)
-                code = np.concatenate([none, np.maximum((h >> np.uint64(24)).astype(np.uint32), np.uint32(1)), none]).astype(">u4")
-                r = np.lib.stride_tricks.sliding_window_view(code, REACH)
-                keys.append(key.view(np.int64))
-                right += [x.tobytes() for x in r[at + REACH + GRAM]]
-                left += [x[::-1].tobytes() for x in r[at]]
+                if keep.any():
+                    rows.add(doc_id, h, at[keep], key[keep])
+            if rows.ids:
+                yield rows.batch()
+
+    return _identified(docs).mapInArrow(run, SUFFIX_SCHEMA)
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+
+
+def _suffixes_joined(docs: DataFrame, twice: DataFrame) -> DataFrame:
+    """Suffixes at the minimisers whose hash is in ``twice``, however many those are."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        for batch in batches:
+            ids, keys, ats = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                grams = window_hashes(_hashes(text, cache), GRAM)
+                at = minimisers(grams)
                 ids += [doc_id] * len(at)
                 ats.append(at)
+                keys.append(grams[at])
             if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(right, pa.binary()), pa.array(left, pa.binary()), pa.array(ids, pa.int64()), pa.array(np.concatenate(ats).astype(np.int32))],
-                    names=[c.split()[0] for c in SUFFIX_SCHEMA.split(", ")],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], names=["doc_id", "key", "at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, int] = {}
+        for batch in batches:
+            rows = _SuffixRows()
+            for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                h = _hashes(text, cache)
+                grams = window_hashes(h, GRAM)
+                at = np.intersect1d(np.asarray(at, dtype=np.int64), minimisers(grams))
+                if len(at):
+                    rows.add(doc_id, h, at, grams[at])
+            if rows.ids:
+                yield rows.batch()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, SUFFIX_SCHEMA)
+    own = _identified(docs)
+    hit = own.mapInArrow(places, "doc_id long, key long, at int").join(twice, "key", "left_semi")
+    return own.join(hit.groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "doc_id").select("doc_id", "text", "ats").mapInArrow(run, SUFFIX_SCHEMA)
 
 
 class _Block:
@@ -254,9 +305,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): passages that occur in another document, end exclusive."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "suffix")
-    table = _bit_table(_keys(docs))
-    suffixes = scratch.save(_suffixes(docs, table), "suffixes", wide=True)
+    scratch = Scratch(spark, "suffix", docs)
+    with arrow_batches(spark, TEXTS):
+        twice = scratch.save(_keys(docs).groupBy("key").count().where("count > 1").select("key"), "twice")
+        n = twice.count()
+        suffixes = scratch.save(_suffixes(docs, _bit_table(twice, n)) if 8 * n <= TABLE_BITS else _suffixes_joined(docs, twice), "suffixes", wide=True)
     parts, order = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), ["key", "right", "left", "doc_id", "at"]
     matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
     runs = matches.where("run IS NOT NULL")

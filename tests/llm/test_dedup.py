@@ -109,6 +109,33 @@ def test_passages_equal_brute_force(spark):
     assert covered(sd.repeated_spans(docs(spark, texts)).collect()) == repeated(texts)
 
 
+def lost_passage(rng):
+    """Two texts share 50 words around a 20-word gram; others share more with them, but on one side only."""
+    gram, left, right = (rng.choice(VOCAB, size=n).tolist() for n in (20, 15, 15))
+    fresh = lambda n: [f"f{rng.integers(10**9)}" for _ in range(n)]
+    x_left, x_right = fresh(40), fresh(40)
+    x = x_left + left + gram + right + x_right
+    c = fresh(45) + left + gram + right + fresh(45)
+    near_right = [fresh(30) + gram + right + x_right[:14] + fresh(20) for _ in range(8)]
+    near_left = [fresh(20) + x_left[-14:] + left + gram + fresh(30) for _ in range(8)]
+    return [" ".join(w) for w in (x, c, *near_right, *near_left)]
+
+
+def test_passage_between_closer_neighbours(spark):
+    """The only partner of a passage is no neighbour in either sort order."""
+    rng = np.random.default_rng(13)
+    texts = [t for _ in range(25) for t in lost_passage(rng)]
+    want = repeated(texts)
+    assert len(want) == 50 and covered(sd.repeated_spans(docs(spark, texts)).collect()) == want
+
+
+def test_repeated_hashes_beyond_the_table_are_joined(spark, monkeypatch):
+    texts = edited_family(200, size=150) + [None, "short"]
+    monkeypatch.setattr(sd, "TABLE_BITS", 0)
+    d = docs(spark, [*texts, (0, texts[0]), (None, texts[0])], key=F.lit("k"), at=F.lit(1))
+    assert covered(sd.repeated_spans(d).collect()) == repeated(texts)
+
+
 def test_one_passage_everywhere(spark):
     rng = np.random.default_rng(6)
     p = " ".join(rng.choice(VOCAB, size=64))
@@ -139,7 +166,8 @@ def test_keys_compared_in_pieces(spark, monkeypatch):
     """One key over many partitions and chunks: the pieces are counted together."""
     texts = edited_family(300, size=120)
     d = docs(spark, texts)
-    table = sd._bit_table(sd._keys(d))
+    twice = sd._keys(d).groupBy("key").count().where("count > 1").select("key").cache()
+    table = sd._bit_table(twice, twice.count())
     rows = sd._suffixes(d, table).toPandas().sort_values(["key", "right", "left", "doc_id", "at"])
     monkeypatch.setattr(sd, "CHUNK", 7)
     batches = [pa.RecordBatch.from_pandas(rows.iloc[i : i + 5], preserve_index=False) for i in range(0, len(rows), 5)]
@@ -157,7 +185,8 @@ def test_keys_compared_in_pieces(spark, monkeypatch):
 def test_cut_repeats(spark):
     rng = np.random.default_rng(8)
     p = " ".join(rng.choice(VOCAB, size=60))
-    d = docs(spark, ["before " + p + " after", p, "clean text"])
+    d = docs(spark, ["before " + p + " after", p, "clean text"], start_word=F.lit("s"), end_word=F.lit(1), span=F.lit(2))
+    assert sd.cut_repeats(d, sd.repeated_spans(d)).columns == d.columns
     out = {r["doc_id"]: r["text"] for r in sd.cut_repeats(d, sd.repeated_spans(d)).collect()}
     assert out == {0: "before after", 1: "", 2: "clean text"}
     assert sd.repeated_spans(docs(spark, [])).count() == 0
