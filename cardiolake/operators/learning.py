@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -151,6 +151,17 @@ def rank_uncertain(predicted: DataFrame, top_n: int = 25, annotations: DataFrame
 # --- splits -------------------------------------------------------------------------------
 
 
+def groups_per_class(rows: DataFrame, group: str = "group_id", label: str = "label") -> DataFrame:
+    """(label, n_groups): in how many groups each class occurs."""
+    return rows.groupBy(label).agg(F.count_distinct(group).alias("n_groups"))
+
+
+def _hashed(record: str, seed: int) -> Column:
+    """60 bits of the MD5 of seed and record: an order that any engine can repeat."""
+    text = F.concat_ws("|", F.lit(seed).cast("string"), F.col(record).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def group_folds(rows: DataFrame, n_folds: int, group: str = "group_id", label: str = "label", seed: int = 42) -> DataFrame:
     """(group, fold): whole groups, each put where it keeps class counts most even.
 
@@ -159,7 +170,7 @@ def group_folds(rows: DataFrame, n_folds: int, group: str = "group_id", label: s
     counts = rows.groupBy(group, label).count().collect()
     labels = sorted({r[label] for r in counts}, key=str)
     groups = sorted({r[group] for r in counts}, key=str)
-    per_class = {c: len({r[group] for r in counts if r[label] == c}) for c in labels}
+    per_class = {r[label]: r["n_groups"] for r in groups_per_class(rows, group, label).collect()}
     n_folds = min(n_folds, len(groups), *per_class.values()) if labels else 0
     if n_folds < 2:
         raise ValueError("folds: every class must occur in two groups or more")
@@ -226,7 +237,7 @@ def calibration_split(rows: DataFrame, fraction: float = 0.2, record: str = "rec
     strata = record_strata(rows, record)
     if strata.limit(3).count() < 3:
         raise ValueError("calibration split: fewer than three records")
-    strata = strata.select(record, "stratum").withColumn("__h", F.xxhash64(record, F.lit(seed)))
+    strata = strata.select(record, "stratum").withColumn("__h", _hashed(record, seed))
     parts = []
     for r in strata.groupBy("stratum").count().collect():  # one row a stratum
         own, n = strata.where(F.col("stratum") == r["stratum"]), r["count"]
@@ -243,7 +254,7 @@ def _first_by_hash(rows: DataFrame, take: int, h: str = "__h") -> DataFrame:
 
 def record_split(records: DataFrame, record: str = "recording_id", test: float = 0.25, seed: int = 42) -> DataFrame:
     """(record, part) by a seeded hash order; ``test`` of the records, one at least."""
-    distinct = records.select(record).distinct().withColumn("__h", F.xxhash64(record, F.lit(seed)))
+    distinct = records.select(record).distinct().withColumn("__h", _hashed(record, seed))
     chosen = _first_by_hash(distinct, max(1, round(distinct.count() * test)))
     return distinct.join(chosen, "__h", "left").select(record, F.when(F.col("__in"), "test").otherwise("train").alias("part"))
 

@@ -132,39 +132,49 @@ def _metrics(spark, sf_dir, tolerance_ms=14_400_000.0):
 
 _MATCH_SQL = "{SERIES}, " + """l AS (SELECT user_id, list(DISTINCT CAST(floor(t) AS BIGINT) ORDER BY CAST(floor(t) AS BIGINT)) AS d FROM series WHERE event_type = 'click' GROUP BY user_id),
 r AS (SELECT user_id, list(DISTINCT CAST(floor(t) AS BIGINT) ORDER BY CAST(floor(t) AS BIGINT)) AS f FROM series WHERE event_type = 'view' GROUP BY user_id),
-p AS (SELECT user_id, coalesce(d, []) AS d, coalesce(f, []) AS f FROM l FULL JOIN r USING (user_id)),
-walk(user_id, d, f, i, j, tp, err) AS (SELECT user_id, d, f, 1, 1, 0, CAST(0 AS DOUBLE) FROM p UNION ALL
-SELECT user_id, d, f, i + CASE WHEN abs(d[i] - f[j]) <= 14400 OR d[i] < f[j] THEN 1 ELSE 0 END, j + CASE WHEN abs(d[i] - f[j]) <= 14400 OR d[i] >= f[j] THEN 1 ELSE 0 END,
-tp + CASE WHEN abs(d[i] - f[j]) <= 14400 THEN 1 ELSE 0 END, err + CASE WHEN abs(d[i] - f[j]) <= 14400 THEN abs(d[i] - f[j]) ELSE 0 END FROM walk WHERE i <= len(d) AND j <= len(f)),
-m AS (SELECT user_id, len(any_value(f)) AS nf, len(any_value(d)) AS nd, max(tp) AS tp, max(err) AS err FROM walk GROUP BY user_id)"""
+p AS (SELECT user_id, coalesce(d, []) AS d, coalesce(f, []) AS f, tol FROM l FULL JOIN r USING (user_id), (SELECT unnest([{TOLERANCES}]) AS tol)),
+walk(user_id, tol, d, f, i, j, e) AS (SELECT user_id, tol, d, f, 1, 1, CAST([] AS BIGINT[]) FROM p UNION ALL
+SELECT user_id, tol, d, f, i + CASE WHEN abs(d[i] - f[j]) <= tol OR d[i] < f[j] THEN 1 ELSE 0 END, j + CASE WHEN abs(d[i] - f[j]) <= tol OR d[i] >= f[j] THEN 1 ELSE 0 END,
+CASE WHEN abs(d[i] - f[j]) <= tol THEN list_append(e, d[i] - f[j]) ELSE e END FROM walk WHERE i <= len(d) AND j <= len(f)),
+w AS (SELECT user_id, tol, len(any_value(f)) AS nf, len(any_value(d)) AS nd, list_transform(arg_max(e, len(e)), lambda x: 1000e0 * x) AS e FROM walk GROUP BY user_id, tol),
+m AS (SELECT user_id, tol, nf AS reference_count, nd AS detected_count, len(e) AS true_positive, nd - len(e) AS false_positive, nf - len(e) AS false_negative, CASE WHEN nf > 0 THEN len(e) / nf ELSE 0 END AS sensitivity, CASE WHEN nd > 0 THEN len(e) / nd ELSE 0 END AS positive_predictive_value,
+CASE WHEN len(e) > 0 THEN 2 * len(e) / (nf + nd) ELSE 0 END AS f1, list_avg(e) AS mean_timing_error_ms, list_aggregate(e, 'median') AS median_timing_error_ms, list_aggregate(e, 'stddev_samp') AS sd_timing_error_ms, list_avg(list_transform(e, lambda x: abs(x))) AS mean_absolute_timing_error_ms,
+list_aggregate(list_transform(e, lambda x: abs(x)), 'median') AS median_absolute_timing_error_ms, list_aggregate(list_transform(e, lambda x: abs(x)), 'quantile_cont', 0.95) AS p95_absolute_timing_error_ms, list_max(list_transform(e, lambda x: abs(x))) AS max_absolute_timing_error_ms FROM w)"""
+_COUNTS = ("reference_count", "detected_count", "true_positive", "false_positive", "false_negative")
+_RATES = ("sensitivity", "positive_predictive_value", "f1")
+_TIMES = ("mean_timing_error_ms", "median_timing_error_ms", "sd_timing_error_ms", "mean_absolute_timing_error_ms", "median_absolute_timing_error_ms", "p95_absolute_timing_error_ms", "max_absolute_timing_error_ms")
+_METRICS_SQL = ", ".join([f"CAST({c} AS BIGINT) AS {c}" for c in _COUNTS] + [f"round({c}, 6) AS {c}" for c in _RATES] + [f"round({c}, 3) AS {c}" for c in _TIMES])
 
 
-@query("WITH RECURSIVE " + _MATCH_SQL + """ SELECT user_id, CAST(nf AS BIGINT) AS reference_count, CAST(nd AS BIGINT) AS detected_count, CAST(tp AS BIGINT) AS true_positive, CAST(nd - tp AS BIGINT) AS false_positive, CAST(nf - tp AS BIGINT) AS false_negative,
-round(CASE WHEN nf > 0 THEN tp / nf ELSE 0 END, 6) AS sensitivity, round(CASE WHEN nd > 0 THEN tp / nd ELSE 0 END, 6) AS positive_predictive_value, round(CASE WHEN tp > 0 THEN 1000 * err / tp END, 4) AS mean_absolute_timing_error_ms FROM m""")
+def _metric_columns():
+    return [*_COUNTS, *[r6(c).alias(c) for c in _RATES], *[F.round(c, 3).alias(c) for c in _TIMES]]
+
+
+@query("WITH RECURSIVE " + _MATCH_SQL.replace("{TOLERANCES}", "14400") + f" SELECT user_id, {_METRICS_SQL} FROM m")
 def match_peaks(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    return m.select("user_id", "reference_count", "detected_count", "true_positive", "false_positive", "false_negative", r6("sensitivity").alias("sensitivity"), r6("positive_predictive_value").alias("positive_predictive_value"), F.round("mean_absolute_timing_error_ms", 4).alias("mean_absolute_timing_error_ms"))
+    return _metrics(spark, sf_dir).select("user_id", *_metric_columns())
 
 
-@query("WITH RECURSIVE " + _MATCH_SQL + """ SELECT count(*) AS records, CAST(sum(nf) AS BIGINT) AS reference_count, CAST(sum(nd) AS BIGINT) AS detected_count, CAST(sum(tp) AS BIGINT) AS true_positive,
-round(sum(tp) / sum(nf), 6) AS sensitivity, round(sum(tp) / sum(nd), 6) AS positive_predictive_value, round(2 * sum(tp) / (sum(nf) + sum(nd)), 6) AS f1 FROM m""")
+@query("WITH RECURSIVE " + _MATCH_SQL.replace("{TOLERANCES}", "14400") + """ SELECT count(*) AS records, CAST(sum(reference_count) AS BIGINT) AS reference_count, CAST(sum(detected_count) AS BIGINT) AS detected_count, CAST(sum(true_positive) AS BIGINT) AS true_positive, CAST(sum(false_positive) AS BIGINT) AS false_positive, CAST(sum(false_negative) AS BIGINT) AS false_negative,
+round(sum(true_positive) / sum(reference_count), 6) AS sensitivity, round(sum(true_positive) / sum(detected_count), 6) AS positive_predictive_value, round(2 * sum(true_positive) / (sum(reference_count) + sum(detected_count)), 6) AS f1, round(avg(mean_timing_error_ms), 3) AS mean_timing_error_ms, round(median(median_absolute_timing_error_ms), 3) AS median_absolute_timing_error_ms FROM m""")
 def pooled_detection(spark, sf_dir):
     p = stats.pooled_detection(_metrics(spark, sf_dir))
-    return p.select("records", "reference_count", "detected_count", "true_positive", r6("sensitivity").alias("sensitivity"), r6("positive_predictive_value").alias("positive_predictive_value"), r6("f1").alias("f1"))
+    return p.select("records", *_COUNTS, *[r6(c).alias(c) for c in _RATES], *[F.round(c, 3).alias(c) for c in ("mean_timing_error_ms", "median_absolute_timing_error_ms")])
 
 
-@query()
+@query("WITH RECURSIVE " + _MATCH_SQL.replace("{TOLERANCES}", "3600, 7200, 10800, 14400") + f" SELECT user_id, tol * 1000.0 AS tolerance_ms, {_METRICS_SQL} FROM m")
 def tolerance_sweep(spark, sf_dir):
     a, b = _sides(spark, sf_dir, "sample_index")
     whole = lambda df: df.select("user_id", F.floor("sample_index").cast("long").alias("sample_index")).distinct()
-    return matching.tolerance_sweep(whole(a), whole(b), 1.0, [3.6e6, 7.2e6, 14.4e6], ["user_id"])
+    return matching.tolerance_sweep(whole(a), whole(b), 1.0, [3.6e6, 7.2e6, 10.8e6, 14.4e6], ["user_id"]).select("user_id", "tolerance_ms", *_metric_columns())
 
 
-@query()
-def point_agreement(spark, sf_dir):
-    s = series(spark, sf_dir)
-    points = s.select("user_id", F.lit("x").alias("label"), F.lit("c").alias("channel"), F.lit("point").alias("type"), F.col("time_s").alias("time"), F.col("sample_index").alias("seq"), "event_type")
-    return matching.point_agreement(points.where("event_type = 'click'"), points.where("event_type = 'view'"), 14400.0, ["user_id"])
+@query("WITH RECURSIVE " + _MATCH_SQL.replace("{TOLERANCES}", "14400") + ", v AS (" + " UNION ALL ".join(f"SELECT '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM m" for m in provenance.MACRO) + ") SELECT metric, count(value) AS n, round(avg(value), 3) AS mean, round(stddev_samp(value), 3) AS sd FROM v GROUP BY metric")
+def macro_summary(spark, sf_dir):
+    """Means over records of the rates and timing errors, as a report has them."""
+    s = provenance.rigorous_summary(_metrics(spark, sf_dir).withColumnRenamed("user_id", "recording_id"))
+    rows = [(m, v["n"], round(v["mean"], 3), round(v["sd"], 3)) for m, v in s["macro_record"].items()]
+    return spark.createDataFrame(rows, "metric string, n long, mean double, sd double")
 
 
 @query("""WITH a AS (SELECT l_suppkey, l_orderkey * 10 + l_linenumber AS id, epoch(l_shipdate) / 86400.0 AS s, epoch(l_shipdate) / 86400.0 + l_quantity / 10 AS e FROM lineitem WHERE l_returnflag = 'A'),
@@ -184,26 +194,12 @@ def split_leakage(spark, sf_dir):
     return matching.split_leakage(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
-def missing_records(spark, sf_dir):
-    """Manifest less results: customers without an order."""
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
-
-
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE round(c_acctbal, 6) END AS balance FROM customer")
 def upsert_rows(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", r6("c_acctbal").alias("balance"))
     return provenance.upsert(c, c.where("balance < 0").withColumn("balance", F.lit(0.0)), ["c_custkey"])
 
 
-@query("SELECT DISTINCT ON (user_id, value) user_id, round(value, 6) AS value, event_type FROM events ORDER BY user_id, value, CASE event_type WHEN 'purchase' THEN 0 ELSE 1 END, event_type")
-def union_by_priority(spark, sf_dir):
-    """Union of two peak lists where the later list wins on equal keys."""
-    e = table(spark, sf_dir, "events").select("user_id", "value", "event_type")
-    best = F.row_number().over(Window.partitionBy("user_id", "value").orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_type"))
-    return e.withColumn("k", best).where("k = 1").select("user_id", r6("value").alias("value"), "event_type")
-
-
 # --- statistics ---------------------------------------------------------------------------------------
 
 _UNITS = "u AS (SELECT c_mktsegment AS grp, o_custkey AS unit, avg(o_totalprice) AS value FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
@@ -228,11 +224,6 @@ def welch_t(spark, sf_dir):
     return c.select("n_a", "n_b", r6("welch_t").alias("welch_t"), r6("welch_df").alias("welch_df"), r6("cohens_d").alias("cohens_d"))
 
 
-@query()
-def compare_groups(spark, sf_dir):
-    return stats.compare_groups(_measurements(spark, sf_dir), "BUILDING", "MACHINERY")
-
-
 @query("""WITH v AS (SELECT event_type AS grp, value FROM events WHERE event_type IN ('click', 'view')), k AS (SELECT grp, value, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2.0 AS r FROM v)
 SELECT round(sum(r) FILTER (grp = 'click') - count(*) FILTER (grp = 'click') * (count(*) FILTER (grp = 'click') + 1) / 2.0, 6) AS mann_whitney_u, count(*) FILTER (grp = 'click') AS n_a, count(*) FILTER (grp = 'view') AS n_b FROM k""")
 def mann_whitney_u(spark, sf_dir):
@@ -249,26 +240,20 @@ def benjamini_hochberg(spark, sf_dir):
     return stats.benjamini_hochberg(tests).select("test_id", r6("p_adjusted").alias("p_adjusted"))
 
 
-@query("WITH " + _UNITS + " SELECT grp, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM u GROUP BY grp")
-def mean_interval(spark, sf_dir):
-    m = stats.mean_interval(stats.unit_means(_measurements(spark, sf_dir)), "value", ["grp"])
-    return m.select("grp", "n", r6("mean").alias("mean"), r6("sd").alias("sd"))
-
-
 @query()
 def record_bootstrap(spark, sf_dir):
     m = stats.unit_means(_measurements(spark, sf_dir)).groupBy("unit_id").agg(F.avg("value").alias("value"))
-    return stats.record_bootstrap(m, "value", "unit_id", 200)
+    return stats.record_bootstrap(m, "value", "unit_id")
 
 
 @query("""WITH e AS (SELECT l_returnflag, (epoch(l_shipdate) / 86400.0 - epoch(o_orderdate) / 86400.0) * 1000.0 AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-SELECT l_returnflag, count(e) AS n, round(avg(e), 4) AS signed_mean_ms, round(median(e), 4) AS signed_median_ms, round(stddev_samp(e), 4) AS signed_sd_ms, round(avg(abs(e)), 4) AS absolute_mean_ms, round(quantile_cont(abs(e), 0.95), 4) AS absolute_p95_ms, round(max(abs(e)), 4) AS absolute_max_ms FROM e GROUP BY 1""")
+SELECT l_returnflag, count(e) AS n, round(avg(e), 4) AS signed_mean_ms, round(median(e), 4) AS signed_median_ms, round(stddev_samp(e), 4) AS signed_sd_ms, round(avg(abs(e)), 4) AS absolute_mean_ms, round(median(abs(e)), 4) AS absolute_median_ms, round(quantile_cont(abs(e), 0.95), 4) AS absolute_p95_ms, round(max(abs(e)), 4) AS absolute_max_ms FROM e GROUP BY 1""")
 def boundary_errors(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     day = lambda c: F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({c} AS TIMESTAMP_NTZ))") / 86400.0
     pairs = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_returnflag", day("l_shipdate").alias("found"), day("o_orderdate").alias("ref"), F.lit(1.0).alias("fs_hz"))
     b = stats.boundary_errors(pairs, "found", "ref", keys=["l_returnflag"])
-    return b.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("signed_mean_ms", "signed_median_ms", "signed_sd_ms", "absolute_mean_ms", "absolute_p95_ms", "absolute_max_ms")])
+    return b.select("l_returnflag", "n", *[F.round(c, 4).alias(c) for c in ("signed_mean_ms", "signed_median_ms", "signed_sd_ms", "absolute_mean_ms", "absolute_median_ms", "absolute_p95_ms", "absolute_max_ms")])
 
 
 # --- labels and scores ------------------------------------------------------------------------------------
@@ -313,16 +298,6 @@ def record_strata(spark, sf_dir):
     return s.select("recording_id", r6("rate").alias("rate"), "stratum")
 
 
-@query()
-def calibration_split(spark, sf_dir):
-    return learning.calibration_split(_scored(spark, sf_dir).withColumnRenamed("source", "recording_id"))
-
-
-@query("SELECT source AS recording_id, count(DISTINCT quality) AS n_classes, count(DISTINCT l.doc_id) AS n_rows FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY source")
-def groups_per_class(spark, sf_dir):
-    return _scored(spark, sf_dir).groupBy(F.col("source").alias("recording_id")).agg(F.count_distinct("label").alias("n_classes"), F.count_distinct("doc_id").alias("n_rows"))
-
-
 # --- vectors as signals -----------------------------------------------------------------------------------
 
 _SOFT = "v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), x AS (SELECT vec_id, list_transform(e, lambda y: exp(y - list_max(e))) AS x FROM v), p AS (SELECT vec_id, list_transform(x, lambda y: y / list_sum(x)) AS p FROM x)"
@@ -340,26 +315,19 @@ def two_stage_detection(spark, sf_dir):
     s = signals(spark, sf_dir)
     strict = detection.detect_peaks(s, prominence_factor=2.0).where("r_index IS NOT NULL")
     rows = learning.candidate_training_rows(s, strict, 64.0, 0.02)
-    model, meta = learning.fit_suppressor(rows, 0.95, trees=5)
+    model, meta = learning.fit_suppressor(rows, 0.95)
     return learning.detect_two_stage(s, model, meta["threshold"], recovery=True)
 
 
 @query()
 def group_benchmark(spark, sf_dir):
-    """Group-safe cross-validation of document features by source (small forest)."""
+    """Group-safe cross-validation of document features by source."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     text = F.coalesce("text", F.lit(""))
     n = F.greatest(F.length(text), F.lit(1)).cast("double")
     feats = F.array(F.log1p(n), (F.length(F.regexp_replace(text, "[^#*$%&]", "")) / n), (F.length(F.regexp_replace(text, "[^A-Z]", "")) / n), F.size(F.split(text, "\n")) / n)
     rows = labels.join(d, "doc_id").select(F.col("source").alias("group_id"), F.col("quality").cast("string").alias("label"), feats.alias("features"))
-    models = {"logistic_regression": learning.logistic(20), "random_forest": learning.forest(5, 4)}
-    return learning.benchmark(rows, 3, models=models)[1]
-
-
-@query()
-def spaced_top(spark, sf_dir):
-    """Highest values of every series, two hours apart."""
-    return learning.spaced(series(spark, sf_dir).select("user_id", "time_s", "value"), 7200.0, 5, ["user_id"], "value")
+    return learning.benchmark(rows)[1]
 
 
 # --- validation, annotations, provenance --------------------------------------------------------------------
@@ -414,4 +382,4 @@ def group_split(spark, sf_dir):
     return c.select("c_custkey", F.when(F.substring(F.md5(F.col("c_nationkey").cast("string").cast("binary")), 1, 1) < "4", "test").otherwise("train").alias("part"))
 
 
-from . import kernel_queries  # noqa: E402, F401  (register their queries)
+from . import kernel_queries, recording_queries  # noqa: E402, F401  (register their queries)
