@@ -188,6 +188,41 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(sec)
 
 
+def test_pipeline_edges(spark, tmp_path):
+    """Null and empty texts, null ids, repeated rows, clashing columns, a very long text, and no rows at all."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(8)
+    vocab = [f"w{i}" for i in range(400)]
+    clean = [" ".join(rng.choice(vocab, size=60)) for _ in range(30)]
+    long = " ".join(rng.choice(vocab, size=60_000))
+    rows = [*enumerate(clean), (5, clean[5]), (None, "only here " + " ".join(rng.choice(vocab, size=50))), (40, None), (41, ""), (None, None), (42, long)]
+    d = docs(spark, rows).withColumns({c: F.lit("mine") for c in ("kept", "row", "g", "cid", "h1", "key", "words", "blocks", "positions", "spans", "__kept", "__id")})
+    for name, data in (("full", d), ("none", d.limit(0))):
+        sf = str(tmp_path / name)
+        data.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, " ".join(["unseen"] * 12))], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    sf, now = str(tmp_path / "full"), spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, sf)
+        now.write.parquet(f"{sf}/out/{name}")
+        now = spark.read.parquet(f"{sf}/out/{name}")
+        assert now.columns == d.columns and {r["kept"] for r in now.select("kept").distinct().collect()} == {"mine"}
+    left = [(r["doc_id"], r["text"]) for r in now.collect()]
+    assert sorted(i for i, _ in left if i is not None) == sorted([*range(30), 5, 42]) and sum(i is None for i, _ in left) == 1
+    assert dict(left)[42] == long
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, sf).collect()
+    assert {r["doc_id"] for r in packed} == {i for i, _ in left}
+    # Stages called alone keep documents without text, but for the first.
+    bare = docs(spark, [(1, None), (2, ""), (2, "")])
+    assert corpus_pipeline.quality(spark, bare, sf).count() == 0
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.secrets):
+        assert stage(spark, bare, sf).count() == 3
+    assert sum(r["length"] for r in corpus_pipeline.packing(spark, bare, sf).collect()) == 3
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_registry_names():
     import __spark_entry__ as entry
 
