@@ -21,7 +21,10 @@ def running(levels: DataFrame, key: str, value: str, out: str, fn: str = "sum",
     """
     agg = {"sum": F.sum, "min": F.min}[fn]
     if ranges is None:
-        ranges = min(MAX_RANGES, max(2, -(-levels.count() // RANGE_ROWS)))
+        ranges = min(MAX_RANGES, max(1, -(-levels.count() // RANGE_ROWS)))
+    if ranges == 1:  # at most RANGE_ROWS keys
+        whole = Window.partitionBy(F.lit(0)).orderBy(F.desc(key) if descending else F.asc(key)).rowsBetween(Window.unboundedPreceding, 0)
+        return levels.withColumn(out, agg(value).over(whole))
     cuts = sorted(set(levels.where(F.col(key).isNotNull()).approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     bounds = F.lit(cuts) if cuts else F.array().cast("array<double>")
     cut = levels.withColumn("__range", F.size(F.filter(bounds, lambda b: b < F.col(key))))

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from .. import api
@@ -222,6 +223,36 @@ def signal_guards(spark, sf_dir):
     return p.select("recording_id", fault.alias("fault"))
 
 
+@query("SELECT vec_id AS recording_id, vec_id % 3 = 0 AS refused FROM embeddings")
+def filter_guards(spark, sf_dir):
+    """A cutoff beyond half the sampling rate is refused signal by signal."""
+    s = signals(spark, sf_dir).withColumn("fs_hz", F.when(F.col("recording_id") % 3 == 0, 40.0).otherwise(F.col("fs_hz")))
+    return detection.filter_signals(s, lowpass_hz=20.0).select("recording_id", F.col("error").isNotNull().alias("refused"))
+
+
+@query(f"WITH {SHORT}, k AS (SELECT id, unnest(list_filter(range(0, 64), lambda i: x[i + 1] = list_max(x[(i // 16 * 16 + 1):(i // 16 * 16 + 16)]))) AS r_index FROM src WHERE id % 10 <> 0) SELECT id AS recording_id, r_index, false AS refused FROM k UNION ALL SELECT id, -1, true FROM src WHERE id % 10 = 0")
+def plugin_detector(spark, sf_dir):
+    """A registered detector (largest sample of every 16); a tenth of the signals makes it return indices that fall."""
+
+    def blocks(x, fs):
+        found = [i + int(np.argmax(x[i : i + 16])) for i in range(0, len(x), 16)]
+        return found[::-1] if fs == 32.0 else found
+
+    detection.register_detector("largest of blocks", blocks)
+    s = signals(spark, sf_dir).withColumn("fs_hz", F.when(F.col("recording_id") % 10 == 0, 32.0).otherwise(F.col("fs_hz")))
+    return detection.run_detector(s, "largest of blocks").select("recording_id", F.coalesce("r_index", F.lit(-1)).cast("long").alias("r_index"), F.col("error").isNotNull().alias("refused"))
+
+
+@query(f"""WITH {POSITIVE}, {_peaks("strict", "zs", "z", "2.0 * sd", 16)}, near AS (SELECT id, i, (SELECT min(s.i) FROM strict s WHERE s.id = up.id AND s.i >= up.i) AS nx, (SELECT max(s.i) FROM strict s WHERE s.id = up.id AND s.i < up.i) AS pv FROM up),
+pick AS (SELECT *, CASE WHEN nx IS NULL THEN pv WHEN pv IS NULL THEN nx WHEN nx - i <= i - pv THEN nx ELSE pv END AS ref FROM near), ok AS (SELECT *, coalesce(abs(ref - i) <= 20 * 64 / 1000.0, false) AS inside FROM pick)
+SELECT id AS recording_id, i AS r_index, CAST(inside AND row_number() OVER (PARTITION BY id, inside, ref ORDER BY i) = 1 AS INTEGER) AS label FROM ok""")
+def candidate_labels(spark, sf_dir):
+    """Stage-1 candidates next to stricter peaks of the same signals."""
+    s = signals(spark, sf_dir)
+    loose, strict = detection.detect_peaks(s).where("r_index IS NOT NULL"), detection.detect_peaks(s, prominence_factor=2.0).where("r_index IS NOT NULL")
+    return candidates.label_candidates(loose, strict, 64.0, 0.02, ["recording_id"])
+
+
 # --- beats -----------------------------------------------------------------------------------------
 
 _BEAT = f"{POSITIVE}, bt AS (SELECT up.id, i, x, i / 64 AS t FROM up JOIN src USING (id)), rr AS (SELECT *, t - lag(t) OVER w AS pv, lead(t) OVER w - t AS nx FROM bt WINDOW w AS (PARTITION BY id ORDER BY i))"
