@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import annotations, beats, detection, learning, matching, provenance, stats
+from .operators import annotations, beats, candidates, detection, learning, matching, provenance, stats
 from .operators.validation import check_window
 from .sources import readers
 
@@ -92,6 +92,38 @@ def validate_detector(signals: DataFrame, references: DataFrame, manifest: prove
         peaks = detection.run_detector(signals, detector)
     rates = signals.groupBy("recording_id").agg(F.first("fs_hz").alias("fs_hz"))
     found = peaks.where("r_index IS NOT NULL").select("recording_id", F.col("r_index").alias("sample_index"))
+    return provenance.validation_report(manifest, _record_metrics(found, references, rates, tolerance_ms), detector, {}, tolerance_ms, n_bootstrap=n_bootstrap)
+
+
+def _record_metrics(found: DataFrame, references: DataFrame, rates: DataFrame, tolerance_ms: float) -> DataFrame:
+    """Metrics of every record, each with its own sampling rate (``rates``: recording_id, fs_hz)."""
     pairs = matching.pair_matches(found, references, 1.0, tolerance_ms).drop("fs_hz", "pairs").join(rates, "recording_id")
     pairs = pairs.withColumn("pairs", matching.paired(F.col("detected"), F.col("reference"), F.lit(tolerance_ms) * F.col("fs_hz") / 1000.0))
-    return provenance.validation_report(manifest, matching.match_metrics(pairs), detector, {}, tolerance_ms, n_bootstrap=n_bootstrap)
+    return matching.match_metrics(pairs)
+
+
+def benchmark_two_stage(signals: DataFrame, references: DataFrame, tolerance_ms: float = 75.0, target_recall: float = 0.995, test: float = 0.25, calibration: float = 0.2, seed: int = 42, trees: int = 150, recovery: bool = False) -> dict:
+    """From recordings to a report: whole records are split into train and test, the second
+    stage is fitted on the training records less those that calibrate its threshold, and
+    both stages are matched against the references of the test records alone.
+
+    ``signals``: packed, one channel a recording; ``references``: recording_id, sample_index.
+    Returns the split, the model and its metadata, metrics per stage and record, and pooled
+    metrics per stage.
+    """
+    split = learning.record_split(signals.select("recording_id"), test=test, seed=seed)
+    part = lambda df, name: df.join(split.where(F.col("part") == name).select("recording_id"), "recording_id", "left_semi")
+    fit, held = part(signals, "train"), part(signals, "test")
+    rates = signals.groupBy("recording_id").agg(F.first("fs_hz").alias("fs_hz"))
+    stage1 = detection.detect_peaks(fit, recovery=recovery).where("r_index IS NOT NULL")
+    seconds = lambda df, at: df.join(rates, "recording_id").select("recording_id", F.col(at).cast("long").alias("r_index"), (F.col(at) / F.col("fs_hz")).alias("at"))
+    near = matching.nearest_labels(seconds(stage1, "r_index"), seconds(part(references, "train"), "sample_index"), tolerance_ms / 1000.0)
+    labels = seconds(stage1, "r_index").join(near.select("recording_id", "at", "label"), ["recording_id", "at"]).drop("at")
+    rows = candidates.candidate_features(fit, stage1).where("error IS NULL").drop("error").join(labels, ["recording_id", "r_index"])
+    model, about = learning.fit_suppressor(rows, target_recall, trees=trees, seed=seed, split=learning.calibration_split(rows, calibration, seed=seed).drop("stratum"))
+    both = learning.detect_two_stage(held, model, about["threshold"], recovery=recovery)
+    found = {"stage_1": both, "two_stage": both.where("retained")}
+    refs = part(references, "test")
+    metrics = [_record_metrics(df.select("recording_id", F.col("r_index").alias("sample_index")), refs, rates, tolerance_ms).withColumn("stage", F.lit(name)) for name, df in found.items()]
+    every = metrics[0].unionByName(metrics[1])
+    return {"split": split, "model": model, "metadata": about, "metrics": every, "pooled": stats.pooled_detection(every, ["stage"])}

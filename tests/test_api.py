@@ -32,6 +32,31 @@ def test_from_peaks_to_report(spark, signals):
     assert report["summary"]["pooled"]["true_positive"] == 3 and report["summary"]["pooled"]["false_positive"] == 1
 
 
+def test_two_stage_benchmark(spark):
+    """Records of two sampling rates with steep beats and broad bumps: the second stage drops the bumps."""
+    rng, rows, refs = np.random.default_rng(4), [], []
+    for k in range(12):
+        fs = (200, 250)[k % 2]
+        x = 0.02 * rng.normal(size=30 * fs)
+        for j in range(1, 29):
+            at = j * fs
+            x[at - 2 : at + 3] += np.array([0.5, 1.0, 1.5, 1.0, 0.5])
+            refs.append((f"r{k}", at))
+            if (j + k) % 3 == 0:
+                mid = at + fs // 2
+                x[mid - 25 : mid + 26] += 1.2 * np.hanning(51)
+        rows.append((f"r{k}", "c", float(fs), 0.0, x.tolist()))
+    s = spark.createDataFrame(rows, "recording_id string, channel string, fs_hz double, t0_s double, values array<double>")
+    out = api.benchmark_two_stage(s, spark.createDataFrame(refs, "recording_id string, sample_index long"), trees=15)
+    parts = {r["recording_id"]: r["part"] for r in out["split"].collect()}
+    assert sorted(parts.values()).count("test") == 3 and len(parts) == 12
+    assert {r["recording_id"] for r in out["metrics"].collect()} == {k for k, v in parts.items() if v == "test"}
+    p = {r["stage"]: r for r in out["pooled"].collect()}
+    assert p["stage_1"]["sensitivity"] > 0.95 and p["stage_1"]["false_positive"] > 10
+    assert p["two_stage"]["false_positive"] < p["stage_1"]["false_positive"] / 4 and p["two_stage"]["sensitivity"] > 0.95
+    assert out["metadata"]["calibration_method"] == "held_out_records"
+
+
 def test_small_calls(spark):
     assert api.false_discovery(spark, [0.01, 0.04, 0.2]) == pytest.approx([0.03, 0.06, 0.2]) and api.false_discovery(spark, []) == []
     v = spark.createDataFrame([("a", "u", 1.0), ("a", "v", 2.0), ("b", "w", 3.0), ("b", "x", 4.0)], "grp string, unit_id string, value double")
