@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of the input for each partition of a table derived from it.
-PART_BYTES = 64 << 20
+PART_BYTES = 32 << 20
 
 
 def width(spark: SparkSession, source: DataFrame | None, cores: int = 1) -> int:
