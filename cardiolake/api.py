@@ -119,9 +119,10 @@ def benchmark_two_stage(signals: DataFrame, references: DataFrame, tolerance_ms:
     seconds = lambda df, at: df.join(rates, "recording_id").select("recording_id", F.col(at).cast("long").alias("r_index"), (F.col(at) / F.col("fs_hz")).alias("at"))
     near = matching.nearest_labels(seconds(stage1, "r_index"), seconds(part(references, "train"), "sample_index"), tolerance_ms / 1000.0)
     labels = seconds(stage1, "r_index").join(near.select("recording_id", "at", "label"), ["recording_id", "at"]).drop("at")
-    rows = candidates.candidate_features(fit, stage1).where("error IS NULL").drop("error").join(labels, ["recording_id", "r_index"])
+    rows = candidates.candidate_features(fit, stage1).where("error IS NULL").drop("error").join(labels, ["recording_id", "r_index"]).persist()  # read by every step of the fit
     model, about = learning.fit_suppressor(rows, target_recall, trees=trees, seed=seed, split=learning.calibration_split(rows, calibration, seed=seed).drop("stratum"))
-    both = learning.detect_two_stage(held, model, about["threshold"], recovery=recovery)
+    rows.unpersist()
+    both = learning.detect_two_stage(held, model, about["threshold"], recovery=recovery).persist()
     found = {"stage_1": both, "two_stage": both.where("retained")}
     refs = part(references, "test")
     metrics = [_record_metrics(df.select("recording_id", F.col("r_index").alias("sample_index")), refs, rates, tolerance_ms).withColumn("stage", F.lit(name)) for name, df in found.items()]
