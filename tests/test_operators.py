@@ -367,3 +367,58 @@ def test_upsert_replaces(spark):
     t = df(spark, [("p", "r", 1), ("p", "s", 2)], "project_id string, recording_id string, v int")
     out = provenance.upsert(t, df(spark, [("p", "r", 9)], "project_id string, recording_id string, v int"))
     assert sorted(r["v"] for r in out.collect()) == [2, 9]
+
+
+def test_bootstrap_beyond_the_exact_size(spark):
+    """Poisson replicates summed in Spark give the interval of the index matrix."""
+    v = np.random.default_rng(2).normal(10, 3, size=3000)
+    rows = df(spark, [(f"r{i}", float(x)) for i, x in enumerate(v)], "recording_id string, value double")
+    a, b = stats.record_bootstrap(rows, "value").first(), stats.record_bootstrap(rows, "value", exact=0).first()
+    width = a["ci95_high"] - a["ci95_low"]
+    assert a["mean"] == pytest.approx(v.mean()) == b["mean"] and a["n_records"] == b["n_records"] == 3000
+    assert abs(a["ci95_low"] - b["ci95_low"]) < 0.15 * width and abs(a["ci95_high"] - b["ci95_high"]) < 0.15 * width
+    again = stats.record_bootstrap(rows.repartition(5), "value", exact=0).first()
+    assert (again["ci95_low"], again["ci95_high"]) == (pytest.approx(b["ci95_low"]), pytest.approx(b["ci95_high"]))
+    with pytest.raises(ValueError):
+        stats.record_bootstrap(rows.withColumn("value", F.when(F.col("recording_id") == "r1", None).otherwise(F.col("value"))), "value")
+
+
+def test_auc_of_several_classes(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 3, size=200)
+    p = rng.random((200, 3)) + np.eye(3)[y] * 0.4
+    p = np.round(p / p.sum(axis=1, keepdims=True), 2)
+    pairs = lambda c: np.mean([(a > b) + 0.5 * (a == b) for a in p[y == c, c] for b in p[y != c, c]])
+    scored = df(spark, [("abc"[k], q.tolist()) for k, q in zip(y, p)], "label string, probabilities array<double>")
+    assert stats.one_vs_rest_auc(scored, ["a", "b", "c"]).first()[0] == pytest.approx(np.mean([pairs(c) for c in range(3)]))
+    assert stats.one_vs_rest_auc(scored.where("label <> 'b'"), ["a", "b", "c"]).first()[0] is None
+
+
+def test_running_sums_over_several_ranges(spark):
+    from cardiolake.functions.prefix import running
+
+    v = np.random.default_rng(5).permutation(500)
+    rows = df(spark, [(float(x), int(x) % 7 - 3) for x in v], "k double, v long")
+    for ranges in (1, 9):
+        for down in (False, True):
+            got = {r["k"]: (r["s"], r["m"]) for r in running(running(rows, "k", "v", "s", descending=down, ranges=ranges), "k", "v", "m", "min", down, ranges).collect()}
+            at, s, m = sorted(range(500), reverse=down), 0, 99
+            for k in at:
+                s, m = s + k % 7 - 3, min(m, k % 7 - 3)
+                assert got[float(k)] == (s, m)
+
+
+def test_point_agreement_equals_brute_force(spark):
+    """Ties, equal times and used points: each left point takes the nearest unused one, the earlier listed of equals."""
+    rng = np.random.default_rng(6)
+    for tol in (1.0, 5.0):
+        left, right = rng.integers(0, 30, size=25).astype(float), rng.integers(0, 30, size=20).astype(float)
+        row = lambda side: df(spark, [("r", "x", "c", "point", float(t), i) for i, t in enumerate(side)], "recording_id string, label string, channel string, type string, time double, seq long")
+        used, errors = set(), []
+        for t in left:
+            free = [(abs(u - t), i) for i, u in enumerate(right) if i not in used and abs(u - t) <= tol]
+            if free:
+                used.add(min(free)[1])
+                errors.append(min(free)[0])
+        got = matching.point_agreement(row(left), row(right), tol).first()
+        assert got["matches"] == len(errors) and got["mean_absolute_error_s"] == pytest.approx(np.mean(errors))
