@@ -28,7 +28,7 @@ from . import edf, wfdb
 SIGNALS = "recording_id string, channel string, channel_index int, fs_hz double, t0_s double, units string, source_format string, values array<double>, error string"
 META = "recording_id string, source_format string, fs_hz double, n_samples long, duration_s double, channels array<string>, error string"
 #: Fixed limits.
-MAX_MEMBERS, MAX_BYTES, MAX_HEADERS = 256, 512 * 1024 * 1024, 1000
+MAX_MEMBERS, MAX_BYTES, MAX_HEADERS, MAX_OWNERS = 256, 512 * 1024 * 1024, 1000, 100_000
 
 
 # --- CSV --------------------------------------------------------------------------------------
@@ -234,12 +234,49 @@ def decoded_signals(files: DataFrame, start: int = 0, stop: int | None = None) -
     return _decoded(own, lambda p, d: decode(p, d, start, stop), SIGNALS)
 
 
+def _segment_owners(files: DataFrame) -> DataFrame:
+    """(stem, owner): records that are segments of another one, from the headers alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                try:
+                    names = [n for n, _ in wfdb.segments(content.as_py().decode("latin-1"))]
+                except (ValueError, IndexError):
+                    names = []  # reported where the record is decoded
+                rows += [(f"{path.rsplit('/', 1)[0]}/{n}", os.path.splitext(path)[0]) for n in names if n != "~"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["stem", "owner"])
+
+    return files.where(F.lower("path").endswith(".hea")).select("path", "content").mapInArrow(run, "stem string, owner string").dropDuplicates(["stem"])
+
+
+def _joined_segments(stem: str, files: dict[str, bytes], head: str, physical: bool) -> list[dict]:
+    """Signals of a record of several segments, one after another."""
+    parts = []
+    for name, n in wfdb.segments(files[head].decode("latin-1")):
+        if name == "~":
+            raise ValueError("record has a segment without samples")
+        rows = _wfdb_rows(stem, files, f"{name}.hea", physical=physical)
+        if any(len(r["values"]) != n for r in rows):
+            raise ValueError(f"segment {name} does not have {n} samples")
+        parts.append(rows)
+    if len({tuple(r["channel"] for r in rows) for rows in parts}) != 1:
+        raise ValueError("segments have different channels")
+    return [{**own[0], "values": [v for r in own for v in r["values"]]} for own in zip(*parts)]
+
+
 def wfdb_records(files: DataFrame, physical: bool = True) -> DataFrame:
     """Packed signals of WFDB records given as files (path, content): a header and the
-    signal files of the same folder and stem are one group."""
+    signal files of the same folder and stem are one group; segments go with the record
+    whose header lists them."""
+    files = files.where(F.lower("path").rlike(r"\.(hea|dat)$")).select("path", "content")
+    owners = _segment_owners(files)
+    owners = F.broadcast(owners) if owners.limit(MAX_OWNERS + 1).count() <= MAX_OWNERS else owners
     stem = F.regexp_extract("path", r"^(.*?)\.[^./]+$", 1)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    groups = files.where(F.lower("path").rlike(r"\.(hea|dat)$")).groupBy(stem.alias("path")).agg(F.collect_list(F.struct(name.alias("n"), F.col("content").alias("c"))).alias("members"))
+    owned = files.withColumn("stem", stem).join(owners, "stem", "left")
+    groups = owned.groupBy(F.coalesce("owner", "stem").alias("path")).agg(F.collect_list(F.struct(name.alias("n"), F.col("content").alias("c"))).alias("members"))
     target = _arrow_schema(SIGNALS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,10 +285,11 @@ def wfdb_records(files: DataFrame, physical: bool = True) -> DataFrame:
                 stem = os.path.basename(path)
                 try:
                     own = {m["n"]: m["c"] for m in members.as_py()}
-                    head = next((n for n in own if n.lower().endswith(".hea")), None)
+                    head = next((n for n in own if n.lower() == f"{stem}.hea".lower()), None)
                     if head is None:
                         raise ValueError("record has no header")
-                    rows = _wfdb_rows(stem, own, head, physical=physical)
+                    several = wfdb.segments(own[head].decode("latin-1"))
+                    rows = _joined_segments(stem, own, head, physical) if several else _wfdb_rows(stem, own, head, physical=physical)
                 except (ValueError, KeyError, IndexError) as e:
                     rows = [{"recording_id": stem, "error": str(e)}]
                 yield pa.RecordBatch.from_pylist(rows, schema=target)

@@ -29,8 +29,19 @@ class WfdbHeader:
     initial: list[int] = field(default_factory=list)
 
 
+def _lines(text: str) -> list[str]:
+    return [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+
+
+def segments(text: str) -> list[tuple[str, int]]:
+    """(record name, samples) of the segments of a header of several segments, else none."""
+    lines = _lines(text)
+    first = lines[0].split()[0] if lines else ""
+    return [(x.split()[0], int(x.split()[1])) for x in lines[1 : 1 + int(first.split("/")[1])]] if "/" in first else []
+
+
 def header(text: str) -> WfdbHeader:
-    lines = [x for x in text.splitlines() if x.strip() and not x.lstrip().startswith("#")]
+    lines = _lines(text)
     if not lines:
         raise ValueError("empty WFDB header")
     first = lines[0].split()

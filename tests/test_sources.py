@@ -52,6 +52,23 @@ def test_wfdb_differences_and_equal_stems(spark, tmp_path):
     assert len(rows) == 4 and all((np.array(r["values"]) == d[:, r["channel_index"]]).all() for r in rows)
 
 
+def test_wfdb_segments(spark, tmp_path):
+    """A record of two segments, a plain one beside it, one with a gap and one that lacks a segment."""
+    d = np.random.default_rng(2).integers(-2000, 2000, size=(300, 2))
+    for name, part in (("m_1", d[:100]), ("m_2", d[100:]), ("g_1", d[:100]), ("p", d)):
+        (tmp_path / f"{name}.hea").write_text(f"{name} 2 100 {len(part)}\n{name}.dat 16 1 16 0 0 0 0 A\n{name}.dat 16 1 16 0 0 0 0 B\n")
+        (tmp_path / f"{name}.dat").write_bytes(wfdb.pack(part, 16))
+    (tmp_path / "m.hea").write_text("m/2 2 100 300\nm_1 100\nm_2 200\n")
+    (tmp_path / "g.hea").write_text("g/2 2 100 200\ng_1 100\n~ 100\n")
+    (tmp_path / "x.hea").write_text("x/1 2 100 100\nx_1 100\n")
+    rows = {}
+    for r in readers.read_wfdb(spark, str(tmp_path)).collect():
+        rows.setdefault(r["recording_id"], []).append(r)
+    assert sorted(rows) == ["g", "m", "p", "x"] and all(rows[k][0]["error"] for k in "gx")
+    for k in "mp":
+        assert all((np.array(r["values"]) == d[:, r["channel_index"]]).all() for r in rows[k]) and len(rows[k]) == 2
+
+
 def test_edf_round_trip_and_window(spark, tmp_path):
     x = np.sin(np.arange(1000) / 20)
     (tmp_path / "r.edf").write_bytes(edf.write(["I", "I"], [x, 2 * x], 100))
