@@ -191,3 +191,15 @@ def test_cut_repeats(spark):
     assert out == {0: "before after", 1: "", 2: "clean text"}
     assert sd.repeated_spans(docs(spark, [])).count() == 0
     assert sd.repeated_spans(docs(spark, [(5, p), (5, p), (None, p)])).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Whole texts count: the one changed word and the shared passage stand at the end of 60,000 words."""
+    rng = np.random.default_rng(21)
+    w = [f"u{i}" for i in rng.integers(0, 10**6, size=60_000)]
+    texts = [" ".join(w), " ".join(w[:-1] + ["other"]), " ".join(w[-55:]), " ".join(f"v{i}" for i in range(60_000))]
+    d = docs(spark, texts, row=F.lit("mine"), h1=F.lit(1), n_shingles=F.lit("x"))
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in nd.near_components(d, 3, 85).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {0: 0, 1: 0, 2: 2, 3: 3} and got[3][1] == 59_998
+    spans = covered(sd.repeated_spans(d).collect())
+    assert spans[0] == set(range(60_000)) and spans[2] == set(range(55)) and 3 not in spans
