@@ -8,7 +8,6 @@ tables.  Doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import argmax, entropy, file_id, is_finite, softmax
@@ -378,8 +377,7 @@ def finite_counts(spark, sf_dir):
 @query("SELECT c_custkey, CASE WHEN substr(md5(CAST(c_nationkey AS VARCHAR)), 1, 1) < '4' THEN 'test' ELSE 'train' END AS part FROM customer")
 def group_split(spark, sf_dir):
     """Whole groups (nations) to train or test by a hash of the group."""
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", F.when(F.substring(F.md5(F.col("c_nationkey").cast("string").cast("binary")), 1, 1) < "4", "test").otherwise("train").alias("part"))
+    return table(spark, sf_dir, "customer").select("c_custkey", learning.hash_part("c_nationkey").alias("part"))
 
 
 from . import kernel_queries, recording_queries  # noqa: E402, F401  (register their queries)
