@@ -57,7 +57,7 @@ from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, wo
 from .components import connected_components
 
 K, MISS, SMALL = 48, 1e-6, 8
-BLOCK, HOT_ROWS = 500, 200_000
+BLOCK, HOT_ROWS, TABLE_ROWS = 500, 200_000, 200_000
 _WORDS = re.compile(WORD)
 _rng = np.random.default_rng(20240229)
 _XOR = _rng.integers(0, 2**64, size=(K, 1), dtype=np.uint64)
@@ -232,10 +232,14 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, hot:
     paired = _beside(families.join(sets, "cid"), pivots, hot).select("g", "cid", "set", "pivot_set")
     raw = scratch.save(paired.mapInArrow(against_pivot, "g long, cid long, lost array<long>, added array<long>, np long"), "raw-diffs")
     scratch.drop(sets)
-    sizes = raw.groupBy("g").agg(F.count("*").alias("k"))
+    sizes = scratch.save(raw.groupBy("g").agg(F.count("*").alias("k")), "sizes")
+    few = sizes.limit(TABLE_ROWS + 1).count() <= TABLE_ROWS
     common = {}
     for kind in ("lost", "added"):
-        counted = raw.select("g", F.explode(kind).alias("i")).groupBy("g", "i").count().join(sizes, "g").where("2 * count > k")
+        # Differences meet their family's size where they are counted, so that a family's many do not come together.
+        counted = raw.select("g", F.explode(kind).alias("i")).groupBy("g", "i").count()
+        sized = counted.join(F.broadcast(sizes), "g") if few else _beside(counted.withColumnRenamed("i", "cid"), sizes, hot).withColumnRenamed("cid", "i")
+        counted = sized.where("2 * count > k")
         common[kind] = counted.groupBy("g").agg(F.collect_list("i").alias(f"all_{kind}"))
     none = F.array().cast("array<long>")
     both = _beside(raw, sizes.join(common["lost"], "g", "left").join(common["added"], "g", "left"), hot)

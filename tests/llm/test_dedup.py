@@ -50,6 +50,17 @@ def test_large_families_keep_every_link(spark, seed, size, edits, n, percent):
     check(spark, texts, n, percent)
 
 
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_families_dealt_over_blocks(spark, monkeypatch, rows):
+    """Families of more than five members in blocks; sizes broadcast or (rows 0) joined in blocks."""
+    monkeypatch.setattr(nd, "BLOCK", 5)
+    monkeypatch.setattr(nd, "TABLE_ROWS", rows)
+    rng = np.random.default_rng(4)
+    a, b = (rng.choice(VOCAB, size=90).tolist() for _ in range(2))
+    texts = family(rng, a, 50, 8) + family(rng, a[:45] + b[:45], 25, 8) + family(rng, b, 25, 4)
+    check(spark, texts, 3, 85)
+
+
 def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     text = " ".join(VOCAB[:100])
     d = docs(spark, [text, text, text + " more", "another text altogether", None], kept=F.lit("mine"), cid=F.lit(7), component_id=F.lit("x"))
