@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import nonblank, safe_ratio, softmax, to_samples
 from ..operators import annotations, learning, matching, projects, provenance, stats, validation
-from ..sources import edf, readers, wfdb
+from ..sources import edf, ephys, readers, seek, wfdb
 from .base import query, r6, scratch_path, series, table
 
 # --- files made from tables -------------------------------------------------------------------------
@@ -194,6 +194,78 @@ def file_fingerprints(spark, sf_dir):
     return provenance.fingerprints_of(files).withColumnRenamed("path", "name")
 
 
+# --- parts of files, by byte ranges -------------------------------------------------------------------
+
+
+def _long_vectors(spark, sf_dir) -> DataFrame:
+    """A hundred embeddings in a row as one recording (vec_id, v)."""
+    own = _vectors(spark, sf_dir).groupBy(F.expr("vec_id div 100").alias("r")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("l"))
+    return own.select(F.col("r").alias("vec_id"), F.flatten(F.transform("l", lambda x: x["v"])).alias("v"))
+
+
+def _native_files(spark, sf_dir, kinds: str) -> str:
+    """Folder of the long recordings as EDF files, loose records, archives and arrays, as ``kinds`` asks."""
+    v, folder = _long_vectors(spark, sf_dir), scratch_path(spark)
+    member = lambda kind: lambda r: (f"r{r['vec_id']}.{kind}", _record(r, f"r{r['vec_id']}")[f"r{r['vec_id']}.{kind}"])
+    makers = {"edf": [_as_edf], "wfdb": [member("hea"), member("dat")], "zip": [_as_archive], "npy": [_as_npy]}
+    for make in (m for kind in kinds.split() for m in makers[kind]):
+        seek.write_files(_files(v, make), folder)
+    return folder
+
+
+_LONG = _INT + """, o AS (SELECT vec_id // 100 AS r, (row_number() OVER (PARTITION BY vec_id // 100 ORDER BY vec_id) - 1) * 64 AS o, v FROM v),
+x AS (SELECT r, CAST(o + unnest(range(0, 64)) AS BIGINT) AS i, unnest(v) AS v FROM o), k AS (SELECT r, i, least(2000, greatest(-2000, v)) AS a, least(2000, greatest(-2000, -v)) AS b FROM x)"""
+_AS_EDF = "SELECT 's' || r AS recording_id, 'a' AS channel, i AS sample_index, CAST(v AS DOUBLE) AS value FROM x UNION ALL SELECT 's' || r, 'a_2', i, CAST(-v AS DOUBLE) FROM x"
+_AS_WFDB = "SELECT 'r' || r AS recording_id, 'I' AS channel, i AS sample_index, round((a - 10) / 200.0, 6) AS value FROM k UNION ALL SELECT 'r' || r, 'channel_2', i, round(b / 100.0, 6) FROM k"
+
+
+def _placed(windows: DataFrame, start: int) -> DataFrame:
+    rows = windows.where("error IS NULL").select("recording_id", "channel", F.posexplode("values").alias("i", "value"))
+    return rows.select("recording_id", "channel", (F.col("i").cast("long") + start).alias("sample_index"), r6("value").alias("value"))
+
+
+@query(f"WITH {_LONG} SELECT * FROM ({_AS_EDF}) WHERE sample_index >= 3001 AND sample_index < 3500")
+def edf_seek_window(spark, sf_dir):
+    """A window of EDF files through the byte ranges of its data records."""
+    return _placed(seek.read_window(spark, _native_files(spark, sf_dir, "edf"), 3001, 3500), 3001)
+
+
+@query(f"WITH {_LONG} SELECT * FROM ({_AS_WFDB}) WHERE sample_index >= 3001 AND sample_index < 3500")
+def wfdb_seek_window(spark, sf_dir):
+    """A window of records of format 212, begun inside a unit of two numbers."""
+    return _placed(seek.read_window(spark, _native_files(spark, sf_dir, "wfdb"), 3001, 3500), 3001)
+
+
+@query(f"WITH {_LONG} SELECT 'n' || r AS recording_id, 'value' AS channel, i AS sample_index, CAST(v AS DOUBLE) AS value FROM x WHERE i >= 6000 UNION ALL SELECT replace(recording_id, 'r', 'w'), channel, sample_index, value FROM ({_AS_WFDB}) WHERE sample_index >= 6000 AND CAST(substr(recording_id, 2) AS INT) % 7 <> 0 AND CAST(substr(recording_id, 2) AS INT) % 11 <> 0")
+def member_seek_window(spark, sf_dir):
+    """The last samples of arrays and archives, clipped to their lengths; unsafe archives are refused."""
+    return _placed(seek.read_window(spark, _native_files(spark, sf_dir, "npy zip"), 6000, 100_000), 6000)
+
+
+@query(f"WITH {_LONG}, n AS (SELECT r, count(*) AS n, 8 * ((count(*) + 7) // 8) AS m FROM x GROUP BY r) SELECT 's' || r AS recording_id, 8.0 AS fs_hz, m AS n_samples, (m - 1) / 8.0 AS duration_s, 'a,a_2' AS channels, 768 AS bytes_read FROM n UNION ALL SELECT 'r' || r, 16.0, n, (n - 1) / 16.0, 'I,channel_2', 69 + 3 * length(CAST(r AS VARCHAR)) + length(CAST(n AS VARCHAR)) FROM n")
+def header_facts(spark, sf_dir):
+    """Facts of EDF files and loose records, with the bytes read for each."""
+    m = seek.read_headers(spark, _native_files(spark, sf_dir, "edf wfdb")).where("error IS NULL")
+    return m.select("recording_id", "fs_hz", "n_samples", "duration_s", F.array_join("channels", ",").alias("channels"), F.col("bytes_read").cast("int").alias("bytes_read"))
+
+
+@query(f"WITH {_LONG} SELECT * FROM ({_AS_EDF} UNION ALL {_AS_WFDB}) WHERE sample_index >= 100")
+def ephys_batch(spark, sf_dir):
+    """All samples but the first hundred through the data source, in partitions of 2,000 samples."""
+    ephys.register(spark)
+    rows = spark.read.format("ephys").options(samplesPerPartition=2000, start=100).load(_native_files(spark, sf_dir, "edf wfdb"))
+    return rows.select("recording_id", "channel", "sample_index", r6("value").alias("value"))
+
+
+@query(f"WITH {_LONG} SELECT recording_id, channel, sample_index, value, round(sample_index / CASE WHEN recording_id LIKE 's%' THEN 8.0 ELSE 16.0 END, 6) AS time_s FROM ({_AS_EDF} UNION ALL {_AS_WFDB}) WHERE sample_index BETWEEN 1900 AND 2100 AND channel IN ('a_2', 'I')")
+def ephys_window(spark, sf_dir):
+    """A window of two channels through the data source; the range and the names reach its reader."""
+    ephys.register(spark)
+    rows = spark.read.format("ephys").options(samplesPerPartition=2000, pushFilters=True).load(_native_files(spark, sf_dir, "edf wfdb"))
+    rows = rows.where("sample_index >= 1900 AND sample_index <= 2100 AND channel IN ('a_2', 'I')")
+    return rows.select("recording_id", "channel", "sample_index", r6("value").alias("value"), r6("time_s").alias("time_s"))
+
+
 # --- validation ---------------------------------------------------------------------------------------
 
 _BROKEN = """{SERIES}, b AS (SELECT user_id, user_id % 6 AS k, i, CASE WHEN user_id % 6 = 3 THEN -t WHEN user_id % 6 = 5 AND i = 0 THEN NULL ELSE t END AS t,

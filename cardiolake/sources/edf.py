@@ -36,7 +36,9 @@ class EdfHeader:
         return min(self.per_record[i] for i in self.signals) * self.n_records
 
 
-def header(data: bytes) -> EdfHeader:
+def header(data: bytes, size: int | None = None) -> EdfHeader:
+    """Facts of the header; ``size``: bytes of the whole file where ``data`` is its front only."""
+    size = len(data) if size is None else size
     if len(data) < 256 or data[:8].strip() != b"0":
         raise ValueError("not an EDF file")
     text = lambda a, n: data[a : a + n].decode("latin-1").strip()
@@ -53,26 +55,32 @@ def header(data: bytes) -> EdfHeader:
     per_record, head, record_s = [int(v) for v in fields["samples"]], int(text(184, 8)), float(text(244, 8))
     n_records = int(text(236, 8))
     if n_records < 0:
-        n_records = (len(data) - head) // (2 * sum(per_record))
+        n_records = (size - head) // (2 * sum(per_record))
     return EdfHeader(fields["label"], fields["unit"], per_record, gain, offset, n_records, record_s, head, text(192, 44))
 
 
+def span(h: EdfHeader, start: int, stop: int) -> tuple[int, int]:
+    """(offset, bytes) of the data records that hold samples [start, stop)."""
+    width, each = 2 * sum(h.per_record), h.per_record[h.signals[0]]
+    first, last = start // each, -(-stop // each)
+    return h.header_bytes + width * first, width * max(last - first, 0)
+
+
+def values(h: EdfHeader, records: bytes, start: int, stop: int) -> list[np.ndarray]:
+    """Physical values of the ordinary signals in [start, stop) from the records of ``span``."""
+    if h.subtype.startswith("EDF+D"):
+        raise ValueError("discontinuous EDF+ is not supported")
+    raw = np.frombuffer(records, dtype="<i2").reshape(-1, sum(h.per_record))
+    edges, skip = np.cumsum([0, *h.per_record]), start - start // h.per_record[h.signals[0]] * h.per_record[h.signals[0]]
+    return [raw[:, edges[i] : edges[i + 1]].ravel()[skip : skip + stop - start] * h.gain[i] + h.offset[i] for i in h.signals]
+
+
 def samples(data: bytes, start: int = 0, stop: int | None = None) -> tuple[EdfHeader, list[np.ndarray]]:
     """Physical values of the ordinary signals in [start, stop), clipped to the file; whole records are decoded only where needed."""
     h = header(data)
-    if h.subtype.startswith("EDF+D"):
-        raise ValueError("discontinuous EDF+ is not supported")
     stop = h.n_samples if stop is None else min(stop, h.n_samples)
-    width = sum(h.per_record)
-    each = h.per_record[h.signals[0]]
-    first, last = start // each, -(-stop // each)
-    raw = np.frombuffer(data, dtype="<i2", count=width * (last - first), offset=h.header_bytes + 2 * width * first).reshape(-1, width)
-    edges = np.cumsum([0, *h.per_record])
-    out = []
-    for i in h.signals:
-        v = raw[:, edges[i] : edges[i + 1]].ravel()[start - first * each : stop - first * each]
-        out.append(v * h.gain[i] + h.offset[i])
-    return h, out
+    offset, size = span(h, start, stop)
+    return h, values(h, data[offset : offset + size], start, max(start, stop))
 
 
 def write(labels: list[str], values: list[np.ndarray], fs_hz: int, unit: str = "mV", limits: tuple[float, float] | None = None) -> bytes:

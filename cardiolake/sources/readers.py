@@ -28,7 +28,7 @@ from . import edf, wfdb
 SIGNALS = "recording_id string, channel string, channel_index int, fs_hz double, t0_s double, units string, source_format string, values array<double>, error string"
 META = "recording_id string, source_format string, fs_hz double, n_samples long, duration_s double, channels array<string>, error string"
 #: Fixed limits.
-MAX_MEMBERS, MAX_BYTES, MAX_HEADERS, MAX_OWNERS = 256, 512 * 1024 * 1024, 1000, 100_000
+MAX_MEMBERS, MAX_BYTES, MAX_OWNERS = 256, 512 * 1024 * 1024, 100_000
 
 
 # --- CSV --------------------------------------------------------------------------------------
@@ -40,6 +40,12 @@ def _csv_table(data: bytes) -> tuple[list[str], list[list[str]]]:
     return (unique_labels(rows[0]), rows[1:]) if rows else ([], [])
 
 
+def _csv_names(data: bytes) -> list[str]:
+    """Column names of one file; parsing ends with its first record that has a cell."""
+    records = csv.reader(io.TextIOWrapper(io.BytesIO(data), "utf-8-sig", "replace", newline=""), skipinitialspace=True)
+    return unique_labels(next((r for r in records if any(c.strip() for c in r)), []))
+
+
 def _file_stem(path: str) -> str:
     return os.path.splitext(os.path.basename(path))[0]
 
@@ -49,19 +55,21 @@ def csv_rows(files: DataFrame, recording: str | None = None) -> DataFrame:
     (path, content).
 
     Every file is parsed with its own header, so the order of its columns may differ; a
-    column that a file lacks is null there.  A first pass reads the headers alone and
-    gives the union of the names, in the order in which sorted headers bring them.
+    column that a file lacks is null there.  A first pass reads the first record of each
+    file; Spark unites the names, ordered by their first place in any file, then by name.
+    Only the names reach the driver: they are the schema.
     """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {tuple(_csv_table(d.as_py())[0]) for d in batch.column(0)}
-            yield pa.RecordBatch.from_arrays([pa.array([list(h) for h in found], pa.list_(pa.string()))], names=["names"])
-
-    headers = [r["names"] for r in files.select("content").mapInArrow(heads, "names array<string>").distinct().limit(MAX_HEADERS + 1).collect()]
-    if len(headers) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers")
-    names = list(dict.fromkeys(c for h in sorted(headers) for c in h))
+            first: dict[str, int] = {}
+            for d in batch.column(0):
+                for i, c in enumerate(_csv_names(d.as_py())):
+                    first[c] = min(i, first.get(c, i))
+            yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), pa.int32())], names=["name", "place"])
+
+    found = files.select("content").mapInArrow(heads, "name string, place int").groupBy("name").agg(F.min("place").alias("place"))
+    names = [r["name"] for r in found.orderBy("place", "name").collect()]
     if not names:
         raise ValueError("CSV is empty")
     schema = pa.schema([("recording_id", pa.string()), ("sample_index", pa.int64()), *((c, pa.string()) for c in names)])
@@ -127,12 +135,12 @@ def csv_metadata(rows: DataFrame, time_col: str | None = None) -> DataFrame:
 # --- EDF, WFDB, NumPy ---------------------------------------------------------------------------
 
 
-def _checked(values: np.ndarray) -> list[float]:
+def _checked(values: np.ndarray) -> np.ndarray:
     if len(values) < 2:
         raise ValueError("recording has fewer than two samples")
     if not np.isfinite(values).all():
         raise ValueError("recording contains NaN or infinite values")
-    return values.tolist()
+    return np.ascontiguousarray(values, dtype=float)
 
 
 def _edf_rows(name: str, data: bytes, start: int = 0, stop: int | None = None) -> list[dict]:
@@ -148,8 +156,8 @@ def _wfdb_rows(name: str, files: dict[str, bytes], head: str, start: int = 0, st
     return [{"recording_id": name, "channel": c, "channel_index": k, "fs_hz": h.fs_hz, "t0_s": start / h.fs_hz, "units": None, "source_format": "wfdb", "values": _checked(values[:, k])} for k, c in enumerate(unique_labels(h.labels))]
 
 
-def safe_members(archive: zipfile.ZipFile) -> dict[str, bytes]:
-    """Files of an archive in memory; refuses traversal, links, floods and damage."""
+def checked_infos(archive: zipfile.ZipFile) -> dict[str, zipfile.ZipInfo]:
+    """Members by normal path, from the directory alone; refuses traversal, links and floods."""
     total, out = 0, {}
     infos = archive.infolist()
     if len(infos) > MAX_MEMBERS:
@@ -165,12 +173,24 @@ def safe_members(archive: zipfile.ZipFile) -> dict[str, bytes]:
             raise ValueError("unsafe archive path")
         if stat.S_ISLNK(m.external_attr >> 16):
             raise ValueError("archive links are not supported")
+        out[path] = m
+    return out
+
+
+def record_head(names) -> str:
+    """The one record header among the members of an archive."""
+    heads = [f for f in names if f.lower().endswith(".hea")]
+    if len(heads) != 1:
+        raise ValueError("archive must contain exactly one record header (.hea)")
+    return heads[0]
+
+
+def safe_members(archive: zipfile.ZipFile) -> dict[str, bytes]:
+    """Files of an archive in memory; refuses what ``checked_infos`` does, and damage."""
+    infos = checked_infos(archive)
     if archive.testzip() is not None:
         raise ValueError("archive is corrupted")
-    for m in infos:
-        if m.filename and not m.filename.endswith("/"):
-            out[os.path.normpath(m.filename.replace("\\", "/"))] = archive.read(m)
-    return out
+    return {path: archive.read(m) for path, m in infos.items()}
 
 
 def _zip_rows(name: str, data: bytes, **window) -> list[dict]:
@@ -178,10 +198,7 @@ def _zip_rows(name: str, data: bytes, **window) -> list[dict]:
         raise ValueError("archive exceeds the 512 MB limit")
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         files = safe_members(z)
-    heads = [f for f in files if f.lower().endswith(".hea")]
-    if len(heads) != 1:
-        raise ValueError("archive must contain exactly one record header (.hea)")
-    return _wfdb_rows(name, files, heads[0], **window)
+    return _wfdb_rows(name, files, record_head(files), **window)
 
 
 def decode(name: str, data: bytes, start: int = 0, stop: int | None = None) -> list[dict]:
@@ -197,7 +214,7 @@ def decode(name: str, data: bytes, start: int = 0, stop: int | None = None) -> l
     if suffix in (".npy", ".npz"):
         loaded = np.load(io.BytesIO(data), allow_pickle=False)
         arrays = {"value": loaded} if suffix == ".npy" else {k: loaded[k] for k in loaded.files}
-        return [{"recording_id": stem, "channel": c, "channel_index": k, "fs_hz": None, "t0_s": None, "units": None, "source_format": suffix[1:], "values": np.asarray(v, dtype=float)[start:stop].tolist()} for k, (c, v) in enumerate(arrays.items())]
+        return [{"recording_id": stem, "channel": c, "channel_index": k, "fs_hz": None, "t0_s": None, "units": None, "source_format": suffix[1:], "values": np.asarray(v, dtype=float)[start:stop]} for k, (c, v) in enumerate(arrays.items())]
     raise ValueError(f"unsupported format {suffix!r}")
 
 
@@ -263,7 +280,7 @@ def _joined_segments(stem: str, files: dict[str, bytes], head: str, physical: bo
         parts.append(rows)
     if len({tuple(r["channel"] for r in rows) for rows in parts}) != 1:
         raise ValueError("segments have different channels")
-    return [{**own[0], "values": [v for r in own for v in r["values"]]} for own in zip(*parts)]
+    return [{**own[0], "values": np.concatenate([r["values"] for r in own])} for own in zip(*parts)]
 
 
 def wfdb_records(files: DataFrame, physical: bool = True) -> DataFrame:
@@ -338,10 +355,7 @@ def decoded_metadata(files: DataFrame) -> DataFrame:
             n, fs, labels = h.n_samples, h.fs_hz, [h.labels[i] for i in h.signals]
         else:
             with zipfile.ZipFile(io.BytesIO(d)) as z:
-                heads = [m for m in z.namelist() if m.lower().endswith(".hea")]
-                if len(heads) != 1:
-                    raise ValueError("archive must contain exactly one record header (.hea)")
-                h = wfdb.header(z.read(heads[0]).decode("latin-1"))
+                h = wfdb.header(z.read(record_head(z.namelist())).decode("latin-1"))
             n, fs, labels = h.n_samples, h.fs_hz, h.labels
         return [{"recording_id": stem, "source_format": "edf" if suffix.lower() == ".edf" else "wfdb", "fs_hz": fs, "n_samples": n, "duration_s": (n - 1) / fs, "channels": unique_labels(labels)}]
 

@@ -48,7 +48,7 @@ def header(text: str) -> WfdbHeader:
     n = int(first[1])
     fs = float(re.match(r"[0-9.]+", first[2])[0]) if len(first) > 2 else 250.0
     if not fs > 0:
-        raise ValueError("WFDB record contains an invalid sampling rate")
+        raise ValueError("the header names no positive sampling rate")
     size = int(first[3]) if len(first) > 3 else 0
     files, formats, gains, baselines, labels, initial = [], [], [], [], [], []
     for line in lines[1 : n + 1]:
@@ -62,7 +62,7 @@ def header(text: str) -> WfdbHeader:
         initial.append(int(f[5]) if len(f) > 5 else zero)
         labels.append(f[8].strip() if len(f) > 8 else "")
     if len(files) != n:
-        raise ValueError("WFDB channel metadata does not match the header")
+        raise ValueError("the header lists fewer signals than it announces")
     return WfdbHeader(first[0].split("/")[0], fs, size, files, formats, gains, baselines, labels, initial)
 
 
@@ -76,8 +76,31 @@ def _triples(words: np.ndarray) -> np.ndarray:
     return words[: len(words) // 2 * 2].reshape(-1, 2).astype(np.int64)
 
 
-def digital(data: bytes, fmt: int, n_channels: int, initial: Sequence[int] = ()) -> np.ndarray:
-    """Digital samples [n, channels] of one signal file; ``initial``: first values for format 8."""
+#: Numbers and bytes of the smallest part of a signal file that can be decoded alone.
+UNITS = {16: (1, 2), 61: (1, 2), 160: (1, 2), 24: (1, 3), 32: (1, 4), 80: (1, 1), 212: (2, 3), 310: (3, 4), 311: (3, 4)}
+
+
+def span(fmt: int, n_channels: int, start: int, stop: int) -> tuple[int, int, int]:
+    """(offset, bytes, numbers to skip) that hold samples [start, stop) of all channels of a file.
+    Format 8 stores differences, so it is read from its beginning."""
+    if fmt == 8:
+        return 0, stop * n_channels, start * n_channels
+    if fmt not in UNITS:
+        raise ValueError(f"WFDB format {fmt} is not supported")
+    numbers, size = UNITS[fmt]
+    first, last = start * n_channels // numbers, -(-stop * n_channels // numbers)
+    return first * size, (last - first) * size, start * n_channels - first * numbers
+
+
+def length(fmt: int, n_channels: int, size: int) -> int:
+    """Samples a channel of a signal file of ``size`` bytes."""
+    numbers, each = UNITS.get(fmt, (1, 1))
+    return size // each * numbers // n_channels
+
+
+def digital(data: bytes, fmt: int, n_channels: int, initial: Sequence[int] = (), skip: int = 0) -> np.ndarray:
+    """Digital samples [n, channels] of one signal file, or of the bytes of a ``span``;
+    ``initial``: first values for format 8."""
     plain = {16: "<i2", 61: ">i2", 32: "<i4", 160: "<u2"}
     if fmt in plain:
         wide = np.dtype(plain[fmt]).itemsize
@@ -85,7 +108,7 @@ def digital(data: bytes, fmt: int, n_channels: int, initial: Sequence[int] = ())
     elif fmt == 8:  # differences between neighbours of a channel
         steps = np.frombuffer(data, dtype=np.int8).astype(np.int64)
         steps = steps[: len(steps) // n_channels * n_channels].reshape(-1, n_channels)
-        return steps.cumsum(axis=0) + np.array(list(initial) or [0] * n_channels)
+        return (steps.cumsum(axis=0) + np.array(list(initial) or [0] * n_channels))[skip // n_channels :]
     elif fmt == 24:
         b = np.frombuffer(data, dtype=np.uint8, count=len(data) // 3 * 3).astype(np.int64).reshape(-1, 3)
         flat = _signed(b[:, 0] | b[:, 1] << 8 | b[:, 2] << 16, 24)
@@ -103,6 +126,7 @@ def digital(data: bytes, fmt: int, n_channels: int, initial: Sequence[int] = ())
         flat = pair - ((pair & 2048) << 1)
     else:
         raise ValueError(f"WFDB format {fmt} is not supported")
+    flat = flat[skip:]
     return flat[: len(flat) // n_channels * n_channels].reshape(-1, n_channels)
 
 
