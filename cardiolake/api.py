@@ -97,9 +97,7 @@ def validate_detector(signals: DataFrame, references: DataFrame, manifest: prove
 
 def _record_metrics(found: DataFrame, references: DataFrame, rates: DataFrame, tolerance_ms: float) -> DataFrame:
     """Metrics of every record, each with its own sampling rate (``rates``: recording_id, fs_hz)."""
-    pairs = matching.pair_matches(found, references, 1.0, tolerance_ms).drop("fs_hz", "pairs").join(rates, "recording_id")
-    pairs = pairs.withColumn("pairs", matching.paired(F.col("detected"), F.col("reference"), F.lit(tolerance_ms) * F.col("fs_hz") / 1000.0))
-    return matching.match_metrics(pairs)
+    return matching.match_peaks(found, references, rates, tolerance_ms)
 
 
 def benchmark_two_stage(signals: DataFrame, references: DataFrame, tolerance_ms: float = 75.0, target_recall: float = 0.995, test: float = 0.25, calibration: float = 0.2, seed: int = 42, trees: int = 150, recovery: bool = False) -> dict:

@@ -240,12 +240,12 @@ def delineate(signals: DataFrame, centres: DataFrame, keys: Sequence[str] = ("re
     return per_signal(joined, lambda v, fs, row: boundaries_of(checked(v, fs, 32), fs, row["centres"], **settings), "onset long, offset long, center long, onset_found boolean, offset_found boolean", keys, ["centres"])
 
 
-def filter_signals(signals: DataFrame, baseline: bool = False, highpass_hz: float | None = None, lowpass_hz: float | None = None, notch_hz: float | None = None, notch_q: float = 30.0, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
-    """keys and ``filtered``: baseline, high-pass, low-pass and notch in this order, zero phase; ``values`` stay as they are."""
+def filter_kernel(baseline: bool = False, highpass_hz: float | None = None, lowpass_hz: float | None = None, notch_hz: float | None = None, notch_q: float = 30.0) -> Callable[[Sequence[float], float], np.ndarray]:
+    """(values, fs) -> filtered values: baseline, high-pass, low-pass and notch in this order, zero phase."""
     if highpass_hz is not None and lowpass_hz is not None and highpass_hz >= lowpass_hz:
         raise ValueError(f"high-pass at {highpass_hz} Hz leaves nothing below the low-pass at {lowpass_hz} Hz")
 
-    def run(v, fs, _):
+    def run(v: Sequence[float], fs: float) -> np.ndarray:
         x = checked(v, fs, 16)
         for kind, cutoff in (("highpass", 0.5 if baseline else None), ("highpass", highpass_hz), ("lowpass", lowpass_hz), ("notch", notch_hz)):
             if cutoff is None:
@@ -254,9 +254,15 @@ def filter_signals(signals: DataFrame, baseline: bool = False, highpass_hz: floa
                 raise ValueError(f"{kind} at {cutoff} Hz is outside (0, {fs / 2})")
             sections = K.notch(cutoff, notch_q, fs) if kind == "notch" else K.butterworth(4, kind, fs, cutoff)
             x = K.zero_phase(sections, x, 9 if kind == "notch" else 15)
-        return [{"filtered": x.tolist()}]
+        return x
+
+    return run
 
-    return per_signal(signals, run, "filtered array<double>", keys)
+
+def filter_signals(signals: DataFrame, baseline: bool = False, highpass_hz: float | None = None, lowpass_hz: float | None = None, notch_hz: float | None = None, notch_q: float = 30.0, keys: Sequence[str] = ("recording_id", "channel")) -> DataFrame:
+    """keys and ``filtered``: baseline, high-pass, low-pass and notch in this order, zero phase; ``values`` stay as they are."""
+    run = filter_kernel(baseline, highpass_hz, lowpass_hz, notch_hz, notch_q)
+    return per_signal(signals, lambda v, fs, _: [{"filtered": run(v, fs)}], "filtered array<double>", keys)
 
 
 _DETECTORS: dict[str, Callable[[np.ndarray, float], Sequence[int]]] = {}

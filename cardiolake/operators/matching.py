@@ -2,6 +2,11 @@
 
 Range conditions are planned as equi-joins on time buckets of the tolerance's
 width (a row meets its own and the two neighbouring buckets), then exact.
+
+Greedy matching runs on parts of a key's time line: where neighbours of both lists merged
+lie farther apart than the tolerance, no rule can pair across, so what lies before and
+behind is matched apart (``time_parts``).  A recording of any length spreads over tasks;
+only a chain of events each within the tolerance of the next stays together.
 """
 
 from __future__ import annotations
@@ -49,40 +54,78 @@ def paired(detected: Column, reference: Column, tolerance: Column) -> Column:
     return _paired(detected, reference, tolerance.cast("double"))
 
 
-def pair_matches(detected: DataFrame, reference: DataFrame, fs_hz: Column | float, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
-    """keys, detected and reference arrays, and their pairs; one row per key on either side."""
+def time_parts(events: DataFrame, keys: Sequence[str], at: str, tolerance: Column, width: Column | float) -> DataFrame:
+    """``events`` with ``part``: the time at which the event's part of its key begins.
+
+    A part begins at an event whose predecessor is more than ``tolerance`` earlier.  Order
+    is looked up within buckets of ``width``; from bucket to bucket only the ends of each
+    and its last beginning are carried, so no task sorts a whole recording.
+    """
+    rows = events.withColumn("__b", F.floor(F.col(at) / width).cast("long"))
+    inside = Window.partitionBy(*keys, "__b").orderBy(at)
+    before = F.lag(at).over(inside)
+    rows = rows.withColumns({"__tol": tolerance, "__s": F.when(F.col(at) - before > tolerance, F.col(at))})
+    rows = rows.withColumn("__in", F.max("__s").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*keys, "__b").agg(F.min(at).alias("__low"), F.max(at).alias("__high"), F.max("__s").alias("__last"), F.first("__tol").alias("__t"))
+    along = Window.partitionBy(*keys).orderBy("__b")
+    fresh = F.coalesce(F.col("__low") - F.lag("__high").over(along) > F.col("__t"), F.lit(True))
+    ends = ends.withColumn("__own", F.when(fresh, F.col("__low")))
+    carried = F.last(F.coalesce("__last", "__own"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "__b", F.coalesce("__own", carried).alias("__first"))
+    return rows.join(ends, [*keys, "__b"]).withColumn("part", F.coalesce("__in", "__first")).drop("__b", "__s", "__in", "__first", "__tol")
+
+
+#: Buckets of ``time_parts`` in tolerances.
+_BUCKET = 65_536
+
+
+def matched_parts(detected: DataFrame, reference: DataFrame, fs_hz: float | DataFrame, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
+    """keys, part, fs_hz, detected and reference arrays and their pairs, a row for each part of a key.
+
+    ``fs_hz``: one rate, or a table of keys and ``fs_hz``."""
     _positive(tolerance_ms, "tolerance")
-    one = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col(at).cast("bigint"))).alias(name))
-    both = one(detected, "detected").join(one(reference, "reference"), list(keys), "full")
-    none = F.array().cast("array<bigint>")
-    both = both.withColumns({c: F.coalesce(c, none) for c in ("detected", "reference")})
-    fs = fs_hz if isinstance(fs_hz, Column) else F.lit(float(fs_hz))
-    return both.withColumn("pairs", paired(F.col("detected"), F.col("reference"), F.lit(tolerance_ms) * fs / 1000.0)).withColumn("fs_hz", fs)
+    one = lambda df, name: df.select(*keys, F.col(at).cast("bigint").alias("__at"), F.lit(name).alias("__side"))
+    events = one(detected, "d").unionByName(one(reference, "r"))
+    events = events.join(fs_hz.select(*keys, "fs_hz"), list(keys)) if isinstance(fs_hz, DataFrame) else events.withColumn("fs_hz", F.lit(float(fs_hz)))
+    tolerance = F.lit(tolerance_ms) * F.col("fs_hz") / 1000.0
+    side = lambda name: F.array_sort(F.collect_list(F.when(F.col("__side") == name, F.col("__at"))))
+    parts = time_parts(events, keys, "__at", tolerance, tolerance * _BUCKET).groupBy(*keys, "part").agg(F.first("fs_hz").alias("fs_hz"), side("d").alias("detected"), side("r").alias("reference"))
+    return parts.withColumn("pairs", paired(F.col("detected"), F.col("reference"), tolerance))
+
+
+def pair_matches(detected: DataFrame, reference: DataFrame, fs_hz: float | DataFrame, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
+    """``matched_parts`` put together: one row per key on either side, for recordings that fit a row."""
+    parts = matched_parts(detected, reference, fs_hz, tolerance_ms, keys, at)
+    lists = ("detected", "reference", "pairs")
+    rows = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", *lists))).alias("p"), F.first("fs_hz").alias("fs_hz"))
+    return rows.select(*keys, *[F.flatten(F.col(f"p.{c}")).alias(c) for c in lists], "fs_hz")
 
 
 def match_metrics(matched: DataFrame, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
-    """Counts, rates and timing errors (ms) of every record of ``pair_matches``."""
-    tp, det, ref = F.size("pairs"), F.size("detected"), F.size("reference")
+    """Counts, rates and timing errors (ms) of every key of ``matched_parts`` or ``pair_matches``."""
+    whole = lambda c: F.sum(F.size(c)).cast("long")
+    tp, det, ref = F.col("true_positive"), F.col("detected_count"), F.col("reference_count")
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    errors = F.transform("pairs", lambda p: (p["d"] - p["r"]) * 1000.0 / F.col("fs_hz"))
-    rows = matched.select(*keys, "fs_hz", ref.cast("long").alias("reference_count"), det.cast("long").alias("detected_count"), tp.cast("long").alias("true_positive"), (det - tp).cast("long").alias("false_positive"), (ref - tp).cast("long").alias("false_negative"), rate(tp, ref).alias("sensitivity"), rate(tp, det).alias("positive_predictive_value"), errors.alias("e"))
+    rows = matched.groupBy(*keys).agg(F.first("fs_hz").alias("fs_hz"), whole("reference").alias("reference_count"), whole("detected").alias("detected_count"), whole("pairs").alias("true_positive"))
+    rows = rows.select(*keys, "fs_hz", "reference_count", "detected_count", "true_positive", (det - tp).alias("false_positive"), (ref - tp).alias("false_negative"), rate(tp, ref).alias("sensitivity"), rate(tp, det).alias("positive_predictive_value"))
     s, p = F.col("sensitivity"), F.col("positive_predictive_value")
     rows = rows.withColumn("f1", F.coalesce(F.try_divide(2 * s * p, s + p), F.lit(0.0)))
-    timing = rows.select(*keys, F.explode("e").alias("x")).groupBy(*keys).agg(
+    errors = F.transform("pairs", lambda p: (p["d"] - p["r"]) * 1000.0 / F.col("fs_hz"))
+    timing = matched.select(*keys, F.explode(errors).alias("x")).groupBy(*keys).agg(
         F.avg("x").alias("mean_timing_error_ms"), F.percentile("x", F.lit(0.5)).alias("median_timing_error_ms"), F.stddev_samp("x").alias("sd_timing_error_ms"),
         F.avg(F.abs("x")).alias("mean_absolute_timing_error_ms"), F.percentile(F.abs("x"), F.lit(0.5)).alias("median_absolute_timing_error_ms"),
         F.percentile(F.abs("x"), F.lit(0.95)).alias("p95_absolute_timing_error_ms"), F.max(F.abs("x")).alias("max_absolute_timing_error_ms"),
     )
-    return rows.drop("e").join(timing, list(keys), "left")
+    return rows.join(timing, list(keys), "left")
 
 
-def match_peaks(detected: DataFrame, reference: DataFrame, fs_hz: Column | float, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
-    return match_metrics(pair_matches(detected, reference, fs_hz, tolerance_ms, keys, at), keys)
+def match_peaks(detected: DataFrame, reference: DataFrame, fs_hz: float | DataFrame, tolerance_ms: float = 75.0, keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
+    return match_metrics(matched_parts(detected, reference, fs_hz, tolerance_ms, keys, at), keys)
 
 
 def tolerance_sweep(detected: DataFrame, reference: DataFrame, fs_hz: float, tolerances_ms: Sequence[float] = (50, 75, 100, 150), keys: Sequence[str] = ("recording_id",), at: str = "sample_index") -> DataFrame:
-    """``match_peaks`` at several tolerances; the lists are gathered once."""
-    matched = pair_matches(detected, reference, fs_hz, max(tolerances_ms), keys, at)
+    """``match_peaks`` at several tolerances; parts are cut once, at the widest, which holds for all."""
+    matched = matched_parts(detected, reference, fs_hz, max(tolerances_ms), keys, at)
     swept = matched.withColumn("tolerance_ms", F.explode(F.lit([float(t) for t in tolerances_ms])))
     swept = swept.withColumn("pairs", paired(F.col("detected"), F.col("reference"), F.col("tolerance_ms") * F.col("fs_hz") / 1000.0))
     return match_metrics(swept, [*keys, "tolerance_ms"])
@@ -151,19 +194,23 @@ def _agreeing(left: pd.Series, right: pd.Series, tolerance: pd.Series) -> pd.Ser
 def point_agreement(left: DataFrame, right: DataFrame, tolerance_s: float = 0.04, keys: Sequence[str] = ("recording_id",)) -> DataFrame:
     """Greedy agreement of point annotations of equal label and channel, in the order of ``seq``.
 
-    Each left point takes the nearest right point not yet used.  The fold runs
-    per (keys, label, channel); rates are over all points of the key.
+    Each left point takes the nearest right point not yet used.  The rule runs per (keys,
+    label, channel) and part of the time line; rates are over all points of the key.
     """
     _positive(tolerance_s, "tolerance")
     group = [*keys, "label", "channel"]
-    side = lambda df, name: df.where("type = 'point'").groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("seq", "time"))).alias(name))
-    both = side(left, "l").join(side(right, "r"), group, "full")
-    none = F.array().cast("array<struct<seq:bigint,time:double>>")
-    both = both.withColumns({c: F.coalesce(F.col(c).cast("array<struct<seq:bigint,time:double>>"), none) for c in ("l", "r")})
+    one = lambda df, name: df.where("type = 'point'").select(*group, "seq", F.col("time").cast("double").alias("time"), F.lit(name).alias("__side"))
+    events = one(left, "l").unionByName(one(right, "r"))
+    timed = time_parts(events.where("time IS NOT NULL AND label IS NOT NULL AND channel IS NOT NULL"), group, "time", F.lit(float(tolerance_s)), float(tolerance_s) * _BUCKET)
+    lone = events.where("time IS NULL OR label IS NULL OR channel IS NULL").withColumn("part", F.lit(None).cast("double"))  # counted, matched with nothing
+    item = lambda name: F.sort_array(F.collect_list(F.when(F.col("__side") == name, F.struct("seq", "time"))))
+    both = timed.select(*group, "part", "__side", "seq", "time").groupBy(*group, "part").agg(item("l").alias("l"), item("r").alias("r"))
+    counts = timed.select(*keys, "__side").unionByName(lone.select(*keys, "__side")).groupBy(*keys).agg(F.count_if(F.col("__side") == "l").alias("nl"), F.count_if(F.col("__side") == "r").alias("nr"))
     times = lambda side: F.transform(side, lambda x: x["time"])
-    folded = both.select(*keys, F.size("l").alias("nl"), F.size("r").alias("nr"), _agreeing(times("l"), times("r"), F.lit(float(tolerance_s))).alias("e"))
+    folded = both.select(*keys, _agreeing(times("l"), times("r"), F.lit(float(tolerance_s))).alias("e"))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    agg = folded.groupBy(*keys).agg(F.sum(F.size("e")).alias("matches"), F.sum("nl").alias("nl"), F.sum("nr").alias("nr"), F.sum(total(F.col("e"))).alias("s"))
+    sums = folded.groupBy(*keys).agg(F.sum(F.size("e")).alias("m"), F.sum(total(F.col("e"))).alias("s"))
+    agg = counts.join(sums, list(keys), "left").withColumn("matches", F.coalesce("m", F.lit(0).cast("long")))
     return agg.select(*keys, "matches", (F.col("matches") / F.greatest("nl", "nr", F.lit(1))).alias("agreement_rate"), F.try_divide(F.col("s"), F.col("matches")).alias("mean_absolute_error_s"))
 
 

@@ -6,14 +6,12 @@ short uniform signal, ten embeddings in a row a longer one.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_path as scratch_path  # noqa: F401
 from ..operators import beats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,16 +36,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch_path(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; on one machine without one, a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master or ""):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

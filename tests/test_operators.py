@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -422,3 +423,44 @@ def test_point_agreement_equals_brute_force(spark):
                 errors.append(min(free)[0])
         got = matching.point_agreement(row(left), row(right), tol).first()
         assert got["matches"] == len(errors) and got["mean_absolute_error_s"] == pytest.approx(np.mean(errors))
+
+
+def test_parts_of_one_recording_match_apart(spark, monkeypatch):
+    """Parts over buckets of any width give the pairs of the two pointers over the whole list."""
+    rng = np.random.default_rng(12)
+    for width, n, span in ((1, 300, 3000), (3, 300, 9000), (65_536, 300, 3000), (2, 400, 1500)):
+        monkeypatch.setattr(matching, "_BUCKET", width)
+        d, r = (np.unique(rng.integers(0, span, n)).tolist() for _ in range(2))
+        parts = matching.matched_parts(one(spark, d), one(spark, r), 1000.0, 7.0)
+        rows = parts.orderBy("part").collect()
+        assert [(p["d"], p["r"]) for x in rows for p in x["pairs"]] == greedy(d, r, 7)
+        merged = sorted([*d, *r])
+        assert len(rows) == 1 + sum(b - a > 7 for a, b in zip(merged, merged[1:]))
+        whole = matching.pair_matches(one(spark, d), one(spark, r), 1000.0, 7.0).first()
+        assert (whole["detected"], whole["reference"], [(p["d"], p["r"]) for p in whole["pairs"]]) == (d, r, greedy(d, r, 7))
+
+
+def test_no_task_sorts_a_whole_recording(spark):
+    """Windows over events are partitioned by recording and bucket; those over whole recordings see buckets."""
+    parts = matching.time_parts(one(spark, [1, 2, 900]), ["recording_id"], "sample_index", F.lit(3.0), 10.0)
+    assert [(r["sample_index"], r["part"]) for r in parts.orderBy("sample_index").collect()] == [(1, 1), (2, 1), (900, 900)]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    windows = re.findall(r"Window \[.*\], \[([^\]]*)\], \[([^\]]*)\]", plan)  # what they are partitioned and ordered by
+    assert len(windows) >= 3 and all("__b" in part or order.startswith("__b") for part, order in windows)
+
+
+def test_point_agreement_over_parts(spark, monkeypatch):
+    """Equal to the rule over the whole list, for several labels and any bucket width; points without a time only count."""
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(matching, "_BUCKET", 3)
+    left, right = ([(float(t), str(rng.choice(["R", "T"])), "I") for t in np.round(rng.uniform(0, 20, 200), 3)] for _ in range(2))
+    free, errors = dict(enumerate(right)), []
+    for t, label, _ in left:
+        near = [(abs(x[0] - t), i) for i, x in free.items() if x[1] == label and abs(x[0] - t) <= 0.04]
+        if near:
+            errors.append(min(near)[0])
+            del free[min(near)[1]]
+    got = matching.point_agreement(points(spark, [*left, (None, "R", "I")]), points(spark, right)).first()
+    assert got["matches"] == len(errors) and got["mean_absolute_error_s"] == pytest.approx(np.mean(errors)) and got["agreement_rate"] == len(errors) / 201
+    none = matching.point_agreement(points(spark, [(1.0, "R", "I")]), points(spark, [(1.0, "T", "I")])).first()
+    assert (none["matches"], none["agreement_rate"], none["mean_absolute_error_s"]) == (0, 0.0, None)
