@@ -14,8 +14,7 @@ multiple of it.  Results are those of the whole-signal kernels of ``detection``,
   gives.  Prominences look for higher ground in their own chunk, then, by the extremes of
   the chunks alone, for the first chunk that has some, and ask that chunk.
 
-A task holds a chunk and its halo, a group of ``thin`` the maxima of one chunk and of one
-distance around it.  Extremes, two numbers a chunk, and the few peaks that are the highest
+A task holds a chunk and its halo, or the maxima of a stretch that are not yet decided.  Extremes, two numbers a chunk, and the few peaks that are the highest
 of their chunk on one side are gathered per recording.
 """
 
@@ -34,6 +33,7 @@ from pyspark.sql.types import StructType
 
 from ..functions import kernels as K
 from ..functions.quantiles import exact_quantiles
+from ..functions.spacing import spread
 from ..functions.tables import written
 from . import detection as D
 
@@ -162,49 +162,11 @@ def _maxima(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return point(runs.where("NOT edge")).unionByName(point(edges))
 
 
-UNKNOWN, KEPT, REMOVED = 0, 1, 2
-
-
-def decide(pos: np.ndarray, height: np.ndarray, status: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
-    """Status of sorted maxima: kept if every higher one (of equals the later) closer than
-    ``distance`` is removed, removed if a kept one is that close; only ``own`` ones are decided."""
-    status = status.copy()
-    low, high = np.searchsorted(pos, pos - distance + 1), np.searchsorted(pos, pos + distance)
-    order = np.lexsort((pos, height))[::-1]
-    rank = np.empty(len(pos), dtype=np.int64)
-    rank[order] = np.arange(len(pos))
-    for i in order[(own & (status == UNKNOWN))[order]]:
-        near, above = status[low[i] : high[i]], rank[low[i] : high[i]] < rank[i]
-        if (near == KEPT).any():
-            status[i] = REMOVED
-        elif not ((near == UNKNOWN) & above).any():
-            status[i] = KEPT
-    return status
-
-
 def thin(maxima: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
-    """The maxima (keys, sign, pos, height, distance) that thinning by distance keeps.
-
-    Groups double in width from round to round, so a chain of maxima that each wait for the
-    next is decided in as many rounds as its length in chunks has binary digits; removed
-    maxima take no further part.
-    """
-    state = maxima.withColumn("status", F.lit(UNKNOWN))
-    group = [*keys, "sign"]
-
-    def settle(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pos")
-        df["status"] = decide(df["pos"].to_numpy(), df["height"].to_numpy(), df["status"].to_numpy(), df["own"].to_numpy(), int(df["distance"].iloc[0])).astype(np.int32)
-        return df[df["own"] & (df["status"] != REMOVED)].drop(columns=["own", "t"])
-
-    width = size
-    while True:
-        first, last = F.floor((F.col("pos") - F.col("distance")) / width), F.floor((F.col("pos") + F.col("distance")) / width)
-        seen = state.withColumn("t", F.explode(F.sequence(F.greatest(first, F.lit(0).cast("long")), last))).withColumn("own", F.floor(F.col("pos") / width) == F.col("t"))
-        width *= 2
-        state = written(seen.groupBy(*group, "t").applyInPandas(settle, maxima.withColumn("status", F.lit(UNKNOWN)).schema))
-        if not state.where(F.col("status") == UNKNOWN).limit(1).count():
-            return state.where(F.col("status") == KEPT).drop("status")
+    """The maxima (keys, sign, pos, height, distance) that thinning by distance keeps: the
+    highest first, of equals the later."""
+    points = maxima.withColumns({"tie": -F.col("pos"), "spacing": F.col("distance").cast("double")})
+    return spread(points, [*keys, "sign"], size).drop("tie", "spacing")
 
 
 class Extremes:

@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType
 from ..functions import kernels as K
 from ..functions.columns import argmax, entropy
 from ..functions.prefix import running
+from ..functions.spacing import spread
 from .candidates import candidate_features, label_candidates, threshold_for_recall
 from .detection import checked, detect_peaks, per_signal
 from .matching import exclude_near, nearest_labels
@@ -121,17 +122,23 @@ def classes(model: PipelineModel) -> list[str]:
 def spaced(rows: DataFrame, spacing: float, limit: int, keys: Sequence[str] = (), score: str = "uncertainty", at: str = "time_s") -> DataFrame:
     """Rows by falling score, skipping those closer than ``spacing`` to one taken, ``limit`` per key at most.
 
-    A fold over the sorted list of each key, which a recording bounds.
+    Of equal scores the earlier row is first, then the one whose columns are smaller.  Rows
+    are decided by stretches of the time line (``functions.spacing``), so no key is a list.
     """
-    item = F.struct((-F.col(score)).alias("s"), F.col(at).alias("t"), F.struct(*rows.columns).alias("row"))
-    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("l"))
-    empty = F.filter("l", lambda _: F.lit(False))
-
-    def step(taken, x):
-        close = F.exists(taken, lambda y: F.abs(y["t"] - x["t"]) < spacing) if spacing else F.lit(False)
-        return F.when((F.size(taken) >= limit) | close, taken).otherwise(F.concat(taken, F.array(x)))
-
-    return lists.select(F.explode(F.aggregate("l", empty, step)).alias("x")).select("x.row.*")
+    among = Window.partitionBy(*keys, score, at).orderBy(*rows.columns)
+    held = rows.withColumn("__k", F.row_number().over(among))
+    best = [F.desc(score), F.asc(at), F.asc("__k")]
+    if spacing:
+        held = held.where("__k = 1")  # of rows at one time only the first can be taken
+        if limit < 1:
+            return rows.limit(0)
+        points = held.select(*keys, F.col(at).cast("double").alias("pos"), F.col(score).cast("double").alias("height"), F.col(at).cast("double").alias("tie"), F.lit(float(spacing)).alias("spacing"))
+        taken = spread(points, list(keys), 256.0 * spacing).select(*keys, F.col("pos").alias("__pos"), F.col("height").alias("__height"))
+        same = [held[k].eqNullSafe(taken[k]) for k in keys] + [held[at].cast("double") == taken["__pos"], held[score].cast("double") == taken["__height"]]
+        held = held.join(taken, same, "left_semi")
+    if not keys:
+        return held.orderBy(*best).limit(limit).drop("__k")
+    return held.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("__r") <= limit).drop("__r", "__k")
 
 
 def rank_uncertain(predicted: DataFrame, top_n: int = 25, annotations: DataFrame | None = None, trained: DataFrame | None = None, exclude_s: float = 0.08, spacing_s: float = 0.25, keys: Sequence[str] = ("recording_id",)) -> DataFrame:

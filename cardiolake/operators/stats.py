@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, finite_or_null, is_finite
+from ..functions.columns import finite_or_null, is_finite
 from ..functions.distributions import mann_whitney_p, t_quantile, t_two_sided
 from ..functions.prefix import running
 
@@ -99,58 +98,91 @@ def mean_interval(values: DataFrame, value: str = "value", keys: Sequence[str] =
     return agg.select(*keys, "n", "mean", "sd", (F.col("mean") - margin).alias("ci_low"), (F.col("mean") + margin).alias("ci_high"))
 
 
-#: Records up to which the bootstrap draws its index matrix with one generator.
-EXACT_RECORDS = 20_000
+#: Records of a block of the bootstrap, the most blocks, and the most records of an index matrix.
+BLOCK_RECORDS, MAX_BLOCKS, MATRIX_RECORDS = 1024, 4096, 20_000
 
 
-def _replicate_means(rows: DataFrame, n_bootstrap: int, seed: int) -> np.ndarray:
-    """Means of replicates in which every record counts Poisson(1) times, drawn from a
-    generator seeded by the record itself: one partial sum a task and replicate."""
+def block_draws(sizes: Sequence[int], block: int, n_bootstrap: int, seed: int) -> np.ndarray:
+    """How many of a replicate's draws fall on ``block``, for every replicate.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, n_bootstrap))
-        for batch in batches:
-            for h, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                times = np.random.default_rng([seed, h & (2**64 - 1)]).poisson(1.0, n_bootstrap)
-                sums += times * np.array([[1.0], [v]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bootstrap)), pa.array(sums[0]), pa.array(sums[1])], names=["rep", "n", "s"])
-
-    total = rows.select("h", "v").mapInArrow(run, "rep long, n double, s double").groupBy("rep").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    return np.array([r["s"] / r["n"] for r in total.where("n > 0").collect()])  # one row a replicate
-
-
-def record_bootstrap(records: DataFrame, value: str, order: str = "recording_id", n_bootstrap: int = 2000, seed: int = 42, block: int = 256, exact: int = EXACT_RECORDS) -> DataFrame:
-    """Percentile interval of the mean over records, resampled with replacement.
-
-    Up to ``exact`` records draws come from NumPy's default generator in the order of
-    ``order``, so a seed gives the same interval in any plan; they are drawn in blocks
-    of replicates, each skipping what the blocks before it drew.  Beyond that the
-    replicates are Poisson bootstraps summed in Spark (the limit of the same
-    resampling for many records), so no record reaches the driver.
+    All draws of a replicate, as many as there are records, go down a binary tree over the
+    blocks; at a node a binomial number, drawn by a generator of the node's own, goes to the
+    left half.  So the numbers of all blocks add up exactly, and a task needs its path only.
     """
+    upto = np.cumsum([0, *sizes])
+    low, high, node, draws = 0, len(sizes), 1, np.full(n_bootstrap, upto[-1])
+    while high - low > 1:
+        middle, inside = (low + high) // 2, upto[high] - upto[low]
+        left = np.random.default_rng([seed, node]).binomial(draws, (upto[middle] - upto[low]) / inside if inside else 0.0)
+        if block < middle:
+            draws, high, node = left, middle, 2 * node
+        else:
+            draws, low, node = draws - left, middle, 2 * node + 1
+    return draws
+
+
+def block_sums(values: np.ndarray, block: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Sum of ``draws`` values drawn with replacement from a block, for every replicate."""
+    rng = np.random.default_rng([seed, 1 << 40, block])
+    return np.array([values[rng.integers(0, len(values), k)].sum() if k else 0.0 for k in draws.tolist()])
+
+
+def record_bootstrap(records: DataFrame, value: str, order: str = "recording_id", n_bootstrap: int = 2000, seed: int = 42, method: str = "tree", block_records: int = BLOCK_RECORDS) -> DataFrame:
+    """Percentile interval of the mean over records, resampled with replacement; ``method``
+    does not depend on their number.
+
+    ``tree``: every replicate has exactly as many draws as there are records (``block_draws``).
+    Records are dealt over blocks by the hash of ``order`` and sorted by it there, so a seed
+    gives the same interval in any plan; each block is resampled in a task of its own, and a
+    sum a replicate and block is all that goes on.  The driver sees the blocks' sizes and
+    the replicates' means.
+
+    ``matrix``: the index matrix of NumPy's default generator in the order of ``order``, for
+    comparison with reports that were made so; the driver holds the records, of which it
+    takes ``MATRIX_RECORDS`` at most.
+    """
+    if method not in ("tree", "matrix"):
+        raise ValueError(f"unknown method {method!r}")
     if n_bootstrap < 100:
         raise ValueError(f"{n_bootstrap} replicates are too few (100)")
-    rows = records.select(order, F.col(value).cast("double").alias("v"), F.xxhash64(order).alias("h"))
+    rows = records.select(F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     facts = rows.agg(F.count("*").alias("n"), F.count_if(~is_finite("v")).alias("bad"), F.avg("v").alias("mean")).first()
     if not facts["n"]:
         raise ValueError("no record to resample")
     if facts["bad"]:
         raise ValueError(f"a record has no finite {value}")
-    if facts["n"] <= exact:
-        v = np.array([r["v"] for r in rows.orderBy(order).collect()], dtype=float)  # at most ``exact`` numbers
-        rng, means, left = np.random.default_rng(seed), [], n_bootstrap
-        while left:
-            k = min(block, left)
-            means.append(v[rng.integers(0, len(v), size=(k, len(v)))].mean(axis=1))
-            left -= k
-        means = np.concatenate(means)
-    else:
-        means = _replicate_means(rows, n_bootstrap, seed)
-    low, high = np.percentile(means, [2.5, 97.5])
-    row = (value, "macro_record_mean", "record", facts["n"], n_bootstrap, seed, float(facts["mean"]), float(low), float(high))
+    means = _matrix_interval(rows, facts["n"], n_bootstrap, seed) if method == "matrix" else _tree_interval(rows, facts["n"], n_bootstrap, seed, block_records)
+    row = (value, "macro_record_mean", "record", facts["n"], n_bootstrap, seed, float(facts["mean"]), float(means[0]), float(means[1]))
     return records.sparkSession.createDataFrame([row], "metric string, estimand string, unit string, n_records long, n_bootstrap long, seed long, mean double, ci95_low double, ci95_high double")
 
 
+def _matrix_interval(rows: DataFrame, n: int, n_bootstrap: int, seed: int) -> list[float]:
+    if n > MATRIX_RECORDS:
+        raise ValueError(f"the index matrix of {n} records is too large ({MATRIX_RECORDS}); use the tree")
+    v = np.array([r["v"] for r in rows.orderBy("o").collect()], dtype=float)
+    rng = np.random.default_rng(seed)
+    parts = [min(256, n_bootstrap - k) for k in range(0, n_bootstrap, 256)]  # replicates drawn at a time, each part going on where the one before ended
+    return np.percentile(np.concatenate([v[rng.integers(0, n, size=(k, n))].mean(axis=1) for k in parts]), [2.5, 97.5]).tolist()
+
+
+def _tree_interval(rows: DataFrame, n: int, n_bootstrap: int, seed: int, block_records: int) -> list[float]:
+    blocks = min(MAX_BLOCKS, -(-n // block_records))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.col("o").cast("string")), F.lit(blocks)).cast("int"))
+    sizes = [0] * blocks
+    for r in dealt.groupBy("block").count().collect():
+        sizes[r["block"]] = r["count"]
+
+    def resample(df: pd.DataFrame) -> pd.DataFrame:
+        block = int(df["block"].iloc[0])
+        values = df.sort_values(["o", "v"])["v"].to_numpy()
+        return pd.DataFrame({"rep": np.arange(n_bootstrap), "block": block, "s": block_sums(values, block, block_draws(sizes, block, n_bootstrap, seed), seed)})
+
+    sums = dealt.groupBy("block").applyInPandas(resample, "rep int, block int, s double")
+    total = F.aggregate(F.array_sort(F.collect_list(F.struct("block", "s"))), F.lit(0.0), lambda a, x: a + x["s"])  # in the order of blocks, so that sums round alike
+    means = sums.groupBy("rep").agg((total / n).alias("mean"))
+    return means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).first()["ci"]
+
+
 def pooled_detection(metrics: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Sums over records, pooled rates, mean and median of the records' timing errors."""
     total = ["reference_count", "detected_count", "true_positive", "false_positive", "false_negative"]
@@ -214,7 +246,3 @@ def one_vs_rest_auc(scored: DataFrame, labels: Sequence[str], truth: str = "labe
     parts = [roc_auc(scored.select((F.col(truth) == c).cast("int").alias("label"), F.get(probabilities, F.lit(i)).alias("score"))) for i, c in enumerate(labels)]
     every = functools.reduce(DataFrame.unionByName, parts)
     return every.select(F.col("roc_auc")).agg(F.when(F.count("roc_auc") == len(labels), F.avg("roc_auc")).alias("roc_auc"))
-
-
-def ranks(values: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    return values.withColumn("rank", average_rank(value, *keys))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cardiolake.functions import kernels as K
+from cardiolake.functions import spacing
 from cardiolake.functions.quantiles import exact_quantiles, from_bits, ordered_bits
 from cardiolake.operators import chunked, detection
 
@@ -122,10 +123,12 @@ def test_decisions_do_not_depend_on_the_cut():
         pos = np.unique(rng.integers(0, 400, 150))
         height = rng.integers(0, 6, len(pos)).astype(float)
         want = set(K.thin_by_distance(pos, height, 9).tolist())
+        rank = np.empty(len(pos), dtype=np.int64)
+        rank[np.lexsort((-pos, -height))] = np.arange(len(pos))
         status = np.zeros(len(pos), dtype=np.int32)
         while (status == 0).any():
             part = (pos // 23) % 3 == rng.integers(0, 3)
-            status = chunked.decide(pos, height, status, part, 9)
+            status = spacing.decide(pos, rank, status, part, 9)
         assert set(pos[status == 1].tolist()) == want
 
 

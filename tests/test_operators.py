@@ -221,7 +221,7 @@ def test_mean_interval_and_bootstrap(spark):
     v = df(spark, [("a", 0.9), ("b", 0.8), ("c", 0.85)], "recording_id string, value double")
     r = stats.mean_interval(v).first()
     assert r["ci_low"] == pytest.approx(0.85 - 4.302652729911275 * 0.05 / math.sqrt(3))
-    b = stats.record_bootstrap(v, "value", n_bootstrap=500).first()
+    b = stats.record_bootstrap(v, "value", n_bootstrap=500, method="matrix").first()
     x = np.array([0.9, 0.8, 0.85])
     boot = x[np.random.default_rng(42).integers(0, 3, size=(500, 3))].mean(axis=1)
     assert (b["ci95_low"], b["ci95_high"]) == pytest.approx(tuple(np.percentile(boot, [2.5, 97.5])))
@@ -370,18 +370,62 @@ def test_upsert_replaces(spark):
     assert sorted(r["v"] for r in out.collect()) == [2, 9]
 
 
-def test_bootstrap_beyond_the_exact_size(spark):
-    """Poisson replicates summed in Spark give the interval of the index matrix."""
+def test_bootstrap_replays_its_tree(spark):
+    """The interval is that of all blocks replayed in one process; every replicate has all its draws."""
+    v = np.random.default_rng(2).normal(10, 3, size=700)
+    rows = df(spark, [(f"r{i}", float(x)) for i, x in enumerate(v)], "recording_id string, value double")
+    b = stats.record_bootstrap(rows, "value", n_bootstrap=300, block_records=100).first()
+    dealt = {}
+    for r in rows.select("recording_id", "value", F.pmod(F.xxhash64("recording_id"), F.lit(7)).alias("b")).collect():
+        dealt.setdefault(r["b"], []).append((r["recording_id"], r["value"]))
+    sizes = [len(dealt.get(k, [])) for k in range(7)]
+    draws = [stats.block_draws(sizes, k, 300, 42) for k in range(7)]
+    assert (np.sum(draws, axis=0) == 700).all() and all((d >= 0).all() for d in draws)
+    means = np.sum([stats.block_sums(np.array([x for _, x in sorted(dealt[k])]), k, draws[k], 42) for k in range(7)], axis=0) / 700
+    assert (b["ci95_low"], b["ci95_high"]) == pytest.approx(tuple(np.percentile(means, [2.5, 97.5]))) and b["mean"] == pytest.approx(v.mean())
+    again = stats.record_bootstrap(rows.repartition(5), "value", n_bootstrap=300, block_records=100).first()
+    assert (again["ci95_low"], again["ci95_high"]) == (b["ci95_low"], b["ci95_high"])
+
+
+def test_bootstraps_agree(spark):
+    """Tree and index matrix give the same interval but for chance, whatever the blocks are."""
     v = np.random.default_rng(2).normal(10, 3, size=3000)
     rows = df(spark, [(f"r{i}", float(x)) for i, x in enumerate(v)], "recording_id string, value double")
-    a, b = stats.record_bootstrap(rows, "value").first(), stats.record_bootstrap(rows, "value", exact=0).first()
+    a, b, c = (stats.record_bootstrap(rows, "value", **k).first() for k in ({"method": "matrix"}, {}, {"block_records": 10_000}))
     width = a["ci95_high"] - a["ci95_low"]
-    assert a["mean"] == pytest.approx(v.mean()) == b["mean"] and a["n_records"] == b["n_records"] == 3000
-    assert abs(a["ci95_low"] - b["ci95_low"]) < 0.15 * width and abs(a["ci95_high"] - b["ci95_high"]) < 0.15 * width
-    again = stats.record_bootstrap(rows.repartition(5), "value", exact=0).first()
-    assert (again["ci95_low"], again["ci95_high"]) == (pytest.approx(b["ci95_low"]), pytest.approx(b["ci95_high"]))
+    for x in (b, c):
+        assert x["n_records"] == 3000 and abs(a["ci95_low"] - x["ci95_low"]) < 0.15 * width and abs(a["ci95_high"] - x["ci95_high"]) < 0.15 * width
     with pytest.raises(ValueError):
         stats.record_bootstrap(rows.withColumn("value", F.when(F.col("recording_id") == "r1", None).otherwise(F.col("value"))), "value")
+    with pytest.raises(ValueError):
+        stats.record_bootstrap(rows, "value", method="jackknife")
+
+
+def test_block_numbers_are_multinomial():
+    """Means, variances and the covariance of the blocks' draws are those of one multinomial."""
+    sizes = [5, 0, 20, 75]
+    d = np.array([stats.block_draws(sizes, k, 40_000, 7) for k in range(4)], dtype=float)
+    p = np.array(sizes) / 100
+    assert np.allclose(d.mean(axis=1), 100 * p, atol=0.15) and np.allclose(np.cov(d), 100 * (np.diag(p) - np.outer(p, p)), atol=0.6)
+
+
+def test_spaced_selection_equals_taking_the_best_first(spark):
+    """Ties of score and time, null keys, any stretch of the line, with and without a spacing."""
+    rng = np.random.default_rng(15)
+    rows = [(str(rng.choice(["a", "b"])) if rng.random() < 0.9 else None, float(np.round(rng.uniform(0, 40), 1)), float(rng.integers(0, 5)), i) for i in range(300)]
+    table = df(spark, rows, "recording_id string, time_s double, uncertainty double, r_index long")
+    for spacing, limit in ((0.5, 1000), (2.0, 6), (0.0, 7), (50.0, 3), (1.0, 0)):
+        want = set()
+        for key in ("a", "b", None):
+            taken = []
+            for r in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[2], r[1], r[3])):
+                if len(taken) < limit and not (spacing and any(abs(r[1] - t[1]) < spacing for t in taken)):
+                    taken.append(r)
+            want |= set(taken)
+        got = {tuple(r) for r in learning.spaced(table, spacing, limit, ["recording_id"]).collect()}
+        assert got == want
+    best = sorted(rows, key=lambda r: (-r[2], r[1]))[0]
+    assert learning.spaced(table, 1000.0, 5).first()["time_s"] == best[1]
 
 
 def test_auc_of_several_classes(spark):
