@@ -12,14 +12,15 @@ two outside tokens, and plain words cost nothing.  Features: shape (length, shar
 digits, case, hexadecimal, entropy, known prefixes), the neighbouring words (a key
 word, an assignment sign, quotes) and the file (how many key words, how dense in
 digits).  The model is trained here, by gradient ascent on the log-likelihood
-with forward-backward sums, on sentences made by a fixed generator.
+with forward-backward sums, on sentences made by a fixed generator; its weights are kept
+in ``secrets_weights.json`` (``write_weights``).
 
 Scale: a map over Arrow batches without shuffle; the model is a few hundred
 numbers in the task closure.
 
 Defined results: null and empty texts have no spans; very long texts are scanned
-whole; repeated rows get equal
-results; a null doc_id is allowed; empty tables give empty results; columns of
+whole, runs and words of any length too; of paths of equal score the decoding takes the tag
+listed first (begin, inside, outside); repeated rows get equal results; a null doc_id is allowed; empty tables give empty results; columns of
 other names are ignored (``redact`` passes them through and keeps n_chars, if
 there is one, equal to the new length).
 """
@@ -28,7 +29,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import math
+import pathlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -63,6 +66,7 @@ FEATURES = (
     "key-1", "key-2", "key-3", "assign-1", "quote-1", "quote+1", "space-1", "space+1", "at+1", "colon-1", "file:keys", "file:digits", "same-run",
     "key-4", "key-1,assign-1", "key-1,space-1", "key in quote", "self-key", "self-key,assigned", "digit", "len<4", "len<8", "camel", "plain", "capitals", "//", "assign-1,camel", "plain,assign-1",
     "key-2,is-1", "key-2,is-1,digit", "key-2,is-1,len>=16", "login:x@", "key-1,len>=16", "key-1,quote-1",
+    "line-1", "line-1,len>=24", "line-1,both len>=24",
 )
 B, I, O = 0, 1, 2
 
@@ -80,16 +84,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Runs that may be secrets (see the module), without a full stop at the end."""
     found: dict[int, int] = {}
+    run, worded, seen = (0, 0), False, -1  # the run looked at last and whether it holds a word: rules meet a long run again and again
 
     def take(at: int, least: int = 1, entropy: float = 0.0) -> int:
         """Add the run around ``at``; where it ends."""
-        start = at
-        while start and text[start - 1] in ALPHABET:
-            start -= 1
-        stop = end = _RUN.match(text, start).end()
-        if text[end - 1] == ".":  # a full stop ends a sentence, not a secret
-            end -= 1
-        if end - start >= least and _WORD.match(text, start, end) and (not entropy or _entropy(text[start:end][:256]) > entropy):
+        nonlocal run, worded
+        if not run[0] <= at < run[1]:
+            start = at
+            while start and text[start - 1] in ALPHABET:
+                start -= 1
+            run = start, _RUN.match(text, start).end()
+            worded = bool(_WORD.match(text, start, run[1] - (text[run[1] - 1] == ".")))
+        start, stop = run
+        end = stop - (text[stop - 1] == ".")  # a full stop ends a sentence, not a secret
+        if worded and start not in found and end - start >= least and (not entropy or _entropy(text[start:end]) > entropy):
             found[start] = end
         return stop
 
@@ -97,18 +105,20 @@ def candidates(text: str) -> list[tuple[int, int]]:
     while m := _DIGIT.search(text, at):
         at = take(m.start(), LEAST)
     for m in _LONG.finditer(text):
-        take(m.start(), LONG, 2.5)
+        if m.start() >= seen:
+            seen = take(m.start(), LONG, 2.5)
     for m in _PREFIX.finditer(text):
         take(m.start())
     if ":" in text or "=" in text:
         for m in _ASSIGNED.finditer(text):
             take(m.end())
-    low = text.lower()
+    low, begun = text.lower(), -1
     if any(h in low for h in _KEY_HINTS):
         for m in _KEYWORD.finditer(text):
-            at = m.end()
-            while at < len(text) and text[at] in ALPHABET:
-                at += 1
+            at = take(m.start(), len(text) + 1)  # the end of the key word's own run
+            if at == begun:
+                continue
+            begun = at
             for _ in range(REACH):
                 word = _WORD.search(text, at)
                 if not word:
@@ -122,6 +132,19 @@ def _entropy(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
+def _before(text: str, at: int) -> str:
+    """What stands before ``at``, from the beginning of the ``REACH``-th last word on, however long the words are."""
+    size = 64
+    while True:
+        low = max(0, at - size)
+        words = list(_WORD.finditer(text, low, at))
+        if len(words) > REACH:  # so that the first of the last ones is whole
+            return text[words[-REACH].start() : at]
+        if not low:
+            return text[words[-REACH].start() if len(words) == REACH else 0 : at]
+        size *= 4
+
+
 def features(text: str, spans: list[tuple[int, int]], file_keys: bool, file_digits: bool) -> np.ndarray:
     """One 0/1 row per candidate, columns as in ``FEATURES``."""
     x = np.zeros((len(spans), len(FEATURES)), dtype=np.float64)
@@ -129,13 +152,15 @@ def features(text: str, spans: list[tuple[int, int]], file_keys: bool, file_digi
         s, n = text[a:b], b - a
         digits = sum(c.isdigit() for c in s) / n
         upper, lower = any("A" <= c <= "Z" for c in s), any("a" <= c <= "z" for c in s)
-        before = text[max(0, a - 48) : a]
+        before = _before(text, a)
+        gap = text[spans[i - 1][1] : a] if i and a - spans[i - 1][1] <= 2 else ""
+        line = gap in ("\n", "\r\n")
         words = _WORD.findall(before)
         keys = [bool(_KEYWORD.search(w)) for w in words[: -REACH - 1 : -1]] + [False] * REACH
-        near = before[-4:]
+        near = text[max(0, a - 4) : a]
         assigned = bool(re.search(r"[:=]\s*[\"']?$", near)) or "=" in s[:-2]
         own, plain, camel = bool(_KEYWORD.search(s)), bool(_PLAIN.fullmatch(s)), bool(_CAMEL.search(s))
-        e = _entropy(s[:256])
+        e = _entropy(s)
         vowels = sum(c in "aeiouAEIOU" for c in s) / n
         said = bool(words) and words[-1].lower() in _SAYS and not assigned
         quoted = any(keys) and (before.count('"') % 2 == 1 or before.count("'") % 2 == 1)
@@ -148,6 +173,7 @@ def features(text: str, spans: list[tuple[int, int]], file_keys: bool, file_digi
             keys[3], keys[0] and assigned, keys[0] and near[-1:] in " \n\t", quoted, own, own and "=" in s[:-2],
             digits > 0, n < 4, n < 8, camel, plain, s.isupper() and digits == 0, s.startswith("//"), assigned and camel, plain and assigned,
             keys[1] and said, keys[1] and said and digits > 0, keys[1] and said and n >= 16, near[-1:] == ":" and text[b : b + 1] == "@" and "//" in before, keys[0] and n >= 16, keys[0] and near[-1:] in "\"'`" and near != "",
+            line, line and n >= 24, line and n >= 24 and spans[i - 1][1] - spans[i - 1][0] >= 24 and e > 3.3,
         )
     return x
 
@@ -276,6 +302,8 @@ def fit(samples, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> t
     by_length: dict[int, list] = {}
     for text, gold in samples:
         spans = candidates(text)
+        if not spans:
+            continue
         x = features(text, spans, *file_features(text))
         for run in chains(spans, text):
             y, open_until = [], -1
@@ -318,9 +346,23 @@ def fit(samples, rounds: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> t
     return w, t
 
 
+WEIGHTS = pathlib.Path(__file__).with_name("secrets_weights.json")
+
+
+def write_weights() -> None:
+    """Fit on the training sentences and keep the numbers beside this module."""
+    w, t = fit(training_texts())
+    rows = {name: [round(float(v), 4) for v in row] for name, row in zip(FEATURES, w)}
+    WEIGHTS.write_text(json.dumps({"emission": rows, "transition": [[round(float(v), 4) for v in row] for row in t]}, indent=0) + "\n")
+
+
 @functools.lru_cache(maxsize=1)
 def model() -> tuple[np.ndarray, np.ndarray]:
-    return fit(training_texts())
+    """The weights that ``fit`` finds on ``training_texts``, as written by ``write_weights``."""
+    kept = json.loads(WEIGHTS.read_text())
+    if list(kept["emission"]) != list(FEATURES):
+        raise ValueError("the written weights are of other features: call write_weights()")
+    return np.array(list(kept["emission"].values())), np.array(kept["transition"])
 
 
 # --- application ----------------------------------------------------------------
