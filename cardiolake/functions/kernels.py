@@ -183,28 +183,56 @@ def thin_by_distance(peaks: np.ndarray, height: np.ndarray, distance: int) -> np
     return peaks[keep]
 
 
-def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    """Height above the higher of the two lowest points on the way to higher ground.
-
-    One sweep a side with a stack of (value, lowest since) pairs.
+class Extremes:
+    """Largest and smallest values of runs of a list, by sparse tables."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray):
+        self.high, self.low = [np.asarray(high, dtype=float)], [np.asarray(low, dtype=float)]
+        while 2 << (len(self.high) - 1) <= len(high):
+            step = 1 << (len(self.high) - 1)
+            self.high.append(np.maximum(self.high[-1][:-step], self.high[-1][step:]))
+            self.low.append(np.minimum(self.low[-1][:-step], self.low[-1][step:]))
+
+    def back(self, at: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the last place before ``at`` higher than ``height`` (-1: none), and the
+        smallest low of the places between."""
+        at, lowest = np.array(at, dtype=np.int64), np.full(len(at), np.inf)
+        for k in range(len(self.high) - 1, -1, -1):
+            step = 1 << k
+            fits = at >= step
+            begin = np.where(fits, at - step, 0)
+            goes = fits & (self.high[k][begin] <= height)
+            lowest = np.where(goes, np.minimum(lowest, self.low[k][begin]), lowest)
+            at = np.where(goes, at - step, at)
+        return at - 1, lowest
+
+
+def bases(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per place the lowest value from it back to higher ground, and whether there is none.
+
+    The signal is cut at the places; whole pieces are passed over by their extremes, and the
+    piece with the higher ground is searched from its end.
     """
+    at = np.asarray(at, dtype=np.int64)
+    if not len(at):
+        return np.empty(0), np.empty(0, dtype=bool)
+    cuts = np.unique(np.concatenate([[0], at]))
+    pieces = Extremes(np.maximum.reduceat(x, cuts), np.minimum.reduceat(x, cuts))
+    place, low = pieces.back(np.searchsorted(cuts, at), x[at])
+    low, ends = np.minimum(low, x[at]), np.append(cuts[1:], len(x))
+    for i in np.flatnonzero(place >= 0):
+        piece = x[cuts[place[i]] : ends[place[i]]]
+        rest = piece[np.flatnonzero(piece > x[at[i]])[-1] + 1 :]
+        if len(rest):
+            low[i] = min(low[i], rest.min())
+    return low, place < 0
 
-    def bases(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-        wanted, out = {int(p) for p in at}, {}
-        stack: list[tuple[float, float]] = []
-        for i, v in enumerate(values.tolist()):
-            low = v
-            while stack and stack[-1][0] <= v:
-                low = min(low, stack.pop()[1])
-            if i in wanted:
-                out[i] = low
-            stack.append((v, low))
-        return np.array([out[int(p)] for p in at])
 
+def prominences(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
+    """Height above the higher of the two lowest points on the way to higher ground."""
     if not len(peaks):
         return np.empty(0)
-    n = len(x)
-    left, right = bases(x, peaks), bases(x[::-1], n - 1 - peaks)
+    left, right = bases(x, peaks)[0], bases(x[::-1], len(x) - 1 - np.asarray(peaks)[::-1])[0][::-1]
     return x[peaks] - np.maximum(left, right)
 
 

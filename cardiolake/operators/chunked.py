@@ -169,30 +169,6 @@ def thin(maxima: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
     return spread(points, [*keys, "sign"], size).drop("tie", "spacing")
 
 
-class Extremes:
-    """Largest and smallest values of blocks of a list, by sparse tables."""
-
-    def __init__(self, high: np.ndarray, low: np.ndarray):
-        self.high, self.low = [np.asarray(high, dtype=float)], [np.asarray(low, dtype=float)]
-        while 2 << (len(self.high) - 1) <= len(high):
-            step = 1 << (len(self.high) - 1)
-            self.high.append(np.maximum(self.high[-1][:-step], self.high[-1][step:]))
-            self.low.append(np.minimum(self.low[-1][:-step], self.low[-1][step:]))
-
-    def back(self, at: np.ndarray, height: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Per query the last place before ``at`` higher than ``height`` (-1: none), and the
-        smallest low of the places between."""
-        at, lowest = np.array(at, dtype=np.int64), np.full(len(at), np.inf)
-        for k in range(len(self.high) - 1, -1, -1):
-            step = 1 << k
-            fits = at >= step
-            begin = np.where(fits, at - step, 0)
-            goes = fits & (self.high[k][begin] <= height)
-            lowest = np.where(goes, np.minimum(lowest, self.low[k][begin]), lowest)
-            at = np.where(goes, at - step, at)
-        return at - 1, lowest
-
-
 def _bases(row: dict, x: np.ndarray) -> list[dict]:
     """Both sides of every peak of a chunk: the lowest value up to higher ground or the end of the chunk."""
     out = []
@@ -200,9 +176,8 @@ def _bases(row: dict, x: np.ndarray) -> list[dict]:
         z = sign * (x - row["median"])
         at = np.array([p["pos"] - row["start"] for p in row["peaks"] if p["sign"] == sign])
         for side, values, own in ((-1, z, at), (1, z[::-1], len(z) - 1 - at)):
-            place, low = Extremes(values, values).back(own, values[own])
-            low = np.minimum(low, values[own])
-            out += [{"sign": sign, "pos": int(p) + row["start"], "height": float(z[p]), "side": side, "low": float(b), "open": bool(q < 0)} for p, b, q in zip(at, low, place)]
+            low, unbounded = K.bases(values, own)
+            out += [{"sign": sign, "pos": int(p) + row["start"], "height": float(z[p]), "side": side, "low": float(b), "open": bool(q)} for p, b, q in zip(at, low, unbounded)]
     return out
 
 
@@ -232,7 +207,7 @@ def _skipped(size: int, names: Sequence[str]):
             at = own["pos"].to_numpy() // size
             if side > 0:
                 high, low, at = high[::-1], low[::-1], len(high) - 1 - at
-            place, lowest = Extremes(high, low).back(at, own["height"].to_numpy())
+            place, lowest = K.Extremes(high, low).back(at, own["height"].to_numpy())
             found = own.assign(low=np.minimum(own["low"], lowest), target=np.where(place < 0, -1, (place if side < 0 else len(high) - 1 - place) * size))
             out.append(found)
         return pd.concat(out)[[*names, "sign", "pos", "height", "side", "low", "target"]] if out else peaks.assign(target=-1)[[*names, "sign", "pos", "height", "side", "low", "target"]]
@@ -277,6 +252,12 @@ def chunk_polarity(candidates: DataFrame, scales: DataFrame, fraction: float = D
     return rows.select(*keys, F.when(negative, "negative").otherwise("positive").alias("polarity"), (F.abs(F.col("up") - F.col("down")) / F.greatest("up", "down", F.lit(1))).alias("confidence"), scaled("mp").alias("positive_score"), scaled("mn").alias("negative_score"), F.col("up").alias("positive_candidates"), F.col("down").alias("negative_candidates"))
 
 
+def select_polarity(chunks: DataFrame, size: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``detection.select_polarity`` of chunked recordings; refused ones have no row."""
+    scales = written(signal_scale(chunks, keys))
+    return chunk_polarity(_candidates(chunks, scales, F.array(F.lit(1), F.lit(-1)), size, D.REFRACTORY_S, keys), scales, keys=keys)
+
+
 def _recovered(candidates: DataFrame, peaks: DataFrame, gap_ratio: float, fraction: float, keys: Sequence[str]) -> DataFrame:
     """The most prominent relaxed candidate (the first of equals) strictly inside each long gap."""
     if not (math.isfinite(gap_ratio) and gap_ratio > 1):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import hashlib
+import json
 import math
 from collections.abc import Sequence
 
@@ -13,11 +15,11 @@ from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions import kernels as K
 from ..functions.columns import argmax, entropy
 from ..functions.prefix import running
+from ..functions.quantiles import exact_quantiles
 from ..functions.spacing import spread
 from .candidates import candidate_features, label_candidates, threshold_for_recall
 from .detection import checked, detect_peaks, per_signal
@@ -172,29 +174,39 @@ def _hashed(record: str, seed: int) -> Column:
 def group_folds(rows: DataFrame, n_folds: int, group: str = "group_id", label: str = "label", seed: int = 42) -> DataFrame:
     """(group, fold): whole groups, each put where it keeps class counts most even.
 
-    The greedy choice needs one row per group and class, which is all the driver sees.
+    Groups with the same count of every class are one profile; the driver sees each profile
+    once, with the number of its groups, and says how many of them each fold gets.  Which
+    ones is decided by the seeded hash of their names.
     """
-    counts = rows.groupBy(group, label).count().collect()
-    labels = sorted({r[label] for r in counts}, key=str)
-    groups = sorted({r[group] for r in counts}, key=str)
-    per_class = {r[label]: r["n_groups"] for r in groups_per_class(rows, group, label).collect()}
-    n_folds = min(n_folds, len(groups), *per_class.values()) if labels else 0
+    text = F.col(label).cast("string")
+    per_class = {r["l"]: (r["n"], r["t"]) for r in rows.groupBy(text.alias("l")).agg(F.count_distinct(group).alias("n"), F.count("*").alias("t")).collect()}
+    each = rows.groupBy(group, text.alias("l")).count().groupBy(group).agg(F.array_sort(F.collect_list(F.struct("l", "count"))).alias("profile"))
+    each = each.withColumn("profile", F.to_json("profile", {"ignoreNullFields": "false"}))
+    profiles = {r["profile"]: r["count"] for r in each.groupBy("profile").count().collect()}
+    n_folds = min([n_folds, sum(profiles.values()), *(n for n, _ in per_class.values())]) if per_class else 0
     if n_folds < 2:
         raise ValueError("folds: every class must occur in two groups or more")
-    table = np.zeros((len(groups), len(labels)))
-    for r in counts:
-        table[groups.index(r[group]), labels.index(r[label])] = r["count"]
-    order = np.random.default_rng(seed).permutation(len(groups))
-    order = order[np.argsort(-table[order].std(axis=1), kind="stable")]
-    share, held = table / table.sum(axis=0), np.zeros((n_folds, len(labels)))
-    fold = {}
-    for g in order.tolist():
-        spread = [np.where(np.arange(n_folds)[:, None] == f, held + share[g], held).std(axis=0).mean() for f in range(n_folds)]
-        best = min(range(n_folds), key=lambda f: (round(spread[f], 12), held[f].sum()))
-        held[best] += share[g]
-        fold[groups[g]] = best
-    schema = rows.select(group).schema.add("fold", IntegerType())
-    return rows.sparkSession.createDataFrame(list(fold.items()), schema)
+    column = {name: i for i, name in enumerate(per_class)}
+    totals = np.array([t for _, t in per_class.values()], dtype=float)
+    shares = {}
+    for p in profiles:
+        shares[p] = np.zeros(len(column))
+        for x in json.loads(p):
+            shares[p][column[x["l"]]] = x["count"]
+    order = sorted(profiles, key=lambda p: (-shares[p].std(), hashlib.md5(f"{seed}|{p}".encode()).hexdigest()))
+    held, bounds = np.zeros((n_folds, len(column))), []
+    for p in order:
+        given, share = np.zeros(n_folds, dtype=int), shares[p] / totals
+        for _ in range(profiles[p]):
+            spread = [np.where(np.arange(n_folds)[:, None] == f, held + share, held).std(axis=0).mean() for f in range(n_folds)]
+            best = min(range(n_folds), key=lambda f: (round(spread[f], 12), held[f].sum()))
+            held[best] += share
+            given[best] += 1
+        ends = np.cumsum(given).tolist()
+        bounds += [(p, f, end - int(n), end) for f, (n, end) in enumerate(zip(given, ends)) if n]
+    table = rows.sparkSession.createDataFrame(bounds, "profile string, fold int, first long, past long")
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(_hashed(group, seed), group)) - 1
+    return each.withColumn("__k", place).join(table, "profile").where((F.col("__k") >= F.col("first")) & (F.col("__k") < F.col("past"))).select(group, "fold")
 
 
 def benchmark(rows: DataFrame, n_folds: int = 5, group: str = "group_id", seed: int = 42, models: dict[str, Pipeline] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -203,7 +215,7 @@ def benchmark(rows: DataFrame, n_folds: int = 5, group: str = "group_id", seed:
     Train and test never share a group.
     """
     models = models or {"logistic_regression": logistic(), "random_forest": forest(300, seed=seed)}
-    folded = rows.join(F.broadcast(group_folds(rows, n_folds, group, "label", seed)), group).cache()
+    folded = rows.join(group_folds(rows, n_folds, group, "label", seed), group).cache()
     spark, out = rows.sparkSession, []
     binary = rows.select("label").distinct().count() == 2
     for f in sorted(r["fold"] for r in folded.select("fold").distinct().collect()):
@@ -272,6 +284,17 @@ def hash_part(group: str) -> Column:
     return F.when(F.substring(F.md5(F.col(group).cast("string").cast("binary")), 1, 1) < "4", "test").otherwise("train")
 
 
+def stratified_holdout(rows: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
+    """``rows`` with ``__held``: of each label those whose hash is below its share ``fraction``.
+
+    The bound of a label is the exact quantile of its hashes, found by refined histograms,
+    so no task sees a whole class."""
+    number = F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct("features")), F.lit(seed)), 11)  # 53 bits, which a double holds
+    hashed = rows.withColumn("__h", number.cast("double"))
+    bounds = exact_quantiles(hashed.select("label", F.array("__h").alias("h")), ["label"], "h", [fraction])
+    return hashed.join(bounds.select("label", F.get("quantiles", F.lit(0)).alias("__bound")), "label").withColumn("__held", F.col("__h") < F.col("__bound")).drop("__h", "__bound")
+
+
 def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: float = 0.2, trees: int = 150, seed: int = 42, split: DataFrame | None = None, record: str = "recording_id") -> tuple[PipelineModel, dict]:
     """(model, metadata) of the second stage; label 0/1.
 
@@ -288,12 +311,10 @@ def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: floa
         raise ValueError("suppressor: too few candidates to set some aside (ten, and two a class); use a share of 0")
     pipeline = forest(trees, 14, seed, 2, scale=False)
     if split is not None:
-        marked = rows.join(F.broadcast(split), record)
+        marked = rows.join(split, record)
         fit, held, method = marked.where("part = 'fit'"), marked.where("part = 'calibration'"), "held_out_records"
     elif fraction > 0:
-        w = Window.partitionBy("label")
-        place = F.percent_rank().over(w.orderBy(F.xxhash64(F.to_json(F.struct("features")), F.lit(seed))))
-        marked = rows.withColumn("__held", place < fraction)
+        marked = stratified_holdout(rows, fraction, seed)
         fit, held, method = marked.where("NOT __held"), marked.where("__held"), "held_out_stratified"
     else:
         fit = held = rows

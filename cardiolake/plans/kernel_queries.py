@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from .. import api
 from ..functions import kernels as K
+from ..functions import quantiles
 from ..functions.columns import robust_scale_of, z_scores
-from ..operators import beats, candidates, detection, learning
-from .base import long_signals, query, r6, signals, table
+from ..operators import beats, candidates, chunked, detection, learning
+from .base import _SQL, long_signals, query, r6, signals, table
 
 # --- parts of the SQL forms ---------------------------------------------------------------------
 
@@ -326,3 +327,33 @@ def zscore_features(spark, sf_dir):
     z = table(spark, sf_dir, "embeddings").select("vec_id", z_scores(F.col("embedding").cast("array<double>")).alias("z"))
     mean = F.aggregate("z", F.lit(0.0), lambda a, x: a + x) / F.size("z")
     return z.select("vec_id", r6(mean).alias("mean_z"), r6(F.array_max("z")).alias("max_z"), r6(F.array_min("z")).alias("min_z"), r6(F.array_max(F.transform("z", F.abs))).alias("max_abs_z"))
+
+
+# --- recordings in chunks: the SQL is that of the whole signals ---------------------------------------------
+
+
+@query(_SQL["detect_peaks"])
+def chunked_peaks(spark, sf_dir):
+    """Adaptive polarity and recovery over chunks of 20 samples."""
+    p = chunked.detect_chunks(chunked.to_chunks(signals(spark, sf_dir), 20), 20, "adaptive", recovery=True).where("r_index IS NOT NULL")
+    return p.select("recording_id", "r_index", r6("prominence").alias("prominence"), "polarity")
+
+
+@query(_SQL["counted_polarity"])
+def chunked_polarity(spark, sf_dir):
+    p = chunked.select_polarity(chunked.to_chunks(signals(spark, sf_dir), 20), 20)
+    return p.select("recording_id", "polarity", *[r6(c).alias(c) for c in ("confidence", "positive_score", "negative_score")], "positive_candidates", "negative_candidates")
+
+
+@query(_SQL["filtered_signals"])
+def chunked_filters(spark, sf_dir):
+    """The four filters over chunks of 30 samples and their halos."""
+    f = chunked.filter_chunks(chunked.to_chunks(signals(spark, sf_dir), 30), 30, baseline=True, highpass_hz=0.7, lowpass_hz=25.0, notch_hz=20.0)
+    return f.select("recording_id", "start", F.posexplode("values").alias("i", "v")).select("recording_id", (F.col("start") + F.col("i")).cast("int").alias("i"), (r6("v") + 0.0).alias("value"))
+
+
+@query("WITH s AS (SELECT vec_id // 10 AS id, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) SELECT id AS recording_id, count(*) AS n, round(quantile_cont(x, 0.25), 9) AS p25, round(median(x), 9) AS p50, round(quantile_cont(x, 0.95), 9) AS p95, round(min(x), 9) AS low, round(max(x), 9) AS high FROM s GROUP BY id")
+def exact_quantiles(spark, sf_dir):
+    """Quantiles by refined histograms, over chunks."""
+    q = quantiles.exact_quantiles(chunked.to_chunks(long_signals(spark, sf_dir), 100), ["recording_id"], "values", [0.25, 0.5, 0.95, 0.0, 1.0])
+    return q.select("recording_id", "n", *[F.round(F.get("quantiles", F.lit(i)), 9).alias(c) for i, c in enumerate(("p25", "p50", "p95", "low", "high"))])

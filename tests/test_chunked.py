@@ -138,7 +138,7 @@ def test_extremes_look_back():
         high = rng.integers(0, 9, 57).astype(float)
         low = high - rng.integers(0, 9, 57)
         at, height = rng.integers(0, 57, 40), rng.integers(0, 10, 40).astype(float)
-        place, lowest = chunked.Extremes(high, low).back(at, height)
+        place, lowest = K.Extremes(high, low).back(at, height)
         for a, h, p, m in zip(at, height, place, lowest):
             above = np.flatnonzero(high[:a] > h)
             q = above[-1] if len(above) else -1
@@ -157,3 +157,19 @@ def test_quantiles_are_exact(spark):
         assert np.allclose(got[k]["quantiles"], np.quantile(x, fractions), rtol=1e-12, atol=0)
     x = np.sort(rng.normal(size=1000) * 10.0 ** rng.integers(-300, 300, 1000))
     assert (np.diff(ordered_bits(x)) > 0).all() and (from_bits(ordered_bits(x)) == x).all()
+
+
+def test_prominence_equals_a_walk():
+    """Against walking to higher ground sample by sample, plateaus and equal heights included."""
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        x = rng.integers(0, 7, 300).astype(float) if seed % 2 else np.cumsum(rng.normal(size=300))
+        peaks = K.local_maxima(x)
+        for p, got in zip(peaks, K.prominences(x, peaks)):
+            sides = []
+            for step in (-1, 1):
+                at, low = p, x[p]
+                while 0 <= at < len(x) and x[at] <= x[p]:
+                    low, at = min(low, x[at]), at + step
+                sides.append(low)
+            assert got == x[p] - max(sides)

@@ -508,3 +508,66 @@ def test_point_agreement_over_parts(spark, monkeypatch):
     assert got["matches"] == len(errors) and got["mean_absolute_error_s"] == pytest.approx(np.mean(errors)) and got["agreement_rate"] == len(errors) / 201
     none = matching.point_agreement(points(spark, [(1.0, "R", "I")]), points(spark, [(1.0, "T", "I")])).first()
     assert (none["matches"], none["agreement_rate"], none["mean_absolute_error_s"]) == (0, 0.0, None)
+
+
+def test_stratified_holdout_takes_a_share_of_each_class(spark):
+    """By the smallest hashes of each class: what a rank over the whole class would take."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 5 == 0), [float(v) for v in rng.normal(size=2)]) for i in range(400)]
+    data = df(spark, rows, "label int, features array<double>")
+    held = learning.stratified_holdout(data, 0.2, 7)
+    number = F.shiftrightunsigned(F.xxhash64(F.to_json(F.struct("features")), F.lit(7)), 11)
+    for label, n in ((0, 320), (1, 80)):
+        own = sorted((r["h"], r["__held"]) for r in held.where(F.col("label") == label).select(number.alias("h"), "__held").collect())
+        take = math.ceil(0.2 * (n - 1))
+        assert [x for _, x in own] == [True] * take + [False] * (n - take)
+    assert "Window" not in held._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+
+
+def test_folds_deal_profiles(spark):
+    """Groups of equal counts are one profile; folds stay even, whole, and the same in any plan."""
+    rows = [(f"g{i}", str(k)) for i in range(90) for k in [i % 3] * (1 + i % 2) + ["x"]] + [("big", "x")] * 50
+    data = df(spark, rows, "group_id string, label string")
+    folds = learning.group_folds(data, 4)
+    got = {r["group_id"]: r["fold"] for r in folds.collect()}
+    assert len(got) == 91 and set(got.values()) == {0, 1, 2, 3}
+    assert got == {r["group_id"]: r["fold"] for r in learning.group_folds(data.repartition(7), 4).collect()}
+    for c in "012":
+        per = [sum(1 for g, label in rows if label == c and got[g] == f) for f in range(4)]
+        assert max(per) - min(per) <= 3
+    others = learning.group_folds(data, 4, seed=1).collect()
+    assert {r["group_id"]: r["fold"] for r in others} != got
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """A change that was prepared on an old version is applied again to the one that came between."""
+    from cardiolake.operators.projects import ProjectStore
+
+    store = ProjectStore(spark, f"file://{tmp_path}")
+    row = lambda i, g: spark.range(1).select(F.lit(i).alias("recording_id"), F.lit(g).alias("group"))
+    empty = store.load("p", 0)
+    full = lambda i, g: empty.join(row(i, g), "recording_id", "right").select(*[F.lit("p").alias(c) if c == "project_id" else F.lit(g).alias(c) if c == "group" else empty[c] if c != "recording_id" else F.col("recording_id") for c in empty.columns])
+    store.add("p", full("a", "one"))
+    seen = []
+
+    def slow(now):
+        if not seen:  # another writer commits while this one prepares
+            ProjectStore(spark, f"file://{tmp_path}").add("p", full("b", "two"))
+        seen.append(now.count())
+        return provenance.upsert(now, full("c", "three").select(*now.columns))
+
+    assert store.change("p", slow) == 3 and seen == [1, 2]
+    assert sorted(r["recording_id"] for r in store.load("p").collect()) == ["a", "b", "c"] and store.versions("p") == [1, 2, 3]
+    assert store.load("p", 1).count() == 1 and len(list((tmp_path / "p" / "data").iterdir())) == 3
+    assert not store._commit("p", 2, "late") and store.load("p", 2).count() == 2
+
+
+def test_plain_values_and_documents(spark):
+    from types import MappingProxyType
+
+    assert provenance.plain({"b": {3, 1, 2}, 1: (1, None), "a": MappingProxyType({"z": 1.5, "y": True})}) == {"1": [1, None], "a": {"y": True, "z": 1.5}, "b": [1, 2, 3]}
+    assert list(provenance.plain({"b": 1, "a": 2})) == ["a", "b"]
+    import json
+
+    told = json.loads(ann.to_document(ann.empty(spark), "f", {"who": "x"}, (1.0, 2.0)))
+    assert told["annotations"] == [] and told["metadata"] == {"time_start_s": 1.0, "time_end_s": 2.0, "who": "x"} and told["file"] == "f"
