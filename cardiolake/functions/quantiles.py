@@ -46,12 +46,11 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], values: str, fractions
     ranks = F.array_distinct(F.array(*[x.cast("long") for f in fractions for x in (F.floor(place(f)), F.ceil(place(f)))]))
     state = sizes.select(*keys, F.explode(ranks).alias("rank")).withColumns({"left": F.col("rank"), "bits": F.lit(0).cast("long")})
     for turn in range(4):
-        found = _counted(data, written(state) if turn else state, keys, turn)
+        found = _counted(data, state, keys, turn)
         upto = F.sum("count").over(Window.partitionBy(*keys, "bits").orderBy("bucket"))
         steps = found.withColumn("upto", upto)
         asked = state.alias("s").join(steps.alias("c"), [*keys, "bits"]).where((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("count")))
-        state = asked.select(*keys, "rank", (F.col("left") - F.col("upto") + F.col("count")).alias("left"), F.col("bucket").alias("bits"))
-        state = written(state)
+        state = written(asked.select(*keys, "rank", (F.col("left") - F.col("upto") + F.col("count")).alias("left"), F.col("bucket").alias("bits")))
     value = F.pandas_udf(lambda b: pd.Series(from_bits(b.to_numpy())), "double")
     known = state.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", value("bits")))).alias("__at"))
     at = lambda x: F.element_at("__at", x.cast("long"))

@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import by_group, written
 
 UNKNOWN, TAKEN, DROPPED = 0, 1, 2
 
@@ -46,18 +46,20 @@ def spread(points: DataFrame, group: Sequence[str], width: float) -> DataFrame:
     state = points.withColumn("status", F.lit(UNKNOWN))
     schema = state.schema
 
-    def settle(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values("pos", kind="stable")
-        rank = np.empty(len(df), dtype=np.int64)
-        rank[np.lexsort((df["tie"].to_numpy(), -df["height"].to_numpy()))] = np.arange(len(df))
-        df["status"] = decide(df["pos"].to_numpy(), rank, df["status"].to_numpy(), df["own"].to_numpy(), df["spacing"].iloc[0]).astype(np.int32)
-        return df[df["own"] & (df["status"] != DROPPED)].drop(columns=["own", "t"])
+    def settle(rows: pa.Table) -> pa.Table:
+        column = lambda c: rows.column(c).to_numpy()
+        rank = np.empty(rows.num_rows, dtype=np.int64)
+        rank[np.lexsort((column("tie"), -column("height")))] = np.arange(rows.num_rows)
+        own = column("own")
+        status = decide(column("pos"), rank, column("status"), own, column("spacing")[0]).astype(np.int32)
+        settled = rows.set_column(rows.column_names.index("status"), "status", pa.array(status))
+        return settled.filter(pa.array(own & (status != DROPPED)))
 
     while True:
         at = lambda x: F.floor(x / width)
         stretches = F.sequence(at(F.col("pos") - F.col("spacing")), at(F.col("pos") + F.col("spacing")))
         seen = state.withColumn("t", F.explode(stretches)).withColumn("own", at(F.col("pos")) == F.col("t"))
         width *= 2
-        state = written(seen.groupBy(*group, "t").applyInPandas(settle, schema))
+        state = written(by_group(seen, [*group, "t"], ["pos"], settle, schema))
         if not state.where(F.col("status") == UNKNOWN).limit(1).count():
             return state.where(F.col("status") == TAKEN).drop("status")

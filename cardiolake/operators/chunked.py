@@ -24,8 +24,8 @@ import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from ..functions import kernels as K
 from ..functions.quantiles import exact_quantiles
 from ..functions.spacing import spread
-from ..functions.tables import written
+from ..functions.tables import by_group, written
 from . import detection as D
 
 KEYS = ("recording_id", "channel")
@@ -195,22 +195,27 @@ def _answers(row: dict, x: np.ndarray) -> list[dict]:
 _SIDES = "sign int, pos long, height double, side int, low double"
 
 
-def _skipped(size: int, names: Sequence[str]):
-    """Of open sides: the first chunk with higher ground (-1: none) and the lowest value of those between."""
-
-    def run(peaks: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("start")
-        out = []
-        for (sign, side), own in peaks.groupby(["sign", "side"]):
-            high = (chunks["top"] if sign > 0 else -chunks["bottom"]).to_numpy() - sign * chunks["median"].to_numpy()
-            low = (chunks["bottom"] if sign > 0 else -chunks["top"]).to_numpy() - sign * chunks["median"].to_numpy()
-            at = own["pos"].to_numpy() // size
-            if side > 0:
-                high, low, at = high[::-1], low[::-1], len(high) - 1 - at
-            place, lowest = K.Extremes(high, low).back(at, own["height"].to_numpy())
-            found = own.assign(low=np.minimum(own["low"], lowest), target=np.where(place < 0, -1, (place if side < 0 else len(high) - 1 - place) * size))
-            out.append(found)
-        return pd.concat(out)[[*names, "sign", "pos", "height", "side", "low", "target"]] if out else peaks.assign(target=-1)[[*names, "sign", "pos", "height", "side", "low", "target"]]
+def _skipped(size: int):
+    """Of one recording's open sides: the first chunk with higher ground (-1: none) and the
+    lowest value of those between; rows without a sign are the extremes of the chunks."""
+
+    def run(rows: pa.Table) -> pa.Table | None:
+        asks = rows.filter(pc.is_valid(rows.column("sign")))
+        chunks = rows.filter(pc.is_null(rows.column("sign")))
+        if not asks.num_rows:
+            return None
+        top, bottom, median = (chunks.column(c).to_numpy() for c in ("top", "bottom", "median"))
+        sign, side, pos, height, low = (asks.column(c).to_numpy() for c in ("sign", "side", "pos", "height", "low"))
+        target, lowest = np.empty(len(pos), dtype=np.int64), np.empty(len(pos))
+        for s in (1, -1):
+            high, deep = (top if s > 0 else -bottom) - s * median, (bottom if s > 0 else -top) - s * median
+            for way in (-1, 1):
+                own = np.flatnonzero((sign == s) & (side == way))
+                at = pos[own] // size
+                place, between = K.Extremes(high, deep).back(at, height[own]) if way < 0 else K.Extremes(high[::-1], deep[::-1]).back(len(high) - 1 - at, height[own])
+                target[own] = np.where(place < 0, -1, (place if way < 0 else len(high) - 1 - place) * size)
+                lowest[own] = np.minimum(low[own], between)
+        return asks.set_column(asks.column_names.index("low"), "low", pa.array(lowest)).append_column("target", pa.array(target))
 
     return run
 
@@ -222,7 +227,8 @@ def prominences(chunks: DataFrame, peaks: DataFrame, scales: DataFrame, size: in
     per_chunk = peaks.groupBy(*keys, F.expr(f"pos div {int(size)} * {int(size)}").alias("start")).agg(F.collect_list(F.struct("sign", "pos")).alias("peaks"))
     sides = written(_mapped(chunks.join(per_chunk, [*keys, "start"]).join(medians, list(keys)), _bases, keys, f"{_SIDES}, open boolean", ["start", "median", "peaks"]))
     extremes = chunks.join(medians, list(keys)).select(*keys, "start", "median", F.array_max("values").alias("top"), F.array_min("values").alias("bottom"))
-    opened = sides.where("open").drop("open").groupBy(*keys).cogroup(extremes.groupBy(*keys)).applyInPandas(_skipped(size, keys), f"{key_schema}, {_SIDES}, target long")
+    both = sides.where("open").drop("open").unionByName(extremes, allowMissingColumns=True)
+    opened = by_group(both, keys, ["start", "pos"], _skipped(size), f"{key_schema}, {_SIDES}, target long")
     opened = written(opened)
     asked = opened.where("target >= 0").groupBy(*keys, F.col("target").alias("start")).agg(F.collect_list(F.struct("sign", "pos", "height", "side", "low")).alias("asked"))
     answered = _mapped(chunks.join(asked, [*keys, "start"]).join(medians, list(keys)), _answers, keys, _SIDES, ["start", "median", "asked"])
@@ -289,7 +295,8 @@ def detect_chunks(chunks: DataFrame, size: int, polarity: str = "positive", reco
     peaks = found.where(F.col("prominence") >= prominence_factor * F.col("scale")).select(*keys, "pos", "prominence", "sign")
     if recovery:
         source = found if min_distance_s == D.REFRACTORY_S else _candidates(chunks, scales, F.array(F.lit(1), F.lit(-1)), size, D.REFRACTORY_S, keys).join(scales.select(*keys, "scale"), list(keys)).join(peaks.select(*keys, "sign").distinct(), [*keys, "sign"])
-        more = _recovered(source, peaks, gap_ratio, D.RELAXED, keys)
+        peaks = written(peaks)
+        more = written(_recovered(source, peaks, gap_ratio, D.RELAXED, keys))
         peaks = peaks.join(more.select(*keys, "pos"), [*keys, "pos"], "left_anti").unionByName(more)
     rows = peaks.select(*keys, F.col("pos").alias("r_index"), "prominence", F.when(F.col("sign") > 0, "positive").otherwise("negative").alias("polarity"), F.lit(None).cast("string").alias("error"))
     failed = scales.where("error IS NOT NULL").select(*keys, F.lit(None).cast("long").alias("r_index"), F.lit(None).cast("double").alias("prominence"), F.lit(None).cast("string").alias("polarity"), "error")

@@ -173,3 +173,28 @@ def test_prominence_equals_a_walk():
                     low, at = min(low, x[at]), at + step
                 sides.append(low)
             assert got == x[p] - max(sides)
+
+
+def test_groups_are_cut_from_sorted_rows(spark):
+    """Null keys, groups over several batches, groups that give nothing."""
+    import pyarrow as pa
+
+    from cardiolake.functions.tables import by_group
+
+    rows = [(k, j, i) for i in range(1000) for k, j in [(None if i % 7 == 0 else f"k{i % 5}", None if i % 3 == 0 else i % 4)]]
+    table = spark.createDataFrame(rows, "k string, j int, i long")
+
+    def firsts(t: pa.Table):
+        i = t.column("i").to_pylist()
+        assert i == sorted(i)
+        return None if i[0] == 1 else pa.table({"k": t.column("k").slice(0, 1), "j": t.column("j").slice(0, 1), "n": [len(i)]})
+
+    want = {}
+    for k, j, i in rows:
+        want.setdefault((k, j), []).append(i)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {(r["k"], r["j"]): r["n"] for r in by_group(table, ["k", "j"], ["i"], firsts, "k string, j int, n long").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {g: len(i) for g, i in want.items() if i[0] != 1}
