@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import annotations, beats, candidates, detection, learning, matching, provenance, stats
 from .operators.validation import check_window
-from .sources import readers
+from .sources import readers, seek
 
 
 def analyze(spark: SparkSession, path: str, time_col: str | None = None) -> dict:
@@ -25,11 +25,23 @@ def recording(spark: SparkSession, path: str) -> DataFrame:
 
 
 def window(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
-    """Samples [start, stop) of a recording file, long layout."""
+    """Samples [start, stop) of a recording file, long layout; of native files only the window is read."""
     check_window(start, stop)
+    if path.lower().endswith(seek.SUFFIXES):
+        rows = seek.read_window(spark, path, start, stop)
+        at = F.col("i").cast("long") + F.lit(start)
+        placed = rows.where("error IS NULL").select("recording_id", "channel", "fs_hz", F.posexplode("values").alias("i", "value"))
+        return placed.select("recording_id", "channel", at.alias("sample_index"), (at / F.col("fs_hz")).alias("time_s"), "value")
     return readers.window_scan(readers.to_samples(readers.read_recording(spark, path)), start, stop)
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """Rate, length, duration and channels: of native files from their headers, of CSV files from the time column."""
+    if path.lower().endswith(".csv"):
+        return readers.csv_metadata(readers.read_csv(spark, path))
+    return seek.read_headers(spark, path)
+
+
 def filtered(signals: DataFrame, **settings) -> DataFrame:
     return detection.filter_signals(signals, **settings)
 

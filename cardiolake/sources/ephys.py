@@ -35,7 +35,6 @@ from . import seek
 
 SCHEMA = "recording_id string, channel string, channel_index int, sample_index long, time_s double, value double"
 _ARROW = pa.schema([("recording_id", pa.string()), ("channel", pa.string()), ("channel_index", pa.int32()), ("sample_index", pa.int64()), ("time_s", pa.float64()), ("value", pa.float64())])
-SUFFIXES = (".edf", ".hea", ".zip", ".wfdb", ".npy", ".npz")
 _END = 1 << 62
 
 
@@ -61,7 +60,7 @@ class EphysReader(DataSourceReader):
         infos = [info] if info.type == pafs.FileType.File else system.get_file_info(pafs.FileSelector(own, recursive=True))
         names = self.only.get("recording_id")
         stem = lambda p: os.path.splitext(os.path.basename(p))[0]
-        return sorted((prefix + i.path, i.size) for i in infos if i.type == pafs.FileType.File and i.path.lower().endswith(SUFFIXES) and (names is None or stem(i.path) in names))
+        return sorted((prefix + i.path, i.size) for i in infos if i.type == pafs.FileType.File and i.path.lower().endswith(seek.SUFFIXES) and (names is None or stem(i.path) in names))
 
     def partitions(self) -> list[InputPartition]:
         out, small, held = [], Part(), 0

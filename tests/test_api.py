@@ -72,3 +72,19 @@ def test_project_store(spark, tmp_path):
     assert sorted((r["recording_id"], r["fs_hz"]) for r in store.add("p1", row("r", 2.0)).collect()) == [("q", 1.0), ("r", 2.0)]
     with pytest.raises(ValueError):
         store.load("../x")
+
+
+def test_windows_and_metadata_of_native_files(spark, tmp_path):
+    import numpy as np
+
+    from cardiolake import api
+    from cardiolake.sources import edf
+
+    x = np.sin(np.arange(1000) / 20)
+    (tmp_path / "r.edf").write_bytes(edf.write(["I"], [x], 100))
+    rows = api.window(spark, str(tmp_path / "r.edf"), 150, 160).orderBy("sample_index").collect()
+    assert [r["sample_index"] for r in rows] == list(range(150, 160)) and rows[0]["time_s"] == 1.5 and abs(rows[3]["value"] - x[153]) < 1e-3
+    m = api.metadata(spark, str(tmp_path / "r.edf")).first()
+    assert (m["n_samples"], m["bytes_read"]) == (1000, 512)
+    (tmp_path / "r.csv").write_text("time,I\n0,1\n0.5,2\n1.0,3\n")
+    assert api.metadata(spark, str(tmp_path / "r.csv")).first()["fs_hz"] == 2.0
