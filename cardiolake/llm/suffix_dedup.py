@@ -4,11 +4,17 @@ A passage is a run of at least ``LEAST`` words (runs without white space, A-Z
 lower-cased) that occurs in another document too.  Of all suffixes only those at
 minimisers are retained: positions whose ``GRAM``-word hash is the least among
 ``LEAST - GRAM + 1`` neighbours, so every passage holds at least one, chosen by
-its own content.  Retained suffixes carry ``REACH`` word codes to either side.
-They are sorted, and around each the ``REACH + 1`` runs of ``LEAST`` words that hold
-its gram are hashed: a run is repeated if the same run stands around a suffix of
-another document.  The repeated runs of a suffix make one span; spans of one
-document that overlap are joined, so passages of any length come out whole.
+its own content.  Retained suffixes carry
+``REACH`` word codes to either side and are sorted by their words from the gram to
+the right, then to the left.  Each is compared with its neighbours, the nearest suffix
+of another document before and after it: their common words to the right are extended
+by those to the left, and ``LEAST`` words or more are a repeated run.  The same is done
+in the order of the words to the left.  Neighbours in one order share the most words on
+that side, so they also bound what any other document can share; only where that bound
+leaves runs open (the best partner on one side need not be the best on the other)
+are these runs of ``LEAST`` words compared by their hashes.  A match longer than the
+codes has further minimisers; spans of one document that overlap are joined, so
+passages of any length come out whole.  ``match_counts`` tells what each part finds.
 
 Scale: one hash per minimiser is counted first (partial aggregation), and only
 suffixes whose hash occurs twice are made.  While the repeated hashes fit a bit table
@@ -19,13 +25,13 @@ range-partitioned by the sort key with the document as the last column, so a
 passage in a third of all documents spreads over many tasks, and are streamed
 in order.  All suffixes of one hash are compared at once in memory; those of a
 hash that goes over a partition's edge or fills more than ``CHUNK`` rows are
-compared in pieces, and the different runs of the pieces are counted by a second
-aggregation.  Word codes have 32 bits, hashes of runs 64 beside those of the gram.
+compared in pieces: neighbours inside a piece as ever, and the different runs that
+sorted neighbours allow are counted over all pieces by a second aggregation.  Word codes have 32 bits, hashes of runs 64 beside those of the gram.
 
 Defined results: null, empty and shorter texts have no spans; very long texts count
 whole; rows with one
 doc_id are one document and do not repeat each other; rows without doc_id are
-ignored; empty tables give empty results; other columns are ignored
+ignored; equal hashes of neighbouring grams (ties) are all minimisers; empty tables give empty results; other columns are ignored
 (``cut_repeats`` passes them through).
 """
 
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, word_hashes
+from .common import WORD, Scratch, arrow_batches, ascii_lower, width, window_hashes, word_hashes
 
 LEAST, GRAM = 50, 20
 SPAN = LEAST - GRAM + 1  # grams per minimiser window
@@ -220,28 +226,97 @@ def _prefixes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _runs_around(block: _Block):
-    """(row, words before the gram, hash) of every run of ``LEAST`` words around a suffix inside its text."""
-    with np.errstate(over="ignore"):
-        h = _prefixes(block.left) * np.uint64(0x9E3779B97F4A7C15) + _prefixes(block.right)[::-1] * np.uint64(0xBF58476D1CE4E5B9)
-        h += block.key.view(np.uint64)
-    back = np.arange(REACH + 1)[:, None]
-    fits = (back <= (block.left != 0).sum(axis=1)) & (REACH - back <= (block.right != 0).sum(axis=1))
-    back, row = np.nonzero(fits)
-    return row, back, h[back, row]
+def _beside(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest row of another document and the same key before and after every row, -1 for none."""
+    ends = np.append(np.flatnonzero((key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) + 1, len(key))
+    sizes = np.diff(ends, prepend=0)
+    before, after = np.repeat(ends - sizes - 1, sizes), np.repeat(ends, sizes)
+    after[after == len(key)] = -1
+    for x in (before, after):
+        x[key[x] != key] = -1
+    return before, after
 
 
-MATCH_SCHEMA = "doc_id long, start long, end long, key long, run long, low long, high long"
+def _common(codes: np.ndarray, n_words: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Leading words that every row shares with row ``other``, 0 where that is -1."""
+    rows = np.flatnonzero(other >= 0)
+    same = codes[rows] == codes[other[rows]]
+    out = np.zeros(len(codes), dtype=np.int64)
+    out[rows] = np.minimum(np.where(same.all(axis=1), REACH, same.argmin(axis=1)), n_words[rows])
+    return out
+
 
+class _Found:
+    """What is known of the suffixes of a block.
 
-def _as_rows(*columns) -> pa.RecordBatch:
+    ``back`` and ``on``: words before and after the gram of the span found, -1 for none.
+    A run is named by its words before the gram; only ``low`` to ``high`` can be repeated.
+    """
+
+    def __init__(self, block: _Block):
+        self.block = block
+        self.n_left, self.n_right = (block.left != 0).sum(axis=1), (block.right != 0).sum(axis=1)
+        self.back, self.on = (np.full(len(block), -1, dtype=np.int64) for _ in range(2))
+        self.low, self.high = REACH - self.n_right, self.n_left.copy()
+
+    def compare(self, order: np.ndarray, leftwards: bool, split: np.ndarray) -> None:
+        """Compare the rows ``order``, sorted in one direction, with their neighbours."""
+        b = self.block.pick(order)
+        n_left, n_right = self.n_left[order], self.n_right[order]
+        before, after = _beside(b.key, b.doc)
+        most = np.zeros(len(order), dtype=np.int64)
+        for other in (before, after):
+            back, on = _common(b.left, n_left, other), _common(b.right, n_right, other)
+            hit = back + on >= REACH
+            rows = order[hit]
+            self.back[rows], self.on[rows] = np.maximum(self.back[rows], back[hit]), np.maximum(self.on[rows], on[hit])
+            most = np.maximum(most, back if leftwards else on)
+        # The neighbours of a piece's outer rows may stand in another piece.
+        bound = ~(split[order] & ((before < 0) | (after < 0)))
+        rows = order[bound]
+        if leftwards:
+            self.high[rows] = np.minimum(self.high[rows], most[bound])
+        else:
+            self.low[rows] = np.maximum(self.low[rows], REACH - most[bound])
+
+    def possible(self) -> np.ndarray:
+        return self.low <= self.high
+
+    def open(self) -> np.ndarray:
+        """Rows with runs that may be repeated and hold words outside the span found."""
+        return self.possible() & ((self.low < REACH - self.on) | (self.high > self.back))
+
+    def runs(self, rows: np.ndarray):
+        """(row, words before the gram, hash) of the possible runs of ``rows``."""
+        b = self.block.pick(rows)
+        with np.errstate(over="ignore"):
+            h = _prefixes(b.left) * np.uint64(0x9E3779B97F4A7C15) + _prefixes(b.right)[::-1] * np.uint64(0xBF58476D1CE4E5B9)
+            h += b.key.view(np.uint64)
+        back = np.arange(REACH + 1)[:, None]
+        back, at = np.nonzero((back >= self.low[rows]) & (back <= self.high[rows]))
+        return rows[at], back, h[back, at]
+
+
+MATCH_SCHEMA = "doc_id long, start long, end long, key long, run long, low long, high long, part int"
+NEIGHBOURS, REMAINDER, PIECES = 0, 1, 2  # what found a match
+
+
+def _as_rows(part: int, *columns) -> pa.RecordBatch:
     """``MATCH_SCHEMA`` from its columns, None for nulls."""
     n = next(len(c) for c in columns if c is not None)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns], names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
+    arrays = [pa.nulls(n, pa.int64()) if c is None else pa.array(np.ascontiguousarray(c).astype(np.int64, copy=False)) for c in columns]
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, part, dtype=np.int32))], names=[c.split()[0] for c in MATCH_SCHEMA.split(", ")])
+
+
+def _leftwards(block: _Block, rows: np.ndarray) -> np.ndarray:
+    """``rows`` by key, words to the left, words to the right and document."""
+    part = block.pick(rows)
+    name = np.ascontiguousarray(np.concatenate([part.left, part.right], axis=1), dtype=">u4")
+    return rows[np.lexsort((part.doc, name.view(f"S{4 * name.shape[1]}").ravel(), part.key))]
 
 
 def _compared(block: _Block, split: bool) -> Iterator[pa.RecordBatch]:
-    """Spans of the runs in two documents or more of ``block``.
+    """Matches with two documents or more in ``block``, which is sorted.
 
     ``split``: the first key has suffixes elsewhere too, so its different runs come
     with their least and largest document, and with their place if that is one document.
@@ -254,31 +329,47 @@ def _compared(block: _Block, split: bool) -> Iterator[pa.RecordBatch]:
     sizes = np.diff(np.append(starts, len(block)))
     n_split = int(sizes[0]) if split else 0
     block = block.pick(np.repeat(several, sizes))
-    row, back, h = _runs_around(block)
-    if not len(h):
+    if not len(block):
+        return
+    rows = np.arange(len(block))
+    in_pieces = rows < n_split
+    group = np.cumsum(np.append(0, block.key[1:] != block.key[:-1]))
+    left_open = lambda: rows[found.possible() & (in_pieces | np.isin(group, group[found.open()]))]
+    found = _Found(block)
+    found.compare(rows, False, in_pieces)
+    rest = left_open()
+    if len(rest):
+        found.compare(_leftwards(block, rest[~in_pieces[rest]]), True, in_pieces)
+        rest = left_open()
+    x = np.flatnonzero(found.back >= 0)
+    if len(x):
+        yield _as_rows(NEIGHBOURS, block.doc[x], block.at[x] - found.back[x], block.at[x] + GRAM + found.on[x], None, None, None, None)
+    if not len(rest):
         return
+    row, back, h = found.runs(rest)
     order = np.argsort(h)
     row, back, h = row[order], back[order], h[order]
     starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
     doc = block.doc[row]
     low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
     hit = np.repeat(low < high, np.diff(np.append(starts, len(h))))
-    found = np.zeros((REACH + 1, len(block)), dtype=bool)
-    found[back[hit], row[hit]] = True
-    x = np.flatnonzero(found.any(axis=0))
-    if len(x):
-        least, most = found[:, x].argmax(axis=0), REACH - found[::-1, x].argmax(axis=0)
-        yield _as_rows(block.doc[x], block.at[x] - most, block.at[x] - least + LEAST, None, None, None, None)
+    new = hit & ((back > found.back[row]) | (REACH - back > found.on[row]))
+    if new.any():
+        least, most = np.full(len(block), REACH + 1), np.full(len(block), -1)
+        np.minimum.at(least, row[new], back[new])
+        np.maximum.at(most, row[new], back[new])
+        x = np.flatnonzero(most >= 0)
+        yield _as_rows(REMAINDER, block.doc[x], block.at[x] - most[x], block.at[x] - least[x] + LEAST, None, None, None, None)
     if not n_split:
         return
     once = starts[(low < high) & (row[starts] < n_split)]
     if len(once):
         k = np.searchsorted(starts, once)
-        yield _as_rows(None, None, None, block.key[row[once]], h[once].view(np.int64), low[k], high[k])
+        yield _as_rows(PIECES, None, None, None, block.key[row[once]], h[once].view(np.int64), low[k], high[k])
     alone = np.flatnonzero(~hit & (row < n_split))
     if len(alone):
         start = block.at[row[alone]] - back[alone]
-        yield _as_rows(doc[alone], start, start + LEAST, block.key[row[alone]], h[alone].view(np.int64), doc[alone], doc[alone])
+        yield _as_rows(PIECES, doc[alone], start, start + LEAST, block.key[row[alone]], h[alone].view(np.int64), doc[alone], doc[alone])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,20 +393,33 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _compared(held, True)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words): passages that occur in another document, end exclusive."""
+def matches(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, part): words around each suffix that another document has, and what found them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix", docs)
     with arrow_batches(spark, TEXTS):
         twice = scratch.save(_keys(docs).groupBy("key").count().where("count > 1").select("key"), "twice")
         n = twice.count()
         suffixes = scratch.save(_suffixes(docs, _bit_table(twice, n)) if 8 * n <= TABLE_BITS else _suffixes_joined(docs, twice), "suffixes", wide=True)
-    parts, order = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1), ["key", "right", "left", "doc_id", "at"]
-    matches = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
-    runs = matches.where("run IS NOT NULL")
+    scratch.drop(twice)
+    parts, order = max(int(spark.conf.get("spark.sql.shuffle.partitions")), width(spark, suffixes)), ["key", "right", "left", "doc_id", "at"]
+    found = scratch.save(suffixes.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_scan, MATCH_SCHEMA), "matches", wide=True)
+    scratch.drop(suffixes)
+    runs = found.where("run IS NOT NULL")
     again = runs.groupBy("key", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("key", "run")
-    apart = runs.where("doc_id IS NOT NULL").join(again, ["key", "run"]).select("doc_id", "start", "end")
-    every = matches.where("run IS NULL").select("doc_id", "start", "end").unionByName(apart)
+    apart = runs.where("doc_id IS NOT NULL").join(again, ["key", "run"]).select("doc_id", "start", "end", "part")
+    return found.where("run IS NULL").select("doc_id", "start", "end", "part").unionByName(apart)
+
+
+def match_counts(docs: DataFrame) -> DataFrame:
+    """(part, n_matches): suffixes matched by sorted neighbours, by hashes of the runs these leave open, and runs matched over pieces."""
+    name = F.element_at(F.array(*(F.lit(x) for x in ("neighbours", "remainder", "pieces"))), F.col("part") + 1)
+    return matches(docs).groupBy(name.alias("part")).agg(F.count("*").alias("n_matches"))
+
+
+def repeated_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words): passages that occur in another document, end exclusive."""
+    every = matches(docs).select("doc_id", "start", "end")
     # Overlapping matches of a document become one span.
     by_start = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))

@@ -140,6 +140,42 @@ def test_passage_between_closer_neighbours(spark):
     assert len(want) == 50 and covered(sd.repeated_spans(docs(spark, texts)).collect()) == want
 
 
+def test_what_neighbours_find_and_what_they_leave(spark):
+    """Plain passages need neighbours only; runs of hashes are compared where the best partners differ by side."""
+    rng = np.random.default_rng(3)
+    passages = [" ".join(rng.choice(VOCAB, size=n)) for n in (50, 90, 300)]
+    plain = [" ".join(rng.choice(VOCAB, size=40)) + " " + passages[k % 3] + " " + " ".join(rng.choice(VOCAB, size=40)) for k in range(30)]
+    one = lambda texts: {r["part"]: r["n_matches"] for r in sd.match_counts(docs(spark, texts).coalesce(1)).collect()}
+    got = one(plain)
+    assert got["neighbours"] > 60 and "remainder" not in got
+    assert one([t for _ in range(25) for t in lost_passage(rng)])["remainder"] > 0
+
+
+def test_each_sorted_block_equals_comparing_all_pairs():
+    """Neighbours, bounds and the remainder against all pairs of suffixes of one key, ties and text edges included."""
+    rng = np.random.default_rng(17)
+    for _ in range(60):
+        n = int(rng.integers(2, 40))
+        codes = lambda: np.where(np.arange(sd.REACH) < rng.integers(0, 31, size=(n, 1)) + 12 * rng.integers(0, 2), rng.choice([1, 1, 1, 1, 1, 1, 1, 1, 1, 2], size=(n, sd.REACH)), 0).astype(">u4")
+        right, left = codes(), codes()
+        doc, at = rng.integers(0, 6, size=n), np.arange(n) * 1000 + 500
+        order = sorted(range(n), key=lambda i: (right[i].tolist(), left[i].tolist(), doc[i], at[i]))
+        block = sd._Block(np.full(n, 5), right[order], left[order], doc[order], at[order])
+        want: dict = {}
+        for i in range(n):
+            for j in range(n):
+                for back in range(sd.REACH + 1) if block.doc[i] != block.doc[j] else ():
+                    a, b = block.left[i][:back], block.right[i][: sd.REACH - back]
+                    if a.all() and b.all() and (a == block.left[j][:back]).all() and (b == block.right[j][: sd.REACH - back]).all():
+                        start = int(block.at[i]) - back
+                        want.setdefault(int(block.doc[i]), set()).update(range(start, start + sd.LEAST))
+        got: dict = {}
+        for batch in sd._compared(block, False):
+            for d, a, b in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                got.setdefault(d, set()).update(range(a, b))
+        assert got == want
+
+
 def test_repeated_hashes_beyond_the_table_are_joined(spark, monkeypatch):
     texts = edited_family(200, size=150) + [None, "short"]
     monkeypatch.setattr(sd, "TABLE_BITS", 0)
