@@ -59,3 +59,17 @@ class BoostedTrees:
                 at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
             out += value[at - inner]
         return out
+
+    def to_dict(self) -> dict:
+        """What ``score`` needs, for JSON; a cut of None sends every row to the left."""
+        cuts = [[float(x) if np.isfinite(x) else None for x in c] for c in self.cut]
+        return {"depth": self.depth, "base": self.base, "feature": [f.tolist() for f in self.feature], "cut": cuts, "leaf": [v.tolist() for v in self.leaf]}
+
+    @classmethod
+    def from_dict(cls, kept: dict) -> BoostedTrees:
+        trees = cls(trees=len(kept["leaf"]), depth=kept["depth"])
+        trees.base = kept["base"]
+        trees.feature = [np.asarray(f, dtype=np.int64) for f in kept["feature"]]
+        trees.cut = [np.asarray([np.inf if x is None else x for x in c]) for c in kept["cut"]]
+        trees.leaf = [np.asarray(v) for v in kept["leaf"]]
+        return trees

@@ -7,9 +7,11 @@ textarea and iframe without an end tag go on to the end of the page.  Elements o
 ``_DROP`` (controls, media, templates) go with their content if they have an end
 tag; without one only the tag itself goes.  Every block node has features: tag, depth,
 subtree text, link and tag density, tokens of its class, id and role and of those
-above it, counts and statistics of its siblings.  Gradient-boosted trees give
+above it (whole words, or run-together names by the stem at either end), words of
+share bars, counts and statistics of its siblings, siblings of equal names.  Gradient-boosted trees give
 the odds that the node's subtree holds main text.  They are trained here, on
-pages made by a fixed generator of many layouts.  Decoding is hierarchical: the
+pages made by a fixed generator of many layouts; the trees are kept in
+``html_trees.json`` (``write_trees``).  Decoding is hierarchical: the
 most likely labelling in which nothing below a rejected node is kept, found
 exactly by one pass from the leaves (a node is rejected with its whole subtree or
 kept with the best choice for each child).
@@ -22,13 +24,16 @@ is a few thousand numbers in the task closure.
 
 Defined results: a null or empty html, and a page without main text, give an
 empty string; repeated rows get equal results; a null page_id is allowed; empty
-tables give empty results; other columns are ignored.
+tables give empty results; other columns are ignored.  Very long pages are read
+whole.  A node whose two best labellings are equally likely (a tie) is rejected.
 """
 
 from __future__ import annotations
 
 import functools
 import html as html_lib
+import json
+import pathlib
 import re
 from collections.abc import Iterator
 
@@ -56,14 +61,17 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "body": set()}
 _AGAINST = frozenset(
     "ad ads advert advertisement adverts banner sponsor sponsored promo promotion sidebar side rail menu nav navigation navbar breadcrumb breadcrumbs crumbs footer foot header masthead top cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "comment comments reply replies respond discussion disqus share sharing social follow related recommended more trending popular widget subscribe subscription newsletter signup login search form pagination pager tags meta toolbar tool skip copyright legal contentinfo complementary hidden".split()
+    "comment comments reply replies respond discussion disqus share sharing social follow related recommended more trending popular widget subscribe subscription newsletter signup login search form pagination pager tags meta toolbar tool skip bottom colophon copyright legal contentinfo complementary hidden".split()
 )
+#: Names of the page's furniture that are also found joined to others (``commentlist``, ``sitefooter``).
+_STEMS = ("comment", "sidebar", "footer", "header", "navbar", "cookie", "banner", "widget", "newsletter", "subscribe", "related", "share", "sharing", "social", "advert", "sponsor", "breadcrumb", "menu", "popup", "copyright", "pagination")
+_SOCIAL = re.compile(r"\b(?:share|tweet|retweet|follow us|facebook|twitter|whatsapp|pinterest|linkedin|reddit|instagram|telegram)\b", re.I)
 _FOR = frozenset("article content main post entry story body text blog page prose single detail".split())
 #: Words that make a name speak of the page's state (``has-sidebar``, ``comments-open``), not of the element.
 _STATE = frozenset("with has no not without free open closed off accepted enabled disabled".split())
 _TAG_GROUPS = (("nav", "menu"), ("header", "hgroup"), ("footer",), ("aside",), ("form", "fieldset", "dialog", "search"), ("article",), ("main",), ("section",), ("div", "center"), ("p",), ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "dl"), ("li", "dt", "dd"), ("table", "thead", "tbody", "tr"), ("td", "th"), ("blockquote", "pre", "figure", "figcaption"), ("body", "html"), ("address", "details", "summary"))
 _GROUP = {t: i for i, g in enumerate(_TAG_GROUPS) for t in g}
-N_FEATURES = 27 + len(_TAG_GROUPS)
+N_FEATURES = 31 + len(_TAG_GROUPS)
 
 
 def _drop_ends(s: str) -> dict[int, int]:
@@ -85,6 +93,14 @@ def _drop_ends(s: str) -> dict[int, int]:
     return ends
 
 
+@functools.lru_cache(maxsize=4096)
+def _named(name: str) -> tuple[int, int]:
+    """Tokens of one class name or id that speak for main text and against it."""
+    tokens = _TOKEN.findall(name)
+    against = 0 if _STATE.intersection(tokens) else sum(t in _AGAINST or (t.startswith(_STEMS) or t.endswith(_STEMS)) and not t.startswith("commentar") for t in tokens)
+    return sum(t in _FOR for t in tokens), against
+
+
 class Page:
     """Block nodes in page order (parents first) and text pieces."""
 
@@ -202,7 +218,7 @@ class Page:
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
-        text, link, points, words, marks = (np.zeros(n) for _ in range(5))
+        text, link, points, words, marks, social = (np.zeros(n) for _ in range(6))
         for node, piece, linked in self.pieces:
             if piece == " ":
                 continue
@@ -213,34 +229,35 @@ class Page:
             if linked:
                 link[node] += k
             marks[node] += "\xa9" in piece or "opyright" in piece
+            social[node] += len(_SOCIAL.findall(piece))
         parent = np.asarray(self.parent)
         own = text.copy()
         tags, paragraphs, inputs = np.ones(n), np.asarray([t == "p" for t in self.tag], dtype=float), np.asarray(self.inputs, dtype=float)
-        stacked = np.stack([text, link, points, words, tags, paragraphs, inputs, marks])
+        stacked = np.stack([text, link, points, words, tags, paragraphs, inputs, marks, social])
         for i in range(n - 1, 0, -1):
             stacked[:, parent[i]] += stacked[:, i]
-        text, link, points, words, tags, paragraphs, inputs, marks = stacked
+        text, link, points, words, tags, paragraphs, inputs, marks, social = stacked
         children = np.bincount(parent[1:], minlength=n).astype(float) if n > 1 else np.zeros(n)
-        rank, same, top = np.zeros(n), np.zeros(n), np.zeros(n)
+        rank, same, twins, top = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
         seen: dict = {}
         kinds: dict = {}
         for i in range(1, n):
             p = self.parent[i]
             rank[i] = seen.get(p, 0)
             seen[p] = rank[i] + 1
-            kinds[p, self.tag[i]] = kinds.get((p, self.tag[i]), 0) + 1
+            for kind in (self.tag[i],), (self.tag[i], self.attrs[i]):
+                kinds[p, *kind] = kinds.get((p, *kind), 0) + 1
             top[p] = max(top[p], text[i])
         for i in range(1, n):
             same[i] = kinds[self.parent[i], self.tag[i]]
+            twins[i] = kinds[self.parent[i], self.tag[i], self.attrs[i]] if self.attrs[i] else 0
         up = np.maximum(parent, 0)
         good, bad = np.zeros(n), np.zeros(n)
         above_good, above_bad, group, above = np.zeros(n), np.zeros(n), np.full(n, -1), np.zeros((n, 2))
         for i in range(n):
             for name in self.attrs[i].split() if self.tag[i] not in ("html", "body") else ():
-                tokens = _TOKEN.findall(name)
-                good[i] += sum(t in _FOR for t in tokens)
-                if not _STATE.intersection(tokens):
-                    bad[i] += sum(t in _AGAINST for t in tokens)
+                one = _named(name)
+                good[i], bad[i] = good[i] + one[0], bad[i] + one[1]
             bad[i] += self.hidden[i]
             group[i] = _GROUP.get(self.tag[i], -1)
             if i:
@@ -252,7 +269,7 @@ class Page:
         columns = (
             self.depth, np.log1p(text), link / np.maximum(text, 1), np.log1p(text / tags), np.log1p(paragraphs), np.log1p(children), np.log1p(children[up]), np.log1p(same), rank / np.maximum(children[up] - 1, 1),
             text / total, points / np.maximum(words, 1), text / np.maximum(words, 1), good, bad, above_good, above_bad, above[:, 0], above[:, 1], np.log1p(inputs), marks > 0, text / np.maximum(top[up], 1),
-            np.log1p((text[up] - text) / np.maximum(children[up] - 1, 1)), own / np.maximum(text, 1), np.asarray(self.hidden), np.log1p(words), good[up] > 0, bad[up] > 0,
+            np.log1p((text[up] - text) / np.maximum(children[up] - 1, 1)), own / np.maximum(text, 1), np.asarray(self.hidden), np.log1p(words), good[up] > 0, bad[up] > 0, np.log1p(twins), social / np.maximum(words, 1), good > bad, own[up] / np.maximum(text[up], 1),
         )
         for k, c in enumerate(columns):
             x[:, k] = c
@@ -309,8 +326,12 @@ def training_page(rng: np.random.Generator) -> str:
                 t += f' <a href="/{word()}">{word()}</a> ' + word()
             if chance(0.1):
                 t += "<br>" + mark + sentence()
+            if main and chance(0.1):
+                t += f" {pick('Share', 'Follow us', 'Facebook', 'Twitter', 'Tweet')} {word()}."
             kind = rng.random()
-            if kind < 0.8:
+            if main and chance(0.05):
+                out.append(f"<h{pick(2, 3, 4)}>{mark}{sentence(1, 4)}</h3><{pick('ul', 'ol')}>" + "".join(f'<li>{pick("", mark + sentence(1, 5))}<a href="/{word()}">{mark}{sentence(1, 9)}</a>{pick("", ", " + word())}</li>' for _ in range(int(rng.integers(2, 7)))) + "</ul></ol>")
+            elif kind < 0.8:
                 out.append(f"<p>{t}" + ("</p>" if chance(0.85) else ""))
             elif kind < 0.86:
                 out.append(f"<blockquote><p>{t}</p></blockquote>")
@@ -326,7 +347,7 @@ def training_page(rng: np.random.Generator) -> str:
         return "<ul>" + "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(n)) + "</ul>"
 
     def boiler():
-        kind = int(rng.integers(13))
+        kind = int(rng.integers(18))
         n = int(rng.integers(2, 9))
         return (
             lambda: f"<nav{attr('nav', 'menu', '')}>{links(n)}</nav>",
@@ -342,6 +363,11 @@ def training_page(rng: np.random.Generator) -> str:
             lambda: f"<div hidden><p>{sentence()}</p></div>" if chance(0.5) else f'<div style="display:none">{sentence()}</div>',
             lambda: f"<aside>{sentence()} {sentence()}</aside>",
             lambda: f'<div role="{pick("navigation", "complementary", "banner", "search")}">{links(n) if chance(0.6) else sentence()}</div>',
+            lambda: f'<{pick("ol", "ul", "div")} {pick("class", "id")}="{pick("comment", "reply", "comments")}{pick("list", "area", "section", "-list", "_thread")}">' + "".join(f'<li class="{pick("comment", "item", "depth")}">{pick("", "<b>" + word() + "</b> ")}<p>{sentence()} {sentence()}</p></li>' for _ in range(int(rng.integers(1, 6)))) + "</ol></ul></div>",
+            lambda: f"<{pick('div', 'p')}{attr('share', 'sharebar', 'socials', '', '', '')}>{pick('Share this', 'Share', 'Follow us', 'Share on', word())}{pick(':', '')} " + pick(" ", " | ", "<br>").join(f'<a href="/{word()}">{x}</a>' for x in rng.permutation(["Facebook", "Twitter", "WhatsApp", "Email", "Pinterest", "LinkedIn", "Reddit", "Tweet"])[: int(rng.integers(2, 6))]) + "</div>",
+            lambda: f'<div class="{pick("related", "popular", "latest", "more")}{pick("posts", "articles", "stories", "-links")}"><h3>{sentence(1, 4)}</h3>' + "".join(f'<div class="{pick("item", "card", "teaser")}"><a href="/{word()}">{sentence(2, 8)}</a><p>{sentence()}</p></div>' for _ in range(n)) + "</div>",
+            lambda: f'<{pick("div", "footer")} class="{pick("post", "entry", "article", "story")}-{pick("footer", "meta", "footer", "tags")}">{sentence(2, 6) if chance(0.6) else links(2)}</div></footer>',
+            lambda: f'<div class="{pick("top", "site", "page", "left", "main")}{pick("menu", "navbar", "sidebar", "banner", "header")}">{links(n) if chance(0.7) else sentence()}</div>',
         )[kind]()
 
     def some(p):
@@ -352,14 +378,16 @@ def training_page(rng: np.random.Generator) -> str:
 
     head = f"<!DOCTYPE html><html><head><title>{sentence()}</title><style>p{{margin:0}}</style><script>var a='</p>';</script></head><body{pick('', '', ' class="home sidebar-right"', f' class="{word()} no-menu header-fixed comments-closed"')}>"
     top = pick("", f"<header{attr('header', 'masthead', '')}><h1>{word()}</h1>{links(4)}</header>", f'<div class="{pick("header", "top", "masthead")}"><a href="/">{word()}</a></div>', f"<header>{word()}</header>", f"<header{attr('header', '')}><p>{pick(word(), sentence(2, 8))}</p></header>")
-    foot = pick(f"<footer{attr('footer', '')}>&copy; {word()} &middot; {sentence()} {pick('', sentence())}</footer>", f'<div class="{pick("footer", "copyright", "legal")}">Copyright {word()}. {sentence()}</div>', f"<footer><p>{sentence()}</p>{links(5)}</footer>", "")
+    foot = pick(f"<footer{attr('footer', '')}>&copy; {word()} &middot; {sentence()} {pick('', sentence())}</footer>", f'<div class="{pick("footer", "copyright", "legal")}">Copyright {word()}. {sentence()}</div>', f"<footer><p>{sentence()}</p>{links(5)}</footer>", "", f'<div {pick("class", "id")}="{pick("bottom", "colophon", "sitefooter", "siteinfo", "footer-inner")}">{pick("&copy;", "Copyright", "Copyright &copy;")} {pick("2019", "2021", "2024")} {word()}. {pick("", sentence())}</div>')
     title = f"<h{pick(1, 1, 2)}>{_SENTINEL}{sentence(2, 12)}</h1>" if chance(0.85) else ""
-    own_header = bool(title) and chance(0.15)
+    own_header = bool(title) and chance(0.25)
     size = int(rng.choice([0, 1, 1, 2, 3, 5, 8, 14, 25])) if chance(0.97) else 60
     half = int(rng.integers(size + 1))
     body = title + prose(half, True) + (boiler() if chance(0.15) else "") + prose(size - half, True)
     if own_header:
-        body = f"<header>{title}</header>" + body[len(title) :]
+        kind = pick("header", "header", "div")
+        name = pick("", "", "entry-header", "post-header", "article-header", "entry-title-wrap") if kind == "header" else pick("entry-header", "post-header", "article-header", "entry-top")
+        body = f"<{kind}" + (f' class="{name}"' if name else "") + f">{title}</{kind}>" + body[len(title) :]
     if not title and not size:
         body = f"<p>{_SENTINEL}{sentence(1, 5)}</p>"
     wrap = int(rng.integers(4 if own_header else 7))
@@ -373,13 +401,19 @@ def training_page(rng: np.random.Generator) -> str:
         lambda: f'<div id="{pick("content", "main")}"><div class="{pick("post", "text", "entry")}">{body}</div>{some(0.2)}</div>',
         lambda: f"<div><section{pick('', state)}>{body}</section></div>",
     )[wrap]()
+    if chance(0.08):  # text that stands in the body itself, between paragraphs or without any
+        bare = [_SENTINEL + " ".join(sentence() for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(2, 6)))]
+        inner = "".join(f"<p>{t}</p>" if k % 2 else t for k, t in enumerate(bare)) if chance(0.7) else "<br><br>".join(bare)
+        top, foot = pick("", "", top), pick("", "", foot)
+        if chance(0.6):
+            return head + top + inner + foot
     page = top + some(0.6) + inner + some(0.45) + foot
     if chance(0.25):
         page = f'<div class="{pick("wrapper", "container", "page", "site")}">{page}</div>'
     return head + page + ("</body></html>" if chance(0.9) else "")
 
 
-def training_set(n: int = 500, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def training_set(n: int = 1200, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (subtree holds main text) of the nodes of ``n`` pages."""
     rng, xs, ys = np.random.default_rng(seed), [], []
     for _ in range(n):
@@ -398,9 +432,21 @@ def training_set(n: int = 500, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(xs), np.concatenate(ys)
 
 
+TREES = pathlib.Path(__file__).with_name("html_trees.json")
+
+
+def write_trees() -> None:
+    """Fit the trees and keep them in ``TREES``."""
+    TREES.write_text(json.dumps(BoostedTrees().fit(*training_set()).to_dict() | {"features": N_FEATURES}) + "\n")
+
+
 @functools.lru_cache(maxsize=1)
 def model() -> BoostedTrees:
-    return BoostedTrees().fit(*training_set())
+    """The trees fitted to ``training_set``, as written by ``write_trees``."""
+    kept = json.loads(TREES.read_text())
+    if kept.pop("features") != N_FEATURES:
+        raise ValueError("the written trees are of other features: call write_trees()")
+    return BoostedTrees.from_dict(kept)
 
 
 # --- application -----------------------------------------------------------------
