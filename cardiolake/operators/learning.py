@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import math
@@ -256,13 +255,15 @@ def calibration_split(rows: DataFrame, fraction: float = 0.2, record: str = "rec
     strata = record_strata(rows, record)
     if strata.limit(3).count() < 3:
         raise ValueError("calibration split: fewer than three records")
-    strata = strata.select(record, "stratum").withColumn("__h", _hashed(record, seed))
-    parts = []
-    for r in strata.groupBy("stratum").count().collect():  # one row a stratum
-        own, n = strata.where(F.col("stratum") == r["stratum"]), r["count"]
-        take = 0 if n == 1 and r["stratum"] > 0 else max(1, round(n * fraction))
-        parts.append(own.join(_first_by_hash(own, take), "__h", "left").select(record, "stratum", F.when(F.col("__in"), "calibration").otherwise("fit").alias("part")))
-    return functools.reduce(DataFrame.unionByName, parts)
+    strata = strata.select(record, "stratum", F.struct("stratum", _hashed(record, seed).alias("h")).alias("__k"))
+    levels = running(strata.groupBy("__k").agg(F.count("*").alias("__c")), "__k", "__c", "__upto")
+    bound, before = F.lit(0), 0  # counts run over all strata, one after the other
+    for stratum, n in sorted(strata.groupBy("stratum").count().collect()):  # one row a stratum
+        take = 0 if n == 1 and stratum > 0 else max(1, round(n * fraction))
+        bound = F.when(F.col("__k")["stratum"] == stratum, F.lit(before + take)).otherwise(bound)
+        before += n
+    chosen = levels.where(F.col("__upto") - F.col("__c") < bound).select("__k", F.lit(True).alias("__in"))
+    return strata.join(chosen, "__k", "left").select(record, "stratum", F.when(F.col("__in"), "calibration").otherwise("fit").alias("part"))
 
 
 def _first_by_hash(rows: DataFrame, take: int, h: str = "__h") -> DataFrame:

@@ -453,6 +453,27 @@ def test_running_sums_over_several_ranges(spark):
                 assert got[float(k)] == (s, m)
 
 
+def test_running_counts_of_any_key(spark, monkeypatch):
+    """Ranges follow the keys, which may be strings or structs, and have nulls; splits do not hang on the ranges."""
+    from cardiolake.functions import prefix
+
+    names = [None] + [f"{i * 7919 % 1000:03d}" for i in range(300)]
+    rows = df(spark, [(k, 1) for k in names], "k string, v long")
+    records = df(spark, [(f"r{i % 90}", float(i % 90 % 7 == 0 or i % 5 == 0)) for i in range(900)], "recording_id string, label double")
+    whole = sorted(map(tuple, learning.calibration_split(records).collect()))
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 20)
+    assert sorted(map(tuple, learning.calibration_split(records).collect())) == whole
+    assert {r[2] for r in whole} == {"calibration", "fit"} and len(whole) == 90
+    for down in (False, True):
+        got = {r["k"]: r["s"] for r in prefix.running(rows, "k", "v", "s", descending=down).collect()}
+        order = sorted((k for k in names if k is not None), reverse=down)
+        order = [*order, None] if down else [None, *order]
+        assert got == {k: i + 1 for i, k in enumerate(order)}
+    pair = rows.where("k IS NOT NULL").select(F.struct(F.substring("k", 3, 1).alias("a"), "k").alias("p"), "v")
+    got = [r["s"] for r in prefix.running(pair, "p", "v", "s").orderBy("p").collect()]
+    assert got == list(range(1, 301))
+
+
 def test_point_agreement_equals_brute_force(spark):
     """Ties, equal times and used points: each left point takes the nearest unused one, the earlier listed of equals."""
     rng = np.random.default_rng(6)
