@@ -23,9 +23,14 @@
    All are compared with the member of least difference; pairs with T <= 0 are
    then in its component.  Any other link must share a = T - min(|Lx|,|Ly|) added
    shingles, so one of any |Ax| - a + 1 of them; the rarest of the family are
-   posted.  Only where a <= 0 lost shingles are posted too.  Added shingles of
-   near copies are few and rarely shared, so a family costs rows in proportion to
-   its members, and no link is lost.
+   posted.  Only where a <= 0 lost shingles are posted too.
+5. A list of a difference whose members are all in one component is done; one of at
+   most ``DIRECT`` members is compared in full.  The members of a longer one are a
+   family of their own, centred on their own consensus and searched like the first.
+   A difference is one that at most half of its family has, so families halve at each
+   step and end; lists of equal members are searched once.  No list is joined with
+   itself, a family costs rows in proportion to its members' differences, and no link
+   is lost.
 
 Scale: digests, element counts and pivots are partial aggregations; hot lists are
 joined on their element with tables AQE can split; families of more than ``BLOCK``
@@ -56,7 +61,7 @@ from pyspark.sql import functions as F
 from .common import WORD, Scratch, arrow_batches, ascii_lower, window_hashes, word_hashes
 from .components import connected_components
 
-K, MISS, SMALL = 48, 1e-6, 8
+K, MISS, SMALL, DIRECT = 48, 1e-6, 8, 32
 BLOCK, HOT_ROWS, TABLE_ROWS = 500, 200_000, 200_000
 _WORDS = re.compile(WORD)
 _rng = np.random.default_rng(20240229)
@@ -207,13 +212,8 @@ def _beside(members: DataFrame, family: DataFrame, hot: DataFrame, how: str = "i
     return dealt.join(spread, ["g", "block"], how).drop("block")
 
 
-def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, hot: DataFrame, n: int, percent: int, scratch: Scratch) -> DataFrame:
-    """(g, cid, lost, added, nl, na, w, kappa) of every member against its family's consensus.
-
-    Members are first compared with the pivot; what more than half of them lack
-    or add corrects the pivot's set to the consensus.  w and kappa are the terms
-    of (100 + percent) T = w_x + w_y - kappa.
-    """
+def _against_pivots(families: DataFrame, classes: DataFrame, docs: DataFrame, hot: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """(g, cid, lost, added, nc) of every member against the set of its family's pivot, of size nc."""
     nodes = families.select("cid").union(families.select("g")).distinct()
     sets = scratch.save(_sets(docs, classes.select("cid", "first_id", "h1", "h2").join(nodes, "cid", "left_semi"), n), "family-sets")
 
@@ -226,12 +226,21 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, hot:
                 added.append(np.setdiff1d(x, p, assume_unique=True).view(np.int64))
                 size.append(len(p))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, longs), pa.array(added, longs), pa.array(size, pa.int64())], names=["g", "cid", "lost", "added", "np"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lost, longs), pa.array(added, longs), pa.array(size, pa.int64())], names=["g", "cid", "lost", "added", "nc"])
 
     pivots = sets.join(families.select(F.col("g").alias("cid")).distinct(), "cid").select(F.col("cid").alias("g"), F.col("set").alias("pivot_set"))
     paired = _beside(families.join(sets, "cid"), pivots, hot).select("g", "cid", "set", "pivot_set")
-    raw = scratch.save(paired.mapInArrow(against_pivot, "g long, cid long, lost array<long>, added array<long>, np long"), "raw-diffs")
+    raw = scratch.save(paired.mapInArrow(against_pivot, "g long, cid long, lost array<long>, added array<long>, nc long"), "raw-diffs")
     scratch.drop(sets)
+    return raw
+
+
+def _centred(raw: DataFrame, hot: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(g, cid, lost, added, nc, nl, na, w, kappa) of every member against its family's consensus.
+
+    What more than half of the members lack or add corrects the set they were compared
+    with to the consensus.  w and kappa are the terms of (100 + percent) T = w_x + w_y - kappa.
+    """
     sizes = scratch.save(raw.groupBy("g").agg(F.count("*").alias("k")), "sizes")
     few = sizes.limit(TABLE_ROWS + 1).count() <= TABLE_ROWS
     common = {}
@@ -247,18 +256,22 @@ def _differences(families: DataFrame, classes: DataFrame, docs: DataFrame, hot:
     # Against the consensus: what the majority lacks is no loss, what the majority adds and x lacks is one.
     new_lost = F.concat(F.array_except(lost, all_lost), F.array_except(all_added, added))
     new_added = F.concat(F.array_except(added, all_added), F.array_except(all_lost, lost))
-    out = both.select("g", "cid", F.sort_array(new_lost).alias("lost"), F.sort_array(new_added).alias("added"), (F.col("np") - F.size(all_lost) + F.size(all_added)).alias("nc"))
+    out = both.select("g", "cid", F.sort_array(new_lost).alias("lost"), F.sort_array(new_added).alias("added"), (F.col("nc") - F.size(all_lost) + F.size(all_added)).alias("nc"))
     out = out.withColumns({"nl": F.size("lost").cast("long"), "na": F.size("added").cast("long")})
-    return out.withColumns({"w": 100 * F.col("nl") + percent * F.col("na"), "kappa": (100 - percent) * F.col("nc")}).drop("nc")
+    out = out.withColumns({"w": 100 * F.col("nl") + percent * F.col("na"), "kappa": (100 - percent) * F.col("nc")})
+    return scratch.save(out, "diffs")
 
 
-def _to_middle(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Strays with the member of least difference of their family."""
-    return named.where("stray").select(F.col("cid").alias("a"), F.col("mid").alias("b"))
+def _named(members: DataFrame, middle: DataFrame, labels: DataFrame, hot: DataFrame) -> DataFrame:
+    """Members with their component, that of their family's middle, and whether these differ."""
+    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    at_mid = middle.join(labels.withColumnRenamed("node", "mid"), "mid", "left").select("g", "mid", F.coalesce("label", "mid").alias("mid_label"))
+    return _beside(named, at_mid, hot).withColumn("stray", F.col("label") != F.col("mid_label"))
 
 
-def _sharing(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """Strays with members of other components that share differences a link needs.
+def _posted(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """(g, i, plus, cid, label, nl, w, kappa, asks): strays ask at differences that a link
+    needs (``asks``), all members of families with strays answer there.
 
     With S = 100 + percent a link needs S * a >= w_x + w_y - kappa - S * min(nl)
     shared added shingles, which is at least w_x - kappa + percent * d for the
@@ -269,8 +282,8 @@ def _sharing(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     family = named.groupBy("g").agg(F.min(F.when(F.col("stray"), F.col("w"))).alias("least_w"), F.min(F.col("na") - F.col("nl")).alias("d"))
     base = _beside(named, family.where("least_w IS NOT NULL"), hot)
     cols = ["g", "cid", "label", "nl", "w", "kappa"]
-    flat = lambda df, kind, plus: df.select(*cols, F.explode(kind).alias("i"), F.lit(plus).alias("plus"))
-    added = flat(base, "added", True)
+    flat = lambda df, kind, plus, asks: df.select(*cols, F.explode(kind).alias("i"), F.lit(plus).alias("plus"), F.lit(asks).alias("asks"))
+    added = flat(base, "added", True, False)
     often = added.groupBy("g", "i").agg(F.count("*").alias("n"))
     strays = base.where("stray").withColumn("a", F.ceil((F.col("w") - F.col("kappa") + percent * F.col("d")) / scale))
     rare = (
@@ -281,17 +294,39 @@ def _sharing(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
         .agg(F.sort_array(F.collect_list(F.struct("n", "i"))).alias("x"))
         .select(*cols, F.explode(F.expr("slice(x, 1, int(na - a + 1))")).alias("x"))
         .where("x.n > 1")
-        .select(*cols, F.col("x.i").alias("i"), F.lit(True).alias("plus"))
+        .select(*cols, F.col("x.i").alias("i"), F.lit(True).alias("plus"), F.lit(True).alias("asks"))
     )
     slight = strays.where("a <= 0")
-    x = rare.unionByName(flat(slight, "added", True)).unionByName(flat(slight, "lost", False)).alias("x")
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w") - F.col("kappa")) / scale))  # shared differences of any link with a stray
     prefix = F.greatest(F.lit(0), F.col("nl") - need + 1).cast("int")
-    y = added.unionByName(flat(base.withColumn("lost", F.slice("lost", F.lit(1), prefix)), "lost", False)).alias("y")
-    rule = f"x.g = y.g AND x.i = y.i AND x.plus = y.plus AND x.label <> y.label AND (x.plus OR x.w + y.w - x.kappa <= {scale} * least(x.nl, y.nl))"
+    lost = flat(base.withColumn("lost", F.slice("lost", F.lit(1), prefix)), "lost", False, False)
+    return rare.unionByName(flat(slight, "added", True, True)).unionByName(flat(slight, "lost", False, True)).unionByName(added).unionByName(lost)
+
+
+def _lists(posted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, i, plus, n, sub): the lists of differences that somebody asks at and several
+    components are in, numbered; of lists with equal members (by 128 bits) one."""
+    marks = {"f1": F.bit_xor(F.xxhash64("cid", "asks")), "f2": F.bit_xor(F.xxhash64("asks", F.lit(1), "cid"))}
+    facts = [F.count("*").alias("n"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")]
+    lists = posted.groupBy("g", "i", "plus").agg(*facts, *[m.alias(k) for k, m in marks.items()]).where("asked AND low < high")
+    one = lists.groupBy("g", "plus", "n", *marks).agg(F.min("i").alias("i"))
+    return scratch.save(one.select("g", "i", "plus", "n", F.monotonically_increasing_id().alias("sub")), "lists")
+
+
+def _sharing(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of short lists that may link, of different components."""
+    x, y = listed.where("asks").alias("x"), listed.where("NOT asks").alias("y")
+    rule = f"x.sub = y.sub AND x.label <> y.label AND (x.plus OR x.w + y.w - x.kappa <= {100 + percent} * least(x.nl, y.nl))"
     return x.join(y, F.expr(rule)).select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b"))
 
 
+def _split(members: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The values of ``key`` whose members are in several components."""
+    label = F.coalesce("label", "cid")
+    seen = members.select(key, "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy(key)
+    return seen.agg(F.min(label).alias("low"), F.max(label).alias("high")).where("low < high").select(key)
+
+
 def near_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
     with arrow_batches(docs.sparkSession, 500):
@@ -331,26 +366,45 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # Families: long lists whose pivots are in one component, named by its smallest class.
     pivots = labels.withColumnRenamed("node", "pivot")
     families = scratch.save(long.select("pivot", "cid").distinct().join(pivots, "pivot", "left").select(F.coalesce("label", "pivot").alias("g"), "cid").distinct(), "families")
-    tested = pairs
-    split = families.join(labels.withColumnRenamed("node", "cid"), "cid", "left").groupBy("g").agg(F.countDistinct(F.coalesce("label", "cid")).alias("k")).where("k > 1")
-    families = scratch.save(families.join(split.select("g"), "g"), "split-families")
+    families = scratch.save(families.join(_split(families, labels, "g"), "g"), "split-families")
+    state = {"tested": pairs, "links": links, "labels": labels}
+
+    def search(candidates: DataFrame) -> None:
+        """Confirm the candidates not tested yet; their links join components."""
+        known = state["tested"].select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
+        rest = candidates.distinct().join(known, (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
+        rest = scratch.save(rest, "rest")
+        if rest.limit(1).count():
+            state["tested"] = state["tested"].union(rest)
+            more = _confirm(rest, classes, docs, n, m, percent, scratch)
+            if more.limit(1).count():
+                state["links"] = state["links"].union(more)
+                state["labels"] = connected_components(state["links"], scratch)
+
+    raw = None
     if families.limit(1).count():
         hot = _hot_families(families, scratch)
-        diffs = scratch.save(_differences(families, classes, docs, hot, n, percent, scratch), "diffs")
-        middle = diffs.groupBy("g").agg(F.min_by("cid", F.struct("w", "cid")).alias("mid"))
-        for candidates in (_to_middle, _sharing):
-            named = diffs.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-            at_mid = middle.join(labels.withColumnRenamed("node", "mid"), "mid", "left").select("g", "mid", F.coalesce("label", "mid").alias("mid_label"))
-            named = scratch.save(_beside(named, at_mid, hot).withColumn("stray", F.col("label") != F.col("mid_label")), "named")
-            known = tested.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo"))
-            rest = candidates(named, hot, percent).distinct().join(known, (F.greatest("a", "b") == F.col("hi")) & (F.least("a", "b") == F.col("lo")), "left_anti")
-            rest = scratch.save(rest, "rest")
-            if rest.limit(1).count():
-                tested = tested.union(rest)
-                more = _confirm(rest, classes, docs, n, m, percent, scratch)
-                if more.limit(1).count():
-                    links = links.union(more)
-                    labels = connected_components(links, scratch)
+        raw = _against_pivots(families, classes, docs, hot, n, scratch)
+    while raw is not None:
+        diffs = _centred(raw, hot, percent, scratch)
+        scratch.drop(raw)
+        raw = None
+        middle = scratch.save(diffs.groupBy("g").agg(F.min_by("cid", F.struct("w", "cid")).alias("mid")), "middle")
+        search(_named(diffs.select("g", "cid"), middle, state["labels"], hot).where("stray").select(F.col("cid").alias("a"), F.col("mid").alias("b")))
+        named = scratch.save(_named(diffs, middle, state["labels"], hot), "named")
+        posted = _posted(named, hot, percent)
+        lists = _lists(posted, scratch)
+        listed = scratch.save(posted.join(lists, ["g", "i", "plus"]), "in-lists")
+        scratch.drop(named)
+        search(_sharing(listed.where(F.col("n") <= DIRECT), percent))
+        longer = listed.where(F.col("n") > DIRECT).select("g", "cid", "sub").distinct()
+        longer = scratch.save(longer.join(_split(longer, state["labels"], "sub"), "sub"), "longer")
+        if longer.limit(1).count():
+            raw = scratch.save(diffs.join(longer, ["g", "cid"]).select(F.col("sub").alias("g"), "cid", "lost", "added", "nc"), "raw-diffs")
+            hot = _hot_families(raw.select("g", "cid"), scratch)
+        for done in (diffs, listed, longer):
+            scratch.drop(done)
+    labels = state["labels"]
     labelled = classes.select("cid", "first_id", *same_set).join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("first_id", *same_set, F.coalesce("label", "cid").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
     grouped = labelled.join(smallest, "label").select(*same_set, "component_id")

@@ -61,6 +61,34 @@ def test_families_dealt_over_blocks(spark, monkeypatch, rows):
     check(spark, texts, 3, 85)
 
 
+def nested(rng, sizes=(70, 60, 50)):
+    """One text many times; a third of it exchanged alike in two groups, a further part in the last."""
+    a = rng.choice(VOCAB, size=150).tolist()
+    b = a[:120] + [f"b{k}" for k in range(30)]
+    c = [f"c{k}" for k in range(20)] + b[20:]
+    return [t for base, n in zip((a, b, c), sizes) for t in family(rng, base, n, 6)]
+
+
+@pytest.mark.parametrize("direct,seed", [(32, 5), (2, 6)])
+def test_one_difference_of_very_many_members(spark, monkeypatch, direct, seed):
+    """Two groups that do not link share a difference from their family: its list becomes a
+    family of its own, and the pairs compared grow with the members, not with their square."""
+    monkeypatch.setattr(nd, "DIRECT", direct)
+    monkeypatch.setattr(nd, "BLOCK", 20)
+    tables, save = {}, nd.Scratch.save
+
+    def counted(self, df, name, wide=False):
+        out = save(self, df, name, wide)
+        tables.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(nd.Scratch, "save", counted)
+    texts = nested(np.random.default_rng(seed))
+    check(spark, texts, 3, 85)
+    assert len(tables["diffs"]) > 1, "no list became a family"
+    assert sum(tables["rest"]) < 10 * len(texts)
+
+
 def test_near_dedup_keeps_columns_and_one_of_each_group(spark):
     text = " ".join(VOCAB[:100])
     d = docs(spark, [text, text, text + " more", "another text altogether", None], kept=F.lit("mine"), cid=F.lit(7), component_id=F.lit("x"))
