@@ -24,9 +24,9 @@
    then in its component.  Any other link must share a = T - min(|Lx|,|Ly|) added
    shingles, so one of any |Ax| - a + 1 of them; the rarest of the family are
    posted.  Only where a <= 0 lost shingles are posted too.
-5. A list of a difference whose members are all in one component is done; one of at
-   most ``DIRECT`` members is compared in full.  The members of a longer one are a
-   family of their own, centred on their own consensus and searched like the first.
+5. A list of a difference whose members are all in one component is done; one in which
+   at most ``DIRECT`` members ask is compared with these.  The members of one with more
+   are a family of their own, centred on their own consensus and searched like the first.
    A difference is one that at most half of its family has, so families halve at each
    step and end; lists of equal members are searched once.  No list is joined with
    itself, a family costs rows in proportion to its members' differences, and no link
@@ -269,8 +269,8 @@ def _named(members: DataFrame, middle: DataFrame, labels: DataFrame, hot: DataFr
     return _beside(named, at_mid, hot).withColumn("stray", F.col("label") != F.col("mid_label"))
 
 
-def _posted(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
-    """(g, i, plus, cid, label, nl, w, kappa, asks): strays ask at differences that a link
+def _posted(named: DataFrame, hot: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(g, cid, label, nl, w, kappa, i, plus, asks): strays ask at differences that a link
     needs (``asks``), all members of families with strays answer there.
 
     With S = 100 + percent a link needs S * a >= w_x + w_y - kappa - S * min(nl)
@@ -300,21 +300,23 @@ def _posted(named: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     need = F.greatest(F.lit(1), F.ceil((F.col("w") + F.col("least_w") - F.col("kappa")) / scale))  # shared differences of any link with a stray
     prefix = F.greatest(F.lit(0), F.col("nl") - need + 1).cast("int")
     lost = flat(base.withColumn("lost", F.slice("lost", F.lit(1), prefix)), "lost", False, False)
-    return rare.unionByName(flat(slight, "added", True, True)).unionByName(flat(slight, "lost", False, True)).unionByName(added).unionByName(lost)
+    asks = scratch.save(rare.unionByName(flat(slight, "added", True, True)).unionByName(flat(slight, "lost", False, True)), "asks")
+    return asks.unionByName(added).unionByName(lost)
 
 
 def _lists(posted: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, i, plus, n, sub): the lists of differences that somebody asks at and several
-    components are in, numbered; of lists with equal members (by 128 bits) one."""
+    """(g, i, plus, few, sub): the lists of differences that somebody asks at and several
+    components are in, numbered; of lists with equal members (by 128 bits) one.  ``few``
+    asks at most ``DIRECT`` members make, so their pairs are at most ``DIRECT`` a member."""
     marks = {"f1": F.bit_xor(F.xxhash64("cid", "asks")), "f2": F.bit_xor(F.xxhash64("asks", F.lit(1), "cid"))}
-    facts = [F.count("*").alias("n"), F.max("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")]
-    lists = posted.groupBy("g", "i", "plus").agg(*facts, *[m.alias(k) for k, m in marks.items()]).where("asked AND low < high")
-    one = lists.groupBy("g", "plus", "n", *marks).agg(F.min("i").alias("i"))
-    return scratch.save(one.select("g", "i", "plus", "n", F.monotonically_increasing_id().alias("sub")), "lists")
+    facts = [F.count("*").alias("n"), F.count_if("asks").alias("asked"), F.min("label").alias("low"), F.max("label").alias("high")]
+    lists = posted.groupBy("g", "i", "plus").agg(*facts, *[m.alias(k) for k, m in marks.items()]).where("asked > 0 AND low < high")
+    one = lists.groupBy("g", "plus", "n", "asked", *marks).agg(F.min("i").alias("i"))
+    return scratch.save(one.select("g", "i", "plus", (F.col("asked") <= DIRECT).alias("few"), F.monotonically_increasing_id().alias("sub")), "lists")
 
 
 def _sharing(listed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of short lists that may link, of different components."""
+    """Pairs of lists with few askers that may link, of different components."""
     x, y = listed.where("asks").alias("x"), listed.where("NOT asks").alias("y")
     rule = f"x.sub = y.sub AND x.label <> y.label AND (x.plus OR x.w + y.w - x.kappa <= {100 + percent} * least(x.nl, y.nl))"
     return x.join(y, F.expr(rule)).select(F.greatest("x.cid", "y.cid").alias("a"), F.least("x.cid", "y.cid").alias("b"))
@@ -392,12 +394,12 @@ def _near_components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         middle = scratch.save(diffs.groupBy("g").agg(F.min_by("cid", F.struct("w", "cid")).alias("mid")), "middle")
         search(_named(diffs.select("g", "cid"), middle, state["labels"], hot).where("stray").select(F.col("cid").alias("a"), F.col("mid").alias("b")))
         named = scratch.save(_named(diffs, middle, state["labels"], hot), "named")
-        posted = _posted(named, hot, percent)
+        posted = _posted(named, hot, percent, scratch)
         lists = _lists(posted, scratch)
         listed = scratch.save(posted.join(lists, ["g", "i", "plus"]), "in-lists")
         scratch.drop(named)
-        search(_sharing(listed.where(F.col("n") <= DIRECT), percent))
-        longer = listed.where(F.col("n") > DIRECT).select("g", "cid", "sub").distinct()
+        search(_sharing(listed.where("few"), percent))
+        longer = listed.where("NOT few").select("g", "cid", "sub").distinct()
         longer = scratch.save(longer.join(_split(longer, state["labels"], "sub"), "sub"), "longer")
         if longer.limit(1).count():
             raw = scratch.save(diffs.join(longer, ["g", "cid"]).select(F.col("sub").alias("g"), "cid", "lost", "added", "nc"), "raw-diffs")
