@@ -1,6 +1,7 @@
 """Operator 9 - packing by minimum bin slack.
 
-Every document becomes the ids of a word-level BPE tokenizer plus an end id.
+Every document becomes the ids of a word-level BPE tokenizer plus an end id;
+different words of a batch are looked up once and new ones tokenized.
 Documents longer than a window give whole windows; what remains of each is a
 *remainder*.  Windows are then filled one after the other: a bitset subset-sum
 dynamic programme over the multiset of remaining lengths (a Python integer is
@@ -22,7 +23,7 @@ gives an empty result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import functools
-import re
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -30,13 +31,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Texts of these characters alone are tokenized chunk by chunk between spaces
-#: with a cache; others (and texts that may hold a special token) go whole.
-_UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xc0-\\u012f\\u0131-\\u024f]|<\\|")
-#: The tokenizer's own word split, for lower-case text of those characters.
-_SPLIT = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+|[0-9]|[^\\sa-z0-9\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]+")
+#: Texts without a match are lower-cased and cut into words by Arrow, with a cache; those
+#: with other characters, or with what may be a special token, go whole to the tokenizer.
+_UNUSUAL = r"[^\t\n\r\x20-\x7e\x{c0}-\x{12f}\x{131}-\x{24f}]|<\|"
+#: The tokenizer's own word split, for lower-case text.
+_SPLIT = r"('s|'t|'re|'ve|'m|'ll|'d|\pL+|\pN|[^\s\pL\pN]+)"
+#: Most chunks are letters and then symbols, which trimming cuts sooner than the split.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+_SYMBOLS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum())
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -47,21 +52,67 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Letters and then symbols, as the split makes of most chunks: two words at most.
-_CORE = re.compile("([a-z\\xe0-\\xf6\\xf8-\\xff]+)([^\\sa-z0-9'\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u024f]*)")
+def _take(ids: np.ndarray, bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``at`` of ``ids``, run i from bounds[i] to bounds[i + 1], in a row; and their bounds there."""
+    starts, out = bounds[at], np.zeros(len(at) + 1, np.int64)
+    lengths = bounds[at + 1] - starts
+    np.cumsum(lengths, out=out[1:])
+    places = np.repeat(starts - out[:-1], lengths)
+    places += np.arange(len(places))
+    return ids[places], out
+
+
+class Known:
+    """Strings met so far and their ids, as columns; ``learn`` gives ids and bounds of new ones.
+
+    With more than ``limit`` strings the half of ``limit`` that was met most often stays.
+    """
+
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit = learn, limit
+        self.keys = pa.array([""], pa.large_string())
+        self.ids, self.bounds, self.met = np.empty(0, "<u4"), np.zeros(2, np.int64), np.zeros(1, np.int64)
+
+    def find(self, values: pa.Array) -> np.ndarray:
+        """The number of each value, for ``take``; good until the next call."""
+        if len(self.keys) > self.limit:
+            self._forget()
+        coded = values.dictionary_encode()
+        own, codes = coded.dictionary, coded.indices.to_numpy()
+        found = pc.index_in(own, value_set=self.keys)
+        new = own.filter(found.is_null())
+        numbers = found.fill_null(-1).to_numpy().copy()
+        if len(new):
+            numbers[numbers < 0] = np.arange(len(self.keys), len(self.keys) + len(new))
+            ids, bounds = self.learn(new)
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.bounds = np.concatenate([self.bounds, bounds[1:] + len(self.ids)])
+            self.ids = np.concatenate([self.ids, ids])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+        self.met[numbers] += np.bincount(codes, minlength=len(own))
+        return numbers[codes]
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _take(self.ids, self.bounds, numbers)
+
+    def _forget(self) -> None:
+        often = np.argsort(-self.met[1:], kind="stable")[: self.limit // 2] + 1
+        stay = np.concatenate(([0], np.sort(often)))  # the empty string is always known
+        self.keys, self.met = self.keys.take(pa.array(stay)), self.met[stay] // 2
+        self.ids, self.bounds = self.take(stay)
 
 
 class Tokens:
     """uint32 ids of texts; equal to the tokenizer's own on whole texts.
 
-    ``chunks`` caches what stands between spaces, ``words`` its lower-case parts;
-    each is emptied when it passes ``limit`` entries.
+    ``chunks`` keeps what stands between spaces in lower case, ``words`` its parts.
     """
 
     def __init__(self, path: str, limit: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.encoder, self.chunks, self.words, self.limit = Tokenizer.from_file(path), {}, {"": b""}, limit
+        self.encoder, self.chunks, self.words = Tokenizer.from_file(path), Known(self._cut, limit), Known(self._encode, limit)
         self.plain = Tokenizer.from_file(path)  # for words already split and in lower case
         self.plain.normalizer = None
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -70,39 +121,42 @@ class Tokens:
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _UNUSUAL.search(text):
-            return np.asarray(self.encoder.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        chunks, known = text.split(), self.chunks
-        found = list(map(known.get, chunks))
-        if None in found:
-            if len(known) > self.limit:
-                known.clear()
-            if len(self.words) > self.limit:
-                self.words.clear()
-                self.words[""] = b""
-            self._learn([c for c, f in zip(chunks, found) if f is None])
-            found = [known.get(c) if f is None else f for c, f in zip(chunks, found)]
-        return b"".join(found)
-
-    def _learn(self, new: list[str]) -> None:
-        words, parts = self.words, []
-        for c in new:
-            m = _CORE.fullmatch(c.lower())
-            parts.append(m.groups() if m else (c,))
-        need = dict.fromkeys(p for ps in parts if len(ps) == 2 for p in ps if p not in words)
-        odd = dict.fromkeys(ps[0] for ps in parts if len(ps) == 1 and ps[0] not in words)
-        for encoder, several in ((self.plain, list(need)), (self.encoder, list(odd))):
-            if several:
-                ids = np.asarray(encoder.encode(" ".join(several), add_special_tokens=False).ids, dtype="<u4")
-                count = np.arange(1, len(several) + 1) if encoder is self.plain else np.cumsum([len(_SPLIT.findall(p.lower())) for p in several])
-                ends = (np.flatnonzero(self.closes[ids]) + 1)[count - 1] * 4
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(several, ends.tolist()):
-                    words[p], at = raw[at:e], e
-        for c, ps in zip(new, parts):
-            self.chunks[c] = words[ps[0]] if len(ps) == 1 else words[ps[0]] + words[ps[1]]
+        return self.many(pa.array([text], pa.large_string()))[0]
+
+    def many(self, texts: pa.Array, several: int = 100) -> list[bytes]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, _UNUSUAL)
+        spaced = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(whole, "", texts)))
+        numbers, out = self.chunks.find(spaced.flatten()), []
+        stops = spaced.offsets.to_numpy() - spaced.offsets[0].as_py()
+        for i in range(0, len(texts), several):
+            of = stops[i : i + several + 1]
+            ids, bounds = self.chunks.take(numbers[of[0] : of[-1]])
+            at = bounds[of - of[0]].tolist()
+            out += [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._ids(self.encoder, texts[i].as_py()).tobytes()
+        return out
+
+    @staticmethod
+    def _ids(encoder, text: str) -> np.ndarray:
+        return np.asarray(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _cut(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by way of their words."""
+        head, tail = pc.ascii_rtrim(chunks, _SYMBOLS), pc.utf8_ltrim(chunks, _LETTERS)
+        covered = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(tail)), pc.binary_length(chunks))
+        easy = pc.and_(pc.utf8_is_alpha(head), covered)
+        split = pc.replace_substring_regex(pc.if_else(easy, "", chunks), _SPLIT, r"\1 ")
+        parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.if_else(easy, pc.binary_join_element_wise(head, tail, pa.scalar(" ", pa.large_string())), split)))
+        ids, bounds = self.words.take(self.words.find(parts.flatten()))
+        return ids, bounds[parts.offsets.to_numpy()]
+
+    def _encode(self, words: pa.Array, several: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the tokenizer; a word ends with an id that closes it."""
+        runs = [words.slice(i, several).to_numpy(zero_copy_only=False) for i in range(0, len(words), several)]
+        ids = np.concatenate([self._ids(self.plain, " ".join(run)) for run in runs])
+        return ids, np.flatnonzero(np.concatenate(([True], self.closes[ids])))
 
 
 @functools.lru_cache(maxsize=2)
@@ -111,6 +165,14 @@ def _tokens(path: str, limit: int) -> Tokens:
     return Tokens(path, limit)
 
 
+def _encoded(tokens: Tokens, texts: pa.Array, size: int = 16 << 20) -> Iterator[bytes]:
+    """The ids of each text, from as many texts at a time as make up ``size`` bytes."""
+    nth = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)) // size
+    cuts = [0, *(np.flatnonzero(np.diff(nth)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield from tokens.many(texts.slice(a, b - a))
+
+
 def closest_fill(offered: Iterable[tuple[int, int]], capacity: int) -> dict[int, int]:
     """Counts per length whose sum is the largest not above ``capacity``.
 
@@ -203,7 +265,7 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece; see ``SCHEMA``.  ``tokenizer`` is a path on every executor.
 
-    ``cache_words`` bounds the two word caches a Python worker keeps (0.3 kB an entry).
+    ``cache_words`` bounds each of the two word caches a Python worker keeps.
     """
     path = tokenizer or default_tokenizer()
 
@@ -236,8 +298,8 @@ def pack_documents(
 
         number = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = tokens(text) + end
+            for doc_id, raw in zip(batch.column(0).to_pylist(), _encoded(tokens, batch.column(1))):
+                raw += end
                 ids[number], doc_ids[number], open_tokens[number] = raw, doc_id, len(raw) // 4
                 emit(packer.add(number, len(raw) // 4))
                 number += 1

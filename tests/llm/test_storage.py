@@ -1,8 +1,10 @@
 import hashlib
 import io
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -113,6 +115,45 @@ def test_tokens_equal_the_tokenizer():
         assert np.frombuffer(own(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_tokens_of_letters_that_grow_and_of_all_symbols():
+    """Lower case of U+023A lies outside Latin: such a text ended the job.  Every character the cache takes is tried."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(pk.default_tokenizer())
+    taken = [chr(c) for c in (9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0x130), *range(0x131, 0x250))]
+    texts = ["a\u023ab c", "\u023e\u023a, dog\u023e's", *(f"{c} a{c} {c}b A{c}'S {c}{c} 1{c}2 a{c}.{c}" for c in taken), None, "", " \n"]
+    for limit in (3, 800_000):
+        own = pk.Tokens(pk.default_tokenizer(), limit=limit)
+        for got in ([own(t) for t in texts], own.many(pa.array(["x", *texts], pa.string()).slice(1))):
+            for t, raw in zip(texts, got):
+                assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t or "", add_special_tokens=False).ids, repr(t)
+
+
+def test_frequent_words_are_encoded_once():
+    """A full cache gives up what was met least, so common words do not go to the tokenizer again."""
+
+    class Counting:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, Counter()
+
+        def encode(self, text, **options):
+            self.seen.update(text.split())
+            return self.inner.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            self.seen.update(w for t in texts for w in t.split())
+            return self.inner.encode_batch_fast(texts, **options)
+
+    own = pk.Tokens(pk.default_tokenizer(), limit=60)
+    own.plain = Counting(own.plain)
+    common, letters = ["river", "stone", "light", "house"], "abcdefghij"
+    for i in range(300):
+        rare = "".join(letters[int(d)] for d in f"{i:03d}")
+        own(" ".join([*common * 3, "q" + rare, "w" + rare]))
+    assert {own.plain.seen[w] for w in common} == {1} and len(own.plain.seen) == 604
+    assert len(own.chunks.keys) <= 64 and len(own.words.keys) <= 64
+
+
 def best_sum(counts, capacity):
     sums = {0}
     for n, k in counts:
