@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -9,7 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -20,8 +21,10 @@ from ..functions.columns import argmax, entropy
 from ..functions.prefix import running
 from ..functions.quantiles import exact_quantiles
 from ..functions.spacing import spread
+from ..functions.tables import written
 from .candidates import candidate_features, label_candidates, threshold_for_recall
 from .detection import checked, detect_peaks, per_signal
+from .forest import Forest
 from .matching import exclude_near, nearest_labels
 from .stats import classification_scores, mean_interval, one_vs_rest_auc, roc_auc
 
@@ -87,7 +90,7 @@ def forest(trees: int = 200, depth: int = 14, seed: int = 42, least: int = 1, sc
     stages = [StringIndexer(inputCol="label", outputCol="__y", stringOrderType="alphabetAsc")]
     if scale:
         stages.append(StandardScaler(inputCol="__x", outputCol="__z", withMean=True))
-    stages.append(RandomForestClassifier(labelCol="__y", featuresCol="__z" if scale else "__x", weightCol="weight", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=seed))
+    stages.append(Forest(trees, depth, least, seed, features="__z" if scale else "__x"))
     return Pipeline(stages=stages)
 
 
@@ -103,7 +106,8 @@ def logistic(iterations: int = 2000) -> Pipeline:
 
 def train(rows: DataFrame, pipeline: Pipeline | None = None) -> PipelineModel:
     """Fit on (features array, label), classes balanced by weights."""
-    return (pipeline or forest()).fit(_assembled(balanced(rows.withColumn("label", F.col("label").cast("string")))))
+    weighted = written(balanced(rows.withColumn("label", F.col("label").cast("string"))))  # the stages read it many times
+    return (pipeline or forest()).fit(_assembled(weighted))
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
@@ -214,23 +218,34 @@ def benchmark(rows: DataFrame, n_folds: int = 5, group: str = "group_id", seed:
     Train and test never share a group.
     """
     models = models or {"logistic_regression": logistic(), "random_forest": forest(300, seed=seed)}
-    folded = rows.join(group_folds(rows, n_folds, group, "label", seed), group).cache()
-    spark, out = rows.sparkSession, []
+    rows = written(rows.select(group, "label", "features"))
+    folded = written(rows.join(group_folds(rows, n_folds, group, "label", seed), group))
+    spark, said, known, run = rows.sparkSession, [], {}, ["model", "fold"]
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
     binary = rows.select("label").distinct().count() == 2
-    for f in sorted(r["fold"] for r in folded.select("fold").distinct().collect()):
+    for f in sorted(sizes):
         fit, test = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
-        n_fit, n_test = fit.count(), test.count()
+        told = []
         for name, pipeline in models.items():
             model = train(fit.select("features", "label"), pipeline)
-            said = predict(model, test.withColumn("truth", F.col("label").cast("string"))).cache()
-            s = classification_scores(said, "truth", "predicted_label").first()
-            if binary:
-                auc = roc_auc(said.select((F.col("truth") == classes(model)[-1]).cast("int").alias("label"), F.get("probabilities", F.lit(1)).alias("score"))).first()[0]
-            else:
-                auc = one_vs_rest_auc(said, classes(model), "truth").first()[0]
-            out.append((name, f, n_fit, n_test, s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["weighted_f1"], auc))
-            said.unpersist()
-    folded.unpersist()
+            known.setdefault(tuple(classes(model)), []).append((name, f))
+            told.append(predict(model, test.withColumn("truth", F.col("label").cast("string"))).select(F.lit(name).alias("model"), "fold", "truth", "predicted_label", "probabilities"))
+        said.append(written(functools.reduce(DataFrame.unionByName, told)))  # a fold's models are not needed any more
+    every = functools.reduce(DataFrame.unionByName, said)  # scores of all runs are counted together
+    scores = {(s["model"], s["fold"]): s for s in classification_scores(every, "truth", "predicted_label", run).collect()}
+    areas = {}
+    for labels, runs in known.items():  # runs whose models know the same classes
+        own = every.join(F.broadcast(spark.createDataFrame(runs, "model string, fold int")), run)
+        if binary:
+            auc = roc_auc(own.select(*run, (F.col("truth") == labels[-1]).cast("int").alias("label"), F.get("probabilities", F.lit(1)).alias("score")), keys=run)
+        else:
+            auc = one_vs_rest_auc(own, labels, "truth", keys=run)
+        areas |= {(r["model"], r["fold"]): r["roc_auc"] for r in auc.collect()}
+    total = sum(sizes.values())
+    out = []
+    for name, f in ((name, f) for f in sorted(sizes) for name in models):
+        s = scores[name, f]
+        out.append((name, f, total - sizes[f], sizes[f], s["accuracy"], s["balanced_accuracy"], s["macro_f1"], s["weighted_f1"], areas[name, f]))
     per_fold = spark.createDataFrame(out, "model string, fold int, n_train long, n_test long, accuracy double, balanced_accuracy double, macro_f1 double, weighted_f1 double, roc_auc double")
     long = per_fold.select("model", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("accuracy", "balanced_accuracy", "macro_f1", "weighted_f1", "roc_auc")])).alias("x")).select("model", "x.*")
     return per_fold, mean_interval(long, "value", ["model", "metric"])
