@@ -320,6 +320,7 @@ def fit_suppressor(rows: DataFrame, target_recall: float = 0.995, fraction: floa
     """
     if not (math.isfinite(fraction) and 0 <= fraction < 0.5):
         raise ValueError(f"suppressor: share {fraction} to calibrate on is outside [0, 0.5)")
+    rows = written(rows)  # features are made once, however often they are read
     counts = {int(r["label"]): r["count"] for r in rows.groupBy("label").count().collect()}
     if set(counts) != {0, 1}:
         raise ValueError("suppressor: candidates of both classes 0 and 1 are needed")

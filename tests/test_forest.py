@@ -110,6 +110,19 @@ def test_scores_by_key_are_those_of_each_key(spark):
     assert areas["d"] is None
 
 
+def test_the_suppressor_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(x):
+        made.add(1)
+        return x
+
+    rows = table(spark, 200).select(F.col("label").cast("int").alias("label"), counted("features").alias("features"))
+    model, about = learning.fit_suppressor(rows, 0.9, trees=10)
+    assert made.value == 200 and about["n_training_candidates"] == 200 and 0 < about["threshold"] <= 1
+
+
 def test_a_saved_forest_is_the_same(spark, tmp_path):
     rows = table(spark, 120)
     model = learning.train(rows, learning.forest(5, 4))
